@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from floorgraph.plans import graph, relational, shapes, spatial
+
 FLAGSHIP = "shortest_cost_all"
-_MODULES: tuple = ()
+_MODULES: tuple = (relational, spatial, graph, shapes)
 
 
 def queries() -> dict[str, Callable]:
