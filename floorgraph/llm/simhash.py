@@ -242,5 +242,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     groups = near_duplicates(docs, id_col, text_col, **options)
     keep = groups.select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
     return kept.dropDuplicates([id_col])

@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     rows = training_rows(docs, labels, sample_rows)
     by_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_tox, n_non = by_label.get(1, 0), by_label.get(0, 0)
-    base = math.log((n_tox + 0.5) / (n_non + 0.5))
+    base = math.log((n_tox + 0.5) / (n_non + 1))
     if not n_tox or not n_non:
         return Lexicon({}, tuple(exceptions), (base, 0.0, 0.0))
     least = max(4, math.ceil(0.01 * n_tox))
