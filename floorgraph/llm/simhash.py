@@ -15,6 +15,7 @@ links are found by minimum labels with pointer jumping.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorgraph.llm.common import cut, written
+from floorgraph.llm.shard_index import ShardIndex, build_index
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Widths of the blocks of a fingerprint; radius + 2 of them, so that two stay untouched.
@@ -224,23 +226,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null ``component_id``).  An empty table gives no rows.  Other columns
     are ignored.
     """
+    marked, member = _members(docs, id_col, text_col, n, radius, tree_size)
+    return marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, n: int, radius: int, tree_size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (_fp, _label, component_id) of every distinct fingerprint."""
     marked = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     found = components(links(least.select("fp"), radius, tree_size))
     named = least.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "_least", F.coalesce("label", "fp").alias("_label"))
     named = written(named, "labels")
     smallest = named.groupBy(F.col("_label").alias("_group")).agg(F.min("_least").alias("component_id"))
-    member = named.join(smallest, F.col("_label") == F.col("_group")).select("_fp", "component_id")
-    return marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked, named.join(smallest, F.col("_label") == F.col("_group")).select("_fp", "_label", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that of the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that of the smallest id; columns as they were.
 
-    Rows that share the kept id are copies of one document, of which one stays.
-    A group of null ids only keeps one row.  Columns as they were.
+    Rows that share a kept id are copies of one document, of which one stays.
+    A group whose rows all lack an id keeps one of them.
+
+    The texts are not exchanged: the ids to drop go into the sharded index that
+    the rows then probe.  Only rows with a repeated id, or with none, are
+    gathered by their key.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    keep = groups.select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    marked, member = _members(docs, id_col, text_col, n, radius, tree_size)
+    grouped = written(marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "_label", "component_id"), "groups")
+    ids = grouped.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))
+    verdict = ids.where("not kept or n > 1").select(*_id_hashes(F.col("doc_id")), F.when(F.col("kept"), 2).otherwise(1).alias("verdict"))
+    verdict = written(verdict, "verdicts")
+    index = build_index(verdict, ["verdict"])
+    out = _by_verdict(docs, id_col, index, 0)
+    if verdict.where("verdict = 2").limit(1).count():
+        out = out.unionAll(_by_verdict(docs, id_col, index, 2).dropDuplicates([id_col]))
+    lone = grouped.where("component_id is null").select("fp", "_label").distinct()
+    if lone.limit(1).count():
+        nameless = docs.where(docs[id_col].isNull())
+        columns = [f"c{k}" for k in range(len(docs.columns))]
+        plain = nameless.toDF(*columns)
+        text = columns[docs.columns.index(text_col)]
+        labelled = _with_fingerprint(plain, text, n).join(lone, F.col("_own") == F.col("fp"))
+        out = out.unionAll(labelled.dropDuplicates(["_label"]).select(*columns).toDF(*docs.columns))
+    return out
+
+
+def _id_hashes(doc_id) -> tuple:
+    """Two independent hashes of an id: its place in the index, and what tells it from others there."""
+    return F.xxhash64(doc_id).alias("key"), F.xxhash64(F.lit("id"), doc_id).alias("mark")
+
+
+def _by_verdict(docs: DataFrame, id_col: str, index: ShardIndex, wanted: int) -> DataFrame:
+    """Rows with an id whose verdict in the index is ``wanted``."""
+    schema = docs.schema
+    key, mark = _id_hashes(docs[id_col])
+    hashed = docs.where(docs[id_col].isNotNull()).select("*", key.alias(f"key-{uuid.uuid4().hex}"), mark.alias(f"mark-{uuid.uuid4().hex}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, mark = (np.ascontiguousarray(batch.column(k).to_numpy()).view(np.uint64) for k in (-2, -1))
+            chosen = index.counts(key, mark)[:, 0] == wanted
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(chosen))
+
+    return hashed.mapInArrow(run, schema)
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(place)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "_own"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_own", T.LongType())]))
