@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from floorgraph.llm.common import written
 
-SAMPLE_ROWS, CHUNK_ROWS, TARGET_RECALL = 8192, 8192, 0.97
+SAMPLE_ROWS, CHUNK_ROWS, PART_ROWS, TARGET_RECALL = 8192, 8192, 128, 0.97
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -124,6 +124,12 @@ def train(x: np.ndarray, depth: int, k: int, target: float = TARGET_RECALL) -> t
     return router, n_parts
 
 
+def parts_depth(n: int, sample_rows: int) -> int:
+    """Levels of bisection: about half the root of n parts, at least PART_ROWS rows each, and enough sample rows to learn each."""
+    wanted = np.log2(max(n, 1) ** 0.5 / 2)
+    return int(np.clip(round(min(wanted, np.floor(np.log2(max(n / PART_ROWS, 1))), np.log2(max(1, sample_rows // 64)))), 0, None))
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 20,
@@ -158,7 +164,7 @@ def nearest(
     n = points.count()
     sample = points.orderBy(F.xxhash64("point"), "point").limit(sample_rows).select("v").toPandas()  # bounded by sample_rows
     x = np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, max(dim, 1)))
-    depth = int(np.clip(round(np.log2(max(n, 1) ** 0.5 / 2)), 0, np.log2(max(1, sample_rows // 64))))
+    depth = parts_depth(n, sample_rows)
     router, probes = train(x, depth, k, target_recall)
     shared = vectors.sparkSession.sparkContext.broadcast(router)
 
