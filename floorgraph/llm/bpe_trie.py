@@ -15,9 +15,11 @@ cache of fixed size.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -27,7 +29,7 @@ from tokenizers import Tokenizer
 
 #: Characters of text that are split and encoded together.
 BLOCK_CHARS = 4_000_000
-#: Distinct words whose encodings a worker keeps.
+#: Distinct words whose encodings a worker keeps in each of two generations.
 CACHE_WORDS = 200_000
 
 
@@ -52,14 +54,17 @@ class Vocabulary:
         self.inner = [self.ids[c] for c in alphabet]
         self.final = [self.ids[c + end] for c in alphabet]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.rank_of: dict[int, int] = {}
         self.symbols: dict[int, tuple[int, ...]] = {i: (i,) for i in (*self.inner, *self.final)}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             left, right, made = self.ids[a], self.ids[b], self.ids[a + b]
             self.ranks[left, right] = (rank, made)
+            self.parts[made], self.rank_of[made] = (left, right), rank
             self.symbols[made] = self.symbols[left] + self.symbols[right]
         self._automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def merged(self, symbols: tuple[int, ...]) -> list[int]:
         """Plain BPE: merge the pair of lowest rank, leftmost first, until none is left."""
@@ -75,16 +80,52 @@ class Vocabulary:
             parts[i : i + 2] = [self.ranks[parts[i], parts[i + 1]][1]]
         return parts
 
-    def may_follow(self, left: int, right: int) -> bool:
-        """Whether BPE leaves these two neighbours as they are."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            known = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
-            self._pairs[left, right] = known
+    def may_follow(self, pair: int) -> bool:
+        """Whether BPE leaves the neighbours left << 16 | right as they are.
+
+        Seen from their border, each token is taken apart in the reverse order
+        of its merges; they stay neighbours unless two pieces that face each
+        other merge before the pieces that each of them is due to join.
+        """
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        left, right = pair >> 16, pair & 0xFFFF
+        known = self._pairs[pair] = self._stay(left, right)
         return known
 
+    def _stay(self, left: int, right: int) -> bool:
+        never = len(self.ranks)
+        # pieces at the border with the rank of the merge that swallows them, outermost first
+        one, two = self._border(left, 1), self._border(right, 0)
+        i = j = 0
+        while True:
+            (a, until_a), (b, until_b) = one[i], two[j]
+            merge = self.ranks.get((a, b))
+            # the left piece's own merge comes later in the text only on its left, so on equal ranks it wins
+            if merge is not None and merge[0] < min(until_a, until_b):
+                return False
+            if merge is not None and (merge[0] == until_b < until_a):
+                return False
+            made_a = self.rank_of.get(a, -1)
+            made_b = self.rank_of.get(b, -1)
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a >= made_b:
+                i += 1
+            else:
+                j += 1
+            if max(i, j) > never:
+                raise AssertionError("endless border")
+
+    def _border(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token, its part at this side, that part's part and so on, each with the rank of the merge that swallows it."""
+        out, until = [(token, len(self.ranks))], 0
+        while (parts := self.parts.get(token)) is not None:
+            until = self.rank_of[token]
+            token = parts[side]
+            out.append((token, until))
+        return out
+
     def _automaton(self) -> None:
         """Suffix automaton of the tokens' symbol strings: per state the longest token that ends there."""
         self.goto: list[dict[int, int]] = [{}]
@@ -118,56 +159,74 @@ class Vocabulary:
             state = fail[state]
         return goto[state].get(symbol, 0)
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of each distinct word, by one trie over all of them.
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each distinct word, in order, by one trie over all of them.
 
         The words are inserted in sorted order, so the nodes are made in
         depth-first order and each gets its state from its ancestors at once.
-        The current path is kept as node numbers by depth.
+        Of a node are kept the automaton's state, the last token of its
+        prefix's encoding and the token's length; the current path is a stack
+        of them by depth, and what the next word does not share is cut off.
         """
-        inner, final, step = self.inner, self.final, self.step
+        inner, final, goto, fail, step = self.inner, self.final, self.goto, self.fail, self.step
         suffixes, may_follow, pairs = self.suffixes, self.may_follow, self._pairs
-        lasts, sizes, states = [-1], [0], [0]  # by node: last token, its symbols, automaton state
-        path = [0]
-        before = b""
-        out: dict[bytes, list[int]] = {}
-
-        def settle(state: int, depth: int) -> tuple[int, int]:
-            for token, n in suffixes[state]:
-                left = lasts[path[depth - n]]
-                if n == depth:
-                    return token, n
-                ok = pairs.get((left, token))
-                if may_follow(left, token) if ok is None else ok:
-                    return token, n
-            raise AssertionError("a prefix has no last token")
-
-        for word in sorted(words):
+        states, lasts, sizes = [0], [-1], [0]
+        before, known = b"", 0
+        out: list[list[int]] = [[]] * len(words)
+        for at in sorted(range(len(words)), key=words.__getitem__):
+            word = words[at]
             end = len(word) - 1
-            shared, most = 0, min(len(before) - 1, end)
+            shared, most = 0, known if known < end else end  # the last symbol of a word is a leaf of its own
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del path[shared + 1 :]
-            for depth in range(shared, end):
-                state = step(states[path[depth]], inner[word[depth]])
-                path.append(len(lasts))
-                token, n = settle(state, depth + 1)
+            del states[shared + 1 :], lasts[shared + 1 :], sizes[shared + 1 :]
+            state, depth = states[shared], shared
+            while depth <= end:
+                symbol = inner[word[depth]] if depth < end else final[word[depth]]
+                depth += 1
+                to = goto[state].get(symbol)
+                state = step(fail[state], symbol) if to is None else to
+                for token, n in suffixes[state]:
+                    if n == depth:
+                        break
+                    pair = lasts[depth - n] << 16 | token
+                    ok = pairs.get(pair)
+                    if ok or (ok is None and may_follow(pair)):
+                        break
+                else:
+                    raise AssertionError("a prefix has no last token")
+                states.append(state)
                 lasts.append(token)
                 sizes.append(n)
-                states.append(state)
-            # the last symbol carries the end of the word: a leaf edge of its own
-            token, n = settle(step(states[path[end]], final[word[end]]), end + 1)
-            ids, at = [token], end + 1 - n
-            while at:
-                node = path[at]
-                ids.append(lasts[node])
-                at -= sizes[node]
+            ids, left = [], depth
+            while left:
+                ids.append(lasts[left])
+                left -= sizes[left]
             ids.reverse()
-            out[word] = ids
-            before = word
+            out[at] = ids
+            before, known = word, end
         return out
 
 
+class _Encodings(dict):
+    """Ids by word in two generations: what is asked for again moves over from the older one, the rest goes with it.
+
+    A word in neither gets an empty list, to be filled, and is noted as new.
+    """
+
+    def __init__(self, specials: dict[str, int], older: dict[str, list[int]]):
+        super().__init__((s, [i]) for s, i in specials.items())
+        self.older, self.new = dict(older), []
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = []
+            self.new.append(word)
+        self[word] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of whole texts for one vocabulary file."""
 
@@ -180,7 +239,7 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.vocab.specials)) + ")")
-        self.cache: dict[str, list[int]] = {s: [i] for s, i in self.vocab.specials.items()}
+        self.cache = _Encodings(self.vocab.specials, {})
 
     def split(self, text: str) -> list[str]:
         """Words of a text, special tokens among them as themselves."""
@@ -197,21 +256,21 @@ class Codec:
         return [p.decode("utf-8") for p in pieces]
 
     def encode_block(self, texts: list[str]) -> Iterator[list[int]]:
-        split = [self.split(t) for t in texts]
-        cache = self.cache
-        new = {w for words in split for w in words if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache = self.cache = {s: [i] for s, i in self.vocab.specials.items()}
-            new = {w for words in split for w in words if w not in cache}
-        own = dict(cache) if len(new) > CACHE_WORDS else cache  # a block may hold more than the cache keeps
-        spelled = {w.encode("utf-8"): w for w in new}
-        for b, ids in self.vocab.encode_words(list(spelled)).items():
-            own[spelled[b]] = ids
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += own[w]
-            yield ids
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = _Encodings(self.vocab.specials, self.cache)
+        cache, collects = self.cache, gc.isenabled()
+        of = cache.__getitem__
+        gc.disable()  # millions of lists and no cycles among them
+        try:
+            split = [list(map(of, self.split(t))) for t in texts]
+            new, cache.new = cache.new, []
+            for w, ids in zip(new, self.vocab.encode_words([w.encode("utf-8") for w in new]), strict=True):
+                cache[w] += ids  # in place: the texts above hold this very list
+        finally:
+            if collects:
+                gc.enable()
+        for encodings in split:
+            yield list(chain.from_iterable(encodings))
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text, in order."""

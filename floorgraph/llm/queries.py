@@ -19,9 +19,18 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+class _Decimals(dict):
+    def __missing__(self, number: int) -> str:
+        text = self[number] = str(number)
+        return text
+
+
+_decimal = _Decimals()  # of the vocabulary's ids at most
+
+
 def digest_tokens(ids: list[int], decoded: str) -> tuple[int, str, str]:
     hexed = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-    return len(ids), hexed(" ".join(map(str, ids))), hexed(decoded)
+    return len(ids), hexed(" ".join(map(_decimal.__getitem__, ids))), hexed(decoded)
 
 
 def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
