@@ -27,7 +27,8 @@ from floorgraph.llm.shard_index import batches_of, build_index
 VOCAB_SHARE, MIX = 65536, 0.7
 _START, _OTHER, _FIRST = 0, 1, 2  # word ids: start of a document, words out of the vocabulary, the first word
 _SHIFT = 20
-_BLOCK_BYTES, _MOST_SUMS = 8 << 20, 500_000
+#: Bytes of text whose pairs are counted or looked up together, and distinct words a task sums before it emits.
+_BLOCK_BYTES, _MOST_SUMS = 2 << 20, 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -100,8 +101,8 @@ def score(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Words(shared.value)
         for batch in batches:
-            rows = ((x, 8 * len(x[0] or "")) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for block in batches_of(rows, 8 * _BLOCK_BYTES):
+            rows = ((x, len(x[0] or "")) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for block in batches_of(rows, _BLOCK_BYTES):
                 keys, weights = [], []
                 for text, chosen in block:
                     w = _ids(text, own)
@@ -127,7 +128,7 @@ def score(
         own, (single, first) = Words(shared.value), tables.value
         for batch in batches:
             out: list[tuple] = []
-            for block in batches_of(((t, 8 * len(t or "") + 64) for t in batch.column(1).to_pylist()), 8 * _BLOCK_BYTES):
+            for block in batches_of(((t, len(t or "") + 64) for t in batch.column(1).to_pylist()), _BLOCK_BYTES):
                 words = [_ids(t, own) for t in block]
                 before = np.concatenate([w[:-1] for w in words])
                 after = np.concatenate([w[1:] for w in words])

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from floorgraph.llm.common import open_fs, shared_path
 from floorgraph.llm.mph import CountShard
 
-KEYS_PER_SHARD = 1_000_000
+KEYS_PER_SHARD = 250_000
 #: Bytes of shards that a worker process keeps.
-CACHE_BYTES = 256 << 20
+CACHE_BYTES = 128 << 20
 _cache: OrderedDict[str, CountShard] = OrderedDict()
 
 
