@@ -149,7 +149,7 @@ def _mapped(df: DataFrame, rows_of, schema: str) -> DataFrame:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for entry in rows_of(text.as_py()):
                     sums[entry, toxic] = sums.get((entry, toxic), 0) + 1
-                if len(sums) > 500_000:
+                if len(sums) > 100_000:
                     yield emit()
                     sums.clear()
         yield emit()
