@@ -11,12 +11,20 @@ parent) answers the other part's queries, following only edges within the
 radius, and what leaves the cell is one link per fingerprint to the smallest
 one reachable inside the cell, never the pairs.  Connected components of those
 links are found by minimum labels with pointer jumping.
+
+Three of 64 bits link all but identical texts only.  For near copies at a
+shingle similarity of 0.8 the same operator takes a wide sketch: 512 bits over
+the distinct five-word shingles, where two texts of Jaccard similarity J differ
+in a share acos(2J / (1 + J)) / pi of the bits, 0.151 at 0.8.  Wide sketches are
+dealt by each of 36 blocks of 14 bits, of which a pair at 0.8 shares one with a
+probability of 0.98 and a pair at 0.85 with 0.996.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -27,16 +35,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorgraph.llm.common import cut, written
+from floorgraph.llm.decontaminate import WordHashes, shingle_hashes
 from floorgraph.llm.shard_index import ShardIndex, build_index
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Widths of the blocks of a fingerprint; radius + 2 of them, so that two stay untouched.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Fingerprints in one BK-tree.
-TREE_SIZE = 4096
+#: Fingerprints in one BK-tree, and those of a cell that needs none.
+TREE_SIZE, FEW = 4096, 24
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+@dataclass(frozen=True)
+class Sketch:
+    """Shingle length, 64-bit words of a fingerprint, linked distance in bits, and the bits of a dealing block."""
+
+    n: int = SHINGLE
+    words: int = 1
+    radius: int = RADIUS
+    block: int = 0
+
+
+NARROW = Sketch()
+#: Five words and a similarity of 0.8: 0.151 of 512 bits are 77, and two standard deviations of that estimate 16 more.
+WIDE = Sketch(n=5, words=8, radius=93, block=14)
+
+
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     """Majority of the bits of the shingles' XXH64; A-Z lower-cased, words split at ASCII white space."""
     words = (text or "").encode("utf-8").lower().split()
@@ -54,41 +78,83 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int((np.uint64(1) << _BITS)[2 * ones > len(h)].sum(dtype=np.uint64))
 
 
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows (n x words of 64 bits) have each bit: rows are added three at a time into sums and carries."""
+    counts, weight = np.zeros(64 * rows.shape[1], np.int64), 1
+    while len(rows):
+        carries = []
+        while len(rows) > 24:
+            m = len(rows) // 3
+            a, b, c = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
+            both = a ^ b
+            carries.append((a & b) | (c & both))
+            rows = np.concatenate([both ^ c, rows[3 * m :]])
+        bits = np.unpackbits(np.ascontiguousarray(rows).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += weight * bits.sum(axis=0, dtype=np.int64)
+        rows, weight = np.concatenate(carries) if carries else rows[:0], 2 * weight
+    return counts
+
+
+def wide_fingerprint(text: str | None, sketch: Sketch, known: WordHashes) -> bytes:
+    """Majority of the bits of the distinct shingles' hashes, each stretched to the sketch's words; zero without words."""
+    words = (text or "").encode("utf-8").lower().split()
+    h = np.unique(shingle_hashes(words, sketch.n, known))
+    if not len(h):
+        return bytes(8 * sketch.words)
+    counts = np.zeros(64 * sketch.words, np.int64)
+    for at in range(0, len(h), 16384):  # bounded memory for very long texts
+        part = h[at : at + 16384, None] + np.arange(1, sketch.words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += bit_counts(part ^ (part >> np.uint64(31)))
+    return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, of one word or several."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over distinct 64-bit fingerprints, kept as one table: node x distance to child."""
+    """A BK-tree over distinct fingerprints: children keyed by their integer distance to the parent.
+
+    The edges are one sorted array of parent * (largest distance + 1) + distance,
+    so those of a node within a range of distances are a slice of it.
+    """
 
     def __init__(self, values: np.ndarray):
-        self.values = values
-        self.child = np.full((len(values), 65), -1, np.int32)
+        self.values, self.width = values, 64 * (1 if values.ndim == 1 else values.shape[1]) + 1
+        keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         rest = np.arange(1, len(values))
         at = np.zeros(len(rest), np.int64)
         while len(rest):
-            d = np.bitwise_count(values[rest] ^ values[at]).astype(np.int64)
-            free = self.child[at, d] < 0
-            _, first = np.unique(at[free] * 65 + d[free], return_index=True)
-            new = np.flatnonzero(free)[first]
-            self.child[at[new], d[new]] = rest[new]
-            at = self.child[at, d].astype(np.int64)
+            # all that stand at one node with one distance follow the first of them, which is the child
+            key = at * self.width + _apart(values[rest], values[at])
+            distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
+            keys.append(distinct)
+            nodes.append(rest[first])
+            at = rest[first][which]
             stay = at != rest
             rest, at = rest[stay], at[stay]
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.nodes = np.concatenate(keys)[order], np.concatenate(nodes)[order]
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places of queries, nodes) within the radius, in pieces."""
+        """(places of queries, nodes) within the radius, in pieces; only edges within the radius are followed."""
         for start in range(0, len(queries), 1024):
             q = np.arange(start, min(start + 1024, len(queries)))
             node = np.zeros(len(q), np.int64)
             while len(q):
-                d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+                d = _apart(queries[q], self.values[node])
                 hit = d <= radius
                 yield q[hit], node[hit]
-                next_q, next_node = [], []
-                for edge in range(-radius, radius + 1):
-                    e = d + edge
-                    child = self.child[node, np.clip(e, 0, 64)]
-                    go = (child >= 0) & (e >= 0) & (e <= 64)
-                    next_q.append(q[go])
-                    next_node.append(child[go].astype(np.int64))
-                q, node = np.concatenate(next_q), np.concatenate(next_node)
+                low = np.searchsorted(self.keys, node * self.width + np.maximum(d - radius, 0))
+                high = np.searchsorted(self.keys, node * self.width + np.minimum(d + radius, self.width - 1), side="right")
+                n = high - low
+                ends = np.cumsum(n)
+                place = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(low, n)
+                q, node = np.repeat(q, n), self.nodes[place]
 
 
 def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,24 +173,98 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = jumped
 
 
-def cell_links(first: np.ndarray, second: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _directly(values: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What a tree over a few values would find, without one."""
+    for start in range(0, len(queries), 1024):
+        part = queries[start : start + 1024, None] ^ values[None, :]
+        bits = np.bitwise_count(part)
+        q, node = np.nonzero((bits if bits.ndim == 2 else bits.sum(axis=2, dtype=np.int64)) <= radius)
+        yield q + start, node
+
+
+def cell_links(first: np.ndarray, second: np.ndarray | None, radius: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smallest fingerprint of its set in the cell) for all that have a smaller one.
 
-    With ``second`` None the fingerprints of ``first`` are compared with each other, else those of one with the other.
+    With ``second`` None the fingerprints of ``first`` are compared with each
+    other, else those of one with the other.  ``names`` stands for the
+    fingerprints in the result, and then small means by name.
     """
     values = first if second is None else np.concatenate([first, second])
-    order = np.argsort(values)
+    names = values if names is None else names
+    order = np.argsort(names)
     place = np.empty(len(values), np.int64)
     place[order] = np.arange(len(values))
     labels = np.arange(len(values))
     queries, offset = (first, 0) if second is None else (second, len(first))
-    for q, node in BKTree(first).search(queries, radius):
+    found = BKTree(first).search(queries, radius) if len(first) > FEW else _directly(first, queries, radius)
+    for q, node in found:
         labels = _merge(labels, place[q + offset], place[node])
-    ranked = values[order]
+    ranked = names[order]
     linked = labels != np.arange(len(values))
     return ranked[linked], ranked[labels[linked]]
 
 
+def wide_links(nodes: DataFrame, sketch: Sketch, tree_size: int = TREE_SIZE) -> DataFrame:
+    """(a, b) links between the ``node`` numbers of distinct wide fingerprints (node, fp binary)."""
+    bits = 64 * sketch.words
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(1).to_pylist()
+            table = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), bits // 8), axis=1, bitorder="little")
+            for k in range(bits // sketch.block):
+                block = table[:, k * sketch.block : (k + 1) * sketch.block].astype(np.int64) @ (1 << np.arange(sketch.block))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((k << 40) | block)], names=["node", "fp", "key"])
+
+    keyed = nodes.mapInArrow(deal, "node long, fp binary, key long")
+    # only keys of more than a tree's worth are split; there are few, and Spark broadcasts them below its own bound
+    hot = written(keyed.groupBy("key").count().where(F.col("count") > tree_size).select(F.col("key").alias("_key"), F.ceil(F.col("count") / F.lit(tree_size)).cast("int").alias("_n")), "shards")
+    dealt = (
+        keyed.join(hot, F.col("key") == F.col("_key"), "left")
+        .withColumn("_parts", F.coalesce("_n", F.lit(1)))
+        .withColumn("_own", F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("_parts")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .select("node", "fp", "key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own")
+        .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cell(fps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if rows[0, 2] == rows[0, 3]:
+                if len(rows) == 2:  # most cells
+                    near = int(_apart(fps[:1], fps[1:])[0] <= sketch.radius)
+                    a, b = sorted(rows[:, 0].tolist())
+                    return np.array([b] * near, np.int64), np.array([a] * near, np.int64)
+                return cell_links(fps, None, sketch.radius, rows[:, 0])
+            one = rows[:, 4] == rows[0, 2]
+            if one.all() or not one.any():
+                return rows[:0, 0], rows[:0, 0]
+            return cell_links(fps[one], fps[~one], sketch.radius, np.concatenate([rows[one, 0], rows[~one, 0]]))
+
+        def emit(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+
+        rest_fp, rest = np.empty((0, sketch.words), np.uint64), np.empty((0, 5), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, sketch.words)
+            rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3, 4, 5)])
+            fps, rows = np.concatenate([rest_fp, fps]), np.concatenate([rest, rows])
+            edges = np.flatnonzero((np.diff(rows[:, 1:4], axis=0) != 0).any(axis=1)) + 1
+            bounds = [0, *edges.tolist()]
+            found = [cell(fps[i:j], rows[i:j]) for i, j in zip(bounds, bounds[1:], strict=False) if j - i > 1]
+            rest_fp, rest = fps[bounds[-1] :], rows[bounds[-1] :]
+            if found:
+                yield emit(found)
+        if len(rest) > 1:
+            yield emit([cell(rest_fp, rest)])
+
+    # columns: node, fp, key, x, y, _own
+    return dealt.mapInArrow(search, "a long, b long").distinct()
+
+
 def _block_keys(fp, widths) -> list:
     """Expressions of the shard keys: the table's number above the bits of its two blocks."""
     shifts = [sum(widths[:k]) for k in range(len(widths))]
@@ -203,45 +343,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, the fingerprint as a signed long."""
+def _prints(texts: pa.Array, sketch: Sketch, known: WordHashes) -> pa.Array:
+    if sketch.words == 1:
+        return pa.array(np.fromiter((fingerprint(t.as_py(), sketch.n) for t in texts), np.uint64, len(texts)).view(np.int64))
+    return pa.array([wide_fingerprint(t.as_py(), sketch, known) for t in texts], pa.binary())
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NARROW) -> DataFrame:
+    """(doc_id, fp) of every row: the fingerprint as a signed long, or as bytes if it is wide."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType())])
+    schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType() if sketch.words == 1 else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _prints(batch.column(1), sketch, known)], names=["doc_id", "fp"])
 
     return narrow.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NARROW, tree_size: int = TREE_SIZE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     ``component_id`` is the smallest id among the documents whose fingerprints
-    are reachable by steps of at most ``radius`` differing bits.  Null and
+    are reachable by steps of at most the sketch's ``radius`` differing bits.  Null and
     wordless texts have fingerprint zero and are linked like any other; repeated
     rows each get a row; null ids count as no id (a component of null ids only
     has a null ``component_id``).  An empty table gives no rows.  Other columns
     are ignored.
     """
-    marked, member = _members(docs, id_col, text_col, n, radius, tree_size)
-    return marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked, member = _members(docs, id_col, text_col, sketch, tree_size)
+    return marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16 * sketch.words, "0").alias("fingerprint"), "component_id")
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, n: int, radius: int, tree_size: int) -> tuple[DataFrame, DataFrame]:
+def _members(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch, tree_size: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (_fp, _label, component_id) of every distinct fingerprint."""
-    marked = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
+    marked = written(fingerprints(docs, id_col, text_col, sketch), "fingerprints")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"))
-    found = components(links(least.select("fp"), radius, tree_size))
-    named = least.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "_least", F.coalesce("label", "fp").alias("_label"))
+    if sketch.words == 1:
+        least = least.withColumn("_node", F.col("fp"))
+        found = components(links(least.select("fp"), sketch.radius, tree_size))
+    else:
+        least = written(least.withColumn("_node", F.monotonically_increasing_id()), "nodes")
+        found = components(wide_links(least.select(F.col("_node").alias("node"), "fp"), sketch, tree_size))
+    named = least.join(found, F.col("_node") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "_least", F.coalesce("label", "_node").alias("_label"))
     named = written(named, "labels")
     smallest = named.groupBy(F.col("_label").alias("_group")).agg(F.min("_least").alias("component_id"))
     return marked, named.join(smallest, F.col("_label") == F.col("_group")).select("_fp", "_label", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = WIDE, tree_size: int = TREE_SIZE) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest id; columns as they were.
 
     Rows that share a kept id are copies of one document, of which one stays.
@@ -251,7 +402,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     the rows then probe.  Only rows with a repeated id, or with none, are
     gathered by their key.
     """
-    marked, member = _members(docs, id_col, text_col, n, radius, tree_size)
+    marked, member = _members(docs, id_col, text_col, sketch, tree_size)
     grouped = written(marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "_label", "component_id"), "groups")
     ids = grouped.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))
     verdict = ids.where("not kept or n > 1").select(*_id_hashes(F.col("doc_id")), F.when(F.col("kept"), 2).otherwise(1).alias("verdict"))
@@ -266,7 +417,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         columns = [f"c{k}" for k in range(len(docs.columns))]
         plain = nameless.toDF(*columns)
         text = columns[docs.columns.index(text_col)]
-        labelled = _with_fingerprint(plain, text, n).join(lone, F.col("_own") == F.col("fp"))
+        labelled = _with_fingerprint(plain, text, sketch).join(lone, F.col("_own") == F.col("fp"))
         out = out.unionAll(labelled.dropDuplicates(["_label"]).select(*columns).toDF(*docs.columns))
     return out
 
@@ -291,12 +442,13 @@ def _by_verdict(docs: DataFrame, id_col: str, index: ShardIndex, wanted: int) ->
     return hashed.mapInArrow(run, schema)
 
 
-def _with_fingerprint(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+def _with_fingerprint(docs: DataFrame, text_col: str, sketch: Sketch) -> DataFrame:
     place = docs.columns.index(text_col)
+    kind = T.LongType() if sketch.words == 1 else T.BinaryType()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(place)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "_own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _prints(batch.column(place), sketch, known)], names=[*batch.schema.names, "_own"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_own", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_own", kind)]))

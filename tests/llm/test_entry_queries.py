@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from floorgraph.llm import queries, toxicity
+from floorgraph.llm import decontaminate, queries, simhash, toxicity
 from tests.llm.test_decontaminate import brute as contained
 from tests.llm.test_lines import brute as line_brute
 from tests.llm.test_simhash import plain_fingerprint, plain_groups
@@ -98,8 +99,18 @@ def test_pipeline_stage_by_stage_against_brute_force(spark, sf_dir):
     pairs = sorted(want.items())
 
     groups = stage["simhash_near_dedup"](spark, lines, sf_dir)
-    label = plain_groups([plain_fingerprint(t) for _, t in pairs])
-    first = {min(pairs[j][0] for j in range(len(pairs)) if label[j] == g) for g in set(label)}
+    known = decontaminate.WordHashes()
+    bits = np.array([np.unpackbits(np.frombuffer(simhash.wide_fingerprint(t, simhash.WIDE, known), np.uint8), bitorder="little") for _, t in pairs])
+    blocks = [np.array([[hash(row[k : k + 14].tobytes())] for row in bits])[:, 0] for k in range(0, 504, 14)]
+    near = (bits[:, None, :] != bits[None, :, :]).sum(axis=2) <= simhash.WIDE.radius
+    near &= np.logical_or.reduce([b[:, None] == b[None, :] for b in blocks])
+    label = np.arange(len(pairs))
+    while True:
+        new = np.where(near, label[None, :], len(pairs)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    first = {pairs[k][0] for k in set(label.tolist())}
     assert groups.columns == docs.columns and {r.doc_id for r in groups.collect()} == first
     pairs = [p for p in pairs if p[0] in first]
 

@@ -79,7 +79,7 @@ def test_keep_one(make_docs, odd_pairs):
     groups = [[pairs[j] for j in range(len(pairs)) if label[j] == g] for g in set(label)]
     want = {min(i for i, _ in g if i is not None) for g in groups if any(i is not None for i, _ in g)}
     lone = sum(all(i is None for i, _ in g) for g in groups)
-    out = simhash.keep_one(docs)
+    out = simhash.keep_one(docs, sketch=simhash.NARROW)
     assert out.columns == docs.columns
     rows = [r.doc_id for r in out.collect()]
     assert lone >= 2 and sorted(i for i in rows if i is not None) == sorted(want) and rows.count(None) == lone
@@ -89,3 +89,57 @@ def test_keep_one_of_one_big_group(make_docs):
     rows = simhash.keep_one(make_docs([(i, "the very same words again and again") for i in range(5, 400)])).collect()
     assert [r.doc_id for r in rows] == [5]
     assert simhash.keep_one(make_docs([])).count() == 0
+
+
+def jaccard(a, b, n=5):
+    s, t = ({" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.split(), b.split()))
+    return len(s & t) / len(s | t)
+
+
+def test_bits_are_counted():
+    rows = np.random.default_rng(0).integers(0, 2**64, (1000, 3), dtype=np.uint64)
+    want = [int((rows[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).sum()) for k in range(192)]
+    for n in (0, 1, 24, 25, 1000):
+        assert simhash.bit_counts(rows[:n]).sum() == np.bitwise_count(rows[:n]).sum()
+    assert simhash.bit_counts(rows).tolist() == want
+
+
+def test_wide_links_are_those_of_all_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 2**64, (20, 8), dtype=np.uint64)
+    values = []
+    for k in range(300):
+        bits = np.unpackbits(centres[k % 20].view(np.uint8), bitorder="little")
+        flip = rng.random(512) < rng.choice((0.02, 0.1, 0.3))
+        values.append(np.packbits(bits ^ flip, bitorder="little").tobytes())
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "node long, fp binary")
+    table = np.array([np.unpackbits(np.frombuffer(v, np.uint8), bitorder="little") for v in values])
+    near = lambda i, j: (table[i] != table[j]).sum() <= 93 and any((table[i, k : k + 14] == table[j, k : k + 14]).all() for k in range(0, 504, 14))
+    label = list(range(300))
+    while True:
+        new = [min(label[j] for j in range(300) if i == j or near(i, j)) for i in range(300)]
+        if new == label:
+            break
+        label = new
+    for size in (4096, 5):
+        got = {r.node: r.label for r in simhash.components(simhash.wide_links(df, simhash.WIDE, size)).collect()}
+        assert [got.get(i, i) for i in range(300)] == label
+
+
+def test_near_copies_at_four_fifths_go_and_others_stay(make_docs):
+    rng = random.Random(12)
+    pool = [f"w{k}" for k in range(4000)]
+    docs, near, far = [], [], []
+    for k in range(60):
+        words = [rng.choice(pool) for _ in range(rng.randrange(60, 900))]
+        docs.append((10 * k, " ".join(words)))
+        for c in range(1, 4):
+            edited = list(words)
+            for _ in range(max(1, int(len(words) * rng.choice((0.005, 0.015, 0.15))))):
+                edited[rng.randrange(len(words))] = "edit" + str(rng.random())
+            docs.append((10 * k + c, " ".join(edited)))
+            j = jaccard(docs[-1][1], " ".join(words))
+            (near if j >= 0.82 else far if j < 0.6 else []).append(10 * k + c)
+    kept = {r.doc_id for r in simhash.keep_one(make_docs(docs)).collect()}
+    assert {10 * k for k in range(60)} <= kept and set(far) <= kept
+    assert len(near) > 60 and len(set(near) & kept) <= 0.03 * len(near)
