@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' word and line contracts name it.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
+TEXT_ROWS = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,6 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, and from now on in its session Arrow batches of at most ``TEXT_ROWS`` rows: rows hold whole texts.
+
+    A batch is held by the task's JVM and by its Python worker, so its size bounds both.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, for tasks that read or write binary files."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

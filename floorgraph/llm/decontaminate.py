@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from floorgraph.llm.common import text_batches
+
 SHINGLE, THRESHOLD = 5, 0.8
 #: Item text that one pass over the documents takes along.
 BLOCK_BYTES = 16 << 20
@@ -46,7 +48,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered for as many words as ``most``."""
 
-    most = 500_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -159,7 +161,7 @@ def contained_items(
     of equal text and different ids each get theirs.  Empty tables give no
     rows.  Other columns are ignored.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = benchmark.schema[item_id].dataType
     schema = T.StructType([
         T.StructField("doc_id", narrow.schema["doc_id"].dataType), T.StructField("item_id", kind), T.StructField("matched", T.LongType()),
@@ -187,7 +189,7 @@ def contained_items(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that contain an item, as :func:`contained_items` has it; columns as they were."""
-    place, schema = docs.columns.index(text_col), docs.schema
+    place, schema = text_batches(docs).columns.index(text_col), docs.schema
 
     def cleaner(index: ItemIndex):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorgraph.llm.common import ASCII_SPACE, written
+from floorgraph.llm.common import ASCII_SPACE, text_batches, written
 from floorgraph.llm.shard_index import KEYS_PER_SHARD, ShardIndex, batches_of, build_index
 
 _SPACE = ASCII_SPACE.encode()
 #: Bytes of text whose lines are probed together, and distinct lines a task sums before it emits.
-_BLOCK_BYTES, _MOST_SUMS = 8 << 20, 500_000
+_BLOCK_BYTES, _MOST_SUMS = 8 << 20, 200_000
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -65,7 +65,7 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                     sums.clear()
         yield emit()
 
-    found = docs.select(text_col).mapInArrow(run, "key long, mark long, n long")
+    found = text_batches(docs).select(text_col).mapInArrow(run, "key long, mark long, n long")
     return found.groupBy("key", "mark").agg(F.sum("n").alias("n"))
 
 
@@ -94,6 +94,7 @@ def dedup_lines(
     each.  An empty table gives no rows.  Other columns are ignored, or with
     ``keep`` returned unchanged.  ``index`` probes the lines of another corpus.
     """
+    text_batches(docs)
     index = index or line_index(docs, text_col, min_docs, min_chars)
 
     def cleaned(texts: list[str | None]) -> Iterator[tuple[int, int, str]]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorgraph.llm.common import written
+from floorgraph.llm.common import text_batches, written
 from floorgraph.llm.shard_index import batches_of, build_index
 
 VOCAB_SHARE, MIX = 65536, 0.7
@@ -90,7 +90,7 @@ def score(
     table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    marked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     counted = written(word_counts(marked, "text"), "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = counted.where(F.col("n") * F.lit(vocab_share) >= F.lit(total)).select("word")  # at most vocab_share words

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorgraph.llm.common import cut, written
+from floorgraph.llm.common import cut, text_batches, written
 from floorgraph.llm.decontaminate import WordHashes, shingle_hashes
 from floorgraph.llm.shard_index import ShardIndex, build_index
 
@@ -43,6 +43,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints in one BK-tree, and those of a cell that needs none.
 TREE_SIZE, FEW = 4096, 24
+#: Pairs of a query and a node that are compared at once.
+PAIRS = 1 << 18
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -142,8 +144,9 @@ class BKTree:
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places of queries, nodes) within the radius, in pieces; only edges within the radius are followed."""
-        for start in range(0, len(queries), 1024):
-            q = np.arange(start, min(start + 1024, len(queries)))
+        step = max(16, PAIRS // max(1, len(self.values)))  # if nothing is pruned, all pairs of a piece are compared
+        for start in range(0, len(queries), step):
+            q = np.arange(start, min(start + step, len(queries)))
             node = np.zeros(len(q), np.int64)
             while len(q):
                 d = _apart(queries[q], self.values[node])
@@ -351,7 +354,7 @@ def _prints(texts: pa.Array, sketch: Sketch, known: WordHashes) -> pa.Array:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NARROW) -> DataFrame:
     """(doc_id, fp) of every row: the fingerprint as a signed long, or as bytes if it is wide."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType() if sketch.words == 1 else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from floorgraph.llm.common import text_batches
+
 # Letters of other alphabets that look like Latin ones, and what stands for letters.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h",
@@ -182,7 +184,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon, exceptions and curve from the labelled rows (doc_id, toxic) among ``docs`` (doc_id, text)."""
-    rows = training_rows(docs, labels, sample_rows)
+    rows = training_rows(text_batches(docs), labels, sample_rows)
     by_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_tox, n_non = by_label.get(1, 0), by_label.get(0, 0)
     base = math.log((n_tox + 0.5) / (n_non + 1))
@@ -271,7 +273,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     empty texts have no hits and the curve's base score; repeated rows each get
     a row; an empty table gives no rows; other columns are ignored.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], *T.StructType.fromDDL("score double, weighted_hits double, matched long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +294,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; columns as they were."""
-    place, schema = docs.columns.index(text_col), docs.schema
+    place, schema = text_batches(docs).columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorgraph.llm.common import open_fs, shared_path, utf8_bytes, written
+from floorgraph.llm.common import open_fs, shared_path, text_batches, utf8_bytes, written
 
 MIN_DEDUP_BYTES, BLOCK_LINES, FILE_BYTES = 100, 3000, 1 << 30
 #: Bytes of an archive whose records one task reads.
@@ -291,7 +291,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Other columns are ignored.
     """
     spark = pages.sparkSession
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    own = text_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     captures = write_archives(own, shared_path(spark, "warc"), min_bytes)
     index = build_capture_index(captures, shared_path(spark, "cdx"))
     records = written(read_records(look_up(captures.select("key"), index)), "records")
