@@ -71,18 +71,27 @@ def suppress_overlaps(boxes: DataFrame, by: str, threshold: float = 0.35) -> Dat
 
 
 def homographies(pairs: DataFrame, by: str) -> DataFrame:
-    """3x3 matrix, row by row, of each group's first four point pairs (ord, x, y, u, v); null where they are degenerate."""
+    """3x3 matrix, row by row, of each group's first four point pairs (ord, x, y, u, v); null where they are degenerate.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("ord").head(4)
-        rows, right = [], []
-        for x, y, u, v in p[["x", "y", "u", "v"]].to_numpy(float):
-            rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-            right += [u, v]
-        matrix = None
-        if len(p) == 4 and np.linalg.matrix_rank(np.array(rows)) == 8:
-            matrix = [*np.linalg.solve(np.array(rows), np.array(right)).tolist(), 1.0]
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "matrix": [matrix]})
-
-    kind = pairs.schema[by].dataType.simpleString()
-    return pairs.groupBy(by).applyInPandas(run, f"{by} {kind}, matrix array<double>")
+    The groups' systems are solved a batch at a time.
+    """
+
+    @F.pandas_udf("array<double>")
+    def solve(corners: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(corners), index=corners.index, dtype=object)
+        whole = [i for i, c in enumerate(corners) if len(c) == 4]
+        if whole:
+            p = np.array([[[q["x"], q["y"], q["u"], q["v"]] for q in corners.iloc[i]] for i in whole], float)
+            x, y, u, v = (p[:, :, k] for k in range(4))
+            one, zero = np.ones_like(x), np.zeros_like(x)
+            rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 2), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 2)], axis=1)
+            sound = np.linalg.matrix_rank(rows) == 8
+            if sound.any():
+                found = np.linalg.solve(rows[sound], np.concatenate([u, v], axis=1)[sound][:, :, None])[:, :, 0]
+                for i, m in zip(np.array(whole)[sound], found, strict=True):
+                    out.iloc[i] = [*m.tolist(), 1.0]
+        return out
+
+    point = F.struct("ord", *[_C(c).cast("double").alias(c) for c in ("x", "y", "u", "v")])
+    four = F.slice(F.array_sort(F.collect_list(point)), 1, 4)  # a group's corners
+    return pairs.groupBy(by).agg(four.alias("_c")).select(by, solve("_c").alias("matrix"))

@@ -118,10 +118,8 @@ select x.a, x.b as first_part, y.b as second_part, round(x.d + y.d, 2) as distan
 def range_topk_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The six nearest parts by price of every part, and the pairs among them with a confidence."""
     part = read_table(spark, d, "part").select("p_partkey", "p_type", "p_retailprice")
-    left = part.select(_C("p_partkey").alias("a"), _C("p_retailprice").alias("pa"))
-    right = part.select(_C("p_partkey").alias("b"), _C("p_retailprice").alias("pb"), _C("p_type").alias("t"))
-    near = sp.within_range(left, right, "pa", "pb", 5.0).where("a <> b").withColumn("d", F.abs(_C("pa") - _C("pb")))
-    top = lk.top_k(near, ["a"], [F.round("d", 6), _C("b")], 6, "r").select("a", "b", "t", "d", "r")
+    near = sp.nearest_in_range(part, "p_partkey", "p_retailprice", 5.0, 6).select(_C("p_partkey").alias("a"), _C("other").alias("b"), _C("distance").alias("d"), _C("rank").alias("r"))
+    top = near.join(part.select(_C("p_partkey").alias("b"), _C("p_type").alias("t")), "b").select("a", "b", "t", "d", "r")
     two = top.select("a", *[_C(c).alias(f"{c}2") for c in ("b", "t", "d", "r")])
     pairs = top.join(two, "a").where("r < r2")
     total = _C("d") + _C("d2")
