@@ -16,12 +16,21 @@ Three of 64 bits link all but identical texts only.  For near copies at a
 shingle similarity of 0.8 the same operator takes a wide sketch: 512 bits over
 the distinct five-word shingles, where two texts of Jaccard similarity J differ
 in a share acos(2J / (1 + J)) / pi of the bits, 0.151 at 0.8.  Wide sketches are
-dealt by each of 36 blocks of 14 bits, of which a pair at 0.8 shares one with a
-probability of 0.98 and a pair at 0.85 with 0.996.
+dealt by blocks; 36 blocks of 14 bits have one in common with a probability of
+0.98 at 0.8, 42 blocks of 12 bits with 0.998.
+
+``NEAR`` takes such a sketch for candidates only.  Texts of at most
+``FEW_SHINGLES`` shingles, whose bits say little, are dealt by their smallest
+shingle hashes as well, so many that two texts at 0.8 share one.  The distinct
+shingles of every candidate go into a store in the shared folder, and a second
+pass over the cells of the candidates compares them: a pair is linked if its
+shingle similarity is 0.8 or more.  Pairs that earlier links already join need
+no comparison.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +45,7 @@ from pyspark.sql import types as T
 
 from floorgraph.llm.common import cut, text_batches, written
 from floorgraph.llm.decontaminate import WordHashes, shingle_hashes
+from floorgraph.llm.set_store import SetStore, build_store
 from floorgraph.llm.shard_index import ShardIndex, build_index
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -45,22 +55,32 @@ BLOCKS = (13, 13, 13, 13, 12)
 TREE_SIZE, FEW = 4096, 24
 #: Pairs of a query and a node that are compared at once.
 PAIRS = 1 << 18
+#: Shingles of a text that is also dealt by its smallest hashes, and the bits in which such candidates may differ.
+FEW_SHINGLES, FEW_RADIUS = 40, 160
 _BITS = np.arange(64, dtype=np.uint64)
+#: Keys from here on are hashes of shingles, those below number a block and have its bits.
+_BY_SHINGLE = 1 << 62
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Shingle length, 64-bit words of a fingerprint, linked distance in bits, and the bits of a dealing block."""
+    """Shingle length, 64-bit words of a fingerprint, linked distance in bits, and the bits of a dealing block.
+
+    With ``alike`` the distance finds candidates, of which those of that shingle similarity or more are linked.
+    """
 
     n: int = SHINGLE
     words: int = 1
     radius: int = RADIUS
     block: int = 0
+    alike: float = 0.0
 
 
 NARROW = Sketch()
 #: Five words and a similarity of 0.8: 0.151 of 512 bits are 77, and two standard deviations of that estimate 16 more.
 WIDE = Sketch(n=5, words=8, radius=93, block=14)
+#: The same as a search for candidates: four standard deviations, and shorter blocks.
+NEAR = Sketch(n=5, words=8, radius=110, block=12, alike=0.8)
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -99,8 +119,20 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
 
 def wide_fingerprint(text: str | None, sketch: Sketch, known: WordHashes) -> bytes:
     """Majority of the bits of the distinct shingles' hashes, each stretched to the sketch's words; zero without words."""
-    words = (text or "").encode("utf-8").lower().split()
-    h = np.unique(shingle_hashes(words, sketch.n, known))
+    return _wide(distinct_shingles(text, sketch.n, known), sketch)
+
+
+def distinct_shingles(text: str | None, n: int, known: WordHashes) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(shingle_hashes((text or "").encode("utf-8").lower().split(), n, known))
+
+
+def smallest_shingles(h: np.ndarray, alike: float) -> bytes:
+    """Of a text of few shingles, the smallest hashes, of which two texts of that similarity share one; else none."""
+    return h[: len(h) - math.ceil(alike * len(h) - 1e-9) + 1].tobytes() if len(h) <= FEW_SHINGLES else b""
+
+
+def _wide(h: np.ndarray, sketch: Sketch) -> bytes:
     if not len(h):
         return bytes(8 * sketch.words)
     counts = np.zeros(64 * sketch.words, np.int64)
@@ -207,8 +239,51 @@ def cell_links(first: np.ndarray, second: np.ndarray | None, radius: int, names:
     return ranked[linked], ranked[labels[linked]]
 
 
-def wide_links(nodes: DataFrame, sketch: Sketch, tree_size: int = TREE_SIZE) -> DataFrame:
-    """(a, b) links between the ``node`` numbers of distinct wide fingerprints (node, fp binary)."""
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of ``least`` or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b) - 1e-9 or not len(a):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def verified_links(first: np.ndarray, second: np.ndarray | None, radius: int, names: np.ndarray, store: SetStore, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """``cell_links`` by name of the pairs within the radius whose sets in the store are alike."""
+    names, offset = np.asarray(names), 0 if second is None else len(first)
+    order = np.argsort(names)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    ranked, labels = names[order], np.arange(len(names))
+    queries = first if second is None else second
+    for q, node in BKTree(first).search(queries, radius) if len(first) > FEW else _directly(first, queries, radius):
+        a, b = place[q + offset], place[node]
+        if second is None:
+            a, b = a[a > b], b[a > b]
+        while True:
+            apart = labels[a] != labels[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                break
+            # a pair of each text and round: once a group is joined, its other pairs need no comparison
+            pick = np.unique(a, return_index=True)[1]
+            good = np.zeros(len(pick), bool)
+            for at in range(0, len(pick), 256):  # bounded sets at a time
+                some = pick[at : at + 256]
+                sets = store.get(ranked[np.unique(np.concatenate([a[some], b[some]]))])
+                good[at : at + 256] = [alike(sets[x], sets[y], least) for x, y in zip(ranked[a[some]].tolist(), ranked[b[some]].tolist(), strict=True)]
+            labels = _merge(labels, a[pick][good], b[pick][good])
+            a, b = np.delete(a, pick), np.delete(b, pick)
+    linked = labels != np.arange(len(names))
+    return ranked[linked], ranked[labels[linked]]
+
+
+def wide_links(nodes: DataFrame, sketch: Sketch, tree_size: int = TREE_SIZE, store: SetStore | None = None) -> DataFrame:
+    """(a, b) links between the ``node`` numbers of distinct wide fingerprints (node, fp binary[, few binary]).
+
+    ``few`` holds the smallest hashes of texts of few shingles.  With a store only pairs alike are linked.
+    """
     bits = 64 * sketch.words
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +293,11 @@ def wide_links(nodes: DataFrame, sketch: Sketch, tree_size: int = TREE_SIZE) ->
             for k in range(bits // sketch.block):
                 block = table[:, k * sketch.block : (k + 1) * sketch.block].astype(np.int64) @ (1 << np.arange(sketch.block))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((k << 40) | block)], names=["node", "fp", "key"])
+            if batch.num_columns > 2:
+                few = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(few)), [len(x) for x in few]))
+                key = (np.concatenate([np.empty(0, np.uint64), *few]) >> np.uint64(2)).astype(np.int64) | _BY_SHINGLE
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(key)], names=["node", "fp", "key"])
 
     keyed = nodes.mapInArrow(deal, "node long, fp binary, key long")
     # only keys of more than a tree's worth are split; there are few, and Spark broadcasts them below its own bound
@@ -232,17 +312,23 @@ def wide_links(nodes: DataFrame, sketch: Sketch, tree_size: int = TREE_SIZE) ->
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(first: np.ndarray, second: np.ndarray | None, radius: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return cell_links(first, second, radius, names) if store is None else verified_links(first, second, radius, names, store, sketch.alike)
+
         def cell(fps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            radius = FEW_RADIUS if rows[0, 1] >= _BY_SHINGLE else sketch.radius
             if rows[0, 2] == rows[0, 3]:
                 if len(rows) == 2:  # most cells
-                    near = int(_apart(fps[:1], fps[1:])[0] <= sketch.radius)
+                    near = int(_apart(fps[:1], fps[1:])[0] <= radius)
+                    if near and store is not None:
+                        return joined(fps, None, radius, rows[:, 0])
                     a, b = sorted(rows[:, 0].tolist())
                     return np.array([b] * near, np.int64), np.array([a] * near, np.int64)
-                return cell_links(fps, None, sketch.radius, rows[:, 0])
+                return joined(fps, None, radius, rows[:, 0])
             one = rows[:, 4] == rows[0, 2]
             if one.all() or not one.any():
                 return rows[:0, 0], rows[:0, 0]
-            return cell_links(fps[one], fps[~one], sketch.radius, np.concatenate([rows[one, 0], rows[~one, 0]]))
+            return joined(fps[one], fps[~one], radius, np.concatenate([rows[one, 0], rows[~one, 0]]))
 
         def emit(found: list) -> pa.RecordBatch:
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -353,12 +439,28 @@ def _prints(texts: pa.Array, sketch: Sketch, known: WordHashes) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NARROW) -> DataFrame:
-    """(doc_id, fp) of every row: the fingerprint as a signed long, or as bytes if it is wide."""
-    narrow = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, fp) of every row: the fingerprint as a signed long, or as bytes if it is wide.
+
+    A sketch with ``alike`` adds (text_hash, few): the text's XXH64, and the smallest hashes of a text of few shingles.
+    """
+    narrow = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType() if sketch.words == 1 else T.BinaryType())])
+    if sketch.alike:
+        schema = schema.add("text_hash", T.LongType()).add("few", T.BinaryType())
+    else:
+        narrow = narrow.drop("text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        if sketch.alike:
+            for batch in batches:
+                fps, few = [], []
+                for text in batch.column(1):
+                    h = distinct_shingles(text.as_py(), sketch.n, known)
+                    fps.append(_wide(h, sketch))
+                    few.append(smallest_shingles(h, sketch.alike) if len(h) else b"")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), batch.column(2), pa.array(few, pa.binary())], names=schema.names)
+            return
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _prints(batch.column(1), sketch, known)], names=["doc_id", "fp"])
 
@@ -382,20 +484,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _members(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch, tree_size: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (_fp, _label, component_id) of every distinct fingerprint."""
     marked = written(fingerprints(docs, id_col, text_col, sketch), "fingerprints")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"))
+    extra = [F.min(F.struct("text_hash", "few")).alias("_text")] if sketch.alike else []
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"), *extra)
     if sketch.words == 1:
         least = least.withColumn("_node", F.col("fp"))
         found = components(links(least.select("fp"), sketch.radius, tree_size))
     else:
         least = written(least.withColumn("_node", F.monotonically_increasing_id()), "nodes")
-        found = components(wide_links(least.select(F.col("_node").alias("node"), "fp"), sketch, tree_size))
+        nodes = least.select(F.col("_node").alias("node"), "fp", *([F.col("_text.few").alias("few")] if sketch.alike else []))
+        found = wide_links(nodes, sketch, tree_size)
+        if sketch.alike:
+            found = _alike_links(docs, text_col, least, nodes, written(found, "candidates"), sketch, tree_size)
+        found = components(found)
     named = least.join(found, F.col("_node") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "_least", F.coalesce("label", "_node").alias("_label"))
     named = written(named, "labels")
     smallest = named.groupBy(F.col("_label").alias("_group")).agg(F.min("_least").alias("component_id"))
     return marked, named.join(smallest, F.col("_label") == F.col("_group")).select("_fp", "_label", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = WIDE, tree_size: int = TREE_SIZE) -> DataFrame:
+def _alike_links(docs: DataFrame, text_col: str, least: DataFrame, nodes: DataFrame, found: DataFrame, sketch: Sketch, tree_size: int) -> DataFrame:
+    """Links of the pairs among the candidates that ``found`` names whose shingle sets are alike.
+
+    A text stands for all that have its 512 bits.  Texts are not exchanged: they
+    probe an index of the candidates' text hashes, and those found give their sets.
+    """
+    chosen = written(found.select(F.col("a").alias("_a")).unionAll(found.select("b")).distinct(), "candidates")
+    texts = least.join(chosen, F.col("_node") == F.col("_a"), "left_semi").select(F.col("_text.text_hash").alias("key"), F.col("_text.text_hash").alias("mark"), (F.col("_node") + 1).alias("place"))
+    index = build_index(written(texts, "texts"), ["place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = WordHashes(), set()
+        for batch in batches:
+            key = np.ascontiguousarray(batch.column(1).to_numpy()).view(np.uint64)
+            place = index.counts(key, key)[:, 0] - 1
+            rows = [k for k in np.flatnonzero(place >= 0).tolist() if place[k] not in seen and not seen.add(place[k])]
+            for at in range(0, len(rows), 64):
+                some = rows[at : at + 64]
+                sets = [distinct_shingles(batch.column(0)[k].as_py(), sketch.n, known).tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(place[some]), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    store = build_store(written(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(run, "node long, hashes binary"), "shingles"))
+    return wide_links(nodes.join(chosen, F.col("node") == F.col("_a"), "left_semi"), sketch, tree_size, store)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NEAR, tree_size: int = TREE_SIZE) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest id; columns as they were.
 
     Rows that share a kept id are copies of one document, of which one stays.

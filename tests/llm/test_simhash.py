@@ -143,3 +143,34 @@ def test_near_copies_at_four_fifths_go_and_others_stay(make_docs):
     kept = {r.doc_id for r in simhash.keep_one(make_docs(docs)).collect()}
     assert {10 * k for k in range(60)} <= kept and set(far) <= kept
     assert len(near) > 60 and len(set(near) & kept) <= 0.03 * len(near)
+
+
+def test_keep_one_is_single_linkage_by_exact_similarity(make_docs):
+    rng = random.Random(21)
+    pool = [f"w{k}" for k in range(4000)]
+    docs = []
+    for k in range(150):
+        words = [rng.choice(pool) for _ in range(rng.choice((6, 9, 14, 20, 35, 80, 300)))]
+        docs.append(" ".join(words))
+        want = rng.uniform(0.55, 0.9)
+        edited, place = list(words), list(range(len(words)))
+        rng.shuffle(place)
+        while place and jaccard(" ".join(edited), docs[-1]) > want:
+            edited[place.pop()] = "edit" + str(rng.random())
+        docs.append(" ".join(edited))
+        docs.append(" ".join(words[: max(1, int(len(words) * rng.uniform(0.6, 1)))]))
+    label, middle = list(range(len(docs))), 0
+    for k in range(0, len(docs), 3):
+        near = [[jaccard(docs[i], docs[j]) >= 0.8 for j in range(k, k + 3)] for i in range(k, k + 3)]
+        middle += sum(0.6 <= jaccard(docs[k], docs[j]) < 0.8 for j in (k + 1, k + 2))
+        for _ in range(3):
+            for i in range(3):
+                label[k + i] = min(label[k + j] for j in range(3) if near[i][j])
+    kept = {r.doc_id for r in simhash.keep_one(make_docs(list(enumerate(docs)))).collect()}
+    assert middle > 50 and kept == {k for k in range(len(docs)) if label[k] == k}
+
+
+def test_similarity_is_exact():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 9], [], list(range(100)))]
+    assert simhash.alike(sets[0], sets[1], 0.8) and not simhash.alike(sets[0], sets[2], 0.8)
+    assert not simhash.alike(sets[3], sets[0], 0.8) and not simhash.alike(sets[4], sets[1], 0.8)
