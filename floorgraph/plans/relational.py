@@ -296,6 +296,18 @@ def axis_fit(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("scale", F.round("scale", 4)).withColumn("offset", F.round("offset", 4))
 
 
+@query("""
+with g as (select l_returnflag as k, count(case when l_quantity is not null and l_extendedprice is not null then 1 end)::bigint as n, max(l_quantity) - min(l_quantity) as span, avg(l_quantity) as ms, avg(l_extendedprice) as md,
+                  regr_slope(l_extendedprice, l_quantity) as sl, regr_intercept(l_extendedprice, l_quantity) as ic from lineitem group by l_returnflag)
+select k, n, case when n = 0 then 'identity' when n >= 2 and span >= 0.25 then 'scale_translate' else 'translation' end as method,
+       round(case when n >= 2 and span >= 0.25 then abs(sl) else 1.0 end, 4) as scale,
+       round(case when not (n >= 2 and span >= 0.25) then coalesce(md - ms, 0) when sl < 0 then md - abs(sl) * ms else ic end, 4) as "offset" from g""")
+def axis_fit_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Price by quantity for each return flag, over all lines."""
+    out = ag.axis_fit(read_table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice").withColumnRenamed("l_returnflag", "k")
+    return out.withColumn("scale", F.round("scale", 4)).withColumn("offset", F.round("offset", 4))
+
+
 @query("""
 select c_custkey, round(c_acctbal - lo + 50, 4) as acctbal_centred, round(case when hi - lo + 100 < 100 then 1000 else hi - lo + 100 end, 4) as acctbal_canvas
 from customer, (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer)""")

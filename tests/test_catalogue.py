@@ -47,3 +47,8 @@ def test_kmeans_puts_every_vector_on_its_nearest_centre(spark, sf_dir):
     out = catalog.queries()["kmeans_invariants"](spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     assert out.count() == n and out.select("vec_id").distinct().count() == n
+
+
+def test_a_fit_takes_all_lines(spark, sf_dir, tables):
+    fits = catalog.queries()["axis_fit_lines"](spark, sf_dir).collect()
+    assert {r.k: r.n for r in fits} == dict(tables.execute("select l_returnflag, count(*) from lineitem group by 1").fetchall())
