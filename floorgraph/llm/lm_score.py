@@ -8,6 +8,10 @@ are counted exactly over all documents with sums before the exchange; what is
 gathered grows with the corpus and goes into the sharded count index that the
 scoring pass probes.  A document's score is the mean over its tokens of the
 target loss less the background loss: lower means closer to the target.
+
+With ``least`` the vocabulary is every word that occurs so often instead, which
+grows with the corpus: words go by a 64-bit hash, and the counts of words and
+of bigrams are in sharded indexes, so none of them is broadcast or gathered.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorgraph.llm.common import text_batches, written
-from floorgraph.llm.shard_index import batches_of, build_index
+from floorgraph.llm.decontaminate import WordHashes
+from floorgraph.llm.shard_index import ShardIndex, batches_of, build_index
 
 VOCAB_SHARE, MIX = 65536, 0.7
 _START, _OTHER, _FIRST = 0, 1, 2  # word ids: start of a document, words out of the vocabulary, the first word
@@ -78,6 +83,7 @@ def score(
     text_col: str = "text",
     vocab_share: int = VOCAB_SHARE,
     mix: float = MIX,
+    least: int | None = None,
 ) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
 
@@ -87,10 +93,13 @@ def score(
     among it, and the first term is left out where c(v) is zero.  Losses are
     mean natural-log losses.  Null or wordless texts have no tokens and null
     losses and score.  Repeated rows count each and get a row each.  An empty
-    table gives no rows.  Other columns are ignored.
+    table gives no rows.  Other columns are ignored.  With ``least`` the words
+    that occur so often in all rows are the vocabulary, whatever ``vocab_share``.
     """
     spark = docs.sparkSession
     marked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    if least is not None:
+        return _score_all_words(marked, least, mix)
     counted = written(word_counts(marked, "text"), "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = counted.where(F.col("n") * F.lit(vocab_share) >= F.lit(total)).select("word")  # at most vocab_share words
@@ -150,3 +159,109 @@ def score(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
     return marked.select("doc_id", "text").mapInArrow(losses, schema)
+
+
+#: Stand-ins for the start of a document and for words out of the vocabulary: hashes of what no word can be.
+_NO_WORD = WordHashes()
+_START_HASH, _OTHER_HASH = np.uint64(_NO_WORD[b" start"]), np.uint64(_NO_WORD[b" other"])
+
+
+def _word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = v * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _in_vocabulary(h: np.ndarray, words: ShardIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, their rows of counts, place of each word among them); other words have their class' hash and zeros."""
+    distinct, place = np.unique(h, return_inverse=True)
+    rows = words.counts(distinct, distinct)
+    return np.where(rows[:, 1] > 0, distinct, _OTHER_HASH), rows, place
+
+
+def _befores(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The word before each, where a document ends before each of ``ends``."""
+    before = np.concatenate(([_START_HASH], words[:-1])) if len(words) else words.copy()
+    before[ends[ends < len(words)]] = _START_HASH
+    return before
+
+
+def _sums(keys: np.ndarray, weights: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    distinct, place = np.unique(keys, return_inverse=True)
+    sums = [np.bincount(place, weights=w, minlength=len(distinct)).astype(np.int64) for w in weights]
+    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, sums)], names=["key", *names])
+
+
+def _score_all_words(marked: DataFrame, least: int, mix: float) -> DataFrame:
+    tallies = ["n_target", "n_all", "first_target", "first_all"]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word hashes, whether of the target, ends of documents) of blocks of texts."""
+        known = WordHashes()
+        for batch in batches:
+            rows = ((x, len(x[0] or "") + 64) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for block in batches_of(rows, _BLOCK_BYTES):
+                words = [_word_hashes(t, known) for t, _ in block]
+                n = np.array([len(w) for w in words])
+                yield np.concatenate(words), np.repeat(np.array([c for _, c in block], bool), n), np.cumsum(n)
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, chosen, ends in blocks(batches):
+            followed = np.ones(len(h), bool)
+            followed[ends[ends > 0] - 1] = False
+            yield _sums(h, [chosen, np.ones(len(h)), chosen & followed, followed], tallies)
+
+    summed = lambda df, names: df.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
+    counted = written(summed(marked.select("text", "target").mapInArrow(count_words, "key long, n_target long, n_all long, first_target long, first_all long"), tallies), "words")
+    rest = F.when(F.col("n_all") < least, 1).otherwise(0)
+    of = lambda c, weight=1: F.coalesce(F.sum(F.col(c) * weight), F.lit(0)).alias(c)
+    total = np.array(counted.agg(*[of(c) for c in tallies]).first(), np.int64)
+    other = np.array(counted.agg(*[of(c, rest) for c in tallies]).first(), np.int64)
+    vocabulary = counted.where(F.col("n_all") >= least)
+    size = vocabulary.count() + 1
+    words = build_index(vocabulary.withColumn("mark", F.col("key")), tallies)
+    started = total[:2] - total[2:]  # documents with words: their last word has no follower
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, chosen, ends in blocks(batches):
+            distinct, _, place = _in_vocabulary(h, words)
+            w = distinct[place]
+            yield _sums(_pair_hashes(_befores(w, ends), w), [chosen, np.ones(len(h))], tallies[:2])
+
+    pairs = written(summed(marked.select("text", "target").mapInArrow(count_pairs, "key long, n_target long, n_all long"), tallies[:2]), "bigrams")
+    index = build_index(pairs.withColumn("mark", F.col("key")), tallies[:2])
+    schema = T.StructType([marked.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")])
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            out: list[tuple] = []
+            for block in batches_of(((t, len(t or "") + 64) for t in batch.column(1).to_pylist()), _BLOCK_BYTES):
+                texts = [_word_hashes(t, known) for t in block]
+                n = np.array([len(x) for x in texts])
+                ends = np.cumsum(n)
+                distinct, rows, place = _in_vocabulary(np.concatenate(texts), words)
+                rows = np.where((distinct == _OTHER_HASH)[:, None], other, rows)
+                w = distinct[place]
+                v = _befores(w, ends)
+                first = np.concatenate((rows[:1, 2:], rows[place[:-1], 2:])) if len(w) else rows[:, 2:]
+                first[v == _START_HASH] = started
+                keys, at, back = np.unique(_pair_hashes(v, w), return_index=True, return_inverse=True)
+                single = (rows[place[at], :2] + 1) / (total[:2] + size)
+                p = (1 - mix) * single + mix * index.counts(keys, keys) / np.maximum(first[at], 1)
+                loss = -np.log(p)[back]
+                for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+                    if a == b:
+                        out.append((0, None, None, None))
+                    else:
+                        t, g = loss[a:b].sum(axis=0) / (b - a)
+                        out.append((b - a, float(t), float(g), float(t - g)))
+            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+
+    return marked.select("doc_id", "text").mapInArrow(losses, schema)

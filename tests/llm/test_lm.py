@@ -57,3 +57,20 @@ def test_score_prefers_the_target(make_docs):
 
 def test_empty_table(make_docs):
     assert lm_score.score(make_docs([]), F.lit(True)).count() == 0
+
+
+def test_all_words_that_occur_twice(make_docs, odd_pairs):
+    rng = random.Random(4)
+    pool = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(4000)]
+    pairs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(90)))) for i in range(200)] + [p for p in odd_pairs if p[1] is None or len(p[1]) < 50_000]
+    docs = make_docs(pairs)
+    rows = [(r.doc_id, r.text, r.source == "src1") for r in docs.collect()]
+    n = sum(len(lm_score.words_of(t)) for _, t, _ in rows)
+    want = brute(rows, n / 2)  # a share of n / 2 is a count of two
+    # a share of 40 as well, which has no say then
+    out = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(docs, F.col("source") == "src1", vocab_share=40, least=2).collect()), key=str)
+    assert len(out) == len(want)
+    for a, b in zip(out, want, strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None)
+        assert a[2] is None or (math.isclose(a[2], b[2], rel_tol=1e-9) and math.isclose(a[3], b[3], rel_tol=1e-9))
+    assert lm_score.score(make_docs([]), F.lit(True), least=2).count() == 0
