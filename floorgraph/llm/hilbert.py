@@ -142,9 +142,9 @@ def hilbert_shards(
 ) -> DataFrame:
     """Shard, slot and curve index of every document.
 
-    Dimensions: log2 of the size, a hash cell of ``lang``, a hash cell of
-    ``source`` and the id's place by hash, each of ``bits`` bits; a column that
-    the table lacks counts as null.  ``law`` "rows" cuts the order into runs
+    Dimensions: log2 of the size, a hash cell of ``lang`` and a hash cell of
+    ``source``, each of ``bits`` bits; a column that the table lacks counts as
+    null.  The id is none, so zone maps do not prune on it.  ``law`` "rows" cuts the order into runs
     whose counts differ by one at most; "bytes" cuts at equal shares of the
     summed size, so that a shard is off by at most one document.
 
