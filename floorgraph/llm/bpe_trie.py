@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from floorgraph.llm.common import text_batches
 
 #: Characters of text that are split and encoded together.
 BLOCK_CHARS = 4_000_000
@@ -316,7 +315,6 @@ def encode_decode(
     are ignored or, with ``keep``, returned unchanged.  The vocabulary's path
     must be readable on every executor.
     """
-    text_batches(docs)
     if keep:
         schema = docs.schema
         index = docs.columns.index(text_col)

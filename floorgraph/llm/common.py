@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' word and line contracts name it.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
-TEXT_ROWS = 2000
+#: Bytes of rows in one Arrow batch, which a task's JVM and its Python worker hold at once.
+BATCH_BYTES = 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context has one (a local session,
-    as in tests) is a folder made, and then it is the context's from then on.
+    Only a local session without one, as in tests, gets a folder of its own;
+    on a cluster the executors would not see it, so there its lack is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='floorgraph-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -52,15 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, and from now on in its session Arrow batches of at most ``TEXT_ROWS`` rows: rows hold whole texts.
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` from now on in this session, unless it asks for fewer.
 
-    A batch is held by the task's JVM and by its Python worker, so its size bounds both.
+    The registered queries and the pipeline's stages call it; the operators
+    leave the session's options as they are (Spark's own bound is 64 MiB).
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
-    return df
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -5,6 +5,9 @@ a key; keys that have their position alone set its bit, the others go on to
 the next level.  A key's index is the rank of its bit, so n keys map one to
 one to 0..n-1 in about 3.7 bits a key plus ranks.  Keys that were not in the
 set get an arbitrary index or none; a fingerprint array tells them apart.
+
+A shard's keys are half of a 128-bit hash.  The few that share that half with
+another are kept aside in a list with their fingerprints.
 """
 
 from __future__ import annotations
@@ -67,17 +70,24 @@ class PerfectHash:
 
 
 class CountShard:
-    """A shard of the index: perfect hash, and by its index a fingerprint and a row of counts."""
+    """A shard of the index: perfect hash, and by its index a fingerprint and a row of counts.
+
+    ``twins`` are the (keys, marks, counts) of the keys that several marks share.
+    """
 
-    def __init__(self, hash_: PerfectHash, marks: np.ndarray, counts: np.ndarray):
-        self.hash, self.marks, self.counts = hash_, marks, counts
+    def __init__(self, hash_: PerfectHash, marks: np.ndarray, counts: np.ndarray, twins: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.hash, self.marks, self.counts, self.twins = hash_, marks, counts, twins
 
     @classmethod
     def build(cls, keys: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> CountShard:
-        hash_ = PerfectHash.build(keys)
-        order = np.empty(len(keys), np.int64)
-        order[hash_.index(keys)] = np.arange(len(keys))
-        return cls(hash_, marks[order], counts[order])
+        """Shard of rows whose (key, mark) are distinct."""
+        _, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+        twin = n[place] > 1
+        alone = np.flatnonzero(~twin)
+        hash_ = PerfectHash.build(keys[alone])
+        order = np.empty(len(alone), np.int64)
+        order[hash_.index(keys[alone])] = alone
+        return cls(hash_, marks[order], counts[order], (keys[twin], marks[twin], counts[twin]))
 
     def lookup(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Counts of each key, zero for keys that the index lacks."""
@@ -87,18 +97,21 @@ class CountShard:
             known = np.flatnonzero(at >= 0)
             known = known[self.marks[at[known]] == marks[known]]
             out[known] = self.counts[at[known]]
+        for key, mark, row in zip(*self.twins, strict=True):
+            out[(keys == key) & (marks == mark)] = row
         return out
 
     def dump(self) -> bytes:
         f = io.BytesIO()
-        np.savez(f, sizes=self.hash.sizes, bits=self.hash.bits, ranks=self.hash.ranks, marks=self.marks, counts=self.counts)
+        twins = dict(zip(("twin_keys", "twin_marks", "twin_counts"), self.twins, strict=True))
+        np.savez(f, sizes=self.hash.sizes, bits=self.hash.bits, ranks=self.hash.ranks, marks=self.marks, counts=self.counts, **twins)
         return f.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> CountShard:
         z = np.load(io.BytesIO(data))
-        return cls(PerfectHash(z["sizes"], z["bits"], z["ranks"]), z["marks"], z["counts"])
+        return cls(PerfectHash(z["sizes"], z["bits"], z["ranks"]), z["marks"], z["counts"], (z["twin_keys"], z["twin_marks"], z["twin_counts"]))
 
     @property
     def nbytes(self) -> int:
-        return self.hash.bits.nbytes + self.hash.ranks.nbytes + self.marks.nbytes + self.counts.nbytes
+        return self.hash.bits.nbytes + self.hash.ranks.nbytes + self.marks.nbytes + self.counts.nbytes + sum(t.nbytes for t in self.twins)

@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorgraph.llm import ann, bpe_trie, decontaminate, hilbert, line_dedup, lm_score, simhash, toxicity, url_lists, warc
-from floorgraph.llm.common import table
+from floorgraph.llm.common import bounded_batches
+from floorgraph.llm.common import table as read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = hilbert.hilbert_shards(table(spark, sf_dir, "documents"), n_shards=40, law="rows")
     return shards.withColumn("grown_shard", F.lit(None).cast("int"))

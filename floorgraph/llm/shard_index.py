@@ -38,6 +38,15 @@ def _load(uri: str) -> CountShard:
     return shard
 
 
+def fits_a_task(rows: DataFrame, width: int, most: int | None = None) -> bool:
+    """Whether an index over the distinct keys ``rows``, a written table, with ``width`` counts fits a task's cache.
+
+    Then tasks probe it as they read.  Beyond that every block of rows would
+    read the whole index anew, and probes go to the shards or a join instead.
+    """
+    return rows.count() * (10 + 8 * width) <= (CACHE_BYTES if most is None else most)
+
+
 class ShardIndex:
     def __init__(self, files: list[str | None], width: int):
         self.files, self.width = files, width

@@ -3,34 +3,33 @@
 Documents become 64-bit fingerprints, row by row.  The *distinct* fingerprints
 are dealt into shards: the 64 bits are cut into five blocks, and fingerprints
 that differ in three bits or fewer agree in at least two whole blocks, so for
-each of the ten pairs of blocks those that agree in it form a shard.  A shard
-above ``tree_size`` is dealt further into parts, and every pair of parts is a
-cell of its own, so that no task holds more than two parts.  In a cell a
-BK-tree over one part (children keyed by their integer Hamming distance to the
-parent) answers the other part's queries, following only edges within the
-radius, and what leaves the cell is one link per fingerprint to the smallest
-one reachable inside the cell, never the pairs.  Connected components of those
-links are found by minimum labels with pointer jumping.
-
-Three of 64 bits link all but identical texts only.  For near copies at a
-shingle similarity of 0.8 the same operator takes a wide sketch: 512 bits over
-the distinct five-word shingles, where two texts of Jaccard similarity J differ
-in a share acos(2J / (1 + J)) / pi of the bits, 0.151 at 0.8.  Wide sketches are
-dealt by blocks; 36 blocks of 14 bits have one in common with a probability of
-0.98 at 0.8, 42 blocks of 12 bits with 0.998.
-
-``NEAR`` takes such a sketch for candidates only.  Texts of at most
-``FEW_SHINGLES`` shingles, whose bits say little, are dealt by their smallest
-shingle hashes as well, so many that two texts at 0.8 share one.  The distinct
-shingles of every candidate go into a store in the shared folder, and a second
-pass over the cells of the candidates compares them: a pair is linked if its
-shingle similarity is 0.8 or more.  Pairs that earlier links already join need
-no comparison.
+each of the ten pairs of blocks those that agree in it form a shard.  Each
+shard of two or more becomes a BK-tree (children keyed by their integer Hamming
+distance to the parent), and its fingerprints search it, following only edges
+within the radius.  A shard above ``tree_size`` is dealt further into parts,
+whose trees go to every other part of the shard, a cell for each pair of parts:
+a tree is copied to as many tasks as its shard has parts, and no task holds more
+than a tree and one part of queries.  The trees of all cells of an Arrow batch
+are built and searched together, level by level (:class:`BKForest`).  What leaves
+a cell is one link per fingerprint to the smallest one reachable inside it,
+never the pairs.  Connected components of those links are found by minimum
+labels with pointer jumping.
+
+Three of 64 bits link all but identical texts only.  For near copies
+(:data:`NEAR`) the same search finds candidates: texts with equal sets of
+five-word shingles are one, the others get a 128-bit fingerprint, where two
+texts of Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of the
+bits, 19 of 128 at 0.8, and are dealt into shards by bands of ``rows`` min-wise
+hashes of their shingles.  Two texts at J are in a common shard with a
+probability of 1 - (1 - J ** rows) ** bands: 0.99996 at 0.8 for 14 bands of 3,
+however many documents there are, while unrelated texts hardly ever meet.  The
+distinct shingles of every candidate go into a store in the shared folder, and
+a second search compares them: a pair is linked if its shingle similarity is
+0.8 or more.  Pairs that earlier links already join need no comparison.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,44 +42,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorgraph.llm.common import cut, text_batches, written
+from floorgraph.llm.common import cut, written
 from floorgraph.llm.decontaminate import WordHashes, shingle_hashes
 from floorgraph.llm.set_store import SetStore, build_store
-from floorgraph.llm.shard_index import ShardIndex, build_index
+from floorgraph.llm.shard_index import build_index, fits_a_task
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Widths of the blocks of a fingerprint; radius + 2 of them, so that two stay untouched.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Fingerprints in one BK-tree, and those of a cell that needs none.
-TREE_SIZE, FEW = 4096, 24
+#: Fingerprints in one BK-tree.
+TREE_SIZE = 4096
 #: Pairs of a query and a node that are compared at once.
 PAIRS = 1 << 18
-#: Shingles of a text that is also dealt by its smallest hashes, and the bits in which such candidates may differ.
-FEW_SHINGLES, FEW_RADIUS = 40, 160
 _BITS = np.arange(64, dtype=np.uint64)
-#: Keys from here on are hashes of shingles, those below number a block and have its bits.
-_BY_SHINGLE = 1 << 62
+_GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Shingle length, 64-bit words of a fingerprint, linked distance in bits, and the bits of a dealing block.
+    """Near copies: shingle length, words of a fingerprint, the bits in which candidates may differ, bands and their hashes, least similarity."""
 
-    With ``alike`` the distance finds candidates, of which those of that shingle similarity or more are linked.
-    """
-
-    n: int = SHINGLE
-    words: int = 1
-    radius: int = RADIUS
-    block: int = 0
-    alike: float = 0.0
+    n: int = 5
+    words: int = 2
+    radius: int = 40
+    bands: int = 14
+    rows: int = 3
+    alike: float = 0.8
 
 
-NARROW = Sketch()
-#: Five words and a similarity of 0.8: 0.151 of 512 bits are 77, and two standard deviations of that estimate 16 more.
-WIDE = Sketch(n=5, words=8, radius=93, block=14)
-#: The same as a search for candidates: four standard deviations, and shorter blocks.
-NEAR = Sketch(n=5, words=8, radius=110, block=12, alike=0.8)
+#: Five words and a similarity of 0.8, where 128 bits differ in 19 with a standard deviation of 4, more for very few shingles.
+NEAR = Sketch()
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -117,51 +108,61 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
     return counts
 
 
-def wide_fingerprint(text: str | None, sketch: Sketch, known: WordHashes) -> bytes:
-    """Majority of the bits of the distinct shingles' hashes, each stretched to the sketch's words; zero without words."""
-    return _wide(distinct_shingles(text, sketch.n, known), sketch)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
 
 
 def distinct_shingles(text: str | None, n: int, known: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
+    """Sorted hashes of the distinct shingles; A-Z lower-cased, words split at ASCII white space."""
     return np.unique(shingle_hashes((text or "").encode("utf-8").lower().split(), n, known))
 
 
-def smallest_shingles(h: np.ndarray, alike: float) -> bytes:
-    """Of a text of few shingles, the smallest hashes, of which two texts of that similarity share one; else none."""
-    return h[: len(h) - math.ceil(alike * len(h) - 1e-9) + 1].tobytes() if len(h) <= FEW_SHINGLES else b""
+def wide_fingerprint(h: np.ndarray, words: int) -> bytes:
+    """Majority of the bits of a set of hashes, each stretched to ``words`` words; zero for none."""
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 16384):  # bounded memory for very long texts
+        counts += bit_counts(_mixed(h[at : at + 16384, None] + np.arange(1, words + 1, dtype=np.uint64) * _GOLDEN))
+    return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
 
 
-def _wide(h: np.ndarray, sketch: Sketch) -> bytes:
+def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key of each band from the least of ``rows`` min-wise hashes of a set; none for the empty set."""
     if not len(h):
-        return bytes(8 * sketch.words)
-    counts = np.zeros(64 * sketch.words, np.int64)
-    for at in range(0, len(h), 16384):  # bounded memory for very long texts
-        part = h[at : at + 16384, None] + np.arange(1, sketch.words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        counts += bit_counts(part ^ (part >> np.uint64(31)))
-    return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
+        return np.empty(0, np.int64)
+    seeds = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _GOLDEN)
+    least = np.full(len(seeds), 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 4096):  # bounded memory for very long texts
+        x = (h[None, at : at + 4096] ^ seeds[:, None]) * _MIX1
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = _mixed(key * _GOLDEN + column)
+    return key.view(np.int64)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints, of one word or several."""
-    bits = np.bitwise_count(a ^ b)
-    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+    """Differing bits of fingerprints, rows of words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-class BKTree:
-    """A BK-tree over distinct fingerprints: children keyed by their integer distance to the parent.
+class BKForest:
+    """BK-trees over runs of ``values`` (rows of words): children keyed by their integer distance to the parent.
 
-    The edges are one sorted array of parent * (largest distance + 1) + distance,
-    so those of a node within a range of distances are a slice of it.
+    ``root`` is the place of the root of the tree that each value belongs to,
+    its own place for roots.  The edges of all trees are one sorted array of
+    parent * (largest distance + 1) + distance, so those of a node within a
+    range of distances are a slice of it.  ``visited`` counts the nodes that
+    queries were compared with.
     """
 
-    def __init__(self, values: np.ndarray):
-        self.values, self.width = values, 64 * (1 if values.ndim == 1 else values.shape[1]) + 1
+    def __init__(self, values: np.ndarray, root: np.ndarray):
+        self.values, self.width, self.visited = values, 64 * values.shape[1] + 1, 0
+        self.size = np.bincount(root, minlength=len(values))
         keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        rest = np.arange(1, len(values))
-        at = np.zeros(len(rest), np.int64)
+        rest = np.flatnonzero(root != np.arange(len(values)))
+        at = root[rest]
         while len(rest):
             # all that stand at one node with one distance follow the first of them, which is the child
             key = at * self.width + _apart(values[rest], values[at])
@@ -174,13 +175,14 @@ class BKTree:
         order = np.argsort(np.concatenate(keys), kind="stable")
         self.keys, self.nodes = np.concatenate(keys)[order], np.concatenate(nodes)[order]
 
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places of queries, nodes) within the radius, in pieces; only edges within the radius are followed."""
-        step = max(16, PAIRS // max(1, len(self.values)))  # if nothing is pruned, all pairs of a piece are compared
-        for start in range(0, len(queries), step):
-            q = np.arange(start, min(start + step, len(queries)))
-            node = np.zeros(len(q), np.int64)
+    def search(self, queries: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of queries, nodes) within the radius in the tree of ``root``, in pieces; only edges within the radius are followed."""
+        # if nothing is pruned, all pairs of a piece are compared
+        pieces = np.cumsum(self.size[root]) // PAIRS
+        for q in np.split(np.arange(len(queries)), np.flatnonzero(np.diff(pieces)) + 1):
+            node = root[q]
             while len(q):
+                self.visited += len(q)
                 d = _apart(queries[q], self.values[node])
                 hit = d <= radius
                 yield q[hit], node[hit]
@@ -208,35 +210,57 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = jumped
 
 
-def _directly(values: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """What a tree over a few values would find, without one."""
-    for start in range(0, len(queries), 1024):
-        part = queries[start : start + 1024, None] ^ values[None, :]
-        bits = np.bitwise_count(part)
-        q, node = np.nonzero((bits if bits.ndim == 2 else bits.sum(axis=2, dtype=np.int64)) <= radius)
-        yield q + start, node
-
+class Cells:
+    """Complete cells, one after the other: fingerprints, names, starts of the cells, and which values are tree and query.
 
-def cell_links(first: np.ndarray, second: np.ndarray | None, radius: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, smallest fingerprint of its set in the cell) for all that have a smaller one.
-
-    With ``second`` None the fingerprints of ``first`` are compared with each
-    other, else those of one with the other.  ``names`` stands for the
-    fingerprints in the result, and then small means by name.
+    ``tree`` and ``query`` are both true all over a cell that is searched by
+    itself; in a cell of two parts one is the tree, the other the queries.
     """
-    values = first if second is None else np.concatenate([first, second])
-    names = values if names is None else names
-    order = np.argsort(names)
-    place = np.empty(len(values), np.int64)
-    place[order] = np.arange(len(values))
-    labels = np.arange(len(values))
-    queries, offset = (first, 0) if second is None else (second, len(first))
-    found = BKTree(first).search(queries, radius) if len(first) > FEW else _directly(first, queries, radius)
-    for q, node in found:
-        labels = _merge(labels, place[q + offset], place[node])
-    ranked = names[order]
-    linked = labels != np.arange(len(values))
-    return ranked[linked], ranked[labels[linked]]
+
+    def __init__(self, fps: np.ndarray, names: np.ndarray, starts: np.ndarray, tree: np.ndarray, query: np.ndarray):
+        which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fps))))
+        nodes = np.flatnonzero(tree)
+        first = np.full(len(starts), -1, np.int64)  # place of each cell's root among the nodes
+        first[which[nodes[::-1]]] = np.arange(len(nodes))[::-1]
+        asked = np.flatnonzero(query & (first[which] >= 0))
+        self.names, self.nodes, self.asked, self.itself = names, nodes, asked, tree & query
+        self.forest = BKForest(fps[nodes], first[which[nodes]])
+        self.fps, self.roots = fps[asked], first[which[asked]]
+
+    def links(self, radius: int, store: SetStore | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(name, smallest name of its set in the cell) for all that have a smaller one.
+
+        With a store only pairs whose sets there are alike are linked.
+        """
+        order = np.argsort(self.names, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ranked, labels = self.names[order], np.arange(len(order))
+        for q, node in self.forest.search(self.fps, self.roots, radius):
+            a, b = place[self.asked[q]], place[self.nodes[node]]
+            once = (a > b) | ~self.itself[self.asked[q]]  # a cell that is searched by itself finds each pair twice
+            a, b = a[once], b[once]
+            labels = _merge(labels, a, b) if store is None else _merge_alike(labels, a, b, ranked, store, least)
+        linked = labels != np.arange(len(order))
+        return ranked[linked], ranked[labels[linked]]
+
+
+def _merge_alike(labels: np.ndarray, a: np.ndarray, b: np.ndarray, ranked: np.ndarray, store: SetStore, least: float) -> np.ndarray:
+    """``_merge`` of those pairs whose sets are alike; pairs that are joined already are not compared."""
+    while True:
+        apart = labels[a] != labels[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return labels
+        # a pair of each text and round: once a group is joined, its other pairs need no comparison
+        pick = np.unique(a, return_index=True)[1]
+        good = np.zeros(len(pick), bool)
+        for at in range(0, len(pick), 256):  # bounded sets at a time
+            some = pick[at : at + 256]
+            sets = store.get(ranked[np.unique(np.concatenate([a[some], b[some]]))])
+            good[at : at + 256] = [alike(sets[x], sets[y], least) for x, y in zip(ranked[a[some]].tolist(), ranked[b[some]].tolist(), strict=True)]
+        labels = _merge(labels, a[pick][good], b[pick][good])
+        a, b = np.delete(a, pick), np.delete(b, pick)
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -249,108 +273,44 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def verified_links(first: np.ndarray, second: np.ndarray | None, radius: int, names: np.ndarray, store: SetStore, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """``cell_links`` by name of the pairs within the radius whose sets in the store are alike."""
-    names, offset = np.asarray(names), 0 if second is None else len(first)
-    order = np.argsort(names)
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(len(names))
-    ranked, labels = names[order], np.arange(len(names))
-    queries = first if second is None else second
-    for q, node in BKTree(first).search(queries, radius) if len(first) > FEW else _directly(first, queries, radius):
-        a, b = place[q + offset], place[node]
-        if second is None:
-            a, b = a[a > b], b[a > b]
-        while True:
-            apart = labels[a] != labels[b]
-            a, b = a[apart], b[apart]
-            if not len(a):
-                break
-            # a pair of each text and round: once a group is joined, its other pairs need no comparison
-            pick = np.unique(a, return_index=True)[1]
-            good = np.zeros(len(pick), bool)
-            for at in range(0, len(pick), 256):  # bounded sets at a time
-                some = pick[at : at + 256]
-                sets = store.get(ranked[np.unique(np.concatenate([a[some], b[some]]))])
-                good[at : at + 256] = [alike(sets[x], sets[y], least) for x, y in zip(ranked[a[some]].tolist(), ranked[b[some]].tolist(), strict=True)]
-            labels = _merge(labels, a[pick][good], b[pick][good])
-            a, b = np.delete(a, pick), np.delete(b, pick)
-    linked = labels != np.arange(len(names))
-    return ranked[linked], ranked[labels[linked]]
-
-
-def wide_links(nodes: DataFrame, sketch: Sketch, tree_size: int = TREE_SIZE, store: SetStore | None = None) -> DataFrame:
-    """(a, b) links between the ``node`` numbers of distinct wide fingerprints (node, fp binary[, few binary]).
-
-    ``few`` holds the smallest hashes of texts of few shingles.  With a store only pairs alike are linked.
-    """
-    bits = 64 * sketch.words
+def shard_links(keyed: DataFrame, radius: int, tree_size: int = TREE_SIZE, store: SetStore | None = None, least: float = 0.0) -> DataFrame:
+    """(a, b) links between the distinct ``node`` numbers of ``keyed`` (node, key, words of the fingerprint as longs).
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(1).to_pylist()
-            table = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), bits // 8), axis=1, bitorder="little")
-            for k in range(bits // sketch.block):
-                block = table[:, k * sketch.block : (k + 1) * sketch.block].astype(np.int64) @ (1 << np.arange(sketch.block))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((k << 40) | block)], names=["node", "fp", "key"])
-            if batch.num_columns > 2:
-                few = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-                row = pa.array(np.repeat(np.arange(len(few)), [len(x) for x in few]))
-                key = (np.concatenate([np.empty(0, np.uint64), *few]) >> np.uint64(2)).astype(np.int64) | _BY_SHINGLE
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(key)], names=["node", "fp", "key"])
-
-    keyed = nodes.mapInArrow(deal, "node long, fp binary, key long")
+    Nodes of one key form a shard.  A node comes once for each of its keys.
+    """
+    words = [c for c in keyed.columns if c not in ("node", "key")]
     # only keys of more than a tree's worth are split; there are few, and Spark broadcasts them below its own bound
-    hot = written(keyed.groupBy("key").count().where(F.col("count") > tree_size).select(F.col("key").alias("_key"), F.ceil(F.col("count") / F.lit(tree_size)).cast("int").alias("_n")), "shards")
+    parts = F.ceil(F.col("count") / F.lit(tree_size)).cast("int")
+    hot = written(keyed.groupBy("key").count().where(F.col("count") > tree_size).select(F.col("key").alias("_key"), parts.alias("_n")), "shards")
     dealt = (
         keyed.join(hot, F.col("key") == F.col("_key"), "left")
         .withColumn("_parts", F.coalesce("_n", F.lit(1)))
         .withColumn("_own", F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("_parts")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("node", "fp", "key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own")
+        .select("key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own", "node", *words)
         .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(first: np.ndarray, second: np.ndarray | None, radius: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return cell_links(first, second, radius, names) if store is None else verified_links(first, second, radius, names, store, sketch.alike)
-
-        def cell(fps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            radius = FEW_RADIUS if rows[0, 1] >= _BY_SHINGLE else sketch.radius
-            if rows[0, 2] == rows[0, 3]:
-                if len(rows) == 2:  # most cells
-                    near = int(_apart(fps[:1], fps[1:])[0] <= radius)
-                    if near and store is not None:
-                        return joined(fps, None, radius, rows[:, 0])
-                    a, b = sorted(rows[:, 0].tolist())
-                    return np.array([b] * near, np.int64), np.array([a] * near, np.int64)
-                return joined(fps, None, radius, rows[:, 0])
-            one = rows[:, 4] == rows[0, 2]
-            if one.all() or not one.any():
-                return rows[:0, 0], rows[:0, 0]
-            return joined(fps[one], fps[~one], radius, np.concatenate([rows[one, 0], rows[~one, 0]]))
-
-        def emit(found: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
-
-        rest_fp, rest = np.empty((0, sketch.words), np.uint64), np.empty((0, 5), np.int64)
+        rest = np.empty((0, 5 + len(words)), np.int64)
+
+        def found(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+            x, y, own = rows[:, 1], rows[:, 2], rows[:, 3]
+            cells = Cells(np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 4], starts, own == x, own == y)
+            a, b = cells.links(radius, store, least)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
+            rows = np.concatenate([rest, np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])])
+            if not len(rows):
                 continue
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, sketch.words)
-            rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3, 4, 5)])
-            fps, rows = np.concatenate([rest_fp, fps]), np.concatenate([rest, rows])
-            edges = np.flatnonzero((np.diff(rows[:, 1:4], axis=0) != 0).any(axis=1)) + 1
-            bounds = [0, *edges.tolist()]
-            found = [cell(fps[i:j], rows[i:j]) for i, j in zip(bounds, bounds[1:], strict=False) if j - i > 1]
-            rest_fp, rest = fps[bounds[-1] :], rows[bounds[-1] :]
-            if found:
-                yield emit(found)
-        if len(rest) > 1:
-            yield emit([cell(rest_fp, rest)])
-
-    # columns: node, fp, key, x, y, _own
+            starts = np.concatenate(([0], np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(axis=1)) + 1))
+            rest = rows[starts[-1] :]
+            if len(starts) > 1:
+                yield found(rows[: starts[-1]], starts[:-1])
+        if len(rest):
+            yield found(rest, np.array([0]))
+
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -366,49 +326,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_S
     """(a, b) links between distinct ``fp`` values whose components are those of "within the radius"."""
     if radius > len(BLOCKS) - 2:
         raise ValueError(f"the blocks serve a radius of {len(BLOCKS) - 2} at most")
-    keyed = fingerprints.select("fp", F.explode(F.array(*_block_keys(F.col("fp"), BLOCKS))).alias("key"))
-    sizes = written(keyed.groupBy("key").count().where("count > 1").withColumnRenamed("key", "_key"), "shards")
-    parts = F.ceil(F.col("count") / F.lit(tree_size)).cast("int")
-    dealt = (
-        keyed.join(sizes, F.col("key") == F.col("_key"))
-        .withColumn("_parts", parts)
-        .withColumn("_own", F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("_parts")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("fp", "key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own")
-        .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    )
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cell(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            fp, own = run[:, 0].view(np.uint64), run[:, 4]
-            if run[0, 2] == run[0, 3]:
-                return cell_links(fp, None, radius)
-            one = own == run[0, 2]
-            if one.all() or not one.any():
-                return fp[:0], fp[:0]
-            return cell_links(fp[one], fp[~one], radius)
-
-        def emit(found: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        rest = np.empty((0, 5), np.int64)
-        for batch in batches:
-            rows = np.ascontiguousarray(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            rows = np.concatenate([rest, rows]) if len(rest) else rows
-            if not len(rows):
-                continue
-            edges = np.flatnonzero((np.diff(rows[:, 1:4], axis=0) != 0).any(axis=1)) + 1
-            bounds = [0, *edges.tolist()]
-            found = [cell(np.ascontiguousarray(rows[i:j])) for i, j in zip(bounds, bounds[1:], strict=False) if j - i > 1]
-            rest = rows[bounds[-1] :]
-            if found:
-                yield emit(found)
-        if len(rest) > 1:
-            yield emit([cell(np.ascontiguousarray(rest))])
-
-    return dealt.mapInArrow(search, schema).distinct()
+    keyed = fingerprints.select(F.col("fp").alias("node"), F.explode(F.array(*_block_keys(F.col("fp"), BLOCKS))).alias("key"), "fp")
+    return shard_links(keyed, radius, tree_size)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -432,158 +351,163 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _prints(texts: pa.Array, sketch: Sketch, known: WordHashes) -> pa.Array:
-    if sketch.words == 1:
-        return pa.array(np.fromiter((fingerprint(t.as_py(), sketch.n) for t in texts), np.uint64, len(texts)).view(np.int64))
-    return pa.array([wide_fingerprint(t.as_py(), sketch, known) for t in texts], pa.binary())
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NARROW) -> DataFrame:
-    """(doc_id, fp) of every row: the fingerprint as a signed long, or as bytes if it is wide.
-
-    A sketch with ``alike`` adds (text_hash, few): the text's XXH64, and the smallest hashes of a text of few shingles.
-    """
-    narrow = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType() if sketch.words == 1 else T.BinaryType())])
-    if sketch.alike:
-        schema = schema.add("text_hash", T.LongType()).add("few", T.BinaryType())
-    else:
-        narrow = narrow.drop("text_hash")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) of every row: the 64-bit fingerprint as a signed long."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        if sketch.alike:
-            for batch in batches:
-                fps, few = [], []
-                for text in batch.column(1):
-                    h = distinct_shingles(text.as_py(), sketch.n, known)
-                    fps.append(_wide(h, sketch))
-                    few.append(smallest_shingles(h, sketch.alike) if len(h) else b"")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), batch.column(2), pa.array(few, pa.binary())], names=schema.names)
-            return
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _prints(batch.column(1), sketch, known)], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NARROW, tree_size: int = TREE_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree_size: int = TREE_SIZE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     ``component_id`` is the smallest id among the documents whose fingerprints
-    are reachable by steps of at most the sketch's ``radius`` differing bits.  Null and
+    are reachable by steps of at most ``RADIUS`` differing bits.  Null and
     wordless texts have fingerprint zero and are linked like any other; repeated
     rows each get a row; null ids count as no id (a component of null ids only
     has a null ``component_id``).  An empty table gives no rows.  Other columns
     are ignored.
     """
-    marked, member = _members(docs, id_col, text_col, sketch, tree_size)
-    return marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16 * sketch.words, "0").alias("fingerprint"), "component_id")
-
-
-def _members(docs: DataFrame, id_col: str, text_col: str, sketch: Sketch, tree_size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (_fp, _label, component_id) of every distinct fingerprint."""
-    marked = written(fingerprints(docs, id_col, text_col, sketch), "fingerprints")
-    extra = [F.min(F.struct("text_hash", "few")).alias("_text")] if sketch.alike else []
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"), *extra)
-    if sketch.words == 1:
-        least = least.withColumn("_node", F.col("fp"))
-        found = components(links(least.select("fp"), sketch.radius, tree_size))
-    else:
-        least = written(least.withColumn("_node", F.monotonically_increasing_id()), "nodes")
-        nodes = least.select(F.col("_node").alias("node"), "fp", *([F.col("_text.few").alias("few")] if sketch.alike else []))
-        found = wide_links(nodes, sketch, tree_size)
-        if sketch.alike:
-            found = _alike_links(docs, text_col, least, nodes, written(found, "candidates"), sketch, tree_size)
-        found = components(found)
-    named = least.join(found, F.col("_node") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "_least", F.coalesce("label", "_node").alias("_label"))
+    marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"))
+    found = components(links(least.select("fp"), RADIUS, tree_size))
+    named = least.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "_least", F.coalesce("label", "fp").alias("_label"))
     named = written(named, "labels")
     smallest = named.groupBy(F.col("_label").alias("_group")).agg(F.min("_least").alias("component_id"))
-    return marked, named.join(smallest, F.col("_label") == F.col("_group")).select("_fp", "_label", "component_id")
+    member = named.join(smallest, F.col("_label") == F.col("_group")).select("_fp", "component_id")
+    return marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NEAR, tree_size: int = TREE_SIZE) -> DataFrame:
+    """(doc_id, key, mark, group) of every row: hashes of id and text, and the number of its group of near copies.
 
+    Texts of equal shingle sets are in one group, those without words among
+    them; others are linked at a shingle similarity of ``alike`` or more.
+    """
+    both = [F.col(id_col), F.col(text_col)]
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_hashes(*both), *text_hashes(F.col(text_col)))
+    words = [f"w{k}" for k in range(sketch.words)]
+    marks = ["key", "mark", "text_hash", "text_mark", "set_a", "set_b", *words]
+    schema = T.StructType([narrow.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in marks], T.StructField("bands", T.ArrayType(T.LongType()))])
 
-def _alike_links(docs: DataFrame, text_col: str, least: DataFrame, nodes: DataFrame, found: DataFrame, sketch: Sketch, tree_size: int) -> DataFrame:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets, fps, keys = [], [], []
+            for text in batch.column(1):
+                h = distinct_shingles(text.as_py(), sketch.n, known)
+                sets.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append(wide_fingerprint(h, sketch.words))
+                keys.append(band_keys(h, sketch.bands, sketch.rows))
+            both = np.frombuffer(b"".join(sets), np.int64).reshape(-1, 2)
+            fp = np.frombuffer(b"".join(fps), np.int64).reshape(-1, sketch.words)
+            columns = [batch.column(0), *batch.columns[2:], *map(pa.array, both.T), *map(pa.array, fp.T), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    marked = written(narrow.mapInArrow(sketches, schema), "sketches")
+    one = F.min(F.struct("text_hash", "text_mark", "bands", *words)).alias("_one")
+    nodes = marked.groupBy("set_a", "set_b").agg(one).select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "_one.*")
+    nodes = written(nodes, "nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("key"), *words)
+    found = written(shard_links(keyed, sketch.radius, tree_size), "candidates")
+    found = components(_alike_links(docs, text_col, nodes, keyed, found, sketch, tree_size))
+    label = nodes.select("node", "set_a", "set_b").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    label = label.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("label", "node").alias("group"))
+    return marked.join(label, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b"))).select("doc_id", "key", "mark", "group")
+
+
+def _alike_links(docs: DataFrame, text_col: str, nodes: DataFrame, keyed: DataFrame, found: DataFrame, sketch: Sketch, tree_size: int) -> DataFrame:
     """Links of the pairs among the candidates that ``found`` names whose shingle sets are alike.
 
-    A text stands for all that have its 512 bits.  Texts are not exchanged: they
-    probe an index of the candidates' text hashes, and those found give their sets.
+    A text stands for all that have its set.  Where the candidates' hashes fit
+    a task, texts are not exchanged: they probe an index of them, and those
+    found give their sets.  Beyond that they are joined with the candidates.
     """
     chosen = written(found.select(F.col("a").alias("_a")).unionAll(found.select("b")).distinct(), "candidates")
-    texts = least.join(chosen, F.col("_node") == F.col("_a"), "left_semi").select(F.col("_text.text_hash").alias("key"), F.col("_text.text_hash").alias("mark"), (F.col("_node") + 1).alias("place"))
-    index = build_index(written(texts, "texts"), ["place"])
+    wanted = nodes.join(chosen, F.col("node") == F.col("_a"), "left_semi").select(F.col("text_hash").alias("key"), F.col("text_mark").alias("mark"), (F.col("node") + 1).alias("place"))
+    wanted = written(wanted, "texts")
+    texts = docs.select(F.col(text_col).alias("text"), *text_hashes(F.col(text_col)))
+    if fits_a_task(wanted, 1):
+        index = build_index(wanted, ["place"])
+        places = lambda key, mark: index.counts(key.view(np.uint64), mark.view(np.uint64))[:, 0]
+    else:
+        places = lambda place, _: place
+        found = texts.join(wanted.toDF("text_hash", "text_mark", "place"), ["text_hash", "text_mark"])
+        texts = found.dropDuplicates(["text_hash", "text_mark"]).select("text", "place", "text_mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         for batch in batches:
-            key = np.ascontiguousarray(batch.column(1).to_numpy()).view(np.uint64)
-            place = index.counts(key, key)[:, 0] - 1
+            place = places(*(np.ascontiguousarray(batch.column(k).to_numpy()) for k in (1, 2))) - 1
             rows = [k for k in np.flatnonzero(place >= 0).tolist() if place[k] not in seen and not seen.add(place[k])]
             for at in range(0, len(rows), 64):
                 some = rows[at : at + 64]
                 sets = [distinct_shingles(batch.column(0)[k].as_py(), sketch.n, known).tobytes() for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(place[some]), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    store = build_store(written(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(run, "node long, hashes binary"), "shingles"))
-    return wide_links(nodes.join(chosen, F.col("node") == F.col("_a"), "left_semi"), sketch, tree_size, store)
+    store = build_store(written(texts.mapInArrow(run, "node long, hashes binary"), "shingles"))
+    return shard_links(keyed.join(chosen, F.col("node") == F.col("_a"), "left_semi"), sketch.radius, tree_size, store, sketch.alike)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NEAR, tree_size: int = TREE_SIZE) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that of the smallest id; columns as they were.
+def text_hashes(text) -> list:
+    """Two independent hashes of a text."""
+    return [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit("text"), text).alias("text_mark")]
 
-    Rows that share a kept id are copies of one document, of which one stays.
-    A group whose rows all lack an id keeps one of them.
-
-    The texts are not exchanged: the ids to drop go into the sharded index that
-    the rows then probe.  Only rows with a repeated id, or with none, are
-    gathered by their key.
-    """
-    marked, member = _members(docs, id_col, text_col, sketch, tree_size)
-    grouped = written(marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "_label", "component_id"), "groups")
-    ids = grouped.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))
-    verdict = ids.where("not kept or n > 1").select(*_id_hashes(F.col("doc_id")), F.when(F.col("kept"), 2).otherwise(1).alias("verdict"))
-    verdict = written(verdict, "verdicts")
-    index = build_index(verdict, ["verdict"])
-    out = _by_verdict(docs, id_col, index, 0)
-    if verdict.where("verdict = 2").limit(1).count():
-        out = out.unionAll(_by_verdict(docs, id_col, index, 2).dropDuplicates([id_col]))
-    lone = grouped.where("component_id is null").select("fp", "_label").distinct()
-    if lone.limit(1).count():
-        nameless = docs.where(docs[id_col].isNull())
-        columns = [f"c{k}" for k in range(len(docs.columns))]
-        plain = nameless.toDF(*columns)
-        text = columns[docs.columns.index(text_col)]
-        labelled = _with_fingerprint(plain, text, sketch).join(lone, F.col("_own") == F.col("fp"))
-        out = out.unionAll(labelled.dropDuplicates(["_label"]).select(*columns).toDF(*docs.columns))
-    return out
 
+def row_hashes(doc_id, text) -> list:
+    """Two independent hashes of a row's id and text: its key, and what tells it from others of that key."""
+    return [F.xxhash64(doc_id, text).alias("key"), F.xxhash64(F.lit("row"), doc_id, text).alias("mark")]
 
-def _id_hashes(doc_id) -> tuple:
-    """Two independent hashes of an id: its place in the index, and what tells it from others there."""
-    return F.xxhash64(doc_id).alias("key"), F.xxhash64(F.lit("id"), doc_id).alias("mark")
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = NEAR, tree_size: int = TREE_SIZE) -> DataFrame:
+    """``docs`` with one row of each group of near copies; columns as they were.
+
+    The row of the smallest id stays, of one id's several texts the one of the
+    smallest hash, of rows that repeat id and text the one whose other columns
+    hash smallest; rows without an id only where the group has no other.  A row
+    goes for its own group only: texts of other groups under the same id stay.
+    Texts without words are one group.  An empty table gives no rows.
+
+    Where the rows to drop fit a task, texts are not exchanged: the hashes of
+    these rows go into the sharded index that the rows then probe.  Beyond that
+    the rows are joined with them.  Only repeated rows are gathered by key, with
+    map-side reduction.
+    """
+    grouped = near_groups(docs, id_col, text_col, sketch, tree_size)
+    rows = written(grouped.groupBy("group", "key", "mark").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "groups")
+    kept = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "mark")).alias("_kept")
+    # of a group of one there is nothing to drop, and most groups are
+    several = rows.groupBy("group").agg(kept, F.count("*").alias("_rows"), F.max("n").alias("_n")).where("_rows > 1 or _n > 1").select(F.col("group").alias("_group"), "_kept")
+    stays = (F.col("key") == F.col("_kept.key")) & (F.col("mark") == F.col("_kept.mark"))
+    verdict = rows.join(several, F.col("group") == F.col("_group")).select("key", "mark", F.when(stays, 2).otherwise(1).alias("verdict"), "n")
+    verdict = written(verdict.where("verdict = 1 or n > 1").drop("n"), "verdicts")
+    names = [f"{c}-{uuid.uuid4().hex}" for c in ("key", "mark", "verdict")]
+    hashed = docs.select("*", *[c.alias(n) for c, n in zip(row_hashes(docs[id_col], docs[text_col]), names, strict=False)])
+    schema = T.StructType([*hashed.schema, T.StructField(names[2], T.LongType())])
+    if fits_a_task(verdict, 1):
+        index = build_index(verdict, ["verdict"])
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, mark = (np.ascontiguousarray(batch.column(k).to_numpy()).view(np.uint64) for k in (-2, -1))
+                found = index.counts(key, mark)[:, 0]
+                stays = pa.array(found != 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=schema.names).filter(stays)
 
-def _by_verdict(docs: DataFrame, id_col: str, index: ShardIndex, wanted: int) -> DataFrame:
-    """Rows with an id whose verdict in the index is ``wanted``."""
-    schema = docs.schema
-    key, mark = _id_hashes(docs[id_col])
-    hashed = docs.where(docs[id_col].isNotNull()).select("*", key.alias(f"key-{uuid.uuid4().hex}"), mark.alias(f"mark-{uuid.uuid4().hex}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, mark = (np.ascontiguousarray(batch.column(k).to_numpy()).view(np.uint64) for k in (-2, -1))
-            chosen = index.counts(key, mark)[:, 0] == wanted
-            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(chosen))
-
-    return hashed.mapInArrow(run, schema)
-
-
-def _with_fingerprint(docs: DataFrame, text_col: str, sketch: Sketch) -> DataFrame:
-    place = docs.columns.index(text_col)
-    kind = T.LongType() if sketch.words == 1 else T.BinaryType()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _prints(batch.column(place), sketch, known)], names=[*batch.schema.names, "_own"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_own", kind)]))
+        judged = hashed.mapInArrow(judge, schema)
+    else:
+        found = verdict.toDF("_key", "_mark", names[2])
+        judged = hashed.join(found, (F.col(names[0]) == F.col("_key")) & (F.col(names[1]) == F.col("_mark")), "left").drop("_key", "_mark")
+        judged = judged.where(F.coalesce(F.col(names[2]), F.lit(0)) != 1)
+    repeated = F.coalesce(F.col(names[2]), F.lit(0)) == 2
+    out = judged.where(~repeated).select(*docs.columns)
+    if verdict.where("verdict = 2").limit(1).count():
+        hashable = [judged[c] for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        first = F.min_by(F.struct(*[judged[c] for c in docs.columns]), F.xxhash64(*hashable)).alias("_row")
+        out = out.unionAll(judged.where(repeated).groupBy(*names[:2]).agg(first).select("_row.*"))
+    return out

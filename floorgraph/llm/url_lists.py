@@ -29,11 +29,11 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
     An add opens an interval that the list's next entry for the domain closes;
     repeated adds extend it; of entries at one time a remove counts last.
-    ``valid_to`` is exclusive, null while open.  Entries with a null domain,
-    action or time are void.
+    ``at`` may be a date (its first moment) or a time.  ``valid_to`` is
+    exclusive, null while open.  Entries with a null domain, action or time are void.
     """
     order = Window.partitionBy("list_name", "domain").orderBy("at", "action")
-    clean = entries.select("list_name", ascii_lower(F.col("domain")).alias("domain"), "action", "at").where("domain is not null and at is not null and action in ('add', 'remove')").distinct()
+    clean = entries.select("list_name", ascii_lower(F.col("domain")).alias("domain"), "action", F.col("at").cast("timestamp").alias("at")).where("domain is not null and at is not null and action in ('add', 'remove')").distinct()
     spans = clean.withColumn("valid_to", F.lead("at").over(order)).where("action = 'add'")
     return spans.where("valid_to is null or valid_to > at").select("list_name", "domain", F.col("at").alias("valid_from"), "valid_to")
 
@@ -43,29 +43,29 @@ def match_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
 
     ``n_active`` counts the distinct (list, domain) pairs that hold for the
     capture, ``domain`` and ``list_name`` are the most specific one's (longest
-    domain, then first by names), null if none holds.  Dates are inclusive at
-    the start and exclusive at the end.  A capture without a host or time is
-    not blocked.  Repeated captures each get a row; an empty list blocks
-    nothing; an empty table gives no rows.  Other columns are ignored.
+    domain, then first by names), null if none holds.  Fetch times are compared
+    as they are, dates as their first moment; an interval is inclusive at the
+    start and exclusive at the end.  A capture without a host or time is not
+    blocked.  Repeated captures each get a row; an empty list blocks nothing;
+    an empty table gives no rows.  Other columns are ignored.
     """
-    own = captures.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(at_col).cast("date").alias("fetched_on"))
-    asked = own.where("host is not null and fetched_on is not null").select("host", "fetched_on").distinct()
+    own = captures.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(at_col).alias("fetched_on"), F.col(at_col).cast("timestamp").alias("_at"))
+    asked = own.where("host is not null and _at is not null").select("host", "_at").distinct()
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    asked = asked.select("host", "fetched_on", F.explode(above).alias("domain"), F.trunc("fetched_on", "month").alias("_month"))
-    spans = validity_intervals(entries).select("list_name", F.col("domain").alias("_domain"), F.col("valid_from").cast("date").alias("_from"), F.col("valid_to").cast("date").alias("_to"))
+    month = lambda c: F.date_trunc("month", c)
+    asked = asked.select("host", "_at", F.explode(above).alias("domain"), month(F.col("_at")).alias("_month"))
     # an open interval is followed up to the last fetch
-    last = own.agg(F.max("fetched_on")).first()[0]
-    end = F.least(F.coalesce(F.date_sub("_to", 1), F.lit(last)), F.lit(last))
-    spans = spans.where(F.col("_from") <= end) if last is not None else spans.where("false")
-    months = F.sequence(F.trunc("_from", "month"), F.trunc("_end", "month"), F.expr("interval 1 month"))
-    spans = spans.withColumn("_end", end).withColumn("_in", F.explode(months))
+    last = own.agg(F.unix_micros(F.max("_at"))).first()[0]
+    spans = validity_intervals(entries).select("list_name", F.col("domain").alias("_domain"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
+    spans = spans.withColumn("_end", F.least(F.col("_to"), F.timestamp_micros(F.lit(last).cast("long"))))
+    spans = spans.where(F.col("_from") <= F.col("_end")).withColumn("_in", F.explode(F.sequence(month(F.col("_from")), month(F.col("_end")), F.expr("interval 1 month"))))
     hits = asked.join(
         spans,
-        (F.col("domain") == F.col("_domain")) & (F.col("_month") == F.col("_in")) & (F.col("fetched_on") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("fetched_on") < F.col("_to"))),
+        (F.col("domain") == F.col("_domain")) & (F.col("_month") == F.col("_in")) & (F.col("_at") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to"))),
     )
     best = F.min(F.struct((-F.length("domain")).alias("k"), F.col("domain").alias("domain"), F.col("list_name").alias("list_name")))
-    found = hits.groupBy(F.col("host").alias("_host"), F.col("fetched_on").alias("_on")).agg(F.count("*").alias("_n"), best.alias("_best"))
-    return own.join(found, (F.col("host") == F.col("_host")) & (F.col("fetched_on") == F.col("_on")), "left").select(
+    found = hits.groupBy(F.col("host").alias("_host"), F.col("_at").alias("_on")).agg(F.count("*").alias("_n"), best.alias("_best"))
+    return own.join(found, (F.col("host") == F.col("_host")) & (F.col("_at") == F.col("_on")), "left").select(
         "page_id", "host", "fetched_on", F.col("_n").isNotNull().alias("blocked"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"), "_best.domain", "_best.list_name"
     )

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorgraph.llm.common import open_fs, shared_path, text_batches, utf8_bytes, written
+from floorgraph.llm.common import open_fs, shared_path, utf8_bytes, written
 
 MIN_DEDUP_BYTES, BLOCK_LINES, FILE_BYTES = 100, 3000, 1 << 30
 #: Bytes of an archive whose records one task reads.
@@ -39,8 +39,13 @@ _DATE = "2024-01-01T00:00:00Z"
 _NUMBER = 1 << 63
 
 
+def _one_word(text: str) -> str:
+    """Blanks and control characters, which end lines and fields of the index and of records, percent-encoded."""
+    return "".join(c if " " < c else f"%{ord(c):02X}" for c in text)
+
+
 def sort_key(url: str | None) -> str:
-    """Reversed-host form of a URL: "org,example,www)/path?query"; "-" for a null."""
+    """Reversed-host form of a URL: "org,example,www)/path?query"; the URL itself where it has no host, "-" for a null."""
     if url is None:
         return "-"
     try:
@@ -48,12 +53,12 @@ def sort_key(url: str | None) -> str:
         host = parts.hostname or ""
         port = f":{parts.port}" if parts.port else ""
     except ValueError:
-        return url.strip().replace(" ", "%20") or "-"
+        host = ""
     if not host:
-        return url.strip().replace(" ", "%20").replace("\n", "%0A") or "-"
+        return _one_word(url.strip()) or "-"
     rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     key = ",".join(reversed(host.rstrip(".").split("."))) + port + ")" + rest
-    return "".join(c if " " < c else f"%{ord(c):02X}" for c in key)
+    return _one_word(key)
 
 
 def capture_key(url: str | None, number: int | None) -> str:
@@ -79,7 +84,7 @@ def _record(page_id, url, body: bytes, digest: str, size: int, refers_to) -> byt
     name = lambda n: f"<urn:page:{'-' if n is None else n}>"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {_DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if " " < c else f"%{ord(c):02X}" for c in url))
+        head.append("WARC-Target-URI: " + _one_word(url))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -287,11 +292,12 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     smallest id is stored as a response, as is any repeat of that very id; the
     others are revisits, whose size and digest are resolved through the
     response they refer to.  A null id is no smallest id: such rows are
-    responses.  A null URL sorts under "-".  An empty table gives no rows.
+    responses.  A null URL sorts under "-", blanks and control characters of
+    any URL are percent-encoded.  An empty table gives no rows.
     Other columns are ignored.
     """
     spark = pages.sparkSession
-    own = text_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     captures = write_archives(own, shared_path(spark, "warc"), min_bytes)
     index = build_capture_index(captures, shared_path(spark, "cdx"))
     records = written(read_records(look_up(captures.select("key"), index)), "records")

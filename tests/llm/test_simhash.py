@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from floorgraph.llm import simhash
+from floorgraph.llm import shard_index, simhash
 
 
 def plain_fingerprint(text):
@@ -41,12 +41,56 @@ def near_values(rng, n):
     return sorted(out)
 
 
-def test_tree_finds_all_within_the_radius():
-    values = np.array(near_values(random.Random(1), 700), np.uint64)
-    tree = simhash.BKTree(values)
-    found = {(int(q), int(n)) for qs, ns in tree.search(values, 3) for q, n in zip(qs, ns, strict=True)}
-    want = {(i, j) for i, v in enumerate(values.tolist()) for j, w in enumerate(values.tolist()) if (v ^ w).bit_count() <= 3}
-    assert found == want
+def test_trees_find_all_within_the_radius():
+    values = np.array(near_values(random.Random(1), 700), np.uint64)[:, None]
+    starts = np.array([0, 1, 3, 250, 600])
+    root = np.repeat(starts, np.diff([*starts, 700]))
+    forest = simhash.BKForest(values, root)
+    found = [(int(q), int(n)) for qs, ns in forest.search(values, root, 3) for q, n in zip(qs, ns, strict=True)]
+    of = values[:, 0].tolist()
+    want = {(i, j) for i, v in enumerate(of) for j, w in enumerate(of) if root[i] == root[j] and (v ^ w).bit_count() <= 3}
+    assert len(found) == len(set(found)) and set(found) == want
+    assert len(found) < forest.visited < sum(n * n for n in np.diff([*starts, 700]).tolist())
+
+
+def test_trees_are_built_and_prune(spark, monkeypatch):
+    """On the fingerprints of the largest sample each shard is a tree, and most of a large tree's nodes are never visited."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    values = sorted({r.fp % (1 << 64) for r in simhash.fingerprints(docs).collect()})
+    shards = {}
+    for v in values:
+        blocks = [v >> s & (1 << w) - 1 for s, w in zip((0, 13, 26, 39, 52), simhash.BLOCKS, strict=True)]
+        for i in range(5):
+            for j in range(i):
+                shards.setdefault((i, j, blocks[i], blocks[j]), []).append(v)
+    shards = [s for s in shards.values() if len(s) > 1]
+    fps = np.array([v for s in shards for v in s], np.uint64)
+    starts = np.cumsum([0, *map(len, shards)])[:-1]
+    every = np.ones(len(fps), bool)
+    cells = simhash.Cells(fps[:, None], fps.view(np.int64), starts, every, every)
+    a, b = cells.links(3)
+    label = dict(zip(values, plain_groups_fast(values), strict=True))
+    assert len(set(cells.roots.tolist())) == len(shards) > 100  # a tree for each shard
+    assert all(label[x % (1 << 64)] == label[y % (1 << 64)] for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    linked = sum(label[v] != v for v in values)
+    assert len({v for v, w in zip(a.tolist(), b.tolist(), strict=True)}) >= linked > 5
+    large = np.random.default_rng(3).integers(0, 1 << 38, (4000, 1), dtype=np.uint64)  # as in a shard, where two blocks agree
+    forest = simhash.BKForest(large, np.zeros(4000, np.int64))
+    assert sum(len(q) for q, _ in forest.search(large[:200], np.zeros(200, np.int64), 3)) >= 200
+    assert forest.visited < 0.5 * 200 * 4000
+
+
+def plain_groups_fast(values, radius=3):
+    """Smallest value reachable from each, by comparison of all."""
+    v = np.array(values, np.uint64)
+    a, b = np.nonzero(np.bitwise_count(v[:, None] ^ v[None, :]) <= radius)
+    label = np.arange(len(v))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        if (new == label).all():
+            return [values[k] for k in label]
+        label = new
 
 
 @pytest.mark.parametrize("tree_size", [4096, 16])
@@ -71,18 +115,44 @@ def test_documents(make_docs, odd_pairs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
 
 
-def test_keep_one(make_docs, odd_pairs):
-    extra = [(None, "nobody knows this text"), (None, "nobody knows this text"), (None, "nor this other one, which differs"), (20, "nor a third"), (20, "nor a third"), (21, "nor a third"), (20, "quite another text under a used id")]
-    pairs = [p for p in odd_pairs if p[1] is None or len(p[1]) < 50_000] + extra
+def exact_groups(texts, least=0.8):
+    """Smallest place reachable from each text by shingle similarity; equal sets are similar."""
+    sets = []
+    for t in texts:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) if x]
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda a, b: a == b or (len(a & b) >= least * len(a | b) - 1e-9)
+    label = list(range(len(texts)))
+    while True:
+        new = [min(label[j] for j, b in enumerate(sets) if near(a, b)) for a in sets]
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("cache", [None, 0])
+def test_keep_one(make_docs, odd_pairs, monkeypatch, cache):
+    if cache is not None:  # beyond a task's cache rows are joined
+        monkeypatch.setattr(shard_index, "CACHE_BYTES", cache)
+    extra = [(None, "nobody knows this text"), (None, "nobody knows this text"), (None, "nor this other one, which differs"), (20, "nor a third"), (20, "nor a third"), (21, "nor a third"), (20, "quite another text under a used id"), (None, "nor a third"), (1, "a text that is like no other")]
+    pairs = odd_pairs + extra
     docs = make_docs(pairs)
-    label = plain_groups([plain_fingerprint(t) for _, t in pairs])
-    groups = [[pairs[j] for j in range(len(pairs)) if label[j] == g] for g in set(label)]
-    want = {min(i for i, _ in g if i is not None) for g in groups if any(i is not None for i, _ in g)}
-    lone = sum(all(i is None for i, _ in g) for g in groups)
-    out = simhash.keep_one(docs, sketch=simhash.NARROW)
-    assert out.columns == docs.columns
-    rows = [r.doc_id for r in out.collect()]
-    assert lone >= 2 and sorted(i for i in rows if i is not None) == sorted(want) and rows.count(None) == lone
+    label = exact_groups([t for _, t in pairs])
+    want = []
+    for g in set(label):
+        ids = [pairs[j][0] for j in range(len(pairs)) if label[j] == g]
+        want.append(min((i for i in ids if i is not None), default=None))
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    rows = out.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, want)) and want.count(None) >= 2 and want.count(20) == 2 and want.count(1) == 2
+    label_of = {(i, t): g for (i, t), g in zip(pairs, label, strict=True)}
+    assert len({label_of[r.doc_id, r.text] for r in rows}) == len(rows)
+
+
+def test_two_texts_of_one_id_that_are_unlike_both_stay(make_docs):
+    docs = make_docs([(7, "one text about rivers and the sea beyond them"), (7, "another text of a mountain with snow on it")])
+    assert simhash.keep_one(docs).count() == 2
 
 
 def test_keep_one_of_one_big_group(make_docs):
@@ -104,26 +174,40 @@ def test_bits_are_counted():
     assert simhash.bit_counts(rows).tolist() == want
 
 
-def test_wide_links_are_those_of_all_cells(spark):
+@pytest.mark.parametrize("tree_size", [4096, 5])
+def test_candidates_are_those_of_all_shards(spark, tree_size):
     rng = np.random.default_rng(5)
-    centres = rng.integers(0, 2**64, (20, 8), dtype=np.uint64)
-    values = []
+    centres = rng.integers(0, 2**64, (20, 2), dtype=np.uint64)
+    rows, table, keys = [], [], []
     for k in range(300):
         bits = np.unpackbits(centres[k % 20].view(np.uint8), bitorder="little")
-        flip = rng.random(512) < rng.choice((0.02, 0.1, 0.3))
-        values.append(np.packbits(bits ^ flip, bitorder="little").tobytes())
-    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "node long, fp binary")
-    table = np.array([np.unpackbits(np.frombuffer(v, np.uint8), bitorder="little") for v in values])
-    near = lambda i, j: (table[i] != table[j]).sum() <= 93 and any((table[i, k : k + 14] == table[j, k : k + 14]).all() for k in range(0, 504, 14))
+        table.append(bits ^ (rng.random(128) < rng.choice((0.02, 0.1, 0.3))))
+        keys.append({int(x) for x in rng.integers(0, 30, 3)} | {99})
+        words = np.packbits(table[-1], bitorder="little").view(np.int64).tolist()
+        rows += [(k, key, *words) for key in keys[-1]]
+    table = np.array(table)
+    near = lambda i, j: (table[i] != table[j]).sum() <= 40 and keys[i] & keys[j]
     label = list(range(300))
     while True:
         new = [min(label[j] for j in range(300) if i == j or near(i, j)) for i in range(300)]
         if new == label:
             break
         label = new
-    for size in (4096, 5):
-        got = {r.node: r.label for r in simhash.components(simhash.wide_links(df, simhash.WIDE, size)).collect()}
-        assert [got.get(i, i) for i in range(300)] == label
+    df = spark.createDataFrame(rows, "node long, key long, w0 long, w1 long")
+    got = {r.node: r.label for r in simhash.components(simhash.shard_links(df, 40, tree_size)).collect()}
+    assert [got.get(i, i) for i in range(300)] == label
+
+
+def test_bands_meet_as_often_as_sets_are_alike():
+    rng = np.random.default_rng(7)
+    met = 0
+    for k in range(300):
+        common, a, b = np.split(rng.integers(0, 2**64, 900 + 112 + 113, dtype=np.uint64), [900, 1012])  # 0.8
+        keys = [simhash.band_keys(np.concatenate([common, x]), 14, 3) for x in (a, b)]
+        met += (keys[0] == keys[1]).sum()
+        fps = [np.frombuffer(simhash.wide_fingerprint(np.concatenate([common, x]), 2), np.uint64) for x in (a, b)]
+        assert (keys[0] == keys[1]).any() and np.bitwise_count(fps[0] ^ fps[1]).sum() <= simhash.NEAR.radius
+    assert abs(met / (300 * 14) - 0.512) < 0.04
 
 
 def test_near_copies_at_four_fifths_go_and_others_stay(make_docs):
@@ -174,3 +258,13 @@ def test_similarity_is_exact():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 9], [], list(range(100)))]
     assert simhash.alike(sets[0], sets[1], 0.8) and not simhash.alike(sets[0], sets[2], 0.8)
     assert not simhash.alike(sets[3], sets[0], 0.8) and not simhash.alike(sets[4], sets[1], 0.8)
+
+
+def test_recall_of_near_copies_in_documents(spark, sf_dir):
+    """All groups by exact five-word similarity, those between 0.8 and 1 among them, are the groups found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    label = exact_groups([texts[i] for i in ids])
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == {i for i, g in zip(ids, label, strict=True) if ids[g] == i} and len(kept) < len(ids)

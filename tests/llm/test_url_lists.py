@@ -1,5 +1,5 @@
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from floorgraph.llm import url_lists
 
@@ -57,3 +57,14 @@ def test_border_days(spark):
     captures = spark.createDataFrame([(k, "http://a.org/", DAY + timedelta(k), "h", "d") for k in (-1, 0, 9, 10, 19, 20, 300)], CAPTURES)
     out = {r.page_id: r.blocked for r in url_lists.match_captures(captures, entries).collect()}
     assert out == {-1: False, 0: True, 9: True, 10: False, 19: False, 20: True, 300: True}
+
+
+def test_times_within_a_day(spark):
+    at = lambda h, day=0: datetime(2024, 5, 31, h) + timedelta(day)
+    kinds = CAPTURES.replace("date", "timestamp"), ENTRIES.replace("date", "timestamp")
+    entries = [("P", "a.org", "add", at(10)), ("P", "a.org", "remove", at(14)), ("P", "a.org", "add", at(23)), ("P", "a.org", "remove", at(1, 1)), ("P", "b.org", "add", at(5)), ("P", "b.org", "remove", at(5))]
+    captures = [(k, f"http://{h}.org/" + "p" * 50_000, w, "h", "d") for k, (h, w) in enumerate((h, at(t, d)) for h in "ab" for t in (0, 5, 9, 10, 12, 14, 23) for d in (0, 1))]
+    out = url_lists.match_captures(spark.createDataFrame(captures, kinds[0]), spark.createDataFrame(entries, kinds[1]))
+    rows = sorted(str((r.page_id, r.host, r.fetched_on, r.blocked, r.n_active, r.domain, r.list_name)) for r in out.collect())
+    want = brute([c[:3] for c in captures], entries)
+    assert rows == want and sum("True" in r for r in rows) == 4

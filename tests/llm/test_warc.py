@@ -26,8 +26,8 @@ def brute(rows, least=100):
 def pages():
     rng = random.Random(8)
     bodies = ["<p>" + "é" * 60 + "</p>", "x" * 99, "y" * 100, "short", "", None, "\r\n\r\nWARC/1.0\r\n\r\n" * 20, "z" * 300_000]
-    urls = ["http://www.Example.org/a?b=1", "https://example.org:8443/", None, "", "not a url", "http://[bad", "http://exämple.de/ü x\n", "http://a.b.c/" + "p" * 3000]
-    rows = [(i, rng.choice(urls), rng.choice(bodies)) for i in range(60)]
+    urls = ["http://www.Example.org/a?b=1", "https://example.org:8443/", None, "", "not a url", "http://[bad", "http://exämple.de/ü x\n", "http://a.b.c/" + "p" * 3000, "a\tb", "no host\r\nhere", "http://[bad\n\tx", "http://a.b/\t\x00\x1f", "\t\n"]
+    rows = [(i, rng.choice(urls), rng.choice(bodies)) for i in range(90)]
     return [*rows, rows[5], rows[5], (None, urls[0], bodies[0]), (-4, urls[1], bodies[2])]
 
 
@@ -65,3 +65,10 @@ def test_one_capture_is_found_by_its_key(spark, tmp_path):
     asked = spark.createDataFrame([(warc.capture_key("http://h3.org/73", 73),), ("org,none)/ 1",)], "key string")
     found = warc.read_records(warc.look_up(asked, index)).collect()
     assert [(r.page_id, r.payload_digest) for r in found] == [(73, hashlib.sha256(b"body 73").hexdigest())]
+
+
+def test_control_characters_in_urls_lose_no_page(spark):
+    odd = ["a\tb", "a\nb", "a\rb", "http://[x\ny", "http://[x\ty", "http://h.org/\t", "\t", "\x00", "http://h\n.org/a b", " "]
+    rows = [(i, u, f"body {i}") for i, u in enumerate(odd * 2)]
+    assert rows_of(warc.archive_round_trip(make(spark, rows))) == brute(rows)
+    assert all(c > " " for u in odd for c in warc.sort_key(u))
