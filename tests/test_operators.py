@@ -229,6 +229,14 @@ def test_nearest_box_far_away_and_without_boxes(spark):
     assert near(boxes) == {1: 5, 2: 6, 3: None} and near(boxes.limit(0)) == {1: None, 2: None, 3: None}
 
 
+def test_nearest_box_ends_for_coordinates_that_are_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    points = spark.createDataFrame([(1, nan, 0.0), (2, 1.0, inf), (3, -inf, nan), (4, 11.0, 11.0)], "p int, x double, y double")
+    boxes = spark.createDataFrame([(5, 10.0, 10.0, 12.0, 12.0), (6, nan, 0.0, 1.0, 1.0), (7, None, None, None, None), (8, 0.0, 0.0, inf, 1.0)], "b int, x0 double, y0 double, x1 double, y1 double")
+    near = lambda b: {r.p: r.b for r in sp.nearest_box(points, b, "p", (F.col("x"), F.col("y")), "b", ("x0", "y0", "x1", "y1")).collect()}
+    assert near(boxes) == {1: None, 2: None, 3: None, 4: 5} and near(boxes.where("b = 7")) == {1: None, 2: None, 3: None, 4: None}
+
+
 def test_interpolation_is_clamped(spark):
     grid = spark.createDataFrame([("u", float(x)) for x in (-1, 0, 1, 3, 9)], "k string, place double")
     anchors = spark.createDataFrame([("u", 0.0, 0.0), ("u", 2.0, 4.0), ("u", 4.0, 4.0)], "k string, place double, v double")
