@@ -1,17 +1,17 @@
 """Cross-entropy difference between a target and a background bigram model.
 
-Both models are counted over the same pass, from one shared vocabulary, so
-their per-token losses are comparable: the vocabulary is every word that makes
-up at least 1/``vocab_share`` of the corpus (so at most ``vocab_share`` words,
-whatever the corpus' size) and one class for all other words.  Bigrams over it
-are counted exactly over all documents with sums before the exchange; what is
-gathered grows with the corpus and goes into the sharded count index that the
-scoring pass probes.  A document's score is the mean over its tokens of the
-target loss less the background loss: lower means closer to the target.
-
-With ``least`` the vocabulary is every word that occurs so often instead, which
-grows with the corpus: words go by a 64-bit hash, and the counts of words and
-of bigrams are in sharded indexes, so none of them is broadcast or gathered.
+Both models are counted over the same passes, from one shared vocabulary, so
+their per-token losses are comparable: the vocabulary is every word of the
+corpus, and grows with it.  Words go by a 64-bit hash.  Words and bigrams are
+counted exactly over all documents, with sums before the exchange; what is
+gathered stays in written tables, never on the driver.  A document's score is
+the mean over its tokens of the target loss less the background loss: lower
+means closer to the target.
+
+Where the counts fit a task's cache they go into sharded indexes that the
+scoring pass probes, row by row.  Beyond that the bigrams' losses are joined
+with the documents' bigrams and summed by document, so that no task reads more
+than its share of the counts.
 """
 
 from __future__ import annotations
@@ -19,21 +19,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorgraph.llm.common import text_batches, written
+from floorgraph.llm.common import written
 from floorgraph.llm.decontaminate import WordHashes
-from floorgraph.llm.shard_index import ShardIndex, batches_of, build_index
+from floorgraph.llm.shard_index import batches_of, build_index, fits_a_task
 
-VOCAB_SHARE, MIX = 65536, 0.7
-_START, _OTHER, _FIRST = 0, 1, 2  # word ids: start of a document, words out of the vocabulary, the first word
-_SHIFT = 20
-#: Bytes of text whose pairs are counted or looked up together, and distinct words a task sums before it emits.
-_BLOCK_BYTES, _MOST_SUMS = 2 << 20, 200_000
+MIX = 0.7
+#: Bytes of text whose pairs are counted or looked up together.
+_BLOCK_BYTES = 2 << 20
+#: Stands for the start of a document: the hash of what no word can be.
+_START = np.uint64(WordHashes()[b" start"])
+_TALLIES, _FIRSTS = ["n_target", "n_all"], ["first_target", "first_all"]
+_LOSSES = "n_tokens long, target_loss double, background_loss double, score double"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,131 +42,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        sums: Counter = Counter()
-
-        def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                sums.update(words_of(text.as_py()))
-                if len(sums) >= _MOST_SUMS:
-                    yield emit()
-                    sums.clear()
-        yield emit()
-
-    return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Words(dict):
-    """Word ids, the class of other words for those that have none."""
-
-    def __missing__(self, word: bytes) -> int:
-        return _OTHER
-
-
-def _ids(text: str | None, ids: Words) -> np.ndarray:
-    words = words_of(text)
-    out = np.empty(len(words) + 1, np.int64)
-    out[0] = _START
-    out[1:] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    return out
-
-
-def score(
-    docs: DataFrame,
-    target: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    vocab_share: int = VOCAB_SHARE,
-    mix: float = MIX,
-    least: int | None = None,
-) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
-
-    ``target`` marks the rows of the target corpus (null: not); the background
-    is all rows.  P(w | v) = mix * c(v, w) / c(v) + (1 - mix) * (c(w) + 1) /
-    (N + size), where size counts the vocabulary, the class of other words
-    among it, and the first term is left out where c(v) is zero.  Losses are
-    mean natural-log losses.  Null or wordless texts have no tokens and null
-    losses and score.  Repeated rows count each and get a row each.  An empty
-    table gives no rows.  Other columns are ignored.  With ``least`` the words
-    that occur so often in all rows are the vocabulary, whatever ``vocab_share``.
-    """
-    spark = docs.sparkSession
-    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    if least is not None:
-        return _score_all_words(marked, least, mix)
-    counted = written(word_counts(marked, "text"), "words")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counted.where(F.col("n") * F.lit(vocab_share) >= F.lit(total)).select("word")  # at most vocab_share words
-    ids = Words({w: k + _FIRST for k, w in enumerate(sorted(bytes(r.word) for r in frequent.collect()))})
-    shared = spark.sparkContext.broadcast(dict(ids))
-    size = len(ids) + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Words(shared.value)
-        for batch in batches:
-            rows = ((x, len(x[0] or "")) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for block in batches_of(rows, _BLOCK_BYTES):
-                keys, weights = [], []
-                for text, chosen in block:
-                    w = _ids(text, own)
-                    keys.append((w[:-1] << _SHIFT) | w[1:])
-                    weights.append(np.full(len(w) - 1, chosen))
-                distinct, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-                chosen = np.bincount(place, weights=np.concatenate(weights), minlength=len(distinct)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(chosen), pa.array(n.astype(np.int64))], names=["key", "n_target", "n_all"])
-
-    pairs = marked.select("text", "target").mapInArrow(count, "key long, n_target long, n_all long")
-    pairs = written(pairs.groupBy("key").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all")), "bigrams")
-    index = build_index(pairs.withColumn("mark", F.col("key")), ["n_target", "n_all"])
-    # by word: as the second of a pair, and as the first; at most vocab_share + 2 rows each
-    second, first = np.zeros((size + 1, 2)), np.zeros((size + 1, 2))
-    for to, word in ((second, F.col("key").bitwiseAND(F.lit((1 << _SHIFT) - 1))), (first, F.shiftright("key", _SHIFT))):
-        sums: pd.DataFrame = pairs.groupBy(word.cast("int").alias("word")).agg(F.sum("n_target").alias("t"), F.sum("n_all").alias("b")).toPandas()
-        to[sums["word"].to_numpy(np.int64)] = sums[["t", "b"]].to_numpy(np.float64)
-    single = (second + 1) / (second.sum(axis=0) + size)
-    tables = spark.sparkContext.broadcast((single, first))
-    schema = T.StructType([marked.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")])
-
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (single, first) = Words(shared.value), tables.value
-        for batch in batches:
-            out: list[tuple] = []
-            for block in batches_of(((t, len(t or "") + 64) for t in batch.column(1).to_pylist()), _BLOCK_BYTES):
-                words = [_ids(t, own) for t in block]
-                before = np.concatenate([w[:-1] for w in words])
-                after = np.concatenate([w[1:] for w in words])
-                keys, place = np.unique((before << _SHIFT) | after, return_inverse=True)
-                v, w = keys >> _SHIFT, keys & ((1 << _SHIFT) - 1)
-                pair = index.counts(keys.view(np.uint64), keys.view(np.uint64))
-                p = (1 - mix) * single[w] + mix * pair / np.maximum(first[v], 1)
-                loss = -np.log(p)[place]
-                n = np.array([len(x) - 1 for x in words])
-                ends = np.cumsum(n)
-                # sums of each document by itself, so that neighbours in the batch do not round them differently
-                for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
-                    if a == b:
-                        out.append((0, None, None, None))
-                    else:
-                        t, g = loss[a:b].sum(axis=0) / (b - a)
-                        out.append((b - a, float(t), float(g), float(t - g)))
-            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
-
-    return marked.select("doc_id", "text").mapInArrow(losses, schema)
-
-
-#: Stand-ins for the start of a document and for words out of the vocabulary: hashes of what no word can be.
-_NO_WORD = WordHashes()
-_START_HASH, _OTHER_HASH = np.uint64(_NO_WORD[b" start"]), np.uint64(_NO_WORD[b" other"])
-
-
 def _word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
     words = words_of(text)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -177,65 +53,92 @@ def _pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _in_vocabulary(h: np.ndarray, words: ShardIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, their rows of counts, place of each word among them); other words have their class' hash and zeros."""
-    distinct, place = np.unique(h, return_inverse=True)
-    rows = words.counts(distinct, distinct)
-    return np.where(rows[:, 1] > 0, distinct, _OTHER_HASH), rows, place
-
-
 def _befores(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The word before each, where a document ends before each of ``ends``."""
-    before = np.concatenate(([_START_HASH], words[:-1])) if len(words) else words.copy()
-    before[ends[ends < len(words)]] = _START_HASH
+    before = np.concatenate(([_START], words[:-1])) if len(words) else words.copy()
+    before[ends[ends < len(words)]] = _START
     return before
 
 
-def _sums(keys: np.ndarray, weights: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    distinct, place = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(place, weights=w, minlength=len(distinct)).astype(np.int64) for w in weights]
-    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, sums)], names=["key", *names])
+def _sums(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(place of each distinct key, sums of the weights by key)."""
+    _, place, back = np.unique(keys, return_index=True, return_inverse=True)
+    return place, [np.bincount(back, weights=w, minlength=len(place)).astype(np.int64) for w in weights]
 
 
-def _score_all_words(marked: DataFrame, least: int, mix: float) -> DataFrame:
-    tallies = ["n_target", "n_all", "first_target", "first_all"]
+def _batch(schema: str, columns: list[np.ndarray]) -> pa.RecordBatch:
+    names = [field.split()[0] for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(word hashes, whether of the target, ends of documents) of blocks of texts."""
-        known = WordHashes()
-        for batch in batches:
-            rows = ((x, len(x[0] or "") + 64) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for block in batches_of(rows, _BLOCK_BYTES):
-                words = [_word_hashes(t, known) for t, _ in block]
-                n = np.array([len(w) for w in words])
-                yield np.concatenate(words), np.repeat(np.array([c for _, c in block], bool), n), np.cumsum(n)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, chosen, ends in blocks(batches):
+
+def _blocks(batches: Iterator[pa.RecordBatch], known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word hashes, whether of the target, ends of documents) of blocks of (text, target) rows."""
+    for batch in batches:
+        rows = ((x, len(x[0] or "") + 64) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for block in batches_of(rows, _BLOCK_BYTES):
+            words = [_word_hashes(t, known) for t, _ in block]
+            n = np.array([len(w) for w in words])
+            yield np.concatenate(words), np.repeat(np.array([c for _, c in block], bool), n), np.cumsum(n)
+
+
+def word_counts(marked: DataFrame) -> DataFrame:
+    """(key, n_target, n_all, first_target, first_all): occurrences of each word, and those that another word follows."""
+    schema = "key long, n_target long, n_all long, first_target long, first_all long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, chosen, ends in _blocks(batches, WordHashes()):
             followed = np.ones(len(h), bool)
             followed[ends[ends > 0] - 1] = False
-            yield _sums(h, [chosen, np.ones(len(h)), chosen & followed, followed], tallies)
-
-    summed = lambda df, names: df.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
-    counted = written(summed(marked.select("text", "target").mapInArrow(count_words, "key long, n_target long, n_all long, first_target long, first_all long"), tallies), "words")
-    rest = F.when(F.col("n_all") < least, 1).otherwise(0)
-    of = lambda c, weight=1: F.coalesce(F.sum(F.col(c) * weight), F.lit(0)).alias(c)
-    total = np.array(counted.agg(*[of(c) for c in tallies]).first(), np.int64)
-    other = np.array(counted.agg(*[of(c, rest) for c in tallies]).first(), np.int64)
-    vocabulary = counted.where(F.col("n_all") >= least)
-    size = vocabulary.count() + 1
-    words = build_index(vocabulary.withColumn("mark", F.col("key")), tallies)
-    started = total[:2] - total[2:]  # documents with words: their last word has no follower
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, chosen, ends in blocks(batches):
-            distinct, _, place = _in_vocabulary(h, words)
-            w = distinct[place]
-            yield _sums(_pair_hashes(_befores(w, ends), w), [chosen, np.ones(len(h))], tallies[:2])
-
-    pairs = written(summed(marked.select("text", "target").mapInArrow(count_pairs, "key long, n_target long, n_all long"), tallies[:2]), "bigrams")
-    index = build_index(pairs.withColumn("mark", F.col("key")), tallies[:2])
-    schema = T.StructType([marked.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")])
+            place, sums = _sums(h, [chosen, np.ones(len(h)), chosen & followed, followed])
+            yield _batch(schema, [h[place], *sums])
+
+    found = marked.select("text", "target").mapInArrow(run, schema)
+    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in _TALLIES + _FIRSTS])
+
+
+def bigram_counts(marked: DataFrame) -> DataFrame:
+    """(key, n_target, n_all, before, after): occurrences of each bigram, and its words."""
+    schema = "key long, n_target long, n_all long, before long, after long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, chosen, ends in _blocks(batches, WordHashes()):
+            v = _befores(h, ends)
+            keys = _pair_hashes(v, h)
+            place, sums = _sums(keys, [chosen, np.ones(len(h))])
+            yield _batch(schema, [keys[place], *sums, v[place], h[place]])
+
+    found = marked.select("text", "target").mapInArrow(run, schema)
+    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in _TALLIES], F.min("before").alias("before"), F.min("after").alias("after"))
+
+
+def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", mix: float = MIX) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
+
+    ``target`` marks the rows of the target corpus (null: not); the background
+    is all rows.  P(w | v) = mix * c(v, w) / c(v) + (1 - mix) * (c(w) + 1) /
+    (N + size), where size counts the distinct words of all rows, N the tokens
+    of the model's corpus, v may be the start of the document, and the first
+    term is left out where c(v) is zero.  Losses are mean natural-log losses.
+    Null or wordless texts have no tokens and null losses and score.  Repeated
+    rows count each and get a row each.  An empty table gives no rows.  Other
+    columns are ignored.
+    """
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    words = written(word_counts(marked), "words")
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    row = words.agg(*[of(c) for c in _TALLIES + _FIRSTS], F.count("*").alias("size")).first()
+    total, size = np.array(row[:2], np.int64), row["size"]
+    started = total - np.array(row[2:4], np.int64)  # documents with words: their last word has no follower
+    pairs = written(bigram_counts(marked), "bigrams")
+    if fits_a_task(words, 4) and fits_a_task(pairs, 2):
+        return _by_probes(marked, words, pairs, total, size, started, mix)
+    return _by_joins(marked, words, pairs, total, size, started, mix)
+
+
+def _by_probes(marked: DataFrame, words: DataFrame, pairs: DataFrame, total: np.ndarray, size: int, started: np.ndarray, mix: float) -> DataFrame:
+    known_words = build_index(words.withColumn("mark", F.col("key")), _TALLIES + _FIRSTS)
+    known_pairs = build_index(pairs.withColumn("mark", F.col("key")), _TALLIES)
+    schema = T.StructType([marked.schema["doc_id"], *T.StructType.fromDDL(_LOSSES)])
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -245,16 +148,17 @@ def _score_all_words(marked: DataFrame, least: int, mix: float) -> DataFrame:
                 texts = [_word_hashes(t, known) for t in block]
                 n = np.array([len(x) for x in texts])
                 ends = np.cumsum(n)
-                distinct, rows, place = _in_vocabulary(np.concatenate(texts), words)
-                rows = np.where((distinct == _OTHER_HASH)[:, None], other, rows)
-                w = distinct[place]
-                v = _befores(w, ends)
-                first = np.concatenate((rows[:1, 2:], rows[place[:-1], 2:])) if len(w) else rows[:, 2:]
-                first[v == _START_HASH] = started
-                keys, at, back = np.unique(_pair_hashes(v, w), return_index=True, return_inverse=True)
-                single = (rows[place[at], :2] + 1) / (total[:2] + size)
-                p = (1 - mix) * single + mix * index.counts(keys, keys) / np.maximum(first[at], 1)
+                h = np.concatenate(texts)
+                v = _befores(h, ends)
+                keys, at, back = np.unique(_pair_hashes(v, h), return_index=True, return_inverse=True)
+                distinct, place = np.unique(h, return_inverse=True)
+                rows = known_words.counts(distinct, distinct)
+                single = (rows[place[at], :2] + 1) / (total + size)
+                first = rows[place[np.maximum(at - 1, 0)], 2:]
+                first[v[at] == _START] = started
+                p = (1 - mix) * single + mix * known_pairs.counts(keys, keys) / np.maximum(first, 1)
                 loss = -np.log(p)[back]
+                # sums of each document by itself, so that neighbours in the batch do not round them differently
                 for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
                     if a == b:
                         out.append((0, None, None, None))
@@ -265,3 +169,33 @@ def _score_all_words(marked: DataFrame, least: int, mix: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
     return marked.select("doc_id", "text").mapInArrow(losses, schema)
+
+
+def _by_joins(marked: DataFrame, words: DataFrame, pairs: DataFrame, total: np.ndarray, size: int, started: np.ndarray, mix: float) -> DataFrame:
+    second = words.select(F.col("key").alias("_w"), *[F.col(c).alias(f"_{c}") for c in _TALLIES])
+    first = words.select(F.col("key").alias("_v"), *_FIRSTS)
+    known = pairs.join(second, F.col("after") == F.col("_w")).join(first, F.col("before") == F.col("_v"), "left")
+    starts = F.col("before") == F.lit(int(_START.astype(np.int64)))
+
+    def loss(k: int) -> Column:
+        before = F.greatest(F.when(starts, F.lit(int(started[k]))).otherwise(F.col(_FIRSTS[k])), F.lit(1))
+        single = (F.col(f"_{_TALLIES[k]}") + 1) / F.lit(int(total[k]) + size)
+        return -F.log((1 - mix) * single + mix * F.col(_TALLIES[k]) / before)
+
+    known = written(known.select("key", loss(0).alias("t"), loss(1).alias("b")), "losses")
+    rows = marked.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit("row"), "doc_id", "text").alias("mark"))
+    schema = "row long, mark long, pair long, n long"
+
+    def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for text, row, mark in zip(*batch.columns, strict=True):
+                h = _word_hashes(text.as_py(), hashes)
+                keys, n = np.unique(_pair_hashes(_befores(h, np.empty(0, np.int64)), h), return_counts=True)
+                yield _batch(schema, [np.full(len(keys), row.as_py()), np.full(len(keys), mark.as_py()), keys, n])
+
+    asked = rows.dropDuplicates(["row", "mark"]).select("text", "row", "mark").mapInArrow(own_pairs, schema)
+    weighted = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}") for c in "tb"]
+    summed = asked.join(known, F.col("pair") == F.col("key")).groupBy(F.col("row").alias("_row"), F.col("mark").alias("_mark")).agg(F.sum("n").alias("_n"), *weighted)
+    found = rows.drop("text").join(summed, (F.col("row") == F.col("_row")) & (F.col("mark") == F.col("_mark")), "left")
+    return found.select("doc_id", F.coalesce("_n", F.lit(0)).alias("n_tokens"), F.col("_t").alias("target_loss"), F.col("_b").alias("background_loss"), (F.col("_t") - F.col("_b")).alias("score"))

@@ -177,10 +177,8 @@ def oracle_sql() -> dict[str, str]:
         "op10_cross_entropy": f"""
             with w as (select doc_id, source in ('src1', 'src2') as t, [x for x in {_WORDS.format(t='text')} if x <> ''] as w from documents),
                  x as (select doc_id, coalesce(t, false) as t, unnest(w) as w, generate_subscripts(w, 1) as i from w),
-                 v as (select w from x group by w having count(*) * 65536 >= (select count(*) from x)),
-                 y as (select doc_id, t, i, case when w in (select w from v) then w else '' end as w from x),
-                 z as (select *, coalesce(lag(w) over (partition by doc_id order by i), '<s>') as v from y),
-                 n as (select count(*) filter (t) as nt, count(*) as nb, (select count(*) from v) + 1 as size from z),
+                 z as (select *, coalesce(lag(w) over (partition by doc_id order by i), '<s> ') as v from x),
+                 n as (select count(*) filter (t) as nt, count(*) as nb, count(distinct w) as size from z),
                  u as (select w, count(*) filter (t) as t, count(*) as b from z group by w),
                  f as (select v, count(*) filter (t) as t, count(*) as b from z group by v),
                  g as (select v, w, count(*) filter (t) as t, count(*) as b from z group by v, w),

@@ -5,16 +5,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from floorgraph.llm import lm_score
+from floorgraph.llm import lm_score, shard_index
 
 
-def brute(rows, share, mix=0.7):
+def brute(rows, mix=0.7):
     words = [[w.decode() for w in lm_score.words_of(t)] for _, t, _ in rows]
-    total = Counter(w for ws in words for w in ws)
-    n = sum(total.values())
-    vocab = {w for w, c in total.items() if c * share >= n}
-    size = len(vocab) + 1
-    mapped = [["<s>"] + [w if w in vocab else "" for w in ws] for ws in words]
+    size = len({w for ws in words for w in ws})
+    mapped = [["<s> ", *ws] for ws in words]
     models = []
     for own in (lambda k: rows[k][2], lambda k: True):
         pairs = Counter(p for k, ws in enumerate(mapped) if own(k) for p in zip(ws, ws[1:], strict=False))
@@ -33,19 +30,22 @@ def brute(rows, share, mix=0.7):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("share", [65536, 40])
-def test_same_as_brute_force(make_docs, odd_pairs, share):
+@pytest.mark.parametrize("cache", [None, 0])
+def test_same_as_brute_force(make_docs, odd_pairs, monkeypatch, cache):
+    if cache is not None:  # beyond a task's cache losses are joined
+        monkeypatch.setattr(shard_index, "CACHE_BYTES", cache)
     rng = random.Random(3)
     pool = [f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(4000)]
-    pairs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(90)))) for i in range(200)] + [p for p in odd_pairs if p[1] is None or len(p[1]) < 50_000]
+    pairs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(90)))) for i in range(200)] + odd_pairs
     docs = make_docs(pairs)
     rows = [(r.doc_id, r.text, r.source == "src1") for r in docs.collect()]
-    out = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(docs, F.col("source") == "src1", vocab_share=share).collect()), key=str)
-    want = brute(rows, share)
+    out = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(docs, F.col("source") == "src1").collect()), key=str)
+    want = brute(rows)
     assert len(out) == len(want)
     for a, b in zip(out, want, strict=True):
         assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None)
         assert a[2] is None or (math.isclose(a[2], b[2], rel_tol=1e-9) and math.isclose(a[3], b[3], rel_tol=1e-9))
+    assert lm_score.score(make_docs([]), F.lit(True)).count() == 0
 
 
 def test_score_prefers_the_target(make_docs):
@@ -53,24 +53,3 @@ def test_score_prefers_the_target(make_docs):
     docs = make_docs(pairs)
     out = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") % 4 == 1).collect()}
     assert out[1] < 0 < out[2]
-
-
-def test_empty_table(make_docs):
-    assert lm_score.score(make_docs([]), F.lit(True)).count() == 0
-
-
-def test_all_words_that_occur_twice(make_docs, odd_pairs):
-    rng = random.Random(4)
-    pool = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(4000)]
-    pairs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(90)))) for i in range(200)] + [p for p in odd_pairs if p[1] is None or len(p[1]) < 50_000]
-    docs = make_docs(pairs)
-    rows = [(r.doc_id, r.text, r.source == "src1") for r in docs.collect()]
-    n = sum(len(lm_score.words_of(t)) for _, t, _ in rows)
-    want = brute(rows, n / 2)  # a share of n / 2 is a count of two
-    # a share of 40 as well, which has no say then
-    out = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(docs, F.col("source") == "src1", vocab_share=40, least=2).collect()), key=str)
-    assert len(out) == len(want)
-    for a, b in zip(out, want, strict=True):
-        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None)
-        assert a[2] is None or (math.isclose(a[2], b[2], rel_tol=1e-9) and math.isclose(a[3], b[3], rel_tol=1e-9))
-    assert lm_score.score(make_docs([]), F.lit(True), least=2).count() == 0
