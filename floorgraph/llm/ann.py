@@ -6,11 +6,14 @@ part of a sample vector from the vector.  It deals every row into its most
 probable part, and every query to the several most probable ones, whose rows
 are ranked by the exact inner product in double precision.  How many parts are
 probed is calibrated on sample vectors that the classifier did not see, so
-that the target recall is met.
+that the target recall is met; a query goes on to further parts, in its order of
+probability, until those hold enough rows for a whole answer.  A target of one
+probes all parts, which is exact.
 
 Equal vectors are one row of the index with their smallest ids, as many as a
-result can hold, and one query.  A part is dealt into chunks of bounded size,
-so neither a hot vector nor a hot part is one task's.
+result can hold, and one query.  Both the rows and the queries of a part are
+dealt into chunks of bounded size, a cell for each pair of chunks, so neither a
+hot vector nor a hot part is one task's.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from floorgraph.llm.common import written
 
-SAMPLE_ROWS, CHUNK_ROWS, PART_ROWS, TARGET_RECALL = 8192, 8192, 128, 0.97
+SAMPLE_ROWS, CHUNK_ROWS, TARGET_RECALL = 8192, 8192, 0.96
+#: Sample rows that a part of its own needs to be learned.
+ROWS_TO_LEARN = 16
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -101,33 +106,31 @@ class Router:
 
 
 def train(x: np.ndarray, depth: int, k: int, target: float = TARGET_RECALL) -> tuple[Router, int]:
-    """Router and number of parts to probe, from the sample."""
+    """Router and number of parts to probe, from the sample; all parts for a target of one."""
     n_parts = 1 << depth
-    if depth == 0 or len(x) <= 4 * n_parts:
-        d = x.shape[1] if x.ndim == 2 and len(x) else 1
-        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, n_parts)), np.zeros(n_parts)), n_parts
+    if not depth:
+        d = x.shape[1]
+        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
     test = np.arange(len(x)) % 10 == 0
     fit, asked = x[~test], x[test]
-    degree = min(k, len(fit) - 1)
-    part = balanced_parts(neighbour_graph(fit, degree), fit, depth)
+    k = min(k, len(fit) - 1)
+    part = balanced_parts(neighbour_graph(fit, k), fit, depth)
     router = Router.fit(fit, part, n_parts)
+    if target >= 1:
+        return router, n_parts
     dealt = router.logits(fit).argmax(axis=1)
-    k = min(k, len(fit))
     scores = asked @ fit.T
     near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     rank = np.empty((len(asked), n_parts), np.int64)
     np.put_along_axis(rank, np.argsort(-router.logits(asked), axis=1), np.arange(n_parts)[None, :].repeat(len(asked), 0), axis=1)
-    needed = np.take_along_axis(rank, dealt[near], axis=1)
-    for probes in range(1, n_parts + 1):
-        if (needed < probes).mean() >= target:
-            return router, probes
-    return router, n_parts
+    needed = np.sort(np.take_along_axis(rank, dealt[near], axis=1), axis=None)
+    return router, int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
 
 
 def parts_depth(n: int, sample_rows: int) -> int:
-    """Levels of bisection: about half the root of n parts, at least PART_ROWS rows each, and enough sample rows to learn each."""
-    wanted = np.log2(max(n, 1) ** 0.5 / 2)
-    return int(np.clip(round(min(wanted, np.floor(np.log2(max(n / PART_ROWS, 1))), np.log2(max(1, sample_rows // 64)))), 0, None))
+    """Levels of bisection: about the root of n parts, as far as the sample has rows to learn each."""
+    learnable = max(1, min(n, sample_rows) // ROWS_TO_LEARN)
+    return int(min(round(np.log2(max(n, 1)) / 2), np.floor(np.log2(learnable))))
 
 
 def nearest(
@@ -148,7 +151,7 @@ def nearest(
     vectors and ids, zero vectors and those with null, NaN or infinite
     components or of another length than most take no part.  Rows that repeat
     an id and vector count once.  Fewer than ``k`` candidates: all.  An empty
-    table gives no rows.  Other columns are ignored.
+    table gives no rows.  Other columns are ignored.  ``target_recall`` 1 is exact.
     """
     vec = F.transform(F.col("v"), lambda e: e.cast("double"))
     sound = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
@@ -166,23 +169,35 @@ def nearest(
     x = np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, max(dim, 1)))
     depth = parts_depth(n, sample_rows)
     router, probes = train(x, depth, k, target_recall)
+    best = k + 1
     shared = vectors.sparkSession.sparkContext.broadcast(router)
 
+    @F.pandas_udf("int")
+    def to_part(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.logits(np.stack(v.to_numpy())).argmax(axis=1) if len(v) else [], dtype="int32")
+
+    dealt = written(points.withColumn("part", to_part("v")), "parts")
+    sizes = np.zeros(1 << depth, np.int64)
+    for r in dealt.groupBy("part").count().collect():  # a row for each part
+        sizes[r["part"]] = r["count"]
+
     @F.pandas_udf("array<int>")
-    def to_parts(v: pd.Series, how_many: pd.Series) -> pd.Series:
-        z = shared.value.logits(np.stack(v.to_numpy())) if len(v) else np.zeros((0, 1))
-        most = int(how_many.max()) if len(v) else 1
-        top = np.argsort(-z, axis=1, kind="stable")[:, :most].astype(np.int32)
-        return pd.Series([t[:m] for t, m in zip(top, how_many, strict=True)])
-
-    dealt = written(points.withColumn("part", F.element_at(to_parts("v", F.lit(1)), 1)), "parts")
-    chunks = dealt.groupBy("part").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("chunks"))
-    chunks = F.broadcast(chunks)  # a row for each part
-    held = dealt.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int")).select("part", "chunk", "point", "v")
+    def to_parts(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        order = np.argsort(-shared.value.logits(np.stack(v.to_numpy())), axis=1, kind="stable").astype(np.int32)
+        enough = (np.cumsum(sizes[order], axis=1) < best).sum(axis=1) + 1
+        return pd.Series([row[: max(probes, m)] for row, m in zip(order, enough, strict=True)])
+
     queries = rows.where(F.pmod("id", F.lit(query_every)) == 0).select(F.col("id").alias("query_id"), "v")
     distinct = queries.groupBy("v").agg(F.min("query_id").alias("asked"))
-    routed = distinct.withColumn("part", F.explode(to_parts("v", F.lit(probes)))).join(chunks, "part").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("part", "chunk", "asked", "v")
-    best = k + 1
+    routed = written(distinct.withColumn("part", F.explode(to_parts("v"))).select("part", "asked", "v"), "queries")
+    count = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias(name))
+    chunks = F.broadcast(count(dealt, "chunks").join(count(routed, "batches"), "part"))  # a row for each part
+    own = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = dealt.join(chunks, "part").select("part", own("point", "chunks").alias("chunk"), every("batches").alias("batch"), "point", "v")
+    routed = routed.join(chunks, "part").select("part", every("chunks").alias("chunk"), own("asked", "batches").alias("batch"), "asked", "v")
 
     def rank(cell: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out_q, out_p, out_s = [], [], []
@@ -202,7 +217,7 @@ def nearest(
         empty = [np.zeros(0, np.int64)]
         return pd.DataFrame({"asked": np.concatenate(out_q or empty), "point": np.concatenate(out_p or empty), "score": np.concatenate(out_s or [np.zeros(0)])})
 
-    ranked = routed.groupBy("part", "chunk").cogroup(held.groupBy("part", "chunk")).applyInPandas(rank, "asked long, point long, score double")
+    ranked = routed.groupBy("part", "chunk", "batch").cogroup(held.groupBy("part", "chunk", "batch")).applyInPandas(rank, "asked long, point long, score double")
     by_query = Window.partitionBy("asked").orderBy(F.desc("score"), "point")
     top = ranked.withColumn("_n", F.row_number().over(by_query)).where(F.col("_n") <= best)
     # the points' ids, ordered by score and id: at most (k + 1) squared a query

@@ -11,7 +11,7 @@ def make(spark, rows):
 
 
 def exact(rows, k, every):
-    clean = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    clean = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == len(rows[0][1]) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = np.array([i for i, _ in clean])
     x = np.array([v for _, v in clean], np.float32).astype(np.float64)
     out = {}
@@ -31,12 +31,13 @@ def got(df):
     return out
 
 
-def test_small_tables_are_searched_whole(spark):
+def test_all_parts_are_exact(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(150)]
     rows += [(200 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(90)]  # a hot vector, some of its rows queries
+    rows += [(410, [1.0] * 7), (420, [2.0])]  # of another length than most
     rows += [rows[3], rows[3], (400, None), (401, [0.0] * 6), (402, [float("nan")] * 6), (403, [None] * 6), (404, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6), (405, [])]
-    out = got(ann.nearest(make(spark, rows), k=20, query_every=10, chunk_rows=40))
+    out = got(ann.nearest(make(spark, rows), k=20, query_every=10, chunk_rows=40, target_recall=1))
     want = exact(rows, 20, 10)
     assert out.keys() == want.keys()
     for q, near in want.items():
@@ -67,6 +68,32 @@ def test_recall_on_clustered_vectors(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_few_rows_still_answer_in_full(spark):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 5, 22, 40, 70):
+        rows = [(i, rng.normal(size=4).tolist()) for i in range(n)]
+        out = got(ann.nearest(make(spark, rows), k=20, query_every=1, target_recall=0.5))
+        assert [len(out.get(i, [])) for i in range(n)] == [min(20, n - 1)] * n
+
+
+def test_parts_grow_with_the_rows():
+    assert [1 << ann.parts_depth(n, ann.SAMPLE_ROWS) for n in (0, 1, 15, 500, 2000, 10_000, 10**9)] == [1, 1, 1, 16, 32, 128, 512]
+
+
+def test_the_query_prunes_and_finds(spark, capsys):
+    """Of the parts of the largest sample some are left out, and nine tenths or more of the true neighbours are found."""
+    d = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
+    x = np.unique(np.array([v for _, v in rows], float), axis=0)
+    depth = ann.parts_depth(len(x), ann.SAMPLE_ROWS)
+    _, probes = ann.train(x, depth, 20)
+    out, want = got(op7_learned_partitions(spark, d)), exact(rows, 20, 20)
+    hits = sum(len({i for i, _ in near} & {i for i, _ in out[q]}) for q, near in want.items())
+    with capsys.disabled():
+        print(f" {probes} of {1 << depth} parts probed, recall {hits / sum(map(len, want.values())):.3f}")
+    assert depth > 4 and probes < 0.95 * (1 << depth) and 0.9 <= hits / sum(map(len, want.values())) < 1
+
+
 def test_recall_of_the_query(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     out, want = got(op7_learned_partitions(spark, sf_dir)), exact(rows, 20, 20)
