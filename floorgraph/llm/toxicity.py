@@ -8,9 +8,12 @@ phrases in which an entry is harmless are exceptions and cancel the hits inside
 them.  A text's weighted hits, as such and by its length in words, go through a
 logistic curve.
 
-Learning uses at most ``sample_rows`` labelled rows, near copies among them
-counted once.  Scoring is row-local; the lexicon (at most ``lexicon_size``
-entries) travels with the tasks.
+Learning uses at most ``sample_rows`` labelled rows, near copies of one label
+among them counted once.  They are written to the shared folder in one pass
+over the documents; all else that is learned reads these rows only.  An entry
+occurs in a hundredth of the toxic ones or more, so that the lexicon is bounded
+by the sample and the length of its texts.  Scoring is row-local; the lexicon
+travels with the tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +25,16 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from floorgraph.llm.common import written
+from floorgraph.llm.simhash import alike
+
 
 # Letters of other alphabets that look like Latin ones, and what stands for letters.
 HOMOGLYPHS = {
@@ -40,7 +47,9 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"}
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _SIGN = re.compile(r"(?<![^\s])[@$](?=[^\W_])|(?<=[^\W_])[@$!|+€](?=[^\W_])")
 _PREFIXES = (4, 5, 6, 7, 8)
-SAMPLE_ROWS, LEXICON_SIZE = 20_000, 2_000
+SAMPLE_ROWS = 20_000
+#: Shingle similarity of labelled rows that count once.
+ALIKE = 0.8
 
 
 class _Fold(dict):
@@ -128,10 +137,10 @@ def _candidates(text: str | None) -> set[str]:
     return out
 
 
-def _signature(text: str | None) -> int:
-    """One MinHash of the text's runs of five words."""
+def _shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the text's distinct runs of five folded words."""
     words = fold(text).split()
-    return min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.uint64))
 
 
 def _mapped(df: DataFrame, rows_of, schema: str) -> DataFrame:
@@ -161,39 +170,57 @@ def _mapped(df: DataFrame, rows_of, schema: str) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``sample_rows`` labelled documents, near copies once.
+    """(text, toxic) of at most ``sample_rows`` labelled documents, near copies of one label once, as a written table.
 
     The rows are those of smallest hashed id, so the draw depends on nothing
-    but the ids; ids with two different labels are left out.
+    but the ids; ids with two different labels are left out.  Of rows whose
+    smallest two shingle hashes agree, one goes if its shingle similarity to one
+    that stays is ``ALIKE`` or more.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most")
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     drawn = F.broadcast(drawn)  # at most sample_rows rows of two numbers
     chosen = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    fields = "text string, toxic int, doc_id {}, a long, b long"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = pa.array([_signature(t.as_py()) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), s], names=["doc_id", "signature"])
+        for batch in batches:
+            least = np.array([(*_shingles(t.as_py())[:2].view(np.int64), 0)[:2] for t in batch.column(1)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0), pa.array(least[:, 0]), pa.array(least[:, 1])], names=["text", "toxic", "doc_id", "a", "b"])
+
+    signed = written(chosen.mapInArrow(sign, fields.format(docs.schema["doc_id"].dataType.simpleString())), "signed")
+
+    def once(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "text"])
+        kept: dict[int, np.ndarray] = {}
+        for place, text in enumerate(pdf["text"]):
+            h = _shingles(text)
+            if not any(alike(h, k, ALIKE) for k in kept.values()):
+                kept[place] = h
+        return pdf.iloc[list(kept)][["text", "toxic"]]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    one = chosen.mapInArrow(sign, f"doc_id {kind}, signature long").groupBy("signature").agg(F.min("doc_id").alias("_one")).select("_one")
-    return chosen.join(F.broadcast(one), F.col("doc_id") == F.col("_one"), "left_semi").select("text", "toxic")
+    return written(signed.groupBy("a", "b", "toxic").applyInPandas(once, "text string, toxic int"), "training")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Lexicon, exceptions and curve from the labelled rows (doc_id, toxic) among ``docs`` (doc_id, text)."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Lexicon, exceptions and curve from the labelled rows (doc_id, toxic) among ``docs`` (doc_id, text).
+
+    Labels other than 0 and 1, null ids and ids that ``docs`` lacks teach
+    nothing; null and empty texts teach the curve's base only.  Of repeated ids
+    each row counts.  Without rows of both labels the lexicon is empty and no
+    text scores one half.
+    """
     rows = training_rows(docs, labels, sample_rows)
     by_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_tox, n_non = by_label.get(1, 0), by_label.get(0, 0)
-    base = math.log((n_tox + 0.5) / (n_non + 1))
     if not n_tox or not n_non:
-        return Lexicon({}, tuple(exceptions), (base, 0.0, 0.0))
+        return Lexicon({}, tuple(exceptions), (math.log(0.5 / (n_non + 1)), 0.0, 0.0))
     least = max(4, math.ceil(0.01 * n_tox))
     counts = _mapped(rows, _candidates, "entry string, toxic int, n long")
     odds = F.log((F.col("tox") + 0.5) / F.lit(n_tox + 1)) - F.log((F.col("non") + 0.5) / F.lit(n_non + 1))
-    strong = counts.where(F.col("tox") >= least).withColumn("w", odds).where("w >= 3").orderBy(F.desc("tox"), "entry").limit(4 * lexicon_size).collect()
-    weights = _entries({r["entry"]: (r["tox"], float(r["w"])) for r in strong}, lexicon_size)
+    # a text's candidates are in a hundredth of the toxic texts or more: a hundred texts' worth at most
+    strong = counts.where(F.col("tox") >= least).withColumn("w", odds).where("w >= 3").collect()
+    weights = _entries({r["entry"]: (r["tox"], float(r["w"])) for r in strong})
     lexicon = Lexicon(weights, tuple(exceptions))
     automaton = lexicon.automaton()
 
@@ -207,8 +234,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
             f"{a[1]} {b[1]}" for a, b in zip(words, words[1:], strict=False) if a[0] in found or b[0] in found
         }
 
-    # harmless where several texts have the phrase and none of them is toxic
-    harmless = _mapped(rows, phrases, "entry string, toxic int, n long").where("tox = 0 and non >= 5").orderBy(F.desc("non"), "entry").limit(lexicon_size).collect()
+    # harmless where several texts have the phrase and none of them is toxic: the sample's texts bound them
+    harmless = _mapped(rows, phrases, "entry string, toxic int, n long").where("tox = 0 and non >= 5").orderBy("entry").collect()
     lexicon = Lexicon(weights, (*exceptions, *(r["entry"] for r in harmless)))
     final = lexicon.automaton()
 
@@ -221,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     return Lexicon(weights, lexicon.exceptions, _logistic(pdf[["a", "b"]].to_numpy(), pdf["y"].to_numpy()))
 
 
-def _entries(strong: dict[str, tuple[int, float]], most: int) -> dict[str, float]:
+def _entries(strong: dict[str, tuple[int, float]]) -> dict[str, float]:
     """One entry of each family of candidates that share a beginning, the most telling families first.
 
     A family starts at its shortest beginning and is narrowed to a longer one
@@ -245,8 +272,6 @@ def _entries(strong: dict[str, tuple[int, float]], most: int) -> dict[str, float
         if any(e.startswith(entry) or entry.startswith(e) for e in weights):
             continue
         weights[entry] = strong[entry][1]
-        if len(weights) >= most:
-            break
     return weights
 
 
@@ -292,7 +317,11 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns as they were."""
+    """``docs`` without the rows that score ``threshold`` or more; columns as they were.
+
+    Null and empty texts have the curve's base score; repeated rows stay or go
+    together; an empty table gives no rows.
+    """
     place, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,21 @@ def test_odd_rows(make_docs, odd_pairs, learned):
     assert toxicity.score(make_docs([]), learned[2]).count() == 0
 
 
+def test_labels_of_one_kind_teach_nothing(spark, make_docs):
+    docs = make_docs([(i, f"some text {i}") for i in range(20)])
+    for toxic in (0, 1):
+        lexicon = toxicity.learn(docs, spark.createDataFrame([(i, 1, toxic) for i in range(20)], LABELS))
+        assert toxicity.drop_toxic(docs, lexicon).count() == 20
+
+
+def test_near_copies_of_one_label_count_once(spark, make_docs):
+    words = [f"word{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words), " ".join(words[:40] + [f"other{k}" for k in range(60)])]
+    docs, labels = make_docs(list(enumerate(texts))), [(0, 1, 0), (1, 1, 0), (2, 1, 1), (3, 1, 0)]
+    rows = toxicity.training_rows(docs, spark.createDataFrame(labels, LABELS)).collect()
+    assert sorted(map(tuple, rows)) == sorted([(texts[0], 0), (texts[2], 1), (texts[3], 0)])
+
+
 def test_without_labels_nothing_is_toxic(spark, make_docs, odd_pairs):
     lexicon = toxicity.learn(make_docs(odd_pairs), spark.createDataFrame([], LABELS))
     assert all(r.score < 0.5 for r in toxicity.score(make_docs(odd_pairs), lexicon).collect())
