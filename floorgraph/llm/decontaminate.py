@@ -2,23 +2,27 @@
 
 The test items are short, the documents long, and what counts is containment:
 the share of an *item's* shingles that a document holds.  The items are
-partitioned by their number of shingles.  Each size class has its own sketch
-length k, from the class's largest size u and the threshold t: an item that is
-contained to at least t misses at most floor((1 - t) * u) of its shingles, so
-among its k = floor((1 - t) * u) + 1 smallest min-wise hashes (its bottom-k
-MinHash) at least one is in the document.  Probing every shingle of a document
-against the sketches therefore finds every contained item, unlike banded
-signatures of the whole document, whose Jaccard similarity to a short item is
-close to zero however it is partitioned.  Candidates are verified by exact
-shingle containment.
+partitioned by their number of shingles, those of fewer words than a shingle by
+their words.  Each size class has its own sketch length k, from the class's
+largest size u and the threshold t: an item that is contained to at least t
+misses at most floor((1 - t) * u) of its shingles, so among its k =
+floor((1 - t) * u) + 1 smallest min-wise hashes (its bottom-k MinHash) at least
+one is in the document.  Each class has its own table of sketches, and a
+document searches the classes whose items it is long enough to hold.  Probing
+every shingle of a document against a class' sketches therefore finds every
+contained item, unlike banded signatures of the whole document, whose Jaccard
+similarity to a short item is close to zero however it is partitioned.
+Candidates are verified by exact shingle containment.
 
 The documents are read once, row by row, and never exchanged.  The items are a
 query set: they go to the tasks in blocks of at most ``block_bytes`` of text, a
-pass over the documents each.
+pass over the documents each.  Blocks are built one at a time and lie in the
+shared folder, from which tasks read them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from floorgraph.llm.common import open_fs, shared_path
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Item text that one pass over the documents takes along.
@@ -75,54 +80,74 @@ def shingles(words: list[bytes], n: int) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
+@dataclass
+class SizeClass:
+    """Sketches of the items of one size class: by hash the items, and a table of the hashes' leading bits."""
+
+    n: int  # words of a shingle
+    least: int  # shingles that a document must have
+    sketch: dict[int, list[int]] = field(default_factory=dict)
+
+    def seal(self) -> None:
+        self.bits = max(12, min(26, (16 * len(self.sketch)).bit_length()))
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[np.fromiter(self.sketch, np.uint64) >> np.uint64(64 - self.bits)] = True
+
+    def candidates(self, h: np.ndarray) -> set[int]:
+        near = h[self.table[h >> np.uint64(64 - self.bits)]]
+        return {at for x in np.unique(near).tolist() for at in self.sketch.get(x, ())}
+
+
 @dataclass
 class ItemIndex:
-    """Sketches of a block of items, by size class, and the items' exact shingles."""
+    """A block of items: their size classes and exact shingles."""
 
-    n: int
-    threshold: float
     ids: list = field(default_factory=list)
     exact: list[set[bytes]] = field(default_factory=list)
     hashes: list[np.ndarray] = field(default_factory=list)
     needed: list[int] = field(default_factory=list)
-    sketch: dict[int, list[int]] = field(default_factory=dict)
+    classes: dict[tuple[int, int], SizeClass] = field(default_factory=dict)
 
     @classmethod
     def build(cls, items: list[tuple], n: int, threshold: float) -> ItemIndex:
-        index, known = cls(n, threshold), WordHashes()
+        index, known = cls(), WordHashes()
         for item_id, text in items:
             words = words_of(text)
             own = shingles(words, n)
             if not own:
                 continue
-            at, size = len(index.ids), len(own)
+            at, size, width = len(index.ids), len(own), min(n, len(words))
+            needed = int(np.ceil(threshold * size - 1e-9))
             index.ids.append(item_id)
             index.exact.append(own)
             index.hashes.append(np.unique(shingle_hashes(words, n, known)))
-            index.needed.append(int(np.ceil(threshold * size - 1e-9)))
-            largest = (1 << size.bit_length()) - 1  # of the size class
+            index.needed.append(needed)
+            bits = size.bit_length()
+            own_class = index.classes.setdefault((width, bits), SizeClass(width, needed))
+            own_class.least = min(own_class.least, needed)
+            largest = (1 << bits) - 1  # of the size class
             k = largest - int(np.ceil(threshold * largest - 1e-9)) + 1
             for h in index.hashes[-1][:k].tolist():
-                index.sketch.setdefault(h, []).append(at)
-        index.bits = max(12, min(26, (16 * max(1, len(index.sketch))).bit_length()))
-        index.table = np.zeros(1 << index.bits, bool)
-        if index.sketch:
-            index.table[np.fromiter(index.sketch, np.uint64) >> np.uint64(64 - index.bits)] = True
+                own_class.sketch.setdefault(h, []).append(at)
+        for own_class in index.classes.values():
+            own_class.seal()
         return index
 
     def search(self, text: str | None, known: WordHashes) -> list[tuple[int, int]]:
         """(item's place, its shingles found) for every item contained in the text."""
-        words = words_of(text)
-        h = shingle_hashes(words, self.n, known)
-        near = h[self.table[h >> np.uint64(64 - self.bits)]]
-        candidates = sorted({at for x in np.unique(near).tolist() for at in self.sketch.get(x, ())})
-        found = []
-        for at in candidates:
-            places = np.flatnonzero(np.isin(h, self.hashes[at]))
-            held = len({b" ".join(words[i : i + self.n]) for i in places.tolist()} & self.exact[at])
-            if held >= self.needed[at]:
-                found.append((at, held))
-        return found
+        words, by_width, found = words_of(text), {}, []
+        for (n, _), own_class in self.classes.items():
+            if len(words) - n + 1 < own_class.least:
+                continue
+            if n not in by_width:
+                by_width[n] = shingle_hashes(words, n, known)
+            h = by_width[n]
+            for at in own_class.candidates(h):
+                places = np.flatnonzero(np.isin(h, self.hashes[at]))
+                held = len({b" ".join(words[i : i + n]) for i in places.tolist()} & self.exact[at])
+                if held >= self.needed[at]:
+                    found.append((at, held))
+        return sorted(found)
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
@@ -134,10 +159,24 @@ def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [items.where(place == k) for k in range(n)]
 
 
-def _indexes(benchmark: DataFrame, item_id: str, item_text: str, n: int, threshold: float, block_bytes: int) -> Iterator[ItemIndex]:
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, n: int, threshold: float, block_bytes: int) -> list[str]:
+    """Files in the shared folder, an index of a block of items each."""
     items = benchmark.select(F.col(item_id).alias("_id"), F.col(item_text).alias("_text")).where("_text is not null").distinct()
+    files = []
     for block in _blocks(items, block_bytes):
-        yield ItemIndex.build([(r["_id"], r["_text"]) for r in block.collect()], n, threshold)  # one block of items
+        index = ItemIndex.build([(r["_id"], r["_text"]) for r in block.collect()], n, threshold)  # one block of items
+        files.append(shared_path(benchmark.sparkSession, "items"))
+        fs, path = open_fs(files[-1])
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path, compression=None) as f:
+            f.write(pickle.dumps(index))
+    return files
+
+
+def _opened(file: str) -> ItemIndex:
+    fs, path = open_fs(file)
+    with fs.open_input_stream(path, compression=None) as f:
+        return pickle.loads(f.read())
 
 
 def contained_items(
@@ -155,7 +194,7 @@ def contained_items(
 
     An item is contained if at least ``threshold`` of its distinct shingles of
     ``n`` words are in the document; an item of fewer words has one shingle,
-    all its words.  Null or wordless items and documents match nothing.
+    all its words, and is contained where these follow each other.  Null or wordless items and documents match nothing.
     Repeated documents each get their rows, repeated items count once, items
     of equal text and different ids each get theirs.  Empty tables give no
     rows.  Other columns are ignored.
@@ -167,11 +206,11 @@ def contained_items(
         T.StructField("n_shingles", T.LongType()), T.StructField("containment", T.DoubleType()),
     ])
 
-    def searcher(index: ItemIndex):
+    def searcher(file: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            known, arrow = WordHashes(), to_arrow_schema(schema)
+            index, known, arrow = _opened(file), WordHashes(), to_arrow_schema(schema)
             for batch in batches:
                 rows = [
                     (doc, index.ids[at], held, len(index.exact[at]), held / len(index.exact[at]))
@@ -182,22 +221,25 @@ def contained_items(
 
         return run
 
-    parts = [narrow.mapInArrow(searcher(index), schema) for index in _indexes(benchmark, item_id, item_text, n, threshold, block_bytes)]
+    parts = [narrow.mapInArrow(searcher(file), schema) for file in _indexes(benchmark, item_id, item_text, n, threshold, block_bytes)]
     return reduce(DataFrame.unionAll, parts)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that contain an item, as :func:`contained_items` has it; columns as they were."""
+    """``docs`` without the rows that contain an item, as :func:`contained_items` has it; columns as they were.
+
+    Null and wordless texts contain nothing and stay, repeated rows stay or go together.
+    """
     place, schema = docs.columns.index(text_col), docs.schema
 
-    def cleaner(index: ItemIndex):
+    def cleaner(file: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WordHashes()
+            index, known = _opened(file), WordHashes()
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(text.as_py(), known) for text in batch.column(place)], pa.bool_()))
 
         return run
 
-    for index in _indexes(benchmark, item_id, item_text, n, threshold, block_bytes):
-        docs = docs.mapInArrow(cleaner(index), schema)
+    for file in _indexes(benchmark, item_id, item_text, n, threshold, block_bytes):
+        docs = docs.mapInArrow(cleaner(file), schema)
     return docs

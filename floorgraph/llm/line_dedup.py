@@ -7,11 +7,17 @@ the fingerprint (the hash's other 64 bits) and the count.  The documents then
 probe the arrays, row by row; neither lines nor texts are exchanged or joined.
 A hash found in one document only cannot reach any threshold of two or more,
 so it is left out of the index, and its probe fails on the fingerprint.
+
+Where the index outgrows a task's cache the distinct line hashes of each row
+are sent to the shards, and the hashes to drop come back by the row's hash:
+the only case in which texts are exchanged, once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorgraph.llm.common import ASCII_SPACE, written
-from floorgraph.llm.shard_index import KEYS_PER_SHARD, ShardIndex, batches_of, build_index
+from floorgraph.llm.shard_index import KEYS_PER_SHARD, ShardIndex, batches_of, build_index, fits_a_task
 
 _SPACE = ASCII_SPACE.encode()
 #: Bytes of text whose lines are probed together, and distinct lines a task sums before it emits.
@@ -69,10 +75,35 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     return found.groupBy("key", "mark").agg(F.sum("n").alias("n"))
 
 
-def line_index(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = KEYS_PER_SHARD) -> ShardIndex:
+@dataclass
+class LineIndex:
+    """Counts of recurring lines, and whether they fit a task."""
+
+    counts: ShardIndex
+    small: bool
+
+
+def line_index(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
     """The index over the lines of ``docs`` that recur."""
-    recurring = line_counts(docs, text_col, min_chars).where(F.col("n") >= min(2, min_docs))
-    return build_index(written(recurring, "lines"), ["n"], keys_per_shard)
+    recurring = written(line_counts(docs, text_col, min_chars).where(F.col("n") >= min(2, min_docs)), "lines")
+    return LineIndex(build_index(recurring, ["n"], keys_per_shard), fits_a_task(recurring, 1))
+
+
+def _lines_to_drop(rows: DataFrame, index: ShardIndex, min_docs: int, min_chars: int) -> DataFrame:
+    """(row, mark, drop) of the ``rows`` (text, row, mark) with lines to drop: the 16-byte hashes of these lines."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, row, mark in zip(*batch.columns, strict=True):
+                keys = list({k for k in line_keys(text.as_py(), min_chars) if k is not None})
+                pair = _digest(keys).view(np.int64)
+                own = [pa.array(np.full(len(keys), x.as_py())) for x in (row, mark)]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *own], names=["key", "mark", "row", "row_mark"])
+
+    asked = rows.dropDuplicates(["row", "mark"]).select("text", "row", "mark").mapInArrow(ask, "key long, mark long, row long, row_mark long")
+    hit = index.routed(asked, "row").where(F.col("counts")[0] >= min_docs)
+    # at most a row's own lines
+    return hit.groupBy(F.col("row").alias("_row"), F.col("row_mark").alias("_mark")).agg(F.collect_list(F.struct("key", "mark")).alias("drop"))
 
 
 def dedup_lines(
@@ -82,7 +113,7 @@ def dedup_lines(
     min_docs: int = 10,
     min_chars: int = 1,
     keep: bool = False,
-    index: ShardIndex | None = None,
+    index: LineIndex | None = None,
 ) -> DataFrame:
     """Drop every line whose key at least ``min_docs`` documents hold, in every document.
 
@@ -95,45 +126,53 @@ def dedup_lines(
     ``keep`` returned unchanged.  ``index`` probes the lines of another corpus.
     """
     index = index or line_index(docs, text_col, min_docs, min_chars)
-
-    def cleaned(texts: list[str | None]) -> Iterator[tuple[int, int, str]]:
+    count = docs.columns.index("n_chars") if keep and "n_chars" in docs.columns else None
+    narrow = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    place = narrow.columns.index(text_col if keep else "text")
+    schema = narrow.schema if keep else T.StructType([narrow.schema["doc_id"], *T.StructType.fromDDL("n_lines long, n_dropped long, kept string")])
+    width = len(narrow.columns)
+    if not index.small:
+        names = [f"{c}-{uuid.uuid4().hex}" for c in ("row", "mark", "drop")]
+        own = narrow[id_col if keep else "doc_id"], narrow[narrow.columns[place]]
+        hashed = narrow.select("*", F.xxhash64(*own).alias(names[0]), F.xxhash64(F.lit("row"), *own).alias(names[1]))
+        asked = hashed.select(hashed[narrow.columns[place]].alias("text"), F.col(names[0]).alias("row"), F.col(names[1]).alias("mark"))
+        drops = _lines_to_drop(asked, index.counts, min_docs, min_chars).withColumnRenamed("drop", names[2])
+        narrow = hashed.join(drops, (F.col(names[0]) == F.col("_row")) & (F.col(names[1]) == F.col("_mark")), "left").select(*hashed.columns[:width], names[2])
+
+    def common_of(keys: list[bytes]) -> set[bytes]:
+        """Those of the distinct keys that too many documents hold."""
+        pair = _digest(keys)
+        counts = index.counts.counts(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))[:, 0]
+        return {k for k, n in zip(keys, counts.tolist(), strict=True) if n >= min_docs}
+
+    def cleaned(texts: list[str | None], drops: list | None) -> Iterator[tuple[int, int, str]]:
         """(lines, dropped, kept text) of each text."""
-        for block in batches_of(((t, len(t or "") + 64) for t in texts), _BLOCK_BYTES):
-            keys = [line_keys(t, min_chars) for t in block]
-            distinct = list({k for own in keys for k in own if k is not None})
-            pair = _digest(distinct)
-            counts = index.counts(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))[:, 0]
-            common = {k for k, n in zip(distinct, counts.tolist(), strict=True) if n >= min_docs}
-            for text, own in zip(block, keys, strict=True):
-                if common.isdisjoint(own):
+        for block in batches_of(((x, len(x[0] or "") + 64) for x in zip(texts, drops or [None] * len(texts), strict=True)), _BLOCK_BYTES):
+            keys = [line_keys(t, min_chars) for t, _ in block]
+            common = common_of(list({k for own in keys for k in own if k is not None})) if drops is None else set()
+            for (text, drop), own in zip(block, keys, strict=True):
+                if drop:
+                    gone = {np.array([d["key"], d["mark"]], np.int64).tobytes() for d in drop}
+                    common = {k for k in own if k is not None and _raw(k) in gone}
+                if (drops is not None and not drop) or common.isdisjoint(own):
                     yield len(own), 0, text or ""
                     continue
                 lines = [line for line, k in zip((text or "").split("\n"), own, strict=True) if k not in common]
                 yield len(own), len(own) - len(lines), "\n".join(lines)
 
-    if keep:
-        schema, place = docs.schema, docs.columns.index(text_col)
-        count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-
-        def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                before = batch.column(place).to_pylist()
-                after = [None if t is None else kept for t, (_, _, kept) in zip(before, cleaned(before), strict=True)]
-                columns = list(batch.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = batch.column(place).to_pylist()
+            done = cleaned(before, None if batch.num_columns == width else batch.column(width).to_pylist())
+            if keep:
+                after = [None if t is None else kept for t, (_, _, kept) in zip(before, done, strict=True)]
+                columns = list(batch.columns[:width])
                 columns[place] = pa.array(after, pa.string())
                 if count is not None:
                     columns[count] = pa.array([None if t is None else len(t) for t in after], columns[count].type)
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        return docs.mapInArrow(rewrite, schema)
-
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([narrow.schema["doc_id"], *T.StructType.fromDDL("n_lines long, n_dropped long, kept string")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = list(cleaned(batch.column(1).to_pylist()))
-            columns = [pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+            else:
+                rows = list(done)
+                columns = [batch.column(0), *[pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return narrow.mapInArrow(run, schema)

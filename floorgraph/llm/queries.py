@@ -129,20 +129,21 @@ _KEY = r"translate(trim(l, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'a
 _PLAIN = r"[w for w in regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D\x20!-\/:-@\[-`\{-~]+') if w <> '']"
 
 
-def _shingled(source: str, key: str) -> str:
-    return f"""select {key}, array_to_string(w[i:i+4], ' ') as s
-        from (select {key}, w, unnest(generate_series(1, greatest(1, len(w) - 4))) as i
-              from (select {key}, {_PLAIN} as w from {source}) where len(w) > 0)"""
+def _shingled(source: str, key: str, n: str = "5") -> str:
+    """Runs of ``n`` words, a SQL expression of the row; an item of fewer words is one run, a document then none."""
+    return f"""select {key}, n, array_to_string(w[i:i+n-1], ' ') as s
+        from (select {key}, n, w, unnest(generate_series(1, len(w) - n + 1)) as i
+              from (select {key}, w, {n} as n from (select {key}, {_PLAIN} as w from {source}) where len(w) > 0))"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_containment": f"""
-            with d as (select distinct * from ({_shingled('documents', 'doc_id')})),
-                 b as (select distinct * from ({_shingled('benchmark', 'item_id')})),
+            with b as (select distinct * from ({_shingled('benchmark', 'item_id', 'least(5, len(w))')})),
+                 d as (select distinct * from ({_shingled('documents', 'doc_id', 'unnest((select list(distinct n) from b))')})),
                  n as (select item_id, count(*) as n_shingles from b group by item_id)
             select doc_id, item_id, count(*)::bigint as matched, n_shingles::bigint as n_shingles, count(*) / n_shingles::double as containment
-            from d join b using (s) join n using (item_id) group by doc_id, item_id, n_shingles
+            from d join b using (n, s) join n using (item_id) group by doc_id, item_id, n_shingles
             having count(*) >= ceil(0.8 * n_shingles - 1e-9)""",
         "op5_warc_index": """
             with p as (select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as d, strlen(coalesce(html, ''))::bigint as n from pages),

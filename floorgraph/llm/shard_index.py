@@ -4,6 +4,10 @@ Keys are dealt by hash into shards of bounded size; a task per shard lays a
 minimal perfect hash and its arrays into one file.  Tasks open the shards that
 their keys need and hold at most ``CACHE_BYTES`` of them, so the index is never
 broadcast and never on the driver, which sees one file name per shard.
+
+An index that fits this cache is probed by the tasks that read the documents.
+For a larger one the probes are exchanged to the shards (:meth:`ShardIndex.routed`),
+so that a shard is read by a few tasks however many documents there are.
 """
 
 from __future__ import annotations
@@ -14,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from floorgraph.llm.common import open_fs, shared_path
 from floorgraph.llm.mph import CountShard
 
 KEYS_PER_SHARD = 250_000
+#: Tasks that the probes of a shard are dealt to, so that a hot key is not one task's.
+SPREAD = 8
 #: Bytes of shards that a worker process keeps.
 CACHE_BYTES = 128 << 20
 _cache: OrderedDict[str, CountShard] = OrderedDict()
@@ -62,6 +70,27 @@ class ShardIndex:
                 out[places] = _load(uri).lookup(keys[places], marks[places])
         return out
 
+    def routed(self, probes: DataFrame, spread_by: str) -> DataFrame:
+        """``probes``, which has longs ``key`` and ``mark``, plus ``counts``; answered at the shards, dealt further by ``spread_by``."""
+        shard = _shard_of(len(self.files)).alias("_shard")
+        dealt = probes.select("*", shard).repartition("_shard", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))).sortWithinPartitions("_shard")
+        schema = T.StructType([*probes.schema, T.StructField("counts", T.ArrayType(T.LongType()))])
+        key, mark = (probes.columns.index(c) for c in ("key", "mark"))
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = [np.ascontiguousarray(batch.column(k).to_numpy()).view(np.uint64) for k in (key, mark)]
+                counts = pa.array(list(self.counts(*at)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], names=schema.names)
+
+        return dealt.mapInArrow(answer, schema)
+
+
+def _shard_of(n: int) -> Column:
+    """Shard of a ``key``: the unsigned remainder, as the probes take it."""
+    high, low = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.pmod(F.pmod(high, F.lit(n)) * F.lit((1 << 32) % n) + low, F.lit(n))
+
 
 def build_index(rows: DataFrame, counts: list[str], keys_per_shard: int = KEYS_PER_SHARD) -> ShardIndex:
     """Index of ``rows``: distinct longs ``key`` with a long ``mark`` and the named counts.
@@ -83,10 +112,7 @@ def build_index(rows: DataFrame, counts: list[str], keys_per_shard: int = KEYS_P
             f.write(made.dump())
         return pd.DataFrame({"shard": [shard[0]], "uri": [uri]})
 
-    # the unsigned remainder, as the probes take it
-    high, low = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
-    shard = F.pmod(F.pmod(high, F.lit(n)) * F.lit((1 << 32) % n) + low, F.lit(n))
-    dealt = rows.select("key", "mark", *counts, shard.alias("shard"))
+    dealt = rows.select("key", "mark", *counts, _shard_of(n).alias("shard"))
     files: list[str | None] = [None] * n
     for r in dealt.groupBy("shard").applyInPandas(build, "shard long, uri string").collect():  # a name per shard
         files[r.shard] = r.uri

@@ -6,11 +6,12 @@ from floorgraph.llm import decontaminate as dc
 def brute(docs, items, n=5, threshold=0.8):
     out = []
     for doc, text in docs:
-        have = dc.shingles(dc.words_of(text), n)
+        words = dc.words_of(text)
+        have = {k: {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} for k in range(1, n + 1)}
         for item, wanted in set(items):
-            own = dc.shingles(dc.words_of(wanted), n)
-            if own and len(own & have) >= threshold * len(own) - 1e-9:
-                out.append((doc, item, len(own & have), len(own)))
+            own, k = dc.shingles(dc.words_of(wanted), n), min(n, len(dc.words_of(wanted)))
+            if own and len(own & have[k]) >= threshold * len(own) - 1e-9:
+                out.append((doc, item, len(own & have[k]), len(own)))
     return sorted(out, key=str)
 
 
@@ -49,6 +50,7 @@ def test_odd_documents_and_items(spark, make_docs, odd_pairs):
     items = [(1, "quick brown fox jumps over the lazy"), (2, "same"), (3, "the"), (4, "word1 word2 word3 word4 word5 word6")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert rows(dc.contained_items(make_docs(odd_pairs), bench)) == brute(odd_pairs, items)
+    assert {(5, 4), (1, 3), (7, 3)} <= {(d, i) for d, i, *_ in brute(odd_pairs, items)}  # short items inside longer documents too
     assert dc.contained_items(make_docs([]), bench).count() == 0
     assert dc.contained_items(make_docs(odd_pairs), bench.limit(0)).count() == 0
 

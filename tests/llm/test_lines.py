@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from floorgraph.llm import line_dedup, mph
+from floorgraph.llm import line_dedup, mph, shard_index
 
 SPACE = "\t\n\x0b\x0c\r "
 
@@ -29,8 +29,10 @@ def corpus():
     return [(i, "\n".join(rng.choice(pool[: rng.randrange(3, 69)]) for _ in range(rng.randrange(1, 12)))) for i in range(120)]
 
 
-@pytest.mark.parametrize(("least", "min_chars", "per_shard"), [(10, 1, 1_000_000), (10, 1, 3), (2, 3, 5), (1, 1, 7)])
-def test_same_as_brute_force(make_docs, odd_pairs, least, min_chars, per_shard):
+@pytest.mark.parametrize(("least", "min_chars", "per_shard", "cache"), [(10, 1, 1_000_000, None), (10, 1, 3, None), (2, 3, 5, 0), (1, 1, 7, 0)])
+def test_same_as_brute_force(make_docs, odd_pairs, monkeypatch, least, min_chars, per_shard, cache):
+    if cache is not None:  # beyond a task's cache the probes are sent to the shards
+        monkeypatch.setattr(shard_index, "CACHE_BYTES", cache)
     pairs = corpus() + odd_pairs
     docs = make_docs(pairs)
     index = line_dedup.line_index(docs, min_docs=least, min_chars=min_chars, keys_per_shard=per_shard)
@@ -38,7 +40,10 @@ def test_same_as_brute_force(make_docs, odd_pairs, least, min_chars, per_shard):
     assert sorted(str((r.doc_id, r.n_lines, r.n_dropped, r.kept)) for r in out.collect()) == brute(pairs, least, min_chars)
 
 
-def test_keep_mode(make_docs, odd_pairs):
+@pytest.mark.parametrize("cache", [None, 0])
+def test_keep_mode(make_docs, odd_pairs, monkeypatch, cache):
+    if cache is not None:
+        monkeypatch.setattr(shard_index, "CACHE_BYTES", cache)
     pairs = corpus() + odd_pairs
     docs = make_docs(pairs)
     out = line_dedup.dedup_lines(docs, keep=True)
@@ -46,6 +51,8 @@ def test_keep_mode(make_docs, odd_pairs):
     rows = out.collect()
     texts = {str(i): t for i, t in pairs}
     assert all((r.text is None) == (r.n_chars is None) and (r.text is None or len(r.text) == r.n_chars) for r in rows)
+    want = {str(eval(b)[::3]) for b in brute(pairs, 10)}
+    assert {str((r.doc_id, r.text or "")) for r in rows} == want
     assert len(rows) == len(pairs) and any(r.text != texts[str(r.doc_id)] for r in rows)
 
 
@@ -69,3 +76,19 @@ def test_shard_round_trip_and_strangers():
     strangers = rng.integers(0, 2**64, 3000, dtype=np.uint64)
     assert not shard.lookup(strangers, strangers).any()
     assert not shard.lookup(keys, marks + np.uint64(1)).any()
+
+
+def test_keys_that_share_their_64_bits():
+    keys = np.array([5, 7, 5, 9, 5, 7], np.uint64)
+    marks = np.array([1, 1, 2, 1, 3, 4], np.uint64)
+    counts = np.arange(1, 7)[:, None]
+    shard = mph.CountShard.load(mph.CountShard.build(keys, marks, counts).dump())
+    assert shard.lookup(keys, marks).tolist() == counts.tolist()
+    assert not shard.lookup(np.array([5, 7, 9, 6], np.uint64), np.array([4, 2, 2, 1], np.uint64)).any()
+
+
+def test_an_index_with_such_keys(spark):
+    rows = spark.createDataFrame([(5, 1, 10), (5, 2, 20), (-1, 1, 30), (-1, -1, 40)], "key long, mark long, n long")
+    index = shard_index.build_index(rows, ["n"], 2)
+    asked = spark.createDataFrame([(5, 2), (5, 1), (-1, -1), (-1, 1), (5, 3)], "key long, mark long")
+    assert {(r.key, r.mark): r.counts[0] for r in index.routed(asked, "mark").collect()} == {(5, 2): 20, (5, 1): 10, (-1, -1): 40, (-1, 1): 30, (5, 3): 0}
