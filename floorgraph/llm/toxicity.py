@@ -27,12 +27,12 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorgraph.llm.common import written
+from floorgraph.llm.decontaminate import WordHashes, shingle_hashes
 from floorgraph.llm.simhash import alike
 
 
@@ -137,10 +137,9 @@ def _candidates(text: str | None) -> set[str]:
     return out
 
 
-def _shingles(text: str | None) -> np.ndarray:
+def _shingles(text: str | None, known: WordHashes) -> np.ndarray:
     """Sorted hashes of the text's distinct runs of five folded words."""
-    words = fold(text).split()
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.uint64))
+    return np.unique(shingle_hashes(fold(text).encode("utf-8").split(), 5, known))
 
 
 def _mapped(df: DataFrame, rows_of, schema: str) -> DataFrame:
@@ -184,17 +183,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     fields = "text string, toxic int, doc_id {}, a long, b long"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            least = np.array([(*_shingles(t.as_py())[:2].view(np.int64), 0)[:2] for t in batch.column(1)], np.int64).reshape(-1, 2)
+            least = np.array([(*_shingles(t.as_py(), known)[:2].view(np.int64), 0, 0)[:2] for t in batch.column(1)], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0), pa.array(least[:, 0]), pa.array(least[:, 1])], names=["text", "toxic", "doc_id", "a", "b"])
 
     signed = written(chosen.mapInArrow(sign, fields.format(docs.schema["doc_id"].dataType.simpleString())), "signed")
 
     def once(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
+        if len(pdf) == 1:
+            return pdf[["text", "toxic"]]
+        pdf, known = pdf.sort_values(["doc_id", "text"]), WordHashes()
         kept: dict[int, np.ndarray] = {}
         for place, text in enumerate(pdf["text"]):
-            h = _shingles(text)
+            h = _shingles(text, known)
             if not any(alike(h, k, ALIKE) for k in kept.values()):
                 kept[place] = h
         return pdf.iloc[list(kept)][["text", "toxic"]]
