@@ -86,7 +86,7 @@ class LineIndex:
 def line_index(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
     """The index over the lines of ``docs`` that recur."""
     recurring = written(line_counts(docs, text_col, min_chars).where(F.col("n") >= min(2, min_docs)), "lines")
-    return LineIndex(build_index(recurring, ["n"], keys_per_shard), fits_a_task(recurring, 1))
+    return LineIndex(build_index(recurring, ["n"], keys_per_shard), fits_a_task((recurring, 1)))
 
 
 def _lines_to_drop(rows: DataFrame, index: ShardIndex, min_docs: int, min_chars: int) -> DataFrame:

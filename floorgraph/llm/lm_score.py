@@ -8,15 +8,21 @@ gathered stays in written tables, never on the driver.  A document's score is
 the mean over its tokens of the target loss less the background loss: lower
 means closer to the target.
 
+Most bigrams and many words occur once, which needs no table: what a document
+holds and no table has, occurs in this document only, so its count is one, and
+one in the target if the document is of the target.  The tables hold what occurs
+twice or more.
+
 Where the counts fit a task's cache they go into sharded indexes that the
-scoring pass probes, row by row.  Beyond that the bigrams' losses are joined
-with the documents' bigrams and summed by document, so that no task reads more
-than its share of the counts.
+scoring pass probes, row by row.  Beyond that they are joined with the
+documents' bigrams and the losses summed by document, so that no task reads
+more than its share of the counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ from floorgraph.llm.shard_index import batches_of, build_index, fits_a_task
 
 MIX = 0.7
 #: Bytes of text whose pairs are counted or looked up together.
-_BLOCK_BYTES = 2 << 20
+_BLOCK_BYTES = 1 << 20
 #: Stands for the start of a document: the hash of what no word can be.
 _START = np.uint64(WordHashes()[b" start"])
 _TALLIES, _FIRSTS = ["n_target", "n_all"], ["first_target", "first_all"]
@@ -97,18 +103,18 @@ def word_counts(marked: DataFrame) -> DataFrame:
 
 
 def bigram_counts(marked: DataFrame) -> DataFrame:
-    """(key, n_target, n_all, before, after): occurrences of each bigram, and its words."""
-    schema = "key long, n_target long, n_all long, before long, after long"
+    """(key, n_target, n_all): occurrences of each bigram that occurs twice or more."""
+    schema = "key long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, chosen, ends in _blocks(batches, WordHashes()):
-            v = _befores(h, ends)
-            keys = _pair_hashes(v, h)
-            place, sums = _sums(keys, [chosen, np.ones(len(h))])
-            yield _batch(schema, [keys[place], *sums, v[place], h[place]])
+            keys = _pair_hashes(_befores(h, ends), h)
+            place, (t, n) = _sums(keys, [chosen, np.ones(len(h))])
+            yield _batch(schema, [keys[place], (t << 32) | n])  # both counts in one number: it is exchanged for every bigram
 
     found = marked.select("text", "target").mapInArrow(run, schema)
-    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in _TALLIES], F.min("before").alias("before"), F.min("after").alias("after"))
+    both = found.groupBy("key").agg(F.sum(F.shiftright("n", 32)).alias("n_target"), F.sum(F.col("n").bitwiseAND(F.lit((1 << 32) - 1))).alias("n_all"))
+    return both.where("n_all > 1")
 
 
 def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", mix: float = MIX) -> DataFrame:
@@ -129,35 +135,51 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str
     row = words.agg(*[of(c) for c in _TALLIES + _FIRSTS], F.count("*").alias("size")).first()
     total, size = np.array(row[:2], np.int64), row["size"]
     started = total - np.array(row[2:4], np.int64)  # documents with words: their last word has no follower
+    model = _Model(total, started, size, mix)
     pairs = written(bigram_counts(marked), "bigrams")
-    if fits_a_task(words, 4) and fits_a_task(pairs, 2):
-        return _by_probes(marked, words, pairs, total, size, started, mix)
-    return _by_joins(marked, words, pairs, total, size, started, mix)
+    known = words.where("n_all > 1")
+    if fits_a_task((known, 4), (pairs, 2), narrow=True):
+        return _by_probes(marked, known, pairs, model)
+    return _by_joins(marked, known, pairs, model)
+
+
+@dataclass
+class _Model:
+    """Tokens, documents with words, distinct words, and the weight of bigrams; a column of the target and one of all rows."""
 
+    total: np.ndarray
+    started: np.ndarray
+    size: int
+    mix: float
 
-def _by_probes(marked: DataFrame, words: DataFrame, pairs: DataFrame, total: np.ndarray, size: int, started: np.ndarray, mix: float) -> DataFrame:
-    known_words = build_index(words.withColumn("mark", F.col("key")), _TALLIES + _FIRSTS)
-    known_pairs = build_index(pairs.withColumn("mark", F.col("key")), _TALLIES)
+
+def _by_probes(marked: DataFrame, words: DataFrame, pairs: DataFrame, model: _Model) -> DataFrame:
+    known_words = build_index(words.withColumn("mark", F.col("key")), _TALLIES + _FIRSTS, narrow=True)
+    known_pairs = build_index(pairs.withColumn("mark", F.col("key")), _TALLIES, narrow=True)
     schema = T.StructType([marked.schema["doc_id"], *T.StructType.fromDDL(_LOSSES)])
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for block in batches_of(((t, len(t or "") + 64) for t in batch.column(1).to_pylist()), _BLOCK_BYTES):
-                texts = [_word_hashes(t, known) for t in block]
+            rows = ((x, len(x[0] or "") + 64) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for block in batches_of(rows, _BLOCK_BYTES):
+                texts = [_word_hashes(t, known) for t, _ in block]
                 n = np.array([len(x) for x in texts])
                 ends = np.cumsum(n)
                 h = np.concatenate(texts)
                 v = _befores(h, ends)
                 keys, at, back = np.unique(_pair_hashes(v, h), return_index=True, return_inverse=True)
+                # counts of what occurs only here
+                once = np.column_stack([np.repeat(np.array([c for _, c in block], np.int64), n)[at], np.ones(len(at), np.int64)])
                 distinct, place = np.unique(h, return_inverse=True)
-                rows = known_words.counts(distinct, distinct)
-                single = (rows[place[at], :2] + 1) / (total + size)
-                first = rows[place[np.maximum(at - 1, 0)], 2:]
-                first[v[at] == _START] = started
-                p = (1 - mix) * single + mix * known_pairs.counts(keys, keys) / np.maximum(first, 1)
-                loss = -np.log(p)[back]
+                counts = known_words.counts(distinct, distinct)
+                seen = lambda rows, columns: np.where(rows[:, 1:2] > 0, rows[:, columns], once)  # noqa: B023, E731
+                single = (seen(counts[place[at]], slice(0, 2)) + 1) / (model.total + model.size)
+                first = seen(counts[place[np.maximum(at - 1, 0)]], slice(2, 4))
+                first[v[at] == _START] = model.started
+                pair = seen(known_pairs.counts(keys, keys), slice(0, 2))
+                loss = -np.log((1 - model.mix) * single + model.mix * pair / np.maximum(first, 1))[back]
                 # sums of each document by itself, so that neighbours in the batch do not round them differently
                 for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
                     if a == b:
@@ -168,34 +190,35 @@ def _by_probes(marked: DataFrame, words: DataFrame, pairs: DataFrame, total: np.
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return marked.select("doc_id", "text").mapInArrow(losses, schema)
-
+    return marked.select("doc_id", "text", "target").mapInArrow(losses, schema)
 
-def _by_joins(marked: DataFrame, words: DataFrame, pairs: DataFrame, total: np.ndarray, size: int, started: np.ndarray, mix: float) -> DataFrame:
-    second = words.select(F.col("key").alias("_w"), *[F.col(c).alias(f"_{c}") for c in _TALLIES])
-    first = words.select(F.col("key").alias("_v"), *_FIRSTS)
-    known = pairs.join(second, F.col("after") == F.col("_w")).join(first, F.col("before") == F.col("_v"), "left")
-    starts = F.col("before") == F.lit(int(_START.astype(np.int64)))
 
-    def loss(k: int) -> Column:
-        before = F.greatest(F.when(starts, F.lit(int(started[k]))).otherwise(F.col(_FIRSTS[k])), F.lit(1))
-        single = (F.col(f"_{_TALLIES[k]}") + 1) / F.lit(int(total[k]) + size)
-        return -F.log((1 - mix) * single + mix * F.col(_TALLIES[k]) / before)
-
-    known = written(known.select("key", loss(0).alias("t"), loss(1).alias("b")), "losses")
-    rows = marked.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit("row"), "doc_id", "text").alias("mark"))
-    schema = "row long, mark long, pair long, n long"
+def _by_joins(marked: DataFrame, words: DataFrame, pairs: DataFrame, model: _Model) -> DataFrame:
+    own = [F.col(c) for c in ("doc_id", "text", "target")]
+    rows = marked.select("doc_id", "text", "target", F.xxhash64(*own).alias("row"), F.xxhash64(F.lit("row"), *own).alias("mark"))
+    schema = "row long, mark long, target long, before long, after long, pair long, n long"
 
     def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for text, row, mark in zip(*batch.columns, strict=True):
+            for text, *own in zip(*batch.columns, strict=True):
                 h = _word_hashes(text.as_py(), hashes)
-                keys, n = np.unique(_pair_hashes(_befores(h, np.empty(0, np.int64)), h), return_counts=True)
-                yield _batch(schema, [np.full(len(keys), row.as_py()), np.full(len(keys), mark.as_py()), keys, n])
-
-    asked = rows.dropDuplicates(["row", "mark"]).select("text", "row", "mark").mapInArrow(own_pairs, schema)
-    weighted = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"_{c}") for c in "tb"]
-    summed = asked.join(known, F.col("pair") == F.col("key")).groupBy(F.col("row").alias("_row"), F.col("mark").alias("_mark")).agg(F.sum("n").alias("_n"), *weighted)
-    found = rows.drop("text").join(summed, (F.col("row") == F.col("_row")) & (F.col("mark") == F.col("_mark")), "left")
-    return found.select("doc_id", F.coalesce("_n", F.lit(0)).alias("n_tokens"), F.col("_t").alias("target_loss"), F.col("_b").alias("background_loss"), (F.col("_t") - F.col("_b")).alias("score"))
+                v = _befores(h, np.empty(0, np.int64))
+                keys, at, n = np.unique(_pair_hashes(v, h), return_index=True, return_counts=True)
+                yield _batch(schema, [*[np.full(len(keys), int(x.as_py())) for x in own], v[at], h[at], keys, n])
+
+    asked = rows.dropDuplicates(["row", "mark"]).select("text", "row", "mark", "target").mapInArrow(own_pairs, schema)
+    joined = asked.join(pairs.toDF("_pair", "p0", "p1"), F.col("pair") == F.col("_pair"), "left")
+    joined = joined.join(words.select(F.col("key").alias("_after"), *[F.col(c).alias(f"s{k}") for k, c in enumerate(_TALLIES)]), F.col("after") == F.col("_after"), "left")
+    joined = joined.join(words.select(F.col("key").alias("_before"), *[F.col(c).alias(f"f{k}") for k, c in enumerate(_FIRSTS)]), F.col("before") == F.col("_before"), "left")
+
+    def loss(k: int) -> Column:
+        once = F.lit(1) if k else F.col("target")  # of what occurs only here
+        first = F.when(F.col("before") == F.lit(int(_START.astype(np.int64))), F.lit(int(model.started[k]))).otherwise(F.coalesce(f"f{k}", once))
+        single = (F.coalesce(f"s{k}", once) + 1) / F.lit(int(model.total[k]) + model.size)
+        return -F.log((1 - model.mix) * single + model.mix * F.coalesce(f"p{k}", once) / F.greatest(first, F.lit(1)))
+
+    means = [(F.sum(F.col("n") * loss(k)) / F.sum("n")).alias(name) for k, name in enumerate(("target_loss", "background_loss"))]
+    summed = joined.groupBy(F.col("row").alias("_row"), F.col("mark").alias("_mark")).agg(F.sum("n").alias("_n"), *means)
+    found = rows.select("doc_id", "row", "mark").join(summed, (F.col("row") == F.col("_row")) & (F.col("mark") == F.col("_mark")), "left")
+    return found.select("doc_id", F.coalesce("_n", F.lit(0)).alias("n_tokens"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -69,17 +69,22 @@ class PerfectHash:
         return out
 
 
+def _upper(marks: np.ndarray) -> np.ndarray:
+    return (marks >> np.uint64(32)).astype(np.uint32)
+
+
 class CountShard:
-    """A shard of the index: perfect hash, and by its index a fingerprint and a row of counts.
+    """A shard of the index: perfect hash, and by its index a fingerprint and counts, columns of their smallest types.
 
     ``twins`` are the (keys, marks, counts) of the keys that several marks share.
+    Narrow fingerprints are the upper 32 bits of the marks.
     """
 
-    def __init__(self, hash_: PerfectHash, marks: np.ndarray, counts: np.ndarray, twins: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def __init__(self, hash_: PerfectHash, marks: np.ndarray, counts: list[np.ndarray], twins: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.hash, self.marks, self.counts, self.twins = hash_, marks, counts, twins
 
     @classmethod
-    def build(cls, keys: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> CountShard:
+    def build(cls, keys: np.ndarray, marks: np.ndarray, counts: np.ndarray, narrow: bool = False) -> CountShard:
         """Shard of rows whose (key, mark) are distinct."""
         _, place, n = np.unique(keys, return_inverse=True, return_counts=True)
         twin = n[place] > 1
@@ -87,16 +92,19 @@ class CountShard:
         hash_ = PerfectHash.build(keys[alone])
         order = np.empty(len(alone), np.int64)
         order[hash_.index(keys[alone])] = alone
-        return cls(hash_, marks[order], counts[order], (keys[twin], marks[twin], counts[twin]))
+        columns = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in counts[order].T]
+        return cls(hash_, _upper(marks[order]) if narrow else marks[order], columns, (keys[twin], marks[twin], counts[twin]))
 
     def lookup(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Counts of each key, zero for keys that the index lacks."""
-        out = np.zeros((len(keys), *self.counts.shape[1:]), self.counts.dtype)
+        out = np.zeros((len(keys), len(self.counts)), np.int64)
         if len(self.marks):
             at = self.hash.index(keys)
             known = np.flatnonzero(at >= 0)
-            known = known[self.marks[at[known]] == marks[known]]
-            out[known] = self.counts[at[known]]
+            own = _upper(marks) if self.marks.dtype == np.uint32 else marks
+            known = known[self.marks[at[known]] == own[known]]
+            for k, column in enumerate(self.counts):
+                out[known, k] = column[at[known]]
         for key, mark, row in zip(*self.twins, strict=True):
             out[(keys == key) & (marks == mark)] = row
         return out
@@ -104,14 +112,15 @@ class CountShard:
     def dump(self) -> bytes:
         f = io.BytesIO()
         twins = dict(zip(("twin_keys", "twin_marks", "twin_counts"), self.twins, strict=True))
-        np.savez(f, sizes=self.hash.sizes, bits=self.hash.bits, ranks=self.hash.ranks, marks=self.marks, counts=self.counts, **twins)
+        columns = {f"counts_{k}": c for k, c in enumerate(self.counts)}
+        np.savez(f, sizes=self.hash.sizes, bits=self.hash.bits, ranks=self.hash.ranks, marks=self.marks, **columns, **twins)
         return f.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> CountShard:
         z = np.load(io.BytesIO(data))
-        return cls(PerfectHash(z["sizes"], z["bits"], z["ranks"]), z["marks"], z["counts"], (z["twin_keys"], z["twin_marks"], z["twin_counts"]))
+        return cls(PerfectHash(z["sizes"], z["bits"], z["ranks"]), z["marks"], [z[f"counts_{k}"] for k in range(sum(n.startswith("counts_") for n in z.files))], (z["twin_keys"], z["twin_marks"], z["twin_counts"]))
 
     @property
     def nbytes(self) -> int:
-        return self.hash.bits.nbytes + self.hash.ranks.nbytes + self.marks.nbytes + self.counts.nbytes + sum(t.nbytes for t in self.twins)
+        return self.hash.bits.nbytes + self.hash.ranks.nbytes + self.marks.nbytes + sum(c.nbytes for c in self.counts) + sum(t.nbytes for t in self.twins)

@@ -30,7 +30,7 @@ KEYS_PER_SHARD = 250_000
 #: Tasks that the probes of a shard are dealt to, so that a hot key is not one task's.
 SPREAD = 8
 #: Bytes of shards that a worker process keeps.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 160 << 20
 _cache: OrderedDict[str, CountShard] = OrderedDict()
 
 
@@ -46,13 +46,13 @@ def _load(uri: str) -> CountShard:
     return shard
 
 
-def fits_a_task(rows: DataFrame, width: int, most: int | None = None) -> bool:
-    """Whether an index over the distinct keys ``rows``, a written table, with ``width`` counts fits a task's cache.
+def fits_a_task(*tables: tuple[DataFrame, int], narrow: bool = False) -> bool:
+    """Whether indexes over the distinct keys of written tables, each with so many counts, fit a task's cache together.
 
-    Then tasks probe it as they read.  Beyond that every block of rows would
-    read the whole index anew, and probes go to the shards or a join instead.
+    Then tasks probe them as they read.  Beyond that every block of rows would
+    read the whole indexes anew, and probes go to the shards or a join instead.
     """
-    return rows.count() * (10 + 8 * width) <= (CACHE_BYTES if most is None else most)
+    return sum(rows.count() * ((5 if narrow else 9) + 2 * width) for rows, width in tables) <= CACHE_BYTES
 
 
 class ShardIndex:
@@ -92,10 +92,12 @@ def _shard_of(n: int) -> Column:
     return F.pmod(F.pmod(high, F.lit(n)) * F.lit((1 << 32) % n) + low, F.lit(n))
 
 
-def build_index(rows: DataFrame, counts: list[str], keys_per_shard: int = KEYS_PER_SHARD) -> ShardIndex:
+def build_index(rows: DataFrame, counts: list[str], keys_per_shard: int = KEYS_PER_SHARD, narrow: bool = False) -> ShardIndex:
     """Index of ``rows``: distinct longs ``key`` with a long ``mark`` and the named counts.
 
-    ``rows`` is read twice (to count and to build), so it should be a written table.
+    ``rows`` is read twice (to count and to build), so it should be a written
+    table.  A ``narrow`` index keeps 32 bits of the marks: a key that it lacks is
+    taken for one that it has once in four billion probes.
     """
     spark = rows.sparkSession
     n = max(1, -(-rows.count() // keys_per_shard))
@@ -103,7 +105,7 @@ def build_index(rows: DataFrame, counts: list[str], keys_per_shard: int = KEYS_P
 
     def build(shard: tuple, group: pd.DataFrame) -> pd.DataFrame:
         made = CountShard.build(
-            group["key"].to_numpy(np.int64).view(np.uint64), group["mark"].to_numpy(np.int64).view(np.uint64), _smallest(group[counts].to_numpy(np.int64))
+            group["key"].to_numpy(np.int64).view(np.uint64), group["mark"].to_numpy(np.int64).view(np.uint64), group[counts].to_numpy(np.int64), narrow
         )
         uri = f"{base}/{shard[0]}-{uuid.uuid4().hex}.npz"  # an attempt's own name
         fs, path = open_fs(uri)
@@ -119,11 +121,6 @@ def build_index(rows: DataFrame, counts: list[str], keys_per_shard: int = KEYS_P
     return ShardIndex(files, len(counts))
 
 
-def _smallest(counts: np.ndarray) -> np.ndarray:
-    """The counts in the smallest unsigned type that holds them all."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-
-
 def batches_of(values: Iterator, limit: int) -> Iterator[list]:
     """Runs of (value, weight) pairs of about ``limit`` weight."""
     held, total = [], 0

@@ -432,7 +432,7 @@ def _alike_links(docs: DataFrame, text_col: str, nodes: DataFrame, keyed: DataFr
     wanted = nodes.join(chosen, F.col("node") == F.col("_a"), "left_semi").select(F.col("text_hash").alias("key"), F.col("text_mark").alias("mark"), (F.col("node") + 1).alias("place"))
     wanted = written(wanted, "texts")
     texts = docs.select(F.col(text_col).alias("text"), *text_hashes(F.col(text_col)))
-    if fits_a_task(wanted, 1):
+    if fits_a_task((wanted, 1)):
         index = build_index(wanted, ["place"])
         places = lambda key, mark: index.counts(key.view(np.uint64), mark.view(np.uint64))[:, 0]
     else:
@@ -489,7 +489,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sk
     names = [f"{c}-{uuid.uuid4().hex}" for c in ("key", "mark", "verdict")]
     hashed = docs.select("*", *[c.alias(n) for c, n in zip(row_hashes(docs[id_col], docs[text_col]), names, strict=False)])
     schema = T.StructType([*hashed.schema, T.StructField(names[2], T.LongType())])
-    if fits_a_task(verdict, 1):
+    if fits_a_task((verdict, 1)):
         index = build_index(verdict, ["verdict"])
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
