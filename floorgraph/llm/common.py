@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as the operators' word and line contracts name it.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 #: Bytes of rows in one Arrow batch, which a task's JVM and its Python worker hold at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

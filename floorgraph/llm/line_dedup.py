@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorgraph.llm.common import ASCII_SPACE, written
-from floorgraph.llm.shard_index import KEYS_PER_SHARD, ShardIndex, batches_of, build_index, fits_a_task
+from floorgraph.llm.shard_index import KEYS_PER_SHARD, ShardIndex, batches_of, build_index, fits_a_task, released
 
 _SPACE = ASCII_SPACE.encode()
 #: Bytes of text whose lines are probed together, and distinct lines a task sums before it emits.
@@ -175,4 +175,4 @@ def dedup_lines(
                 columns = [batch.column(0), *[pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lambda batches: released(run(batches)), schema)

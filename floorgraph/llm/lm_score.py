@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from floorgraph.llm.common import written
 from floorgraph.llm.decontaminate import WordHashes
-from floorgraph.llm.shard_index import batches_of, build_index, fits_a_task
+from floorgraph.llm.shard_index import batches_of, build_index, fits_a_task, released
 
 MIX = 0.7
 #: Bytes of text whose pairs are counted or looked up together.
@@ -190,7 +190,7 @@ def _by_probes(marked: DataFrame, words: DataFrame, pairs: DataFrame, model: _Mo
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return marked.select("doc_id", "text", "target").mapInArrow(losses, schema)
+    return marked.select("doc_id", "text", "target").mapInArrow(lambda batches: released(losses(batches)), schema)
 
 
 def _by_joins(marked: DataFrame, words: DataFrame, pairs: DataFrame, model: _Model) -> DataFrame:

@@ -55,6 +55,14 @@ def fits_a_task(*tables: tuple[DataFrame, int], narrow: bool = False) -> bool:
     return sum(rows.count() * ((5 if narrow else 9) + 2 * width) for rows, width in tables) <= CACHE_BYTES
 
 
+def released(rows: Iterator) -> Iterator:
+    """``rows``, and then the task's shards are let go, as the worker lives on."""
+    try:
+        yield from rows
+    finally:
+        _cache.clear()
+
+
 class ShardIndex:
     def __init__(self, files: list[str | None], width: int):
         self.files, self.width = files, width
@@ -83,7 +91,7 @@ class ShardIndex:
                 counts = pa.array(list(self.counts(*at)), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], names=schema.names)
 
-        return dealt.mapInArrow(answer, schema)
+        return dealt.mapInArrow(lambda batches: released(answer(batches)), schema)
 
 
 def _shard_of(n: int) -> Column:

@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from floorgraph.llm.common import cut, written
 from floorgraph.llm.decontaminate import WordHashes, shingle_hashes
 from floorgraph.llm.set_store import SetStore, build_store
-from floorgraph.llm.shard_index import build_index, fits_a_task
+from floorgraph.llm.shard_index import build_index, fits_a_task, released
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Widths of the blocks of a fingerprint; radius + 2 of them, so that two stay untouched.
@@ -450,7 +450,7 @@ def _alike_links(docs: DataFrame, text_col: str, nodes: DataFrame, keyed: DataFr
                 sets = [distinct_shingles(batch.column(0)[k].as_py(), sketch.n, known).tobytes() for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(place[some]), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    store = build_store(written(texts.mapInArrow(run, "node long, hashes binary"), "shingles"))
+    store = build_store(written(texts.mapInArrow(lambda batches: released(run(batches)), "node long, hashes binary"), "shingles"))
     return shard_links(keyed.join(chosen, F.col("node") == F.col("_a"), "left_semi"), sketch.radius, tree_size, store, sketch.alike)
 
 
@@ -499,7 +499,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sk
                 stays = pa.array(found != 1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=schema.names).filter(stays)
 
-        judged = hashed.mapInArrow(judge, schema)
+        judged = hashed.mapInArrow(lambda batches: released(judge(batches)), schema)
     else:
         found = verdict.toDF("_key", "_mark", names[2])
         judged = hashed.join(found, (F.col(names[0]) == F.col("_key")) & (F.col(names[1]) == F.col("_mark")), "left").drop("_key", "_mark")
