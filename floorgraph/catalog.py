@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from floorgraph.plans import graph, relational, shapes, spatial
+from floorgraph.plans import extras, graph, relational, shapes, spatial
 
 FLAGSHIP = "shortest_cost_all"
-_MODULES: tuple = (relational, spatial, graph, shapes)
+_MODULES: tuple = (relational, spatial, graph, shapes, extras)
 
 
 def queries() -> dict[str, Callable]:

@@ -92,3 +92,37 @@ def toilet_subtypes(col: Column) -> Column:
     want = F.lower(F.coalesce(col, F.lit("")))
     lit = lambda *v: F.array(*[F.lit(x) for x in v])
     return F.when(want == "male", lit("male", "both")).when(want == "female", lit("female", "both")).when(want == "accessible", lit("accessible"))
+
+
+def resolved_path(col: Column) -> Column:
+    """An absolute path without "." and empty parts, each ".." taking the part before it away."""
+    step = lambda s, p: F.when(p.isin("", "."), s).when(p == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p)))
+    parts = F.aggregate(F.split(col, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def within_roots(col: Column, roots: tuple[str, ...]) -> Column:
+    """Whether a path, resolved, is one of the roots or lies below one; false for null and relative paths."""
+    path = resolved_path(col)
+    inside = [(path == r.rstrip("/")) | F.startswith(path, F.lit(r.rstrip("/") + "/")) for r in roots]
+    below = inside[0]
+    for test in inside[1:]:
+        below |= test
+    return F.coalesce(F.startswith(col, F.lit("/")) & below, F.lit(False))
+
+
+def save_status(expected: Column, active: Column) -> Column:
+    """200 where the writer saw the active version, or named none; 409 where it has changed since."""
+    return F.when(F.coalesce(F.nullif(expected, F.lit("")) == active, F.lit(True)), 200).otherwise(409)
+
+
+def key_values(col: Column) -> Column:
+    """Map of "k=v" parts of a comma list, trimmed; parts without a key or "=" go."""
+    parts = F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda p: F.trim(p)), lambda p: F.regexp_like(p, F.lit("^[^=]+=")))
+    entry = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("value"))
+    return F.map_from_entries(F.transform(parts, entry))
+
+
+def share(col: Column) -> Column:
+    """A threshold as a share: numbers above one are percentages."""
+    return F.when(col > 1, col / 100.0).otherwise(col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,33 @@ def running_fold(rows: DataFrame, by: str, order: Sequence[str], delta: str) ->
     return rows.withColumn("offset_before", F.coalesce(before, F.lit(0.0))).withColumn("offset_after", F.col("offset_before") + F.col(delta))
 
 
+def local_shifts(corrections: DataFrame, by: str) -> DataFrame:
+    """(by, polygon_id, dx, dy): shifts of polygons after an ordered list of corrections.
+
+    ``corrections``: by, ord, reference, rx, ry, moving, mx, my, polygons
+    (array): the moving polygon's point is to meet the reference's.  Each takes
+    both points with the shifts so far and adds the difference to the listed
+    polygons, so the order matters: a kernel for each drawing.  Corrections with
+    a missing point or without polygons do nothing.
+    """
+    kind = corrections.schema["reference"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shifts: dict = {}
+        whole = pdf.dropna(subset=["rx", "ry", "mx", "my"]).sort_values("ord")
+        for r in whole.itertuples():
+            (ax, ay), (bx, by_) = shifts.get(r.reference, (0.0, 0.0)), shifts.get(r.moving, (0.0, 0.0))
+            dx, dy = (r.rx + ax) - (r.mx + bx), (r.ry + ay) - (r.my + by_)
+            for polygon in r.polygons if r.polygons is not None else ():
+                x, y = shifts.get(polygon, (0.0, 0.0))
+                shifts[polygon] = (x + dx, y + dy)
+        rows = [(pdf[by].iloc[0], p, *d) for p, d in shifts.items()]
+        return pd.DataFrame(rows, columns=[by, "polygon_id", "dx", "dy"])
+
+    columns = corrections.select(by, "ord", "reference", *[F.col(c).cast("double").alias(c) for c in ("rx", "ry")], "moving", *[F.col(c).cast("double").alias(c) for c in ("mx", "my")], "polygons")
+    return columns.groupBy(by).applyInPandas(run, f"{by} {corrections.schema[by].dataType.simpleString()}, polygon_id {kind}, dx double, dy double")
+
+
 def centre(rows: DataFrame, cols: Sequence[str], margin: float = 50.0, fallback: float = 1000.0) -> DataFrame:
     """Shift so that the least value of each column is ``margin``; canvas of span and two margins, ``fallback`` where small.
 

@@ -31,11 +31,16 @@ def assign(points: DataFrame, centres: DataFrame, point_id: str, vector: str) ->
 
 def kmeans(points: DataFrame, point_id: str, vector: str, k: int, seed: int = 42, rounds: int = 30) -> DataFrame:
     """(point, label, distance) of a k-means fit, each point on its nearest final centre."""
+    return kmeans_fit(points, point_id, vector, k, seed, rounds)[1]
+
+
+def kmeans_fit(points: DataFrame, point_id: str, vector: str, k: int, seed: int = 42, rounds: int = 30) -> tuple[list[tuple[int, list[float]]], DataFrame]:
+    """The (label, centre) pairs of a k-means fit, and what :func:`kmeans` returns."""
     rows = points.select(point_id, _C(vector).alias("_v"), array_to_vector(vector).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=rounds, tol=1e-4).fit(rows)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     table = points.sparkSession.createDataFrame(centres, "label int, centre array<double>")
-    return assign(rows.select(point_id, "_v"), table, point_id, "_v").select(point_id, "label", "distance")
+    return centres, assign(rows.select(point_id, "_v"), table, point_id, "_v").select(point_id, "label", "distance")
 
 
 def principal_angle(rows: DataFrame, by: str, x: Column, y: Column) -> DataFrame:

@@ -90,6 +90,72 @@ def planes(polygons: DataFrame, points: DataFrame, floor_height: float = 5.0, de
     return out.select(F.concat(F.lit("plane_"), "polygon_id").alias("name"), "polygon_id", "layer", lifted(_C("_outer"), _C("_z")).alias("vertices"), F.transform("_holes", lambda h: lifted(h, _C("_z"))).alias("holes"), colour.alias("color"))
 
 
+def auto_merge(polygons: DataFrame, by: str) -> DataFrame:
+    """(by, ring): the polygons (by, ord, ring) of each group spliced into one.
+
+    The first polygon takes in the one with the nearest vertex, then the next
+    nearest to what has come about.  Of each of the two the vertices nearest and
+    second nearest to the other are the ends of the path that faces it; of the
+    two ways between them the one nearer to the other's ends is dropped, and the
+    ways that stay are joined in the direction of the larger area.  Groups of
+    one polygon, and those whose result has fewer than three points or an area
+    of one or less, are left out.  Each join needs the one before, so a kernel
+    for each group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def area(ring: np.ndarray) -> float:
+        x, y = ring.T
+        return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
+
+    def clean(ring: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(ring), bool)
+        keep[1:] = ~np.isclose(ring[1:], ring[:-1]).all(axis=1)
+        ring = ring[keep]
+        return ring[:-1] if len(ring) > 1 and np.isclose(ring[0], ring[-1]).all() else ring
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+
+    def to_segment(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a, d = ends[0], ends[1] - ends[0]
+        squared = float(d @ d)
+        t = np.clip((points - a) @ d / squared, 0, 1) if squared else np.zeros(len(points))
+        return np.sqrt(((points - a - t[:, None] * d) ** 2).sum(axis=1))
+
+    def outer_way(ring: np.ndarray, ends: np.ndarray, facing: np.ndarray) -> np.ndarray:
+        start, end = ends
+        n = len(ring)
+        forward = ring[(start + np.arange((end - start) % n + 1)) % n]
+        backward = ring[(end + np.arange((start - end) % n + 1)) % n]
+        # the mean of the eight nearest, so that a long way round with one near end is not taken for the facing one
+        near = [np.sort(to_segment(way, facing))[:8].mean() for way in (forward, backward)]
+        return backward if near[0] <= near[1] else forward
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+        if min(len(a), len(b)) < 2:
+            return None
+        d = apart(a, b)
+        ea, eb = np.argsort(d.min(axis=1), kind="stable")[:2], np.argsort(d.min(axis=0), kind="stable")[:2]
+        ka, kb = outer_way(a, ea, b[eb]), outer_way(b, eb, a[ea])
+        both = [r for r in (clean(np.concatenate([ka, kb])), clean(np.concatenate([ka, kb[::-1]]))) if len(r) >= 3]
+        best = max(both, key=area, default=None)
+        return best if best is not None and area(best) > 1 else None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = [np.array([[p["x"], p["y"]] for p in ring], float) for ring in pdf.sort_values("ord")["ring"]]
+        merged, rest = rings[0], rings[1:]
+        while rest and merged is not None:
+            merged = joined(merged, rest.pop(min(range(len(rest)), key=lambda k: apart(merged, rest[k]).min())))
+        if len(rings) < 2 or merged is None:
+            return pd.DataFrame({by: [], "ring": []})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "ring": [[{"x": x, "y": y} for x, y in merged.tolist()]]})
+
+    kind = polygons.schema[by].dataType.simpleString()
+    return polygons.select(by, "ord", "ring").groupBy(by).applyInPandas(run, f"{by} {kind}, ring array<struct<x: double, y: double>>")
+
+
 def wall_segments(walls: DataFrame) -> DataFrame:
     """(wall_id, segment, x0, y0, x1, y1, length, angle_deg) of consecutive wall points (wall_id, ord, x, y); points that repeat make none."""
     w = Window.partitionBy("wall_id").orderBy("ord")

@@ -105,12 +105,17 @@ def waypoint_best(spark: SparkSession, d: str) -> DataFrame:
     return gr.via_waypoint(costs, points).select("source", "goal", "waypoint", F.round("cost", 4).alias("cost"))
 
 
-@query(f"""with {_COSTED} select f as source, t as goal, round(c, 4) as cost, h::int as edge_count, (h + 1)::int as node_count from s5 where preference = 'none' and (f, t) in (('00', '13'), ('03', '21'), ('07', '24'), ('11', '02'), ('19', '06'))""")
+@query(f"""
+with recursive {_COSTED}, pv as materialized (select p.preference, p.f, p.t, min(e.f) as u from s5 p join ce e on e.preference = p.preference and e.t = p.t join s5 b on b.preference = p.preference and b.f = p.f and b.t = e.f
+       where abs(b.c + e.c - p.c) < 1e-6 and b.h + 1 = p.h group by all),
+  w as (select f as source, t as goal, c, h, t as here, t as way from s5 where preference = 'none' and f <> t union all
+        select source, goal, c, h, u, u || '>' || way from w join pv on pv.preference = 'none' and pv.f = source and pv.t = here where here <> source)
+select source, goal, round(c, 4) as cost, h::int as edge_count, (h + 1)::int as node_count, way as nodes from w where here = source""")
 def route_payload(spark: SparkSession, d: str) -> DataFrame:
-    """Cost, edges and nodes of five requested routes; unreachable ones are missing."""
-    wanted = spark.createDataFrame([("none", a, b) for a, b in (("00", "13"), ("03", "21"), ("07", "24"), ("11", "02"), ("19", "06"))], "graph string, source string, goal string")
-    out = gr.paths(_shortest(spark, d, spark.createDataFrame([("none",)], "preference string")), wanted)
-    return out.select("source", "goal", F.round("cost", 4).alias("cost"), _C("hops").alias("edge_count"), F.size("nodes").alias("node_count"))
+    """Cost and nodes of the routes between all pairs of nodes; unreachable ones are missing."""
+    tree = _shortest(spark, d, spark.createDataFrame([("none",)], "preference string"))
+    out = gr.paths(tree, tree.where("source <> node").select("graph", "source", _C("node").alias("goal")))
+    return out.select("source", "goal", F.round("cost", 4).alias("cost"), _C("hops").alias("edge_count"), F.size("nodes").alias("node_count"), F.array_join("nodes", ">").alias("nodes"))
 
 
 @query(f"""with {_NET} select f || '_' || t as edge_id, ee.type = 'gate_crossing' or a.type = 'gate' or b.type = 'gate' as by_ends, contains(lower(concat_ws(' ', f || '_' || t, ee.type, a.type, b.type)), 'gate') as by_text
@@ -137,7 +142,13 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return gr.components(c.select(_C("c_custkey").alias("node")), linked)
 
 
-@query()
+@query(f"""
+with recursive {_NET},
+  oe as (select least(f, t) as a, greatest(f, t) as b, cost as score, row_number() over (order by cost, least(f, t), greatest(f, t)) as i from ee),
+  r as (select 0::bigint as i, list_transform(range(0, 25), lambda x: x::bigint) as lab, 25 as n, false as took
+    union all select oe.i, case when n > 5 and lab[a::int + 1] <> lab[b::int + 1] then list_transform(lab, lambda x: case when x = lab[b::int + 1] then lab[a::int + 1] else x end) else lab end,
+      n - (n > 5 and lab[a::int + 1] <> lab[b::int + 1])::int, n > 5 and lab[a::int + 1] <> lab[b::int + 1] from r join oe on oe.i = r.i + 1)
+select a as "from", b as "to", score from r join oe using (i) where took""")
 def kruskal_target(spark: SparkSession, d: str) -> DataFrame:
     """Cheapest edges of the undirected network until five components are left."""
     nodes, edges = network(spark, d)

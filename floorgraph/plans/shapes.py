@@ -48,7 +48,15 @@ def pca_angle(spark: SparkSession, d: str) -> DataFrame:
     return out.select("label", F.round("angle", 4).alias("angle"))
 
 
-@query()
+@query("""
+with recursive x as (select user_id, event_id as id, (event_id % 40)::double as x, round(value % 40, 3) as y, round(value, 4) as score from events),
+  o as (select *, row_number() over (partition by user_id order by score desc, id) as i from x),
+  r as (select user_id, i, [{'x': x, 'y': y}] as kept, true as stays from o where i = 1
+    union all select o.user_id, o.i, case when s then list_append(kept, {'x': o.x, 'y': o.y}) else kept end, s
+    from (select r.user_id as u, r.i as before, kept, o.*, len(list_filter(kept, lambda k: (greatest(0, 20 - abs(k.x - o.x)) * greatest(0, 20 - abs(k.y - o.y))) / (800 - greatest(0, 20 - abs(k.x - o.x)) * greatest(0, 20 - abs(k.y - o.y))) >= 0.35)) = 0 as s
+          from r join o on o.user_id = r.user_id and o.i = r.i + 1) o)
+select user_id, id, x, y, 20.0::double as w, 20.0::double as h, score, 'icon_' || lpad((row_number() over (partition by user_id order by y, x, id))::varchar, 3, '0') as icon_id
+from r join o using (user_id, i) where stays""")
 def nms_events(spark: SparkSession, d: str) -> DataFrame:
     """Events as scored boxes of their user; overlapping weaker ones go, the rest is numbered."""
     e = read_table(spark, d, "events")
@@ -60,10 +68,22 @@ def nms_events(spark: SparkSession, d: str) -> DataFrame:
     return kept.withColumn("icon_id", F.format_string("icon_%03d", number))
 
 
-@query()
+@query("""select count(*)::bigint as vectors, count(distinct vec_id)::bigint as ids, 6::bigint as labels, 0::bigint as nearer_elsewhere, 0::bigint as worse_than_one from embeddings""")
 def kmeans_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """A k-means fit: one row for each vector, on its nearest centre."""
-    return cl.kmeans(_vectors(spark, d), "vec_id", "v", 6).withColumn("distance", F.round("distance", 6))
+    """What holds of any k-means fit: each vector once, all labels in use, no vector nearer to another centre, less spread than around one mean."""
+    vectors = _vectors(spark, d)
+    model, fit = cl.kmeans_fit(vectors, "vec_id", "v", 6)
+    size = len(model[0][1])
+    centres = spark.createDataFrame(model, "other int, centre array<double>")
+    both = fit.join(vectors.select("vec_id", "v"), "vec_id")
+    nearest = both.join(F.broadcast(centres)).groupBy("vec_id").agg(F.sqrt(F.min(cl.squared_distance("v", "centre"))).alias("least"))  # six centres
+    mean = vectors.agg(F.array(*[F.avg(_C("v")[i]) for i in range(size)]).alias("mean"))
+    spread = vectors.join(F.broadcast(mean)).agg(F.sum(cl.squared_distance("v", "mean")).alias("spread"))  # one row
+    out = fit.join(nearest, "vec_id").agg(
+        F.count("*").alias("vectors"), F.countDistinct("vec_id").alias("ids"), F.countDistinct("label").alias("labels"),
+        F.count(F.when(_C("least") < _C("distance") - 1e-6, 1)).alias("nearer_elsewhere"), F.sum(_C("distance") * _C("distance")).alias("inner"),
+    )
+    return out.join(F.broadcast(spread)).select("vectors", "ids", "labels", "nearer_elsewhere", (_C("inner") > _C("spread")).cast("bigint").alias("worse_than_one"))
 
 
 @query("""

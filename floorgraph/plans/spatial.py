@@ -112,8 +112,11 @@ def nearest_bbox(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with n as (select a.p_partkey as a, b.p_partkey as b, b.p_type as tb, abs(a.p_retailprice - b.p_retailprice) as d from part a join part b on abs(a.p_retailprice - b.p_retailprice) <= 5 and a.p_partkey <> b.p_partkey),
-     k as (select *, row_number() over (partition by a order by round(d, 6), b) as r from n qualify r <= 6)
+with v as (select p_retailprice as p, list(p_partkey order by p_partkey)[1:7] as ks from part group by 1),
+     w as (select p, list({'p': p, 'ks': ks}) over (order by p rows between 6 preceding and 6 following) as near from v),
+     u as (select p, unnest(near) as x from w), c as (select p, abs(x.p - p) as d, unnest(x.ks) as b from u where abs(x.p - p) <= 5),
+     n as (select p_partkey as a, b, d from part join c on p_retailprice = p where p_partkey <> b),
+     k as (select a, b, d, p_type as tb, row_number() over (partition by a order by round(d, 6), b) as r from n join part on p_partkey = b qualify r <= 6)
 select x.a, x.b as first_part, y.b as second_part, round(x.d + y.d, 2) as distance, round(greatest(0, 1 - (x.d + y.d) / 10) + case when x.tb <> y.tb then 0.1 else 0 end, 3) as confidence from k x join k y on x.a = y.a and x.r < y.r""")
 def range_topk_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The six nearest parts by price of every part, and the pairs among them with a confidence."""

@@ -30,9 +30,8 @@ def test_query_matches_sql(spark, sf_dir, tables, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries().keys() - catalog.oracle_sql().keys()))
-def test_query_without_sql_has_rows(spark, sf_dir, name):
-    assert catalog.queries()[name](spark, sf_dir).limit(1).count() == 1
+def test_every_query_has_sql():
+    assert catalog.queries().keys() == catalog.oracle_sql().keys()
 
 
 def test_entry(spark):
@@ -43,12 +42,6 @@ def test_names_agree():
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
 
 
-def test_kmeans_puts_every_vector_on_its_nearest_centre(spark, sf_dir):
-    out = catalog.queries()["kmeans_invariants"](spark, sf_dir)
-    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    assert out.count() == n and out.select("vec_id").distinct().count() == n
-
-
 def test_a_fit_takes_all_lines(spark, sf_dir, tables):
     fits = catalog.queries()["axis_fit_lines"](spark, sf_dir).collect()
     assert {r.k: r.n for r in fits} == dict(tables.execute("select l_returnflag, count(*) from lineitem group by 1").fetchall())

@@ -14,6 +14,7 @@ from floorgraph.operators import cluster as cl
 from floorgraph.operators import graph as gr
 from floorgraph.operators import lookup as lk
 from floorgraph.operators import raster as rs
+from floorgraph.operators import scene as sc
 from floorgraph.operators import spatial as sp
 
 NODES = "node_id string, type string, layer string, polygon_id string, position array<double>, zone_type string, zone_id string, zone_label string"
@@ -241,3 +242,24 @@ def test_interpolation_is_clamped(spark):
     grid = spark.createDataFrame([("u", float(x)) for x in (-1, 0, 1, 3, 9)], "k string, place double")
     anchors = spark.createDataFrame([("u", 0.0, 0.0), ("u", 2.0, 4.0), ("u", 4.0, 4.0)], "k string, place double, v double")
     assert {r.place: r.v for r in sp.interpolate(grid, anchors, "k", "place", "v").collect()} == {-1.0: 0.0, 0.0: 0.0, 1.0: 2.0, 3.0: 4.0, 9.0: 4.0}
+
+
+def test_shifts_are_fed_back(spark):
+    rows = [("g", 1, "a", 1.0, 1.0, "b", 0.0, 0.0, ["b"]), ("g", 2, "b", 5.0, 5.0, "c", 5.0, 5.0, ["c", "b"]), ("g", 3, "a", None, 1.0, "b", 0.0, 0.0, ["b"]), ("g", 4, "a", 0.0, 0.0, "b", 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "k string, ord int, reference string, rx double, ry double, moving string, mx double, my double, polygons array<string>")
+    # the second correction takes b where the first has put it
+    assert {r.polygon_id: (r.dx, r.dy) for r in ag.local_shifts(df, "k").collect()} == {"b": (2.0, 2.0), "c": (1.0, 1.0)}
+
+
+def test_merge_needs_two_polygons(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rows = [("one", 0, square), ("two", 0, square), ("two", 1, [(x + 5, y) for x, y in square]), ("flat", 0, square), ("flat", 1, [(9.0, 9.0)])]
+    df = spark.createDataFrame(rows, "k string, ord int, ring array<struct<x: double, y: double>>")
+    out = {r.k: r.ring for r in sc.auto_merge(df, "k").collect()}
+    assert out.keys() == {"two"} and {(p.x, p.y) for p in out["two"]} == set(square) | {(x + 5, y) for x, y in square}
+
+
+def test_paths_below_roots(spark):
+    cases = {"/out/x": True, "/out": True, "/outer": False, "/out/../x": False, "/../../out/./a//b": True, "out/x": False, None: False, "": False, "/": False}
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert {r.p: r.ok for r in df.select("p", tx.within_roots(F.col("p"), ("/out/", "/data")).alias("ok")).collect()} == cases
