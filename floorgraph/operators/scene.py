@@ -149,7 +149,7 @@ def auto_merge(polygons: DataFrame, by: str) -> DataFrame:
         while rest and merged is not None:
             merged = joined(merged, rest.pop(min(range(len(rest)), key=lambda k: apart(merged, rest[k]).min())))
         if len(rings) < 2 or merged is None:
-            return pd.DataFrame({by: [], "ring": []})
+            return pd.DataFrame({by: pdf[by].iloc[:0], "ring": pd.Series([], dtype=object)})
         return pd.DataFrame({by: [pdf[by].iloc[0]], "ring": [[{"x": x, "y": y} for x, y in merged.tolist()]]})
 
     kind = polygons.schema[by].dataType.simpleString()
