@@ -121,10 +121,11 @@ def exact_groups(texts, least=0.8):
     for t in texts:
         w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) if x]
         sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    near = lambda a, b: a == b or (len(a & b) >= least * len(a | b) - 1e-9)
+    near = lambda a, b: a == b or (least * max(len(a), len(b)) <= min(len(a), len(b)) and len(a & b) >= least * len(a | b) - 1e-9)
+    others = [[j for j, b in enumerate(sets) if near(a, b)] for a in sets]
     label = list(range(len(texts)))
     while True:
-        new = [min(label[j] for j, b in enumerate(sets) if near(a, b)) for a in sets]
+        new = [min(label[j] for j in near_ones) for near_ones in others]
         if new == label:
             return label
         label = new
