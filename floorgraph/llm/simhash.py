@@ -481,8 +481,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sk
     grouped = near_groups(docs, id_col, text_col, sketch, tree_size)
     rows = written(grouped.groupBy("group", "key", "mark").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "groups")
     kept = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "mark")).alias("_kept")
-    # of a group of one there is nothing to drop, and most groups are
+    # of a group of one there is nothing to drop, and most groups are; a table of its own, so that the join may split a large group
     several = rows.groupBy("group").agg(kept, F.count("*").alias("_rows"), F.max("n").alias("_n")).where("_rows > 1 or _n > 1").select(F.col("group").alias("_group"), "_kept")
+    several = written(several, "several")
     stays = (F.col("key") == F.col("_kept.key")) & (F.col("mark") == F.col("_kept.mark"))
     verdict = rows.join(several, F.col("group") == F.col("_group")).select("key", "mark", F.when(stays, 2).otherwise(1).alias("verdict"), "n")
     verdict = written(verdict.where("verdict = 1 or n > 1").drop("n"), "verdicts")
