@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ def crosses_upward_ray(p: XY, a: XY, b: XY) -> Column:
     return ((a[1] > p[1]) != (b[1] > p[1])) & (p[0] < (b[0] - a[0]) * (p[1] - a[1]) / dy + a[0])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def rotated(ring: Column) -> Column:
     """The ring from its second point on, the first at the end."""
     return F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
@@ -63,8 +70,8 @@ def rotated(ring: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area; positive where the ring runs counter-clockwise."""
-    cross = F.zip_with(ring, rotated(ring), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.aggregate(cross, F.lit(0.0), lambda s, c: s + c) / 2
+    cross = lambda r: F.zip_with(r, rotated(r), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.aggregate(bound(ring, cross), F.lit(0.0), lambda s, c: s + c) / 2
 
 
 def ring_area(ring: Column) -> Column:
@@ -72,17 +79,26 @@ def ring_area(ring: Column) -> Column:
 
 
 def wound(ring: Column, clockwise: bool = False) -> Column:
-    area = signed_area(ring)
-    return F.when((area > 0) if clockwise else (area < 0), F.reverse(ring)).otherwise(ring)
+    def turned(r: Column) -> Column:
+        area = signed_area(r)
+        return F.when((area > 0) if clockwise else (area < 0), F.reverse(r)).otherwise(r)
+
+    return bound(ring, turned)
 
 
 def ring_centroid(ring: Column) -> Column:
     """Area centroid as a struct; the mean point where the area is zero."""
-    pairs = F.zip_with(ring, rotated(ring), lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
-    area = signed_area(ring)
-    weighted = lambda k: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["c"] * p[k]) / (6 * area)
-    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / F.size(ring)
-    return F.struct(*[F.when(F.abs(area) > 1e-12, weighted(k)).otherwise(mean(k)).alias(k) for k in ("x", "y")])
+    cross = lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"]).alias("c")
+    sums = lambda a, b: F.struct(cross(a, b), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y"))
+    total = lambda values, of: F.aggregate(values, F.lit(0.0), lambda s, p: s + of(p))
+
+    def centre(r: Column, pairs: Column, area: Column) -> Column:
+        weighted = lambda k: total(pairs, lambda p: p["c"] * p[k]) / (6 * area)
+        mean = lambda k: total(r, lambda p: p[k]) / F.size(r)
+        return F.struct(*[F.when(F.abs(area) > 1e-12, weighted(k)).otherwise(mean(k)).alias(k) for k in ("x", "y")])
+
+    both = lambda r: bound(F.zip_with(r, rotated(r), sums), lambda pairs: bound(signed_area(r), lambda area: centre(r, pairs, area)))
+    return bound(ring, both)
 
 
 def perspective(p: XY, m: list) -> XY:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from floorgraph.functions.geometry import ring_area
+from floorgraph.functions.geometry import bound, ring_area
 
 
 def point(x: Column, y: Column) -> Column:
@@ -14,7 +14,7 @@ def point(x: Column, y: Column) -> Column:
 
 def _valid(ring: Column, condition: Column) -> Column:
     """At least three points and an area above one."""
-    return F.when(condition & (F.size(ring) >= 3) & (ring_area(ring) > 1), ring)
+    return F.when(condition, bound(ring, lambda r: F.when((F.size(r) >= 3) & (ring_area(r) > 1), r)))
 
 
 def move_vertex(ring: Column, at: Column, to: Column) -> Column:

@@ -5,6 +5,8 @@ Every builder is a projection over tables of points (polygon_id, part, ord, x, y
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +102,10 @@ def auto_merge(polygons: DataFrame, by: str) -> DataFrame:
     ways that stay are joined in the direction of the larger area.  Groups of
     one polygon, and those whose result has fewer than three points or an area
     of one or less, are left out.  Each join needs the one before, so a kernel
-    for each group.
+    for each group, which is one row of an Arrow batch.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def area(ring: np.ndarray) -> float:
         x, y = ring.T
@@ -143,17 +145,28 @@ def auto_merge(polygons: DataFrame, by: str) -> DataFrame:
         best = max(both, key=area, default=None)
         return best if best is not None and area(best) > 1 else None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = [np.array([[p["x"], p["y"]] for p in ring], float) for ring in pdf.sort_values("ord")["ring"]]
-        merged, rest = rings[0], rings[1:]
-        while rest and merged is not None:
-            merged = joined(merged, rest.pop(min(range(len(rest)), key=lambda k: apart(merged, rest[k]).min())))
-        if len(rings) < 2 or merged is None:
-            return pd.DataFrame({by: pdf[by].iloc[:0], "ring": pd.Series([], dtype=object)})
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "ring": [[{"x": x, "y": y} for x, y in merged.tolist()]]})
+    def merged(polygons: list[dict]) -> np.ndarray | None:
+        first, *rest = (np.array([[p["x"], p["y"]] for p in polygon["ring"]], float) for polygon in polygons)
+        if not rest:
+            return None
+        while rest and first is not None:
+            first = joined(first, rest.pop(min(range(len(rest)), key=lambda k: apart(first, rest[k]).min())))
+        return first
+
+    rings = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [merged(polygons) for polygons in batch.column(1).to_pylist()]
+            made = [k for k, ring in enumerate(out) if ring is not None]
+            found = pa.array([[{"x": x, "y": y} for x, y in out[k].tolist()] for k in made], rings)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(made, pa.int64())), found], names=[by, "ring"])
 
     kind = polygons.schema[by].dataType.simpleString()
-    return polygons.select(by, "ord", "ring").groupBy(by).applyInPandas(run, f"{by} {kind}, ring array<struct<x: double, y: double>>")
+    # groups are few bytes and much work: without a number of its own the exchange would be made one task
+    spread = polygons.select(by, "ord", "ring").repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    inside = F.sort_array(F.collect_list(F.struct(_C("ord").isNull().alias("last"), "ord", "ring")))
+    return spread.groupBy(by).agg(inside.alias("_polygons")).mapInArrow(run, f"`{by}` {kind}, ring array<struct<x: double, y: double>>")
 
 
 def wall_segments(walls: DataFrame) -> DataFrame:

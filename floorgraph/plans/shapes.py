@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorgraph.functions import geometry as g
@@ -129,40 +129,48 @@ def raster_contact(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image", F.coalesce("contact", F.lit(0)).cast("bigint").alias("contact"), F.coalesce("common", F.lit(0)).cast("bigint").alias("common"), "core", "step")
 
 
-def _ring(scale):
-    """A square with a notch, as wide as ``scale``."""
-    corners = ((0, 0), (4, 0), (4, 4), (2, 3), (0, 4))
-    return F.array(*[rg.point(F.lit(x) * scale, F.lit(y) * scale) for x, y in corners])
+def _ring(scale, key):
+    """A square with a notch, as wide as ``scale``; where the notch ends goes by ``key``."""
+    corners = ((0, 0), (4, 0), (4, 4), (1 + key % 2, 1 + key % 3), (0, 4))
+    number = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.array(*[rg.point(number(x) * scale, number(y) * scale) for x, y in corners])
 
 
 @query("""
-select p_partkey, round(14.0 * s * s, 4) as area, round(16.0 * s * s, 4) as moved, round(14.0 * s * s, 4) as inserted, case when 6.0 * s * s > 1 then round(6.0 * s * s, 4) end as kept, round(16.0 * s * s, 4) as straightened, 5 as n_clean, round(2 * s, 4) as cx
-from (select p_partkey, p_size::double as s from part)""")
+select p_partkey, round((8 + 2 * h) * s * s, 4) as area, round(16.0 * s * s, 4) as moved, round((8 + 2 * h) * s * s, 4) as inserted,
+       case when 2 * h * s * s > 1 then round(2 * h * s * s, 4) end as kept, round(16.0 * s * s, 4) as straightened,
+       (3 + p_partkey % 3)::int as n_clean, round(s * (32 - 2 * (4 - h) * (4 + a) / 3) / (8 + 2 * h), 4) as cx
+from (select p_partkey, p_size::double as s, (1 + p_partkey % 2)::double as a, (1 + p_partkey % 3)::double as h from part)""")
 def ring_edits(spark: SparkSession, d: str) -> DataFrame:
-    """Areas after edits of a ring scaled by the part's size."""
-    s = _C("p_size").cast("double")
-    rows = read_table(spark, d, "part").select("p_partkey", s.alias("s"), _ring(s).alias("ring"))
+    """Areas after edits of a ring scaled by the part's size, its notch and its number of points by the part's key."""
+    key, s = _C("p_partkey"), _C("p_size").cast("double")
+    rows = read_table(spark, d, "part").select("p_partkey", s.alias("s"), _ring(s, key).alias("ring"))
     ring = _C("ring")
     area = lambda r: F.round(g.ring_area(r), 4)
     moved = rg.move_vertex(ring, F.lit(3), rg.point(2 * _C("s"), 4 * _C("s")))
     inserted = rg.insert_vertex(ring, F.lit(0), rg.point(2 * _C("s"), F.lit(0)))
     kept = rg.keep_vertices(ring, F.array(F.lit(0), F.lit(1), F.lit(3)))
     straight = rg.straighten(ring, F.lit(2), F.lit(4))
-    clean = rg.without_repeats(F.concat(F.slice(ring, 1, 2), F.slice(ring, 2, 4), F.slice(ring, 1, 1)))
-    return rows.select("p_partkey", area(ring).alias("area"), area(moved).alias("moved"), area(inserted).alias("inserted"), area(kept).alias("kept"), area(straight).alias("straightened"), F.size(clean).alias("n_clean"), F.round(g.ring_centroid(ring)["x"], 4).alias("cx"))
+    clean = rg.without_repeats(F.concat(F.slice(ring, 1, 2), F.slice(ring, F.lit(2), (2 + key % 3).cast("int")), F.slice(ring, 1, 1)))
+    edited = {"area": ring, "moved": moved, "inserted": inserted, "kept": kept, "straightened": straight}
+    centre = F.round(g.ring_centroid(ring)["x"], 4)
+    return rows.select("p_partkey", *[area(r).alias(name) for name, r in edited.items()], F.size(clean).alias("n_clean"), centre.alias("cx"))
 
 
 @query("""
-select p_partkey, case when 8 * s * s > 1 then round(8.0 * s * s, 4) end as first_area, round(6.0 * s * s, 4) as second_area, round(16.0 * s * s, 4) as replaced, 10 as spliced from (select p_partkey, p_size::double as s from part)""")
+select p_partkey, case when 8 * s * s > 1 then round(8.0 * s * s, 4) end as first_area, round(2 * h * s * s, 4) as second_area,
+       round(16.0 * s * s, 4) as replaced, (8 + p_partkey % 3)::int as spliced
+from (select p_partkey, p_size::double as s, (1 + p_partkey % 3)::double as h from part)""")
 def ring_split_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Areas of the parts of a split ring, of one with a path replaced, and the points of two spliced ones."""
-    s = _C("p_size").cast("double")
-    rows = read_table(spark, d, "part").select("p_partkey", s.alias("s"), _ring(s).alias("ring"))
+    """Areas of the parts of a split ring, of one with a path replaced, and the points of two spliced ones, of three to five points."""
+    key, s = _C("p_partkey"), _C("p_size").cast("double")
+    rows = read_table(spark, d, "part").select("p_partkey", s.alias("s"), _ring(s, key).alias("ring"))
     ring = _C("ring")
     first, second = rg.split_by_vertices(ring, F.lit(0), F.lit(2))
     replaced = rg.replace_path(ring, F.lit(2), F.lit(4), F.array(rg.point(F.lit(0), 4 * _C("s")), rg.point(4 * _C("s"), 4 * _C("s"))))
-    area = lambda r: F.round(g.ring_area(r), 4)
-    return rows.select("p_partkey", area(first).alias("first_area"), area(second).alias("second_area"), area(replaced).alias("replaced"), F.size(rg.splice(ring, F.lit(1), ring, F.lit(3))).alias("spliced"))
+    spliced = rg.splice(ring, F.lit(1), F.slice(ring, F.lit(1), (3 + key % 3).cast("int")), F.lit(2))
+    areas = {"first_area": first, "second_area": second, "replaced": replaced}
+    return rows.select("p_partkey", *[F.round(g.ring_area(r), 4).alias(name) for name, r in areas.items()], F.size(spliced).alias("spliced"))
 
 
 @query("""
