@@ -18,16 +18,24 @@ _C = F.col
 KEYS = ["station_id", "version"]
 
 
-def _documents(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+def decoded(path: Column) -> Column:
+    """A path as a file's metadata names it, without percent signs; a plus stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _documents(spark: SparkSession, root: str | list[str], name: str, schema: str) -> DataFrame:
     """Documents of this name with the station and version of their folder; missing ones are no rows."""
     docs = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).schema(schema).json(root)
     path = F.split(F.col("_metadata.file_path"), "/")
-    folder = docs.select("*", F.url_decode(F.element_at(path, -3)).alias("_station"), F.url_decode(F.element_at(path, -2)).alias("_version"))
+    folder = docs.select("*", decoded(F.element_at(path, -3)).alias("_station"), decoded(F.element_at(path, -2)).alias("_version"))
     return folder
 
 
-def read_packages(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """stations, nodes, edges and video_edges of every package; node keys are numbered where they are missing."""
+def read_packages(spark: SparkSession, root: str | list[str]) -> dict[str, DataFrame]:
+    """stations, nodes, edges and video_edges of every package below ``root``, or in a list of folders of packages.
+
+    Node keys are numbered where they are missing.
+    """
     meta = _documents(spark, root, "metadata.json", sc.METADATA)
     stations = meta.select(
         F.coalesce("station_id", "_station").alias("station_id"), F.coalesce("version", "_version").alias("version"),

@@ -13,17 +13,16 @@ from floorgraph.sources import packages
 def index_arrivals(spark: SparkSession, landing: str, index_root: str, checkpoint: str) -> StreamingQuery:
     """Index the packages below ``landing`` whose metadata file is new, then stop; a rerun takes what came since.
 
-    A batch overwrites the partitions of its own packages only, so repeating it after a failure changes nothing.
+    A batch reads the folders of its own packages and overwrites their partitions only, so its work goes by what
+    arrived, and repeating it after a failure changes nothing.
     """
-    arrivals = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").load(landing)
-    arrivals = arrivals.select(F.element_at(F.split("_metadata.file_path", "/"), -3).alias("station_id"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("version"))
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").load(landing)
+    arrivals = files.select(F.regexp_replace(packages.decoded(F.col("_metadata.file_path")), "/[^/]*$", "").alias("folder"))
 
     def index(batch: DataFrame, _: int) -> None:
-        new = batch.distinct()
-        if not new.limit(1).count():
-            return
-        tables = packages.index_tables(packages.read_packages(batch.sparkSession, landing))
-        packages.write_index({name: t.join(new, packages.KEYS, "left_semi") for name, t in tables.items()}, index_root)
+        folders = sorted(r["folder"] for r in batch.distinct().collect())  # the names that the stream's log holds as well
+        if folders:
+            packages.write_index(packages.index_tables(packages.read_packages(batch.sparkSession, folders)), index_root)
 
     return arrivals.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -122,6 +122,15 @@ def test_arrivals_are_indexed_once(spark, tmp_path):
     assert {r.station_id: r.source_door_count for r in stored.collect()} == {"s1": 3, "s2": 2}
 
 
+def test_arrivals_under_odd_names(spark, tmp_path):
+    args = (str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "state"))
+    for name, n in (("s 3+x", 3), ("ö%41", 2)):
+        write_package(tmp_path / "in", name, "v1", nodes()[:n])
+    ingest.index_arrivals(spark, *args).awaitTermination(120)
+    stored = spark.read.parquet(str(tmp_path / "index" / "platform_nodes"))
+    assert {r.station_id for r in stored.collect()} == {"s 3+x", "ö%41"}
+
+
 def test_windowed_counts_match_the_batch(spark, sf_dir, tmp_path):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     # in one file ordered by time nothing is late
