@@ -155,11 +155,10 @@ def closest_pair(spark: SparkSession, d: str) -> DataFrame:
     """The closest vertices of each outline (a brand's parts) and the next one."""
     part = read_table(spark, d, "part")
     brands = part.select("p_brand").distinct()
-    after = brands.select(_C("p_brand").alias("brand_a"), F.lead("p_brand").over(Window.orderBy("p_brand")).alias("brand_b")).where("brand_b is not null")  # a row for each brand
-    side = lambda s: part.select(_C("p_brand").alias(f"brand_{s}"), _C("p_partkey").alias(s), _C("p_size").cast("double").alias(f"x{s}"), _C("p_retailprice").alias(f"y{s}"))
-    pairs = side("a").join(after, "brand_a").join(side("b"), "brand_b")
-    best = pairs.groupBy("brand_a", "brand_b").agg(F.min(F.struct(F.round(g.distance((_C("xa"), _C("ya")), (_C("xb"), _C("yb"))), 9).alias("d"), "a", "b")).alias("m"))
-    return best.select("brand_a", "brand_b", "m.a", "m.b", F.round("m.d", 4).alias("distance"))
+    after = F.lead("p_brand").over(Window.orderBy("p_brand"))  # a row for each brand
+    neighbours = brands.select(_C("p_brand").alias("by_a"), after.alias("by_b")).where("by_b is not null")
+    best = sp.closest_pairs(part, "p_brand", "p_partkey", "p_size", "p_retailprice", neighbours)
+    return best.select(_C("by_a").alias("brand_a"), _C("by_b").alias("brand_b"), "a", "b", F.round("distance", 4).alias("distance"))
 
 
 @query("""select l_orderkey, l_linenumber, round((1.2 * l_quantity + 0.001 * l_extendedprice + 5) / w, 4) as px, round((-0.1 * l_quantity + 0.002 * l_extendedprice - 3) / w, 4) as py

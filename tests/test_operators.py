@@ -263,3 +263,22 @@ def test_paths_below_roots(spark):
     cases = {"/out/x": True, "/out": True, "/outer": False, "/out/../x": False, "/../../out/./a//b": True, "out/x": False, None: False, "": False, "/": False}
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r.p: r.ok for r in df.select("p", tx.within_roots(F.col("p"), ("/out/", "/data")).alias("ok")).collect()} == cases
+
+
+def test_closest_pairs_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(g, 100 * i + k, rng.choice([rng.uniform(0, 900), 7.0]), rng.uniform(0, 5)) for i, g in enumerate("abcd") for k in range(40)]
+    rows += [("a", 900, 7.0, 1.0), ("b", 901, 7.0, 1.0), ("b", 902, 7.0, 1.0), ("c", 903, float("nan"), 1.0), ("c", 904, None, 1.0), ("c", 905, 1.0, float("inf"))]
+    rows += [("far", 990, 3e4, 1e4), ("null", 991, None, None), (None, 992, 1.0, 1.0)]
+    pairs = [("a", "b"), ("b", "a"), ("c", "d"), ("a", "far"), ("a", "null"), ("a", "nobody"), (None, "a"), ("a", "a")]
+    points = spark.createDataFrame(rows, "g string, id long, x double, y double")
+    neighbours = spark.createDataFrame(pairs, "by_a string, by_b string")
+    sound = [r for r in rows if r[0] and all(v is not None and math.isfinite(v) for v in r[2:])]
+    expected = {}
+    for a, b in pairs:
+        found = [(round(math.dist(p[2:], q[2:]), 9), p[1], q[1]) for p in sound for q in sound if (p[0], q[0]) == (a, b)]
+        if found:
+            expected[a, b] = min(found)
+    out = sp.closest_pairs(points, "g", "id", "x", "y", neighbours).collect()
+    assert {(r.by_a, r.by_b): (r.distance, r.a, r.b) for r in out} == expected and len(out) == len(expected)
+    assert sp.closest_pairs(points.limit(0), "g", "id", "x", "y", neighbours).count() == 0
