@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorgraph.llm import ann, bpe_trie, decontaminate, hilbert, line_dedup, lm_score, simhash, toxicity, url_lists, warc
+from floorgraph.llm import ann, bpe_trie, decontaminate, divergence, hilbert, line_dedup, lm_score, secret_scan, simhash, toxicity, url_lists, warc, yinyang
 from floorgraph.llm.common import bounded_batches
 from floorgraph.llm.common import table as read_table
 
@@ -113,12 +113,35 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+def listed_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    count = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *[F.size(count(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(listed_spans(count(*base)).cast("binary"), 256).alias("base_sha256"), listed_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_hilbert_shards, op2_trie_bpe, op3_containment, op4_simhash_groups, op5_warc_index, op6_line_dedup,
             op7_learned_partitions, op8_dated_url_lists, op9_toxicity, op10_cross_entropy,
+            op11_source_divergence, op12_yinyang_clusters, op13_secret_scan,
         )
     }
 
@@ -136,6 +159,26 @@ def _shingled(source: str, key: str, n: str = "5") -> str:
               from (select {key}, w, {n} as n from (select {key}, {_PLAIN} as w from {source}) where len(w) > 0))"""
 
 
+def _lloyd(k: int, rounds: int) -> str:
+    """Plain rounds over all centroids: the assignment ``a{r}`` and the centroids ``c{r}`` of every round."""
+    near = """a{r} as materialized (select r, vec_id, v, d, j from (select r, vec_id, v, j, d, row_number() over (partition by r order by d, j) as n
+                from (select r, vec_id, v, j, list_sum([(v[i] - c[i]) * (v[i] - c[i]) for i in range(1, 65)])::bigint as d from x cross join c{r})) where n = 1)"""
+    moved = """c{s} as materialized (select j, coalesce(m, c) as c from c{r} left join (select j, list((t - ((t % n) + n) % n) // n order by i)::bigint[] as m
+                from (select j, i, sum(e) as t, count(*) as n from (select j, unnest(v) as e, unnest(range(1, 65)) as i from a{r}) group by j, i) group by j) using (j))"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [moved.format(r=r, s=r + 1), near.format(r=r + 1)]
+    return f"""
+            with e as (select vec_id, embedding::double[] as e from embeddings where len(embedding) = 64),
+                 x as materialized (select row_number() over () as r, vec_id, [floor(1024 * f)::bigint for f in e] as v from e
+                                    where len([f for f in e if f is not null and not isnan(f) and not isinf(f)]) = 64),
+                 c0 as materialized (select row_number() over (order by h, v) - 1 as j, v as c from (select v, sha256('3:' || coalesce(vec_id::varchar, '')) as h from x) qualify j < {k}),
+                 {", ".join(steps)}
+            select vec_id, j::int as cluster, d as distance, (sum(d) over (partition by j))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+                   sha256(array_to_string(c, ',')) as centroid_sha256
+            from a{rounds} join c{rounds} using (j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_containment": f"""
@@ -189,4 +232,26 @@ def oracle_sql() -> dict[str, str]:
                  s as (select doc_id, count(*)::bigint as n_tokens, avg(lt) as lt, avg(lb) as lb from z join p using (v, w) group by doc_id)
             select doc_id, coalesce(n_tokens, 0)::bigint as n_tokens, round(lt, 6) as target_loss, round(lb, 6) as background_loss, round(lt - lb, 6) as score
             from documents left join s using (doc_id)""",
+        "op12_yinyang_clusters": _lloyd(8, 10),
+        "op11_source_divergence": r"""
+            with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+                 x as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as item from d),
+                 k as (select lang, item, count(*) as n from x group by lang, item having count(distinct r) >= 10),
+                 v as (select lang, count(item) as v, coalesce(sum(n), 0) as total from (select distinct lang from d) left join k using (lang) group by lang),
+                 g as (select distinct lang, source from d),
+                 c as (select g.lang, g.source, k.item, coalesce(s.n, 0) as n, k.n as all_n
+                       from g join k using (lang) left join (select lang, source, item, count(*) as n from x group by all) s using (lang, source, item)),
+                 t as (select lang, source, sum(n) as total from c group by lang, source),
+                 p as (select lang, source, item, n, (1 + 1000000000::hugeint * (n + 2) // (t.total + 2 * v.v))::bigint as p,
+                              (1 + 1000000000::hugeint * (all_n + 2) // (v.total + 2 * v.v))::bigint as q
+                       from c join t using (lang, source) join v using (lang)),
+                 pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+                           from p a join p b on a.lang = b.lang and a.item = b.item and a.source <> b.source group by all),
+                 f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pairs.value, 0)::bigint as value
+                       from g a join g b on a.lang = b.lang and a.source <> b.source
+                       left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+                       union all select lang, source, 'term', item, ((p - q) * (p - q) // (p + q))::bigint from p where n > 0 and p > q)
+            select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from f
+            qualify part = 'pair' or rank <= 10""",
     }
