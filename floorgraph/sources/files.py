@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import struct
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from floorgraph.functions.text import compact_number, first_non_empty
 
@@ -18,28 +22,46 @@ MAX_SIDE, MAX_PIXELS = 20_000, 80_000_000
 
 
 def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """CSV with a header, in the first of the encodings that decodes its first bytes; all columns are text.
+    """CSV files with a header each; all columns are text, missing ones null.
 
-    A byte order mark before the header is dropped.
+    Every file is read in the first of the encodings that decodes all of its
+    bytes; a byte order mark is dropped.  Files of one encoding and header are
+    one reader's, and the groups are joined by column name.  What none of the
+    encodings decodes is an error that names the files.
     """
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("c")).limit(1).collect()
-    raw = bytes(head[0]["c"]) if head else b""
-    for encoding in encodings:
-        try:
-            # a character may be cut at the end of the probe
-            raw[: len(raw) - (4 if len(raw) >= 65536 else 0)].decode(encoding)
-        except UnicodeDecodeError:
-            continue
-        if encoding.startswith("utf-8"):
-            rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-            return rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
-        return _decoded_csv(spark, path, raw.decode(encoding, errors="ignore"), encoding)
-    raise ValueError(f"{path}: none of {', '.join(encodings)} decodes it")
-
-
-def _decoded_csv(spark: SparkSession, path: str, head: str, encoding: str) -> DataFrame:
-    """CSV in an encoding that Spark's reader lacks: a file is decoded and parsed as a whole by one task."""
-    header = [c.strip() for c in next(csv.reader(io.StringIO(head)), [])]
+
+    @F.pandas_udf("encoding string, header array<string>")
+    def judged(content: pd.Series) -> pd.DataFrame:
+        def judge(raw: bytes) -> tuple[str | None, list[str]]:
+            for encoding in encodings:
+                try:
+                    text = bytes(raw).decode(encoding)
+                except UnicodeDecodeError:
+                    continue
+                return encoding, [c.lstrip("\ufeff").strip() for c in next(csv.reader(io.StringIO(text)), [])]
+            return None, []
+
+        return pd.DataFrame([judge(raw) for raw in content], columns=["encoding", "header"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", judged("content").alias("j")).orderBy("path").collect()  # a name and header a file
+    if unread := [r.path for r in files if r.j.encoding is None]:
+        raise ValueError(f"{', '.join(unread[:5])}: none of {', '.join(encodings)} decodes it")
+    groups: dict[tuple, list[str]] = {}
+    for r in files:
+        groups.setdefault((r.j.encoding, tuple(r.j.header)), []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path))
+    if not groups:
+        raise ValueError(f"{path}: no files")
+    parts = [_csv_of(spark, paths, encoding, header) for (encoding, header), paths in groups.items() if header]
+    if not parts:
+        return spark.createDataFrame([], "struct<>")
+    return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
+
+
+def _csv_of(spark: SparkSession, paths: list[str], encoding: str, header: Sequence[str]) -> DataFrame:
+    """Rows of files of one encoding and header; a file in an encoding that Spark's reader lacks is parsed as a whole by one task."""
+    if encoding.startswith("utf-8"):
+        schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in header)
+        return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").csv(paths)
 
     @F.pandas_udf("array<array<string>>")
     def parse(content: pd.Series) -> pd.Series:
@@ -49,24 +71,68 @@ def _decoded_csv(spark: SparkSession, path: str, head: str, encoding: str) -> Da
 
         return content.map(rows)
 
-    lines = spark.read.format("binaryFile").load(path).select(F.explode(parse("content")).alias("r"))
+    lines = spark.read.format("binaryFile").load(paths).select(F.explode(parse("content")).alias("r"))
     return lines.select(*[F.col("r")[k].alias(name) for k, name in enumerate(header)])
 
 
-def read_rows_api(spark: SparkSession, fetch: Callable[[int, int], dict], schema: str, page_size: int = 500, unwrap: Sequence[str] = ("response", "body", "items", "item")) -> DataFrame:
-    """Rows of a paged API: ``fetch(page, size)`` returns a document whose items lie below ``unwrap``; a single item counts as one."""
-    rows, page = [], 1
-    while True:
-        items = fetch(page, page_size)
-        for key in unwrap:
-            items = items.get(key) or {} if isinstance(items, dict) else items
-        items = [items] if isinstance(items, dict) and items else list(items or [])
-        rows += items
-        if len(items) < page_size:
-            break
-        page += 1
+def read_rows_api(
+    spark: SparkSession,
+    fetch: Callable[[int, int], dict],
+    schema: str,
+    page_size: int = 500,
+    unwrap: Sequence[str] = ("response", "body", "items", "item"),
+    readers: int = 4,
+    attempts: int = 3,
+) -> DataFrame:
+    """Rows of a paged API, read by executors; columns of ``schema`` as text, missing ones null.
+
+    ``fetch(page, size)`` returns a document whose items lie below ``unwrap``; a
+    single item counts as one.  Reader k of n takes pages k, k + n, ... until one
+    is not full, as all pages after that are empty; a page that fails is asked
+    for again, ``attempts`` times, and then with its task.  Nothing is kept on
+    the driver, and the rows are the same for every page size and number of readers.
+    """
     names = [f.split()[0] for f in schema.split(",")]
-    return spark.createDataFrame([tuple(None if r.get(n) is None else str(r.get(n)) for n in names) for r in rows], ", ".join(f"{n} string" for n in names))
+
+    def items_of(page: int) -> list[dict]:
+        for left in range(attempts - 1, -1, -1):
+            try:
+                found = fetch(page, page_size)
+                break
+            except Exception:
+                if not left:
+                    raise
+        for key in unwrap:
+            found = found.get(key) or {} if isinstance(found, dict) else found
+        return [found] if isinstance(found, dict) and found else list(found or [])
+
+    class Pages(DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(k) for k in range(1, readers + 1)]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            page, full = partition.value, True
+            while full:
+                items = items_of(page)
+                for at, item in enumerate(items):
+                    yield (page - 1) * page_size + at, {k: None if v is None else str(v) for k, v in item.items()}
+                full, page = len(items) >= page_size, page + readers
+
+    format_name = f"rows_api_{uuid.uuid4().hex}"
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return format_name
+
+        def schema(self) -> str:
+            return "at long, item map<string, string>"
+
+        def reader(self, schema) -> DataSourceReader:
+            return Pages()
+
+    spark.dataSource.register(Source)
+    return spark.read.format(format_name).load().select(*[F.col("item")[n].alias(n) for n in names])
 
 
 def normalised(rows: DataFrame, names: dict[str, Sequence[str]]) -> DataFrame:
@@ -76,52 +142,60 @@ def normalised(rows: DataFrame, names: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def image_size(data: bytes | None) -> tuple[int, int] | None:
-    """(width, height) from the header of a PNG, GIF, BMP, JPEG or WebP; None for anything else."""
-    if not data or len(data) < 26:
-        return None
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
+    """(width, height) from the header of a PNG, GIF, BMP, JPEG or WebP; None for anything else and for headers cut short."""
+    data = data or b""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return struct.unpack(">II", data[16:24])
-    if data[:6] in (b"GIF87a", b"GIF89a"):
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
         return struct.unpack("<HH", data[6:10])
-    if data[:2] == b"BM":
+    if data[:2] == b"BM" and len(data) >= 26:
         w, h = struct.unpack("<ii", data[18:26])
         return abs(w), abs(h)
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
         kind = data[12:16]
         if kind == b"VP8X" and len(data) >= 30:
             return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
-        if kind == b"VP8L" and data[20] == 0x2F:
+        if kind == b"VP8L" and len(data) >= 25 and data[20] == 0x2F:
             bits = int.from_bytes(data[21:25], "little")
             return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
         if kind == b"VP8 " and len(data) >= 30 and data[23:26] == b"\x9d\x01\x2a":
             w, h = struct.unpack("<HH", data[26:30])
             return w & 0x3FFF, h & 0x3FFF
-        return None
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data) and data[at] == 0xFF:
-            marker = data[at + 1]
-            if marker == 0xFF:
-                at += 1
-            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                return w, h
-            elif marker == 0x01 or 0xD0 <= marker <= 0xD9:
-                at += 2
-            else:
-                at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return _jpeg_size(data) if data[:2] == b"\xff\xd8" else None
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    """Size in the first frame header; what lies between segments is skipped."""
+    at = 2
+    while (at := data.find(b"\xff", at)) >= 0 and at + 9 <= len(data):
+        marker = data[at + 1]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return width, height
+        if marker in (0x00, 0xFF):  # no marker, a fill byte
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD9:  # no segment behind it
+            at += 2
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
     return None
 
 
 def image_sizes(spark: SparkSession, path: str, head_bytes: int = 1 << 20) -> DataFrame:
-    """(path, width, height, status) of image files from their headers: ok, too_large or unreadable."""
+    """(path, width, height, status) of image files from their headers: ok, too_large or unreadable.
+
+    Python sees the first ``head_bytes`` of a file, and all of it only where those do not tell.
+    """
 
     @F.pandas_udf("width int, height int")
     def sniff(head: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([image_size(bytes(h)) or (None, None) for h in head], columns=["width", "height"]).astype("Int32")
+        return pd.DataFrame([image_size(None if h is None else bytes(h)) or (None, None) for h in head], columns=["width", "height"]).astype("Int32")
 
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, head_bytes).alias("h"))
-    out = files.select("path", sniff("h").alias("s")).select("path", "s.width", "s.height")
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.substring("content", 1, head_bytes).alias("h"))
+    first = files.withColumn("s", sniff("h"))
+    rest = F.when(F.col("s.width").isNull() & (F.octet_length("content") > head_bytes), F.col("content"))
+    both = first.select("path", "s", sniff(rest).alias("t"))
+    out = both.select("path", *[F.coalesce(f"s.{c}", f"t.{c}").alias(c) for c in ("width", "height")])
     w, h = F.col("width").cast("bigint"), F.col("height").cast("bigint")
     status = F.when(w.isNull() | (w < 1) | (h < 1), "unreadable").when((w > MAX_SIDE) | (h > MAX_SIDE) | (w * h > MAX_PIXELS), "too_large").otherwise("ok")
     return out.withColumn("status", status)

@@ -67,6 +67,41 @@ def test_csv_encodings(spark, tmp_path):
         assert rows.columns == ["역", "선", "번호"] and rows.first()["역"] == "서울"
 
 
+def test_csv_is_judged_by_all_its_bytes(spark, tmp_path):
+    plain = "".join(f"{i},line,{i}\n" for i in range(20_000))
+    (tmp_path / "late.csv").write_bytes(("a,b,c\n" + plain + "서울,1호선,3\n").encode("cp949"))
+    assert len(plain) > 1 << 16
+    assert [r.b for r in files.read_csv(spark, str(tmp_path / "late.csv")).where("c = 3 and a <> '3'").collect()] == ["1호선"]
+    (tmp_path / "early [1].csv").write_bytes("\ufeffc,d\n역,x\n".encode())
+    rows = files.read_csv(spark, str(tmp_path / "*.csv"))
+    assert sorted(rows.columns) == ["a", "b", "c", "d"] and rows.count() == 20_002
+    assert [(r.a, r.c) for r in rows.where("d = 'x'").collect()] == [(None, "역")]
+    (tmp_path / "bad.csv").write_bytes(b"a\n\xff\xff\n")
+    with pytest.raises(ValueError, match="bad.csv"):
+        files.read_csv(spark, str(tmp_path / "bad.csv"))
+
+
+@pytest.mark.parametrize(("size", "readers"), [(1, 3), (2, 1), (7, 4), (100, 2)])
+def test_row_api_is_read_by_executors(spark, tmp_path, size, readers):
+    asked = str(tmp_path)
+
+    def fetch(page, page_size):
+        import os
+        import pathlib
+
+        marker = pathlib.Path(asked, f"{page_size}-{page}")
+        if not marker.exists():  # every page fails once
+            marker.touch()
+            raise OSError(f"page {page}")
+        return {"items": [{"a": i, "pid": os.getpid()} for i in range((page - 1) * page_size, min(page * page_size, 23))]}
+
+    rows = files.read_rows_api(spark, fetch, "a, pid, none", page_size=size, unwrap=("items",), readers=readers).collect()
+    import os
+
+    assert sorted(int(r.a) for r in rows) == list(range(23)) and {r.none for r in rows} == {None}
+    assert str(os.getpid()) not in {r.pid for r in rows}
+
+
 def test_row_api_pages(spark):
     wrap = lambda item: {"response": {"body": {"items": {"item": item}}}}
     pages = [wrap([{"a": 1, "b": ""}, {"B2": "x"}]), wrap({"a": 3})]
@@ -83,6 +118,8 @@ HEADERS = {
     "vp8x": b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (199).to_bytes(3, "little"),
     "huge": b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 30000, 10) + b"\0" * 10,
     "none": b"plain text that is no image at all",
+    "tiny": b"GIF87a" + struct.pack("<HH", 3, 2),
+    "long": b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 65535) + b"\0" * 65533) * 17 + b"stray\xff\xc2" + struct.pack(">HBHH", 17, 8, 480, 640) + b"\0" * 10,
 }
 
 
@@ -92,6 +129,7 @@ def test_image_sizes(spark, tmp_path):
     out = {r.path.rpartition("/")[2]: (r.width, r.height, r.status) for r in files.image_sizes(spark, str(tmp_path)).collect()}
     assert out == {
         "png": (640, 480, "ok"), "gif": (30, 20, "ok"), "bmp": (50, 60, "ok"), "jpg": (88, 77, "ok"), "vp8x": (100, 200, "ok"), "huge": (30000, 10, "too_large"), "none": (None, None, "unreadable"),
+        "tiny": (3, 2, "ok"), "long": (640, 480, "ok"),
     }
 
 
