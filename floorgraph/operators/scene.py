@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,81 +94,85 @@ def planes(polygons: DataFrame, points: DataFrame, floor_height: float = 5.0, de
     return out.select(F.concat(F.lit("plane_"), "polygon_id").alias("name"), "polygon_id", "layer", lifted(_C("_outer"), _C("_z")).alias("vertices"), F.transform("_holes", lambda h: lifted(h, _C("_z"))).alias("holes"), colour.alias("color"))
 
 
+def _spliced(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray | None:
+    """One ring of two; ``table`` holds the distances of a's vertices (rows) to b's."""
+    if min(table.shape) < 2:
+        return None
+    ends = [np.argsort(table.min(axis=1 - side), kind="stable")[:2] for side in (0, 1)]
+    paths = []
+    for side, (own, other) in enumerate(((a, b), (b, a))):
+        place, target = ends[side], other[ends[1 - side]]
+        along = target[1] - target[0]
+        share = np.clip((own - target[0]) @ along / max(float(along @ along), np.finfo(float).tiny), 0, 1)
+        gaps = np.hypot(*(own - target[0] - share[:, None] * along).T)
+        steps = (place[0] + np.arange(len(own) + 1)) % len(own)  # once around from the first end to itself
+        turn = (place[1] - place[0]) % len(own)
+        ways = steps[: turn + 1], steps[turn:]
+        # a way faces the other ring by its eight nearest vertices, as a long way round may have one near end
+        facing = [np.sort(gaps[w])[:8].mean() for w in ways]
+        paths.append(own[ways[int(facing[0] <= facing[1])]])
+    one, two = paths
+    cross = lambda p, q: p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]
+    swept = [cross(path[:-1], path[1:]).sum() for path in paths]
+    straight = swept[0] + cross(one[-1], two[0]) + swept[1] + cross(two[-1], one[0])
+    turned = swept[0] + cross(one[-1], two[-1]) - swept[1] + cross(two[0], one[0])
+    ring = np.concatenate([one, two[::-1] if abs(turned) > abs(straight) else two])
+    if max(abs(straight), abs(turned)) <= 2:  # twice the area
+        return None
+    ring = ring[~np.isclose(ring, np.roll(ring, 1, axis=0)).all(axis=1)]
+    return ring if len(ring) >= 3 else None
+
+
+def _gathered(rings: list[np.ndarray]) -> np.ndarray | None:
+    """The rings spliced into the first, the nearest to what has come about next."""
+    made, rest = rings[0], rings[1:]
+    while rest and made is not None:
+        others = np.concatenate(rest)
+        table = np.hypot(*(made[:, None] - others[None]).transpose(2, 0, 1))
+        begins = np.cumsum([0, *map(len, rest)])
+        k = int(np.minimum.reduceat(table.min(axis=0), begins[:-1]).argmin())
+        made = _spliced(made, rest.pop(k), table[:, begins[k] : begins[k + 1]])
+    return made if len(rings) > 1 else None
+
+
 def auto_merge(polygons: DataFrame, by: str) -> DataFrame:
     """(by, ring): the polygons (by, ord, ring) of each group spliced into one.
 
     The first polygon takes in the one with the nearest vertex, then the next
     nearest to what has come about.  Of each of the two the vertices nearest and
     second nearest to the other are the ends of the path that faces it; of the
-    two ways between them the one nearer to the other's ends is dropped, and the
-    ways that stay are joined in the direction of the larger area.  Groups of
-    one polygon, and those whose result has fewer than three points or an area
-    of one or less, are left out.  Each join needs the one before, so a kernel
-    for each group, which is one row of an Arrow batch.
+    two ways between them the one nearer to the segment of the other's ends is
+    dropped, and the ways that stay are joined in the direction of the larger
+    area.  Groups of one polygon, and those whose result has fewer than three
+    points or an area of one or less, are left out, null and empty rings too.
+    Each join needs the one before, so a group, a drawing's choice of polygons,
+    is one row of an Arrow batch; groups are dealt over the session's partitions.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def area(ring: np.ndarray) -> float:
-        x, y = ring.T
-        return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
-
-    def clean(ring: np.ndarray) -> np.ndarray:
-        keep = np.ones(len(ring), bool)
-        keep[1:] = ~np.isclose(ring[1:], ring[:-1]).all(axis=1)
-        ring = ring[keep]
-        return ring[:-1] if len(ring) > 1 and np.isclose(ring[0], ring[-1]).all() else ring
-
-    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-
-    def to_segment(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        a, d = ends[0], ends[1] - ends[0]
-        squared = float(d @ d)
-        t = np.clip((points - a) @ d / squared, 0, 1) if squared else np.zeros(len(points))
-        return np.sqrt(((points - a - t[:, None] * d) ** 2).sum(axis=1))
-
-    def outer_way(ring: np.ndarray, ends: np.ndarray, facing: np.ndarray) -> np.ndarray:
-        start, end = ends
-        n = len(ring)
-        forward = ring[(start + np.arange((end - start) % n + 1)) % n]
-        backward = ring[(end + np.arange((start - end) % n + 1)) % n]
-        # the mean of the eight nearest, so that a long way round with one near end is not taken for the facing one
-        near = [np.sort(to_segment(way, facing))[:8].mean() for way in (forward, backward)]
-        return backward if near[0] <= near[1] else forward
-
-    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-        if min(len(a), len(b)) < 2:
-            return None
-        d = apart(a, b)
-        ea, eb = np.argsort(d.min(axis=1), kind="stable")[:2], np.argsort(d.min(axis=0), kind="stable")[:2]
-        ka, kb = outer_way(a, ea, b[eb]), outer_way(b, eb, a[ea])
-        both = [r for r in (clean(np.concatenate([ka, kb])), clean(np.concatenate([ka, kb[::-1]]))) if len(r) >= 3]
-        best = max(both, key=area, default=None)
-        return best if best is not None and area(best) > 1 else None
-
-    def merged(polygons: list[dict]) -> np.ndarray | None:
-        first, *rest = (np.array([[p["x"], p["y"]] for p in polygon["ring"]], float) for polygon in polygons)
-        if not rest:
-            return None
-        while rest and first is not None:
-            first = joined(first, rest.pop(min(range(len(rest)), key=lambda k: apart(first, rest[k]).min())))
-        return first
-
     rings = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [merged(polygons) for polygons in batch.column(1).to_pylist()]
+            groups = batch.column("_rings")
+            # all rings of the batch as one array of points, cut by the offsets of the nested lists
+            points = groups.flatten().flatten().flatten()
+            xy = np.column_stack([points.to_numpy(zero_copy_only=False)[k::2] for k in (0, 1)]) if len(points) else np.zeros((0, 2))
+            ends = np.cumsum(groups.flatten().value_lengths().to_numpy())
+            parts = np.split(xy, ends[:-1]) if len(ends) else []
+            out, at = [], 0
+            for n in groups.value_lengths().to_pylist():
+                out.append(_gathered(parts[at : at + n]))
+                at += n
             made = [k for k, ring in enumerate(out) if ring is not None]
             found = pa.array([[{"x": x, "y": y} for x, y in out[k].tolist()] for k in made], rings)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(made, pa.int64())), found], names=[by, "ring"])
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(made, pa.int64())), found], names=[by, "ring"])
 
     kind = polygons.schema[by].dataType.simpleString()
     # groups are few bytes and much work: without a number of its own the exchange would be made one task
-    spread = polygons.select(by, "ord", "ring").repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    sound = polygons.where(F.size("ring") > 0).select(by, "ord", "ring")
+    spread = sound.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
     inside = F.sort_array(F.collect_list(F.struct(_C("ord").isNull().alias("last"), "ord", "ring")))
-    return spread.groupBy(by).agg(inside.alias("_polygons")).mapInArrow(run, f"`{by}` {kind}, ring array<struct<x: double, y: double>>")
+    plain = F.transform(inside, lambda p: F.transform(p["ring"], lambda v: F.array(v["x"].cast("double"), v["y"].cast("double"))))
+    return spread.groupBy(by).agg(plain.alias("_rings")).mapInArrow(run, f"`{by}` {kind}, ring array<struct<x: double, y: double>>")
 
 
 def wall_segments(walls: DataFrame) -> DataFrame:
@@ -204,7 +210,6 @@ def attach_assets(connections: DataFrame, assets: DataFrame) -> DataFrame:
 
 def bands(values: DataFrame, by: str, value: str, k: int, rounds: int = 50) -> DataFrame:
     """Rows with the ``band`` (0 to k - 1, ascending) of a one-dimensional k-means that starts from equal shares of the sorted values; a group is one drawing's."""
-    import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
