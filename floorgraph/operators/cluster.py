@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -9,6 +11,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floorgraph.operators import grid
+from floorgraph.sources.shared import cut
+
 _C = F.col
 
 
@@ -52,27 +57,41 @@ def principal_angle(rows: DataFrame, by: str, x: Column, y: Column) -> DataFrame
 def suppress_overlaps(boxes: DataFrame, by: str, threshold: float = 0.35) -> DataFrame:
     """Boxes (id, x, y, w, h, score) that overlap no better-scored kept one of their image by the threshold or more.
 
-    Greedy in the order of score, so a kernel per image.
+    What going through the boxes by score, then id, would keep, in rounds over
+    all images at once: boxes that overlap meet in grid cells, and in each round
+    those that none of their undecided neighbours beats stay and remove theirs.
+    Equal boxes of an image are its best one from the start.  Ids are unique
+    within an image; nulls and NaN score lowest; boxes without finite
+    coordinates or an area overlap nothing.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        box = pdf[["x", "y", "w", "h"]].to_numpy(float)
-        kept: list[int] = []
-        for i in range(len(box)):
-            if kept:
-                k = box[kept]
-                w = np.minimum(k[:, 0] + k[:, 2], box[i, 0] + box[i, 2]) - np.maximum(k[:, 0], box[i, 0])
-                h = np.minimum(k[:, 1] + k[:, 3], box[i, 1] + box[i, 3]) - np.maximum(k[:, 1], box[i, 1])
-                both = np.maximum(w, 0) * np.maximum(h, 0)
-                union = k[:, 2] * k[:, 3] + box[i, 2] * box[i, 3] - both
-                if (both / np.where(union > 0, union, 1) >= threshold).any():
-                    continue
-            kept.append(i)
-        return pdf.iloc[kept]
-
+    if threshold <= 0:
+        raise ValueError("the threshold must be above zero")
     columns = [by, "id", "x", "y", "w", "h", "score"]
-    return boxes.select(*columns).groupBy(by).applyInPandas(run, boxes.select(*columns).schema)
+    boxes = boxes.select(*columns)
+    score = F.when(~F.isnan(_C("score").cast("double")), -_C("score"))
+    order = F.struct(score.isNull().alias("none"), score.alias("score"), "id")
+    has_area = grid.finite(*[_C(c) for c in "xywh"]) & F.coalesce((_C("w") > 0) & (_C("h") > 0), F.lit(False)) & _C(by).isNotNull()
+    one = lambda c: _C(c).cast("double").alias(f"_{c}")
+    best = cut(boxes.where(has_area).groupBy(_C(by).alias("_by"), *[one(c) for c in "xywh"]).agg(F.min(order).alias("o")))
+    far = best.select(*[_C(c).alias(f"{c}2") for c in best.columns])
+    box = lambda end: [_C(f"_x{end}"), _C(f"_y{end}"), _C(f"_x{end}") + _C(f"_w{end}"), _C(f"_y{end}") + _C(f"_h{end}")]
+    met = grid.meeting(best, far, box(""), box("2"), same=[("_by", "_by2")]).where(_C("o") < _C("o2"))
+    span = lambda low, high: F.greatest(F.lit(0.0), F.least(box("")[high], box("2")[high]) - F.greatest(box("")[low], box("2")[low]))
+    both = span(0, 2) * span(1, 3)
+    over = both / (_C("_w") * _C("_h") + _C("_w2") * _C("_h2") - both) >= threshold
+    beaten = cut(met.where(over).select(_C("_by").alias("b"), _C("o.id").alias("winner"), _C("o2.id").alias("loser")))
+    gone = []
+    while beaten.limit(1).count():
+        pair = lambda df, c: df.select(_C("b").alias("_b"), _C(c).alias("_i")).distinct()
+        at = lambda c: (_C("b") == _C("_b")) & (_C(c) == _C("_i"))
+        lost = cut(pair(beaten.join(pair(beaten, "loser"), at("winner"), "left_anti"), "loser"))
+        gone.append(lost)
+        beaten = cut(beaten.join(lost, at("loser"), "left_anti").join(lost, at("winner"), "left_anti"))
+    kept = best.select("_by", _C("o.id").alias("_id"))
+    if gone:
+        lost = reduce(DataFrame.unionAll, gone)
+        kept = kept.join(lost, (_C("_by") == _C("_b")) & (_C("_id") == _C("_i")), "left_anti")
+    return boxes.join(kept, (_C(by) == _C("_by")) & (_C("id") == _C("_id")), "left_semi").unionAll(boxes.where(~has_area))
 
 
 def homographies(pairs: DataFrame, by: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Navigation graphs as node and edge tables: weights, shortest paths, components, spanning edges, propagation.
+"""Navigation graphs as node and edge tables: weights, shortest paths, components, propagation.
 
 Every operator takes a ``graph`` column along (a station, a preference), so
 many graphs are answered in one pass; nothing is looped over on the driver but
@@ -7,7 +7,6 @@ the rounds of an iteration, each cut by a reliable checkpoint.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,37 +172,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def kruskal(edges: DataFrame, n_nodes: DataFrame, target: int = 1) -> DataFrame:
-    """Edges that join components, cheapest first, until ``target`` components are left.
-
-    Sequential by nature: one Python kernel for each graph, whose edges are
-    those of one drawing.  ``edges``: graph, from, to, score; ``n_nodes``: graph, nodes.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        left, taken = int(pdf["nodes"].iloc[0]), []
-        for i in pdf.sort_values(["score", "from", "to"], kind="stable").index:
-            if left <= target:
-                break
-            a, b = root(pdf.at[i, "from"]), root(pdf.at[i, "to"])
-            if a != b:
-                parent[b] = a
-                left -= 1
-                taken.append(i)
-        return pdf.loc[taken].drop(columns="nodes")
-
-    schema = edges.select("graph", "from", "to", "score").schema
-    return edges.select("graph", "from", "to", "score").join(n_nodes, "graph").groupBy("graph").applyInPandas(run, schema)
-
-
 def propagate(nodes: DataFrame, links: DataFrame, root: str) -> DataFrame:
     """Scale and offset of every node, composed along a tree from the root: T[child] = T[parent] after M.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from floorgraph.operators import forest as fo
 from floorgraph.operators import graph as gr
 from floorgraph.sources.tables import read_table
 
@@ -154,7 +155,7 @@ def kruskal_target(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = network(spark, d)
     e = edges.select(F.lit("net").alias("graph"), F.least("from", "to").alias("from"), F.greatest("from", "to").alias("to"), _C("cost").alias("score"))
     n = nodes.agg(F.count("*").alias("nodes")).select(F.lit("net").alias("graph"), "nodes")
-    return gr.kruskal(e, n, 5).select("from", "to", "score")
+    return fo.spanning_forest(e, n, 5).select("from", "to", "score")
 
 
 @query("""

@@ -11,6 +11,7 @@ from floorgraph.functions import rings as rg
 from floorgraph.functions import text as tx
 from floorgraph.operators import aggregates as ag
 from floorgraph.operators import cluster as cl
+from floorgraph.operators import forest as fo
 from floorgraph.operators import graph as gr
 from floorgraph.operators import lookup as lk
 from floorgraph.operators import raster as rs
@@ -85,7 +86,7 @@ def test_kruskal_stops_at_the_target(spark):
     e = [("g", a, b, s) for a, b, s in (("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.5), ("d", "e", 4.0), ("c", "d", 3.0))]
     edges = spark.createDataFrame(e, "graph string, from string, to string, score double")
     n = spark.createDataFrame([("g", 5)], "graph string, nodes int")
-    taken = lambda k: sorted((r["from"], r["to"]) for r in gr.kruskal(edges, n, k).collect())
+    taken = lambda k: sorted((r["from"], r["to"]) for r in fo.spanning_forest(edges, n, k).collect())
     assert taken(1) == [("a", "b"), ("a", "c"), ("c", "d"), ("d", "e")] and taken(3) == [("a", "b"), ("a", "c")]
 
 
