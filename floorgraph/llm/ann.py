@@ -79,13 +79,18 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    scale: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return np.maximum((x / self.scale) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     @classmethod
     def fit(cls, x: np.ndarray, part: np.ndarray, n_parts: int, hidden: int = 128, epochs: int = 40, seed: int = 0) -> Router:
+        """Trained on vectors in units of their mean length, so that large components do not upset it."""
         rng = np.random.default_rng(seed)
+        scale = float(np.linalg.norm(x, axis=1).mean()) or 1.0
+        scale = scale if np.isfinite(scale) else float(np.abs(x).max())
+        x = x / scale
         p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), (hidden, n_parts)), np.zeros(n_parts)]
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
         for epoch in range(epochs):
@@ -102,7 +107,7 @@ class Router:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     p[k] -= 0.005 * (1 - epoch / epochs) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-        return cls(*p)
+        return cls(*p, scale)
 
 
 def train(x: np.ndarray, depth: int, k: int, target: float = TARGET_RECALL) -> tuple[Router, int]:
@@ -204,13 +209,17 @@ def nearest(
         if len(q) and len(c):
             points, values = c["point"].to_numpy(), np.stack(c["v"].to_numpy())
             asked, wanted = q["asked"].to_numpy(), np.stack(q["v"].to_numpy())
+            longest = np.linalg.norm(values, axis=1).max()
             for a in range(0, len(asked), 256):
+                # a product of matrices may round by so much of the vectors' lengths, and what lies that near is compared exactly
+                slack = 1e-15 * (wanted.shape[1] + 2) * np.linalg.norm(wanted[a : a + 256], axis=1) * longest
                 rough = wanted[a : a + 256] @ values.T
                 kth = np.partition(rough, -best, axis=1)[:, -best] if len(points) > best else np.full(len(rough), -np.inf)
                 for i, row in enumerate(rough):
-                    near = np.flatnonzero(row >= kth[i] - 1e-9)
+                    cut = kth[i] - 2 * slack[i]
+                    near = np.flatnonzero(row >= cut) if np.isfinite(cut) and np.isfinite(row).all() else np.arange(len(row))
                     exact = (values[near] * wanted[a + i]).sum(axis=1)
-                    order = np.lexsort((points[near], -exact))[:best]
+                    order = np.lexsort((points[near], -exact))[:best]  # what overflows to no number comes last
                     out_q.append(np.full(len(order), asked[a + i]))
                     out_p.append(points[near[order]])
                     out_s.append(exact[order])

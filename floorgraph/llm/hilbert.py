@@ -155,6 +155,12 @@ def hilbert_shards(
     names cannot clash.  Groups (equal texts) are not kept together across a
     cut: under these laws a group of a third of all rows has to span shards.
     """
+    placed = _cut(docs, n_shards, law, bits, id_col, text_col, size_overhead, max_log_size)
+    return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "curve_index")
+
+
+def _cut(docs: DataFrame, n_shards: int, law: str, bits: int, id_col: str, text_col: str, size_overhead: int, max_log_size: float, whole: bool = False) -> DataFrame:
+    """Every row's place on the curve and in its shard; with ``whole`` the row itself, as ``_row``."""
     if law not in LAWS:
         raise ValueError(f"law must be one of {LAWS}")
     have = set(docs.columns)
@@ -165,6 +171,7 @@ def hilbert_shards(
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         meta("lang").alias("_lang"),
         meta("source").alias("_source"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []),
     )
     cells = [
         quantise(F.log2(F.col("size")), bits, 0.0, max_log_size),
@@ -175,31 +182,67 @@ def hilbert_shards(
     placed = curve_order(rows, ["curve_index", "text_crc32", "size", "doc_id"], "size", with_bytes=law == "bytes")
     if law == "rows":
         # shard s holds places ceil(s*N/n) up to ceil((s+1)*N/n) - 1
-        placed = placed.withColumn("shard", F.expr(f"_before_rows * {n_shards} div _total").cast("int")).withColumn(
+        return placed.withColumn("shard", F.expr(f"_before_rows * {n_shards} div _total").cast("int")).withColumn(
             "slot", F.expr(f"_before_rows - (shard * _total + {n_shards - 1}) div {n_shards}").cast("long")
         )
-    else:
-        middle = F.expr(f"(_before_bytes * 2 + size) * {n_shards} div (_all_bytes * 2)")
-        placed = placed.withColumn("shard", F.least(middle, F.lit(n_shards - 1)).cast("int"))
-        firsts = placed.groupBy("shard").agg(F.min("_before_rows").alias("_first"))
-        placed = placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_before_rows") - F.col("_first"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "curve_index")
+    middle = F.expr(f"(_before_bytes * 2 + size) * {n_shards} div (_all_bytes * 2)")
+    placed = placed.withColumn("shard", F.least(middle, F.lit(n_shards - 1)).cast("int"))
+    firsts = placed.groupBy("shard").agg(F.min("_before_rows").alias("_first"))
+    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_before_rows") - F.col("_first"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, dims: Sequence[str], id_col: str = "doc_id") -> DataFrame:
-    """Write ``docs`` as one folder per shard and return the zone map: per shard the least and greatest of ``dims``."""
-    placed = docs.join(assigned.select(F.col("doc_id").alias("_id"), "shard", "slot"), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    stored = docs.sparkSession.read.parquet(path)
-    return stored.groupBy("shard").agg(
-        F.count("*").alias("n_rows"),
-        *[f(c).alias(f"{c}_{name}") for c in dims for name, f in (("min", F.min), ("max", F.max))],
-    )
+def _fresh(name: str, taken: Sequence[str]) -> str:
+    """``name``, with as many underscores behind it as tell it from the columns there are, in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def write_shards(
+    docs: DataFrame,
+    n_shards: int,
+    path: str,
+    dims: Sequence[str],
+    law: str = "rows",
+    bits: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rows_per_file: int = 1_000_000,
+) -> DataFrame:
+    """Write ``docs`` as a folder for each shard and return the zone map: shard, n_rows, and per dimension least, greatest and number of nulls.
+
+    The shards are those of :func:`hilbert_shards`.  The rows themselves go
+    along the curve, so each is stored once, whatever ids repeat.  The folder
+    column is ``shard``, the place in the shard ``slot``; if ``docs`` has a
+    column of such a name, underscores are put behind the new one.  A shard is
+    dealt to tasks by runs of ``rows_per_file`` slots.  An empty table writes
+    no shard and gives no rows.
+    """
+    shard, slot = _fresh("shard", docs.columns), _fresh("slot", docs.columns)
+    placed = _cut(docs, n_shards, law, bits, id_col, text_col, 16, 40.0, whole=True)
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    run = F.floor(F.col(slot) / rows_per_file)
+    rows = placed.select(*columns, F.col("shard").alias(shard), F.col("slot").alias(slot))
+    runs = max(n_shards, -(-docs.count() // rows_per_file) + n_shards)
+    rows.repartition(runs, shard, run).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    schema = rows.select(*[c for c in rows.columns if c != shard], shard).schema
+    stored = docs.sparkSession.read.schema(schema).parquet(path)
+    bounds = [f(F.col(f"`{c}`")).alias(f"{c}_{name}") for c in dims for name, f in (("min", F.min), ("max", F.max))]
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"{c}_nulls") for c in dims]
+    return stored.groupBy(F.col(shard).alias("shard")).agg(F.count("*").alias("n_rows"), *bounds, *nulls)
 
 
 def prune(zones: DataFrame, **ranges: tuple) -> DataFrame:
-    """Shards that can hold rows whose every named dimension lies within its inclusive range."""
+    """Shards that can hold rows whose every named dimension lies within its inclusive range.
+
+    A null is in no range, so a shard whose rows have only nulls there is left
+    out; a bound of None is open.  No range: all shards.
+    """
     for name, (low, high) in ranges.items():
-        zones = zones.where((F.col(f"{name}_max") >= F.lit(low)) & (F.col(f"{name}_min") <= F.lit(high)))
+        zones = zones.where(F.col(f"{name}_max").isNotNull())
+        if low is not None:
+            zones = zones.where(F.col(f"{name}_max") >= F.lit(low))
+        if high is not None:
+            zones = zones.where(F.col(f"{name}_min") <= F.lit(high))
     return zones.select("shard")
-

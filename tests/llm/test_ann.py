@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from floorgraph.llm import ann
 from floorgraph.llm.queries import op7_learned_partitions
@@ -45,6 +46,22 @@ def test_all_parts_are_exact(spark):
         assert np.allclose([s for _, s in out[q]], [s for _, s in near], rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("size", [1e-3, 1e3, 1e6])
+def test_large_and_small_components_with_ties(spark, size):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(1, 4, 6) * size).tolist()) for i in range(300)] + [(1000 + i, (rng.normal(size=6) * 1e-3 * size + size).tolist()) for i in range(300)]
+    out = got(ann.nearest(make(spark, rows), k=20, query_every=10, chunk_rows=100, target_recall=1))
+    assert out == exact(rows, 20, 10)
+
+
+def test_products_that_overflow(spark):
+    rows = [(i, [1e300 * (-1) ** i, 1e300, float(i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = got(ann.nearest(df, k=5, query_every=20, target_recall=1))
+    assert out.keys() == {0, 20, 40} and all(len(near) == 5 for near in out.values())
+    assert [i for i, _ in out[0]] == [2, 4, 6, 8, 10]  # all of them infinite, ties to the smaller id
+
+
 def test_fewer_candidates_than_asked(spark):
     out = got(ann.nearest(make(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])]), k=20))
     assert [i for i, _ in out[0]] == [1, 20] and [i for i, _ in out[20]] == [1, 0]

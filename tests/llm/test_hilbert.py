@@ -63,7 +63,7 @@ def test_unknown_law(make_docs):
 
 def test_files_are_pruned_by_any_dimension(spark, make_docs, tmp_path):
     docs = make_docs([(i, "ab " * (i % 400)) for i in range(2000)]).drop("shard", "size").withColumn("size", F.octet_length("text"))
-    zones = hilbert.write_shards(docs, hilbert.hilbert_shards(docs, 16), str(tmp_path / "shards"), ["size", "source"]).cache()
+    zones = hilbert.write_shards(docs, 16, str(tmp_path / "shards"), ["size", "source"]).cache()
     assert zones.agg(F.sum("n_rows")).first()[0] == 2000
     for ranges in ({"size": (1000, 1200)}, {"source": ("src2", "src2")}):
         name, (low, high) = next(iter(ranges.items()))
@@ -72,3 +72,28 @@ def test_files_are_pruned_by_any_dimension(spark, make_docs, tmp_path):
         hits = stored.where(F.col(name).between(low, high))
         assert hits.where(~F.col("shard").isin(kept)).count() == 0
         assert len(kept) < 16 or name == "source"
+
+
+def test_written_rows_are_the_rows(spark, make_docs, odd_pairs, tmp_path):
+    pairs = [*odd_pairs, (1, "one"), (1, "two"), (1, "one"), (1, None)]
+    docs = make_docs(pairs).withColumn("Slot", F.lit("s")).withColumn("shard_", F.lit(1))
+    for law in hilbert.LAWS:
+        zones = hilbert.write_shards(docs, 3, str(tmp_path / law), ["size", "lang"], law=law, rows_per_file=4)
+        stored = spark.read.parquet(str(tmp_path / law))
+        key = lambda df: sorted(map(str, df.select(*docs.columns).collect()))
+        assert key(stored) == key(docs)
+        assert {"shard__", "slot_"} <= set(stored.columns) and zones.agg(F.sum("n_rows")).first()[0] == len(pairs)
+        want = hilbert.hilbert_shards(docs, 3, law=law).groupBy("shard").count()
+        assert {(r.shard, r["count"]) for r in want.collect()} == {(r.shard, r.n_rows) for r in zones.collect()}
+        slots = stored.groupBy("shard__").agg(F.array_sort(F.collect_list("slot_")).alias("s")).collect()
+        assert all(r.s == list(range(len(r.s))) for r in slots)
+
+
+def test_shards_of_nothing_and_of_nulls(spark, make_docs, tmp_path):
+    zones = hilbert.write_shards(make_docs([]), 4, str(tmp_path / "none"), ["size"])
+    assert zones.count() == 0 and hilbert.prune(zones, size=(0, 9)).count() == 0
+    docs = make_docs([(i, None) for i in range(8)])
+    zones = hilbert.write_shards(docs, 4, str(tmp_path / "nulls"), ["n_chars", "size"])
+    assert [r.n_chars_nulls for r in zones.collect()] == [2] * 4
+    assert hilbert.prune(zones, n_chars=(0, 9)).count() == 0 and hilbert.prune(zones).count() == 4
+    assert hilbert.prune(zones, size=(7, None)).count() == 4 and hilbert.prune(zones, size=(None, 6)).count() == 0
