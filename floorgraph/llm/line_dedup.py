@@ -2,14 +2,15 @@
 
 The number of documents of each distinct line is counted with map-side sums
 over 128-bit line hashes, never over the lines themselves.  A sharded minimal
-perfect hash over the distinct hashes that recur indexes two compact arrays,
-the fingerprint (the hash's other 64 bits) and the count.  The documents then
-probe the arrays, row by row; neither lines nor texts are exchanged or joined.
-A hash found in one document only cannot reach any threshold of two or more,
-so it is left out of the index, and its probe fails on the fingerprint.
-
-Where the index outgrows a task's cache the distinct line hashes of each row
-are sent to the shards, and the hashes to drop come back by the row's hash:
+perfect hash over the distinct hashes that enough documents hold indexes two
+compact arrays, the fingerprint (the hash's other 64 bits) and the count.  The
+documents then probe the arrays, row by row; neither lines nor texts are
+exchanged or joined.  A hash below the threshold needs no place in the arrays:
+its probe fails on the fingerprint.  So the index is as small as what is
+dropped, a small share of all distinct lines.
+
+Where it outgrows a task's cache all the same, the distinct line hashes of each
+row are sent to the shards, and the hashes to drop come back by the row's hash:
 the only case in which texts are exchanged, once.
 """
 
@@ -77,16 +78,17 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
 
 @dataclass
 class LineIndex:
-    """Counts of recurring lines, and whether they fit a task."""
+    """Counts of the lines that ``min_docs`` documents or more hold, and whether they fit a task."""
 
     counts: ShardIndex
     small: bool
+    min_docs: int
 
 
 def line_index(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-    """The index over the lines of ``docs`` that recur."""
-    recurring = written(line_counts(docs, text_col, min_chars).where(F.col("n") >= min(2, min_docs)), "lines")
-    return LineIndex(build_index(recurring, ["n"], keys_per_shard), fits_a_task((recurring, 1)))
+    """The index over the lines that ``min_docs`` of ``docs`` or more hold; it serves any threshold from that one on."""
+    recurring = written(line_counts(docs, text_col, min_chars).where(F.col("n") >= min_docs), "lines")
+    return LineIndex(build_index(recurring, ["n"], keys_per_shard), fits_a_task((recurring, 1)), min_docs)
 
 
 def _lines_to_drop(rows: DataFrame, index: ShardIndex, min_docs: int, min_chars: int) -> DataFrame:
@@ -123,9 +125,12 @@ def dedup_lines(
     without the dropped lines and ``n_chars``, where there is one, counted
     anew; a null text stays null.  A row is a document, so repeated rows count
     each.  An empty table gives no rows.  Other columns are ignored, or with
-    ``keep`` returned unchanged.  ``index`` probes the lines of another corpus.
+    ``keep`` returned unchanged.  ``index`` probes the lines of another corpus; it
+    must have been built for ``min_docs`` or fewer, else it is an error.
     """
     index = index or line_index(docs, text_col, min_docs, min_chars)
+    if index.min_docs > min_docs:
+        raise ValueError(f"the index lacks lines of fewer than {index.min_docs} documents, and {min_docs} are asked for")
     count = docs.columns.index("n_chars") if keep and "n_chars" in docs.columns else None
     narrow = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     place = narrow.columns.index(text_col if keep else "text")

@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(l, chr(10) order by i) filter (not gone), '')) as kept_sha256
             from m group by doc_id""",
         "op8_dated_url_lists": r"""
-            with p as (select page_id, nullif(regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '') as host,
+            with p as (select page_id, nullif(regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)', 1), '') as host,
                        (date '2024-01-01' + ((page_id * 37) % 540)::int)::date as fetched_on from pages),
                  h as (select host as domain, ('0x' || substr(md5(host), 1, 7))::bigint as h from (select distinct host from p where host is not null)),
                  s as (select domain, h, (date '2024-01-01' + (h % 366)::int)::date as start from h),

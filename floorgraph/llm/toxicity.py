@@ -204,24 +204,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return written(signed.groupBy("a", "b", "toxic").applyInPandas(once, "text string, toxic int"), "training")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = SAMPLE_ROWS,
+    exceptions: tuple[str, ...] = (),
+    least_texts: int = 4,
+    least_share: float = 0.01,
+    least_weight: float = 3.0,
+    harmless_texts: int = 5,
+) -> Lexicon:
     """Lexicon, exceptions and curve from the labelled rows (doc_id, toxic) among ``docs`` (doc_id, text).
 
     Labels other than 0 and 1, null ids and ids that ``docs`` lacks teach
     nothing; null and empty texts teach the curve's base only.  Of repeated ids
     each row counts.  Without rows of both labels the lexicon is empty and no
     text scores one half.
+
+    An entry is learned from ``least_texts`` toxic texts and ``least_share`` of
+    them all or more, with log odds of ``least_weight`` or more: what fewer rows
+    show teaches nothing, so fewer than ``least_texts`` toxic rows leave the
+    lexicon empty and all scores at the rows' base rate.  A phrase is an
+    exception if ``harmless_texts`` texts or more have it and no toxic one does.
     """
     rows = training_rows(docs, labels, sample_rows)
     by_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_tox, n_non = by_label.get(1, 0), by_label.get(0, 0)
     if not n_tox or not n_non:
         return Lexicon({}, tuple(exceptions), (math.log(0.5 / (n_non + 1)), 0.0, 0.0))
-    least = max(4, math.ceil(0.01 * n_tox))
+    least = max(least_texts, math.ceil(least_share * n_tox))
     counts = _mapped(rows, _candidates, "entry string, toxic int, n long")
     odds = F.log((F.col("tox") + 0.5) / F.lit(n_tox + 1)) - F.log((F.col("non") + 0.5) / F.lit(n_non + 1))
     # a text's candidates are in a hundredth of the toxic texts or more: a hundred texts' worth at most
-    strong = counts.where(F.col("tox") >= least).withColumn("w", odds).where("w >= 3").collect()
+    strong = counts.where(F.col("tox") >= least).withColumn("w", odds).where(F.col("w") >= least_weight).collect()
     weights = _entries({r["entry"]: (r["tox"], float(r["w"])) for r in strong})
     lexicon = Lexicon(weights, tuple(exceptions))
     automaton = lexicon.automaton()
@@ -237,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
         }
 
     # harmless where several texts have the phrase and none of them is toxic: the sample's texts bound them
-    harmless = _mapped(rows, phrases, "entry string, toxic int, n long").where("tox = 0 and non >= 5").orderBy("entry").collect()
+    harmless = _mapped(rows, phrases, "entry string, toxic int, n long").where((F.col("tox") == 0) & (F.col("non") >= harmless_texts)).orderBy("entry").collect()
     lexicon = Lexicon(weights, (*exceptions, *(r["entry"] for r in harmless)))
     final = lexicon.automaton()
 

@@ -18,8 +18,8 @@ from floorgraph.llm.common import ascii_lower
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of an absolute URL, without user, port and final dots; null if there is none."""
-    host = ascii_lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    """Lower-case host of an absolute URL, without user, port and final dots; null if there is none. An address in brackets is taken whole, with them."""
+    host = ascii_lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)", 1))
     host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host != "", host)
 

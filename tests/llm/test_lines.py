@@ -92,3 +92,13 @@ def test_an_index_with_such_keys(spark):
     index = shard_index.build_index(rows, ["n"], 2)
     asked = spark.createDataFrame([(5, 2), (5, 1), (-1, -1), (-1, 1), (5, 3)], "key long, mark long")
     assert {(r.key, r.mark): r.counts[0] for r in index.routed(asked, "mark").collect()} == {(5, 2): 20, (5, 1): 10, (-1, -1): 40, (-1, 1): 30, (5, 3): 0}
+
+
+def test_an_index_serves_its_threshold_and_higher_ones(make_docs):
+    pairs = [(i, "\n".join(f"line {k}" for k in range(1, 13) if i < k)) for i in range(12)]  # line k in k documents
+    index = line_dedup.line_index(make_docs(pairs), min_docs=6)
+    for least in (6, 9):
+        out = line_dedup.dedup_lines(make_docs(pairs), min_docs=least, index=index)
+        assert sorted(map(str, out.collect())) == sorted(map(str, line_dedup.dedup_lines(make_docs(pairs), min_docs=least).collect()))
+    with pytest.raises(ValueError, match="fewer than 6"):
+        line_dedup.dedup_lines(make_docs(pairs), min_docs=5, index=index)

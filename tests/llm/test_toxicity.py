@@ -108,3 +108,29 @@ def test_held_out_is_the_crc(spark):
     df = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long")
     for r in df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect():
         assert r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def auc(scored):
+    """Share of (toxic, other) pairs in which the toxic one scores higher, ties half."""
+    one, none = ([s for s, y in scored if y == k] for k in (1, 0))
+    return sum((a > b) + 0.5 * (a == b) for a in one for b in none) / (len(one) * len(none))
+
+
+def test_held_out_documents_are_told_apart(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.held_out(F.col("doc_id"))
+    lexicon = toxicity.learn(docs, labels.where(~held))
+    rows = toxicity.score(docs, lexicon).join(labels.where(held), "doc_id").select("score", "toxic").collect()
+    scored = [(r.score, r.toxic) for r in rows]
+    assert sum(y for _, y in scored) > 50 and auc(scored) >= 0.95
+    assert sum((s >= 0.5) == y for s, y in scored) / len(scored) >= 0.98
+
+
+def test_few_toxic_rows_teach_nothing_by_default(spark):
+    texts = [(i, f"grumble word{i}", 1) for i in range(3)] + [(10 + i, f"calm word{i}", 0) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    assert toxicity.learn(docs, labels).weights == {}
+    found = toxicity.learn(docs, labels, least_texts=2, least_weight=1.0)
+    assert any("grumble".startswith(k.strip()) for k in found.weights)

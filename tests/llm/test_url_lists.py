@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import random
 from datetime import date, datetime, timedelta
 
@@ -68,3 +69,9 @@ def test_times_within_a_day(spark):
     rows = sorted(str((r.page_id, r.host, r.fetched_on, r.blocked, r.n_active, r.domain, r.list_name)) for r in out.collect())
     want = brute([c[:3] for c in captures], entries)
     assert rows == want and sum("True" in r for r in rows) == 4
+
+
+def test_hosts_in_brackets(spark):
+    urls = {"http://[2001:DB8::1]:8080/x": "[2001:db8::1]", "http://u@[::1]?q": "[::1]", "http://[broken/x": "[broken", "http://A.b.:80": "a.b", "http://": None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.h for r in df.select("u", url_lists.host_of(F.col("u")).alias("h")).collect()} == urls
