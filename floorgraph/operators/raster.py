@@ -1,7 +1,8 @@
 """Masks as pixel tables (image, x, y): morphology, components, contact, rays, colours.
 
-A pixel meets its neighbours through an equi-join on coordinates, so a mask of
-any size is spread over the cluster.
+Morphology, components and contact work on runs of pixels
+(:mod:`floorgraph.operators.runs`), so what is exchanged goes by the outline of
+a mask rather than its area; pixels are what goes in and comes out.
 """
 
 from __future__ import annotations
@@ -11,59 +12,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorgraph.operators.graph import components
+from floorgraph.operators import runs as rn
+from floorgraph.sources.shared import cut
 
 _C = F.col
 
 
-def _offsets(r: int) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-r, r + 1) for j in range(-r, r + 1)])
+def _radius(size: int) -> int:
+    return (size | 1) // 2
 
 
 def dilate(mask: DataFrame, size: int, width: int, height: int) -> DataFrame:
     """Pixels within a square kernel of odd ``size`` of the mask, inside the image; sizes below 2 leave it as it is."""
-    r = (size | 1) // 2
-    if r < 1:
-        return mask.distinct()
-    near = mask.withColumn("_o", F.explode(_offsets(r))).select("image", (_C("x") + _C("_o.dx")).alias("x"), (_C("y") + _C("_o.dy")).alias("y"))
-    return near.where(_C("x").between(0, width - 1) & _C("y").between(0, height - 1)).distinct()
+    return rn.to_pixels(rn.dilated(rn.to_runs(mask), _radius(size), width, height)) if _radius(size) else mask.distinct()
 
 
 def erode(mask: DataFrame, size: int, width: int, height: int) -> DataFrame:
     """Pixels all of whose kernel lies in the mask; beyond the border counts as inside."""
-    r = (size | 1) // 2
-    if r < 1:
-        return mask.distinct()
-    seen = mask.distinct().withColumn("_o", F.explode(_offsets(r))).select("image", (_C("x") + _C("_o.dx")).alias("x"), (_C("y") + _C("_o.dy")).alias("y"))
-    full = lambda c, n: F.least(_C(c) + r, F.lit(n - 1)) - F.greatest(_C(c) - r, F.lit(0)) + 1
-    counted = seen.groupBy("image", "x", "y").agg(F.count("*").alias("n")).where(_C("x").between(0, width - 1) & _C("y").between(0, height - 1))
-    return counted.where(_C("n") == full("x", width) * full("y", height)).select("image", "x", "y")
+    return rn.to_pixels(rn.eroded(rn.to_runs(mask), _radius(size), width, height)) if _radius(size) else mask.distinct()
 
 
 def opened(mask: DataFrame, size: int, width: int, height: int) -> DataFrame:
-    return dilate(erode(mask, size, width, height), size, width, height)
+    r = _radius(size)
+    return rn.to_pixels(rn.dilated(rn.eroded(rn.to_runs(mask), r, width, height), r, width, height)) if r else mask.distinct()
 
 
 def closed(mask: DataFrame, size: int, width: int, height: int) -> DataFrame:
-    return erode(dilate(mask, size, width, height), size, width, height)
+    r = _radius(size)
+    return rn.to_pixels(rn.eroded(rn.dilated(rn.to_runs(mask), r, width, height), r, width, height)) if r else mask.distinct()
 
 
 def mask_components(mask: DataFrame, least_area: int = 1) -> DataFrame:
     """(image, component, area, x0, y0, x1, y1) of 8-connected parts; a component is named by its first pixel."""
-    node = F.format_string("%s|%06d|%06d", _C("image").cast("string"), "y", "x")
-    pixels = mask.distinct().withColumn("node", node)
-    moved = pixels.withColumn("_o", F.explode(_offsets(1))).select("image", (_C("x") + _C("_o.dx")).alias("x"), (_C("y") + _C("_o.dy")).alias("y"), _C("node").alias("from"))
-    edges = moved.join(pixels.withColumnRenamed("node", "to"), ["image", "x", "y"]).where(_C("from") < _C("to")).select("from", "to")
-    named = pixels.join(components(pixels.select("node"), edges), "node")
-    out = named.groupBy("image", "component").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    named = rn.linked(rn.to_runs(mask))
+    out = named.groupBy("image", "component").agg(rn.area(named).alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
     return out.where(_C("area") >= least_area)
 
 
 def contact_area(a: DataFrame, b: DataFrame, reach: int, width: int, height: int) -> DataFrame:
-    """(image, contact, common): pixels of either mask within the reach of the other, and pixels of both."""
-    common = a.distinct().join(b, ["image", "x", "y"], "left_semi")
-    near = a.distinct().join(dilate(b, 2 * reach + 1, width, height), ["image", "x", "y"], "left_semi").unionByName(b.distinct().join(dilate(a, 2 * reach + 1, width, height), ["image", "x", "y"], "left_semi"))
-    return near.groupBy("image").agg(F.count("*").alias("contact")).join(common.groupBy("image").agg(F.count("*").alias("common")), "image", "left").select("image", "contact", F.coalesce("common", F.lit(0)).cast("bigint").alias("common"))
+    """(image, contact, common) of the images with any: pixels of either mask within the reach of the other, and pixels of both."""
+    one, two = cut(rn.to_runs(a)), cut(rn.to_runs(b))
+    wide = lambda runs: rn.dilated(runs, reach, width, height)
+    shares = ((one, wide(two), "contact"), (two, wide(one), "contact"), (one, two, "common"))
+    found = [rn.common(x, y).select("image", (_C("x1") - _C("x0") + 1).alias("n"), F.lit(kind).alias("kind")) for x, y, kind in shares]
+    of = lambda kind: F.coalesce(F.sum(F.when(_C("kind") == kind, _C("n"))), F.lit(0)).cast("bigint").alias(kind)
+    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("image").agg(of("contact"), of("common"))
 
 
 def first_hits(mask: DataFrame, origins: DataFrame, directions: Sequence[tuple[int, int]], reach: int) -> DataFrame:

@@ -9,6 +9,8 @@ from floorgraph.functions import geometry as g
 from floorgraph.functions import rings as rg
 from floorgraph.operators import cluster as cl
 from floorgraph.operators import raster as rs
+from floorgraph.operators import runs as rn
+from floorgraph.sources.shared import cut
 from floorgraph.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -129,6 +131,60 @@ def raster_contact(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image", F.coalesce("contact", F.lit(0)).cast("bigint").alias("contact"), F.coalesce("common", F.lit(0)).cast("bigint").alias("common"), "core", "step")
 
 
+_PIXELS = "l as (select distinct l_suppkey as image, l_returnflag as f, l_quantity::int as x, (l_shipdate::date - date '1992-01-01')::int // 56 as y from lineitem)"
+_AROUND = "(select i as dx, j as dy from range(-{r}, {s}) a(i), range(-{r}, {s}) b(j))"
+
+
+def _line_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as pixels of their supplier's image: quantity across, spans of eight weeks down."""
+    y = F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / 56).cast("int")
+    return read_table(spark, d, "lineitem").select(_C("l_suppkey").alias("image"), _C("l_returnflag").alias("f"), _C("l_quantity").cast("int").alias("x"), y.alias("y")).distinct()
+
+
+@query(f"""
+with {_PIXELS}, m as (select distinct image, x, y from l where x < 51 and y between 0 and 63),
+  d as (select distinct image, x + dx as x, y + dy as y from m, {_AROUND.format(r=1, s=2)} where x + dx between 0 and 50 and y + dy between 0 and 63),
+  c as (select image, x, y from (select image, x + dx as x, y + dy as y, count(*) as n from d, {_AROUND.format(r=1, s=2)} group by 1, 2, 3) where x between 0 and 50 and y between 0 and 63
+    and n = (least(x + 1, 50) - greatest(x - 1, 0) + 1) * (least(y + 1, 63) - greatest(y - 1, 0) + 1)),
+  e as (select image, x, y from (select image, x + dx as x, y + dy as y, count(*) as n from c, {_AROUND.format(r=2, s=3)} group by 1, 2, 3) where x between 0 and 50 and y between 0 and 63
+    and n = (least(x + 2, 50) - greatest(x - 2, 0) + 1) * (least(y + 2, 63) - greatest(y - 2, 0) + 1)),
+  o as (select distinct image, x + dx as x, y + dy as y from e, {_AROUND.format(r=2, s=3)} where x + dx between 0 and 50 and y + dy between 0 and 63)
+select image, (select count(*) from c where c.image = o.image)::bigint as closed, count(*)::bigint as opened, min(x)::int as x0, min(y)::int as y0, max(x)::int as x1, max(y)::int as y1 from o group by image""")
+def mask_morphology(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's mask closed and then opened: pixels after either, and the box of what is left."""
+    runs = rn.to_runs(_line_pixels(spark, d).where("x < 51 and y between 0 and 63"))
+    size = (51, 64)
+    closed = cut(rn.eroded(rn.dilated(runs, 1, *size), 1, *size))
+    opened = rn.dilated(rn.eroded(closed, 2, *size), 2, *size)
+    left = opened.groupBy("image").agg(rn.area(opened).alias("opened"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+    return left.join(closed.groupBy("image").agg(rn.area(closed).alias("closed")), "image").select("image", "closed", "opened", *[_C(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(f"""
+with recursive {_PIXELS}, m as (select distinct image, x, y from l where f = 'A'),
+  e as (select a.image, a.x, a.y, b.x as u, b.y as v from m a join {_AROUND.format(r=1, s=2)} on true join m b on b.image = a.image and b.x = a.x + dx and b.y = a.y + dy),
+  r(image, x, y, cx, cy) using key (image, x, y) as (select image, x, y, x, y from m
+    union select image, x, y, (best).x, (best).y from (select e.image, e.u as x, e.v as y, min({{'y': r.cy, 'x': r.cx}}) as best from r join e on e.image = r.image and e.x = r.x and e.y = r.y group by all)
+      join recurring.r k using (image, x, y) where (best).y < k.cy or ((best).y = k.cy and (best).x < k.cx))
+select image, printf('%d|%06d|%06d', image, cy, cx) as component, count(*)::bigint as area, min(x)::int as x0, min(y)::int as y0, max(x)::int as x1, max(y)::int as y1 from r group by image, cx, cy having count(*) >= 3""")
+def mask_parts(spark: SparkSession, d: str) -> DataFrame:
+    """8-connected parts of three pixels or more of each supplier's mask of one return flag."""
+    return rs.mask_components(_line_pixels(spark, d).where("f = 'A'").select("image", "x", "y"), 3)
+
+
+@query(f"""
+with {_PIXELS}, a as (select image, x, y from l where f = 'A'), b as (select image, x, y from l where f = 'R'),
+  n as (select distinct a.image, a.x, a.y, 'a' as m from a join {_AROUND.format(r=2, s=3)} on true join b on b.image = a.image and b.x = a.x + dx and b.y = a.y + dy
+    union all select distinct b.image, b.x, b.y, 'b' from b join {_AROUND.format(r=2, s=3)} on true join a on b.image = a.image and a.x = b.x + dx and a.y = b.y + dy),
+  c as (select image, count(*) as n from a join b using (image, x, y) group by image)
+select n.image, count(*)::bigint as contact, coalesce(any_value(c.n), 0)::bigint as common from n left join c using (image) group by n.image""")
+def mask_contact(spark: SparkSession, d: str) -> DataFrame:
+    """Contact and common pixels of two return flags' masks, supplier by supplier."""
+    pixels = _line_pixels(spark, d)
+    flag = lambda f: pixels.where(_C("f") == f).select("image", "x", "y")
+    return rs.contact_area(flag("A"), flag("R"), 2, 60, 200)
+
+
 def _ring(scale, key):
     """A square with a notch, as wide as ``scale``; where the notch ends goes by ``key``."""
     corners = ((0, 0), (4, 0), (4, 4), (1 + key % 2, 1 + key % 3), (0, 4))

@@ -11,6 +11,8 @@ from floorgraph.operators import cluster as cl
 from floorgraph.operators import forest as fo
 from floorgraph.operators import grid
 from floorgraph.operators import outlines as ol
+from floorgraph.operators import raster as rs
+from floorgraph.operators import runs as rn
 from floorgraph.operators import spatial as sp
 
 RING = "ring array<struct<x: double, y: double>>"
@@ -183,3 +185,51 @@ def test_suppression_equals_the_sequential_form(spark):
         want |= {(image, r[1]) for r in kept}
     assert {(r.image, r.id) for r in cl.suppress_overlaps(boxes, "image").collect()} == want | {(0, 601)}
     assert cl.suppress_overlaps(boxes.limit(0), "image").count() == 0
+
+
+def plain_masks(pixels, r, w, h):
+    near = lambda x, y: [(a, b) for a in range(x - r, x + r + 1) for b in range(y - r, y + r + 1) if 0 <= a < w and 0 <= b < h]
+    every = [(x, y) for x in range(w) for y in range(h)]
+    return {p for p in every if any(q in pixels for q in near(*p))}, {p for p in every if all(q in pixels for q in near(*p))}
+
+
+@pytest.mark.parametrize("size", [1, 3, 6])
+def test_runs_equal_pixels(spark, size):
+    rng = random.Random(8)
+    w, h, r = 23, 17, (size | 1) // 2
+    blobs = {(image, x + i, y + j) for image in "mn" for x, y, s in [(rng.randrange(w), rng.randrange(h), rng.randrange(1, 9)) for _ in range(9)] for i in range(s) for j in range(s) if x + i < w and y + j < h}
+    blobs |= {("m", rng.randrange(w), rng.randrange(h)) for _ in range(30)} | {("o", 0, 0)} | {("all", x, y) for x in range(w) for y in range(h)}
+    df = spark.createDataFrame([*blobs, ("m", None, 1), ("all", 3, 3)], "image string, x int, y int")
+    inside = {i: {(x, y) for k, x, y in blobs if k == i} for i in ("m", "n", "o", "all")}
+    got = lambda out: {(p.image, p.x, p.y) for p in out.collect()}
+    wide = {(i, *p) for i, mask in inside.items() for p in plain_masks(mask, r, w, h)[0]}
+    narrow = {(i, *p) for i, mask in inside.items() for p in plain_masks(mask, r, w, h)[1]}
+    if r:
+        assert got(rs.dilate(df, size, w, h)) == wide and got(rs.erode(df, size, w, h)) == narrow
+        opened = {(i, *p) for i in inside for p in plain_masks({q[1:] for q in narrow if q[0] == i}, r, w, h)[0]}
+        closed = {(i, *p) for i in inside for p in plain_masks({q[1:] for q in wide if q[0] == i}, r, w, h)[1]}
+        assert got(rs.opened(df, size, w, h)) == opened and got(rs.closed(df, size, w, h)) == closed
+
+
+def test_parts_and_contact_of_runs(spark):
+    rng = random.Random(9)
+    masks = [{("i", rng.randrange(40), rng.randrange(25)) for _ in range(260)} | {("j", k, k % 2) for k in range(30)} for _ in range(2)]
+    frames = [spark.createDataFrame(sorted(m), "image string, x int, y int") for m in masks]
+    left, parts = set(masks[0]), []
+    while left:
+        todo, part = [left.pop()], set()
+        while todo:
+            i, x, y = p = todo.pop()
+            part.add(p)
+            near = {(i, x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        y, x = min((y, x) for _, x, y in part)
+        parts.append((p[0], f"{p[0]}|{y:06d}|{x:06d}", len(part), min(q[1] for q in part), min(q[2] for q in part), max(q[1] for q in part), max(q[2] for q in part)))
+    assert sorted(map(tuple, rs.mask_components(frames[0]).collect())) == sorted(parts)
+    assert rs.mask_components(frames[0], 5).count() == sum(p[2] >= 5 for p in parts)
+    near = lambda a, b, i: sum(any((i, x + u, y + v) in b for u in range(-3, 4) for v in range(-3, 4)) for k, x, y in a if k == i)
+    want = {(i, near(masks[0], masks[1], i) + near(masks[1], masks[0], i), len({p for p in masks[0] & masks[1] if p[0] == i})) for i in "ij"}
+    assert {tuple(r) for r in rs.contact_area(*frames, 3, 40, 25).collect()} == want
+    few = rn.to_runs(spark.range(2000).selectExpr("'b' as image", "cast(id % 100 as int) as x", "cast(id / 100 as int) as y"))
+    assert few.count() == 20 and rn.dilated(few, 8, 200, 200).count() == 28
