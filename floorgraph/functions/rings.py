@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from floorgraph.functions.geometry import bound, ring_area
+from floorgraph.functions.geometry import bound, crosses_upward_ray, point_segment_distance, ring_area, rotated
 
 
 def point(x: Column, y: Column) -> Column:
@@ -51,14 +51,94 @@ def split_by_vertices(ring: Column, a: Column, b: Column) -> tuple[Column, Colum
     return _valid(cyclic_path(ring, a, b), apart), _valid(cyclic_path(ring, b, a), apart)
 
 
-def replace_path(ring: Column, start: Column, end: Column, path: Column) -> Column:
-    """The forward path between two positions replaced by another, turned the way that its ends are nearer."""
-    first, last = F.element_at(ring, (start + 1).cast("int")), F.element_at(ring, (end + 1).cast("int"))
+def replace_path(ring: Column, start: Column, end: Column, path: Column, backward: bool = False, order: str = "auto") -> Column:
+    """The path from one position forward (or ``backward``) to another, replaced by another path.
+
+    ``order`` auto turns the new path the way that its ends are nearer, reverse
+    takes it as it lies along the old one, keep against it.
+    """
+    if order not in ("auto", "keep", "reverse"):
+        raise ValueError("order must be auto, keep or reverse")
+    low, high = (end, start) if backward else (start, end)
+    first, last = F.element_at(ring, (low + 1).cast("int")), F.element_at(ring, (high + 1).cast("int"))
     away = lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
     head, tail = F.element_at(path, 1), F.element_at(path, -1)
-    turned = F.when(away(first, head) + away(last, tail) <= away(first, tail) + away(last, head), path).otherwise(F.reverse(path))
-    rest = cyclic_path(ring, end, start)
-    return _valid(F.concat(turned, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 2, F.lit(0)))), start != end)
+    nearer = away(first, head) + away(last, tail) <= away(first, tail) + away(last, head)
+    turned = {"auto": F.when(nearer, path).otherwise(F.reverse(path)), "keep": F.reverse(path), "reverse": path}[order]
+    rest = cyclic_path(ring, high, low)
+    return _valid(F.concat(turned, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 2, F.lit(0)))), (start != end) & (F.size(path) >= 2))
+
+
+def _edges(ring: Column) -> Column:
+    return F.zip_with(ring, rotated(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def split_by_line(ring: Column, p: Column, q: Column, holes: Column | None = None) -> Column:
+    """The two rings, as (a, b), on either side of the line through two points; null unless it meets the boundary at two places.
+
+    Hits nearer than 1e-4 to one before along the line are that one, hits so
+    near to the begin of their edge are its vertex.  A ring with holes, equal
+    points, and parts of fewer than three points or an area of one or less give
+    null.
+    """
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    near = lambda a, b, eps: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]) <= eps * eps
+
+    def hit(e: Column, i: Column) -> Column:
+        ex, ey, ox, oy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"], e["a"]["x"] - p["x"], e["a"]["y"] - p["y"]
+        turn = dx * ey - dy * ex
+        t, u = (ox * ey - oy * ex) / turn, (ox * dy - oy * dx) / turn
+        at = point(p["x"] + t * dx, p["y"] + t * dy)
+        u_in = F.greatest(F.lit(0.0), F.least(F.lit(1.0), u))
+        fine = (F.abs(turn) > 1e-6) & (u >= -1e-6) & (u <= 1 + 1e-6)
+        return F.when(fine, F.struct(t.alias("t"), i.alias("edge"), u_in.alias("u"), F.when(near(at, e["a"], 1e-4), e["a"]).otherwise(at).alias("at")))
+
+    def kept(hits: Column) -> Column:
+        empty = F.filter(hits, lambda h: F.lit(False))
+        return F.aggregate(hits, empty, lambda s, h: F.when(F.exists(s, lambda k: near(k["at"], h["at"], 1e-4)), s).otherwise(F.concat(s, F.array(h))))
+
+    def parts(two: Column) -> Column:
+        one, other = two[0], two[1]
+        n = F.size(ring)
+        ahead = lambda a, b, count: F.transform(F.sequence(F.lit(1), count), lambda k: F.element_at(ring, (F.pmod(a["edge"] + k, n) + 1).cast("int")))
+        inner = F.when(other["edge"] > one["edge"], ahead(one, other, other["edge"] - one["edge"])).otherwise(F.slice(ring, 1, 0))
+        outer = ahead(other, one, n - (other["edge"] - one["edge"]))
+        cut = lambda a, between, b: without_repeats(F.concat(F.array(a["at"]), between, F.array(b["at"])))
+        return F.struct(_valid(cut(one, inner, other), F.lit(True)).alias("a"), _valid(cut(other, outer, one), F.lit(True)).alias("b"))
+
+    by_place = lambda hits: F.array_sort(F.transform(hits, lambda h: F.struct(h["edge"].alias("edge"), h["u"].alias("u"), h["at"].alias("at"))))
+    hits = kept(F.array_sort(F.array_compact(F.transform(_edges(ring), hit))))
+    whole = (F.size(F.coalesce(holes, F.array())) == 0 if holes is not None else F.lit(True)) & ((dx * dx + dy * dy) > 1e-12)
+    both = bound(hits, lambda h: F.when(whole & (F.size(h) == 2), bound(by_place(h), parts)))
+    return bound(both, lambda b: F.when(b["a"].isNotNull() & b["b"].isNotNull(), b))
+
+
+def holds(ring: Column, p: Column) -> Column:
+    """Whether a point lies in a ring or on its boundary."""
+    at = (p["x"], p["y"])
+    ends = lambda e: ((e["a"]["x"], e["a"]["y"]), (e["b"]["x"], e["b"]["y"]))
+    crossed = F.aggregate(_edges(ring), F.lit(0), lambda s, e: s + crosses_upward_ray(at, *ends(e)).cast("int")) % 2 == 1
+    return crossed | F.exists(_edges(ring), lambda e: point_segment_distance(at, *ends(e)) <= 1e-9)
+
+
+def polygon(outer: Column, holes: Column) -> Column:
+    """A ring with holes as one value (outer, holes); null unless all rings are sound and every hole's points lie in the outer one."""
+    inside = lambda o: F.forall(holes, lambda h: (F.size(h) >= 3) & (ring_area(h) > 1) & F.forall(h, lambda p: holds(o, p)))
+    return bound(_valid(outer, F.lit(True)), lambda o: F.when(o.isNotNull() & inside(o), F.struct(o.alias("outer"), holes.alias("holes"))))
+
+
+def cut_hole(shape: Column, hole: Column) -> Column:
+    """The polygon with one hole more; null where that is not allowed."""
+    return polygon(shape["outer"], F.concat(shape["holes"], F.array(without_repeats(hole))))
+
+
+def move_polygon_vertex(shape: Column, at: Column, to: Column, hole: Column | None = None) -> Column:
+    """The polygon with a vertex of its outer ring, or of a hole by its position, moved; null where that is not allowed."""
+    put = lambda ring: F.when((at >= 0) & (at < F.size(ring)), without_repeats(F.transform(ring, lambda p, i: F.when(i == at, to).otherwise(p))))
+    if hole is None:
+        return polygon(put(shape["outer"]), shape["holes"])
+    known = (hole >= 0) & (hole < F.size(shape["holes"]))
+    return F.when(known, polygon(shape["outer"], F.transform(shape["holes"], lambda h, i: F.when(i == hole, put(h)).otherwise(h))))
 
 
 def splice(a: Column, a_at: Column, b: Column, b_at: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floorgraph.functions import geometry as g
 from floorgraph.functions import rings as rg
 from floorgraph.operators import forest as fo
 from floorgraph.operators import outlines as ol
@@ -105,3 +106,52 @@ def span_edges(spark: SparkSession, d: str) -> DataFrame:
     """The shortest links between the vertices of outlines (a brand's parts) that leave three components."""
     part = read_table(spark, d, "part").select("p_brand", "p_partkey", (_C("p_size") * 40.0).alias("x"), _C("p_retailprice").alias("y"))
     return fo.span_edges(part, "p_brand", "p_partkey", "x", "y", target=3).select("a", "b", "point_a", "point_b", F.round("distance", 6).alias("distance"))
+
+
+_NOTCH = """k as (select p_partkey as k, p_size::double as s, (1 + p_partkey % 2)::double as a, (1 + p_partkey % 3)::double as h, 0.3137 + (p_partkey % 13) * 0.2911 as c, ((p_partkey % 5) - 2) * 0.17 as m from part),
+  v as (select *, [0, 4, 4, a, 0]::double[] as vx, [0, 0, 4, h, 4]::double[] as vy from k),
+  e as (select k, s, i, (vx[i] * s) as ax, (vy[i] * s) as ay, (vx[i % 5 + 1] * s) as bx, (vy[i % 5 + 1] * s) as ty, c * s as c, m from v, range(1, 6) t(i))"""
+
+
+def _notched(spark: SparkSession, d: str) -> DataFrame:
+    """A square with a notch for each part: k, s (its scale), c and m (a line's height at zero, in the scale, and slope), ring."""
+    k, s = _C("p_partkey"), _C("p_size").cast("double")
+    corners = ((F.lit(0), F.lit(0)), (F.lit(4), F.lit(0)), (F.lit(4), F.lit(4)), (1 + k % 2, 1 + k % 3), (F.lit(0), F.lit(4)))
+    ring = F.array(*[rg.point(x * s, y * s) for x, y in corners])
+    return read_table(spark, d, "part").select(k.alias("k"), s.alias("s"), (0.3137 + (k % 13) * 0.2911).alias("c"), ((k % 5 - 2) * 0.17).alias("m"), ring.alias("ring"))
+
+
+# with the origin on the line, what runs along it adds nothing to the area: the clipped edges alone do
+@query(f"""
+with {_NOTCH}, f as (select *, ay - c - m * ax as fa, ty - c - m * bx as fb from e),
+  g as (select *, case when (fa > 0) <> (fb > 0) then fa / (fa - fb) end as u from f),
+  q as (select *, case when fa > 0 then 0 else u end as u0, case when fb > 0 then 1 else u end as u1, case when fa > 0 then u else 0 end as w0, case when fb > 0 then u else 1 end as w1 from g),
+  p as (select k, s, count(u) as hits, sum(case when fa > 0 or fb > 0 then (ax + u0 * (bx - ax)) * (ay + u1 * (ty - ay) - c) - (ax + u1 * (bx - ax)) * (ay + u0 * (ty - ay) - c) else 0 end) / 2 as above,
+      sum(case when fa <= 0 or fb <= 0 then (ax + coalesce(w0, 0) * (bx - ax)) * (ay + coalesce(w1, 1) * (ty - ay) - c) - (ax + coalesce(w1, 1) * (bx - ax)) * (ay + coalesce(w0, 0) * (ty - ay) - c) else 0 end) / 2 as below from q group by k, s)
+select k, case when hits = 2 and abs(above) > 1 and abs(below) > 1 then round(greatest(abs(above), abs(below)), 4) end as larger, case when hits = 2 and abs(above) > 1 and abs(below) > 1 then round(least(abs(above), abs(below)), 4) end as smaller from p""")
+def line_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of the two parts of each outline along a line; null where the line does not meet it twice."""
+    s, y = _C("s"), lambda x: (_C("c") + _C("m") * x) * _C("s")
+    parts = rg.split_by_line(_C("ring"), rg.point(F.lit(-1) * s, y(-1)), rg.point(F.lit(5) * s, y(5)))
+    out = _notched(spark, d).select("k", parts.alias("p")).select("k", g.ring_area(_C("p.a")).alias("a"), g.ring_area(_C("p.b")).alias("b"))
+    return out.select("k", *[F.when(_C("a").isNotNull(), F.round(f("a", "b"), 4)).alias(n) for f, n in ((F.greatest, "larger"), (F.least, "smaller"))])
+
+
+# the hole is a square of 0.6 in the scale at (0.2, 0.2); its far corner moves to (x, x), which is in the notched square up to the notch
+@query("""
+with k as (select p_partkey as k, p_size::double as s, 0.5 + (p_partkey % 8) * 0.5 as x, (1 + p_partkey % 2)::double as a, (1 + p_partkey % 3)::double as h from part),
+  c as (select *, 0.36 * s * s > 1 as cut, case when x < 4 then ((a - 4) * (x - 4) >= 0 and (x - 4) / (a - 4) between 0 and 1 and x <= 4 + (h - 4) * (x - 4) / (a - 4)) or (x < a and x <= 4 + (h - 4) * x / a) else x = 4 end as held from k)
+select k, case when cut then 1 else 0 end::int as n_holes, case when cut then round(0.36 * s * s, 4) end as hole,
+  case when cut and held and 0.6 * (x - 0.2) * s * s > 1 then round(0.6 * (x - 0.2) * s * s, 4) end as moved, false as outside from c""")
+def hole_edits(spark: SparkSession, d: str) -> DataFrame:
+    """A hole is cut into each outline and one of its corners moved along the diagonal; null where the hole is too small or leaves the outline."""
+    k, s = _C("k"), _C("s")
+    at = lambda x, y: rg.point(x * s, y * s)
+    square = lambda x, w: F.array(at(F.lit(x), F.lit(x)), at(F.lit(x + w), F.lit(x)), at(F.lit(x + w), F.lit(x + w)), at(F.lit(x), F.lit(x + w)))
+    none = F.array().cast("array<array<struct<x: double, y: double>>>")
+    shapes = _notched(spark, d).select(k, s, rg.polygon(_C("ring"), none).alias("p"))
+    cut = shapes.select(k, s, rg.cut_hole(_C("p"), square(0.2, 0.6)).alias("c"), rg.cut_hole(_C("p"), square(3.9, 0.6)).alias("o"))
+    x = 0.5 + (k % 8) * 0.5
+    moved = cut.select(k, "c", "o", rg.move_polygon_vertex(_C("c"), F.lit(2), at(x, x), F.lit(0)).alias("m"))
+    area = lambda p: F.round(g.ring_area(_C(f"{p}.holes")[0]), 4)
+    return moved.select(k, F.coalesce(F.size("c.holes"), F.lit(0)).alias("n_holes"), area("c").alias("hole"), area("m").alias("moved"), _C("o").isNotNull().alias("outside"))
