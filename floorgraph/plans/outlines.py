@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floorgraph.functions import geometry as g
 from floorgraph.functions import rings as rg
+from floorgraph.functions import tables
 from floorgraph.operators import forest as fo
 from floorgraph.operators import outlines as ol
 from floorgraph.sources.tables import read_table
@@ -155,3 +156,18 @@ def hole_edits(spark: SparkSession, d: str) -> DataFrame:
     moved = cut.select(k, "c", "o", rg.move_polygon_vertex(_C("c"), F.lit(2), at(x, x), F.lit(0)).alias("m"))
     area = lambda p: F.round(g.ring_area(_C(f"{p}.holes")[0]), 4)
     return moved.select(k, F.coalesce(F.size("c.holes"), F.lit(0)).alias("n_holes"), area("c").alias("hole"), area("m").alias("moved"), _C("o").isNotNull().alias("outside"))
+
+
+@query("""
+with p as (select l_orderkey as path, l_quantity as x, l_linenumber * 3.0 as y, lead(l_quantity) over o as x1, lead(l_linenumber * 3.0) over o as y1, row_number() over o as i from lineitem window o as (partition by l_orderkey order by l_linenumber, l_extendedprice)),
+  s as (select *, sqrt(power(x1 - x, 2) + power(y1 - y, 2)) as len from p where x1 is not null), c as (select *, sum(len) over (partition by path order by i) - len as before from s where len > 0),
+  t as (select path, sum(len) as total, greatest(0, floor((sum(len) - 12) / 2 / 10.0))::int as n from c group by path),
+  g as (select path, total, k::int as gate, case when n = 0 then total / 2 when k < n then 5.0 + k * 10.0 else total - 5.0 - (2 * n - 1 - k) * 10.0 end as along from t, lateral (select unnest(range(0, greatest(1, 2 * n))) as k)),
+  m as (select g.path, gate, along, arg_min(struct_pack(x := c.x, y := c.y, x1 := c.x1, y1 := c.y1, f := (along - before) / len), i) as b from g join c on c.path = g.path and along <= before + len + 1e-9 group by all)
+select path, gate, round(along, 4) as along, round(b.x + b.f * (b.x1 - b.x), 4) as x, round(b.y + b.f * (b.y1 - b.y), 4) as y from m""")
+def gates_on_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Gates along the bent path through each order's lines, by a table function in SQL text."""
+    tables.register(spark)
+    points = read_table(spark, d, "lineitem").select(_C("l_orderkey").alias("path"), "l_linenumber", "l_extendedprice", _C("l_quantity").alias("x"), (_C("l_linenumber") * 3.0).alias("y"))
+    text = "select path, gate, round(along, 4) as along, round(x, 4) as x, round(y, 4) as y from gates_along(table({points}) partition by path order by (l_linenumber, l_extendedprice), 10.0, 12.0)"
+    return spark.sql(text, points=points)

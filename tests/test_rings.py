@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorgraph.functions import rings as rg
+from floorgraph.functions import tables
 
 POINTS = "array<struct<x: double, y: double>>"
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
@@ -63,3 +64,15 @@ def test_a_path_is_replaced_in_either_direction(spark, backward):
     assert rings[0] == rings[1] == along and rings[2] == (*new[::-1], (0.0, 4.0), (0.0, 0.0))
     with pytest.raises(ValueError):
         rg.replace_path(F.col("r"), start, end, F.col("n"), order="any")
+
+
+def test_gates_by_a_table_function(spark):
+    tables.register(spark)
+    rows = [(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (2, 0, 0.0, 0.0), (2, 1, 3.0, 0.0), (2, 2, 3.0, 0.0), (2, 3, None, 5.0), (2, 4, 3.0, 4.0), (3, 0, 1.0, 1.0), (4, 0, 1.0, 1.0), (4, 1, 1.0, 1.0), (5, 0, 0.0, 0.0), (5, 1, 0.0, 1.5)]
+    spark.createDataFrame(rows, "path long, ord int, x double, y double").createOrReplaceTempView("gate_points")
+    out = {}
+    for r in spark.sql("select * from gates_along(table(gate_points) partition by path order by (ord), 1.0D, 2.0D)").collect():
+        out.setdefault(r.path, []).append((r.gate, r.along, round(r.x, 9), round(r.y, 9), r.angle))
+    assert [g[1] for g in sorted(out[1])] == [0.5, 1.5, 2.5, 3.5, 6.5, 7.5, 8.5, 9.5]  # as on a straight path
+    assert sorted(out[2]) == [(0, 0.5, 0.5, 0.0, 0.0), (1, 1.5, 1.5, 0.0, 0.0), (2, 5.5, 3.0, 2.5, 90.0), (3, 6.5, 3.0, 3.5, 90.0)]
+    assert out[5] == [(0, 0.75, 0.0, 0.75, 90.0)] and out.keys() == {1, 2, 5}
