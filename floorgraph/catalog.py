@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from floorgraph.plans import extras, graph, outlines, relational, shapes, spatial
+from floorgraph.plans import extras, graph, outlines, relational, shapes, spatial, stations
 
 FLAGSHIP = "shortest_cost_all"
-_MODULES: tuple = (relational, spatial, graph, shapes, outlines, extras)
+_MODULES: tuple = (relational, spatial, graph, shapes, outlines, stations, extras)
 
 
 def queries() -> dict[str, Callable]:
