@@ -40,7 +40,7 @@ def station_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None)
     line, n = read_table(spark, d, "lineitem"), _C("l_linenumber")
     connections = line.select(
-        _station("l_suppkey").alias("graph"), _text("c", "l_orderkey", "l_linenumber", "l_partkey").alias("connection_id"),
+        _station("l_suppkey").alias("graph"), F.concat_ws("_", F.lit("c"), *[_C(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], _C("l_quantity").cast("int").cast("string")).alias("connection_id"),
         F.when(_C("l_returnflag") == "A", "exit_stair").when(_C("l_returnflag") == "R", "stair").otherwise("escalator").alias("type"), none.cast("string").alias("asset_type"),
         F.when(_C("l_returnflag") == "A", n.cast("string")).alias("exit_number"), (n % 4 != 0).alias("bidirectional"),
         F.lit("B1").alias("from_layer"), F.when(n % 3 == 0, "p").alias("from_polygon"), _xyz(_C("l_quantity"), n, F.lit(0)).alias("from_position"),
@@ -72,7 +72,7 @@ def station_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 _RECORDS = """
-c as (select printf('st%02d', l_suppkey % 25) as g, 'c_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey as id, l_returnflag = 'A' as outward, case when l_returnflag = 'R' then 'stair' when l_returnflag = 'A' then 'exit_stair' else 'escalator' end as con, l_linenumber % 4 <> 0 as bi,
+c as (select printf('st%02d', l_suppkey % 25) as g, 'c_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || l_quantity::int as id, l_returnflag = 'A' as outward, case when l_returnflag = 'R' then 'stair' when l_returnflag = 'A' then 'exit_stair' else 'escalator' end as con, l_linenumber % 4 <> 0 as bi,
       l_quantity::double as x, l_linenumber::double as y, round(l_discount * 100 - 5, 4) as z1, l_linenumber % 3 = 0 as pf, l_linenumber % 2 = 0 as pt, l_linestatus = 'O' as o from lineitem),
 k as (select *, case when pf <> pt then pf when o then true else 0 <= z1 end as keep_from from c),
 p as (select printf('st%02d', p_partkey % 25) as g, 'a_' || p_partkey as id, ['ticket_gate', 'toilet', 'exit', 'subway', 'moving_walkway', 'bench'][p_size % 6 + 1] as kind, p_size::double as x, p_retailprice / 100 as y,
