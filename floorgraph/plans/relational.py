@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floorgraph.functions import text as tx
 from floorgraph.operators import aggregates as ag
 from floorgraph.operators import lookup as lk
+from floorgraph.operators import navigation as nv
 from floorgraph.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -414,7 +415,7 @@ union all select req, kind, ref, n.id from r left join n on n.s_name = ref where
 def node_ref_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Endpoints by kind: nodes by id, number or key text, names by name; unknown kinds resolve to nothing."""
     s = read_table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_suppkey", "s_name")
-    nodes = s.withColumn("number", F.row_number().over(Window.orderBy("s_suppkey"))).withColumn("key", F.format_string("N%04d", "number"))  # a station's nodes
+    nodes = nv.numbered(s.withColumn("graph", F.lit("one")), "graph", ["s_suppkey"]).withColumn("key", F.format_string("N%04d", "number"))  # a station's nodes
     rows = [(1, "node", "3"), (2, "node", "N0002"), (3, "node", "9999"), (4, "name", "Supplier#000000001"), (5, "node", "N0007"), (6, "name", "nobody"), (7, "bus", "1")]
     r = spark.createDataFrame(rows, "req int, kind string, ref string")
     by_node = lk.resolve_nodes(r.where("kind = 'node'"), nodes, "ref", "id", "number", "key")
