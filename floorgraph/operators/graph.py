@@ -2,15 +2,17 @@
 
 Every operator takes a ``graph`` column along (a station, a preference), so
 many graphs are answered in one pass; nothing is looped over on the driver but
-the rounds of an iteration, each cut by a reliable checkpoint.
+the rounds of an iteration, each written to the shared folder.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floorgraph.sources.shared import cut
+from floorgraph.sources.shared import cut, new_folder, stored
 
 PREFERENCES = ("none", "elevator")
 _C = F.col
@@ -107,45 +109,86 @@ def route_edges(
     return weighted.select("preference", *columns[:-1], multiplier.alias("multiplier"), (_C("base_cost") * multiplier + _C("zone_penalty")).alias("route_cost"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
+_REACHED = ["graph", "source", "node"]
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, delta: float | None = None) -> DataFrame:
     """(graph, source, node, cost, hops, previous) of every reachable node.
 
-    ``edges``: graph, from, to, cost; ``sources``: graph, node.  Rounds of
-    minimum relaxation, in which only what improved in the last round is
-    carried on; of equal costs the fewest hops and then the smallest previous
-    node stay.
+    ``edges``: graph, from, to, cost (not negative; null costs and ends lead
+    nowhere); ``sources``: graph, node.  Of equal costs the fewest hops and then
+    the smallest previous node stay.
+
+    A round relaxes the edges of the front, which are the rows that got cheaper
+    or shorter in the round before, and appends what improved to a log in the
+    shared folder; nothing else is written, and what is settled is only looked
+    up by the keys of the offers.  With ``delta`` only rows below a bound are
+    relaxed, until none of them improves; then the bound moves to the next
+    multiple of ``delta`` above the cheapest row left: fewer rows are improved
+    again and again, at the price of more rounds.
     """
-    edges = cut(edges.groupBy("graph", _C("from").alias("_from"), _C("to").alias("_to")).agg(F.min("cost").alias("_cost")))
-    node = sources.schema["node"].dataType
-    best = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(node).alias("previous"))
-    state = cut(sources.distinct().select("graph", _C("node").alias("source"), "node", best.alias("best"), F.lit(True).alias("moved")))
+    spark, node = sources.sparkSession, sources.schema["node"].dataType
+    log = new_folder(spark, "shortest")
+    links = edges.where("cost is not null").groupBy(_C("graph").alias("_graph"), _C("from").alias("_from"), _C("to").alias("_to")).agg(F.min("cost").alias("_cost"))
+    links = stored(links.where("_to is not null"), f"{log}-links")
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(node).alias("previous"))
+    front = stored(sources.distinct().select("graph", _C("node").alias("source"), "node", start.alias("best"), F.lit(True).alias("moved")), f"{log}/round=0")
+    known = lambda: spark.read.schema(front.schema).parquet(log).drop("round")
+    least = lambda rows, name: rows.groupBy(*_REACHED).agg(F.min("best").alias(name))
+    bound = delta
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
+        near = front.where("moved")
+        if bound is not None:
+            near = near.where(_C("best.cost") < bound)
+        if near.isEmpty():
+            if bound is None:
+                break
+            # what was relaxed is below the bound, so that what is not is the rest
+            rest = least(known(), "best").where(_C("best.cost") >= bound)
+            cheapest = rest.agg(F.min("best.cost")).first()[0]
+            if cheapest is None:
+                break
+            bound = max(math.floor(cheapest / delta) * delta + delta, math.nextafter(cheapest, math.inf))
+            near = rest.where(_C("best.cost") < bound)
         rounds += 1
         reached = F.struct(F.round(_C("best.cost") + _C("_cost"), 9).alias("cost"), (_C("best.hops") + 1).alias("hops"), _C("node").alias("previous"))
-        front = state.where("moved").join(edges.withColumnRenamed("graph", "_graph"), (_C("graph") == _C("_graph")) & (_C("node") == _C("_from")))
-        found = front.select("graph", "source", _C("_to").alias("node"), reached.alias("offer")).groupBy("graph", "source", "node").agg(F.min("offer").alias("offer"))
-        better = _C("best").isNull() | (_C("offer") < _C("best"))
-        state = cut(
-            state.drop("moved").join(found, ["graph", "source", "node"], "full_outer")
-            .select("graph", "source", "node", F.when(_C("offer").isNotNull() & better, _C("offer")).otherwise(_C("best")).alias("best"), F.coalesce(_C("offer").isNotNull() & better, F.lit(False)).alias("moved"))
-        )
-        if state.where("moved").limit(1).count() == 0:
-            break
-    return state.select("graph", "source", "node", "best.cost", "best.hops", "best.previous")
+        met = near.join(links, (_C("graph") == _C("_graph")) & (_C("node") == _C("_from")))
+        offers = stored(least(met.select("graph", "source", _C("_to").alias("node"), reached.alias("best")), "offer"), f"{log}-offers/round={rounds}")
+        # a short list of offers goes to the tasks that read the log, by Spark's own rule, and only their keys' rows come back
+        before = least(known().join(offers.select(*_REACHED), _REACHED, "left_semi"), "best")
+        way = lambda c: F.struct(f"{c}.cost", f"{c}.hops")
+        better = offers.join(before, _REACHED, "left").where(_C("best").isNull() | (_C("offer") < _C("best")))
+        front = stored(better.select(*_REACHED, _C("offer").alias("best"), (_C("best").isNull() | (way("offer") < way("best"))).alias("moved")), f"{log}/round={rounds}")
+    return least(known(), "best").select(*_REACHED, "best.cost", "best.hops", "best.previous")
 
 
 def paths(shortest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(graph, source, goal, cost, hops, nodes) of each wanted pair, followed back along the previous nodes."""
-    tree = cut(shortest)
-    walk = wanted.join(tree, (wanted["graph"] == tree["graph"]) & (wanted["source"] == tree["source"]) & (wanted["goal"] == tree["node"]))
-    walk = cut(walk.select(wanted["graph"], wanted["source"], "goal", "cost", "hops", "previous", F.array("goal").alias("nodes")))
-    step = tree.select(_C("graph").alias("_g"), _C("source").alias("_s"), _C("node").alias("_n"), _C("previous").alias("_p"))
-    while walk.where("previous is not null").limit(1).count():
-        walk = walk.join(step, (_C("graph") == _C("_g")) & (_C("source") == _C("_s")) & (_C("previous") == _C("_n")), "left")
-        nodes = F.when(_C("previous").isNotNull(), F.concat(F.array("previous"), "nodes")).otherwise(_C("nodes"))
-        walk = cut(walk.select("graph", "source", "goal", "cost", "hops", _C("_p").alias("previous"), nodes.alias("nodes")))
-    return walk.drop("previous")
+    """(graph, source, goal, cost, hops, nodes) of each wanted pair that there is a way for, once.
+
+    By doubling: from the previous nodes follow those two steps back, from these
+    the ones four back, and so on.  A goal's way is then filled from its coarse
+    steps to its fine ones, in as many rounds as the longest way has bits.
+    """
+    spark = wanted.sparkSession
+    folder = new_folder(spark, "paths")
+    asked = wanted.select("graph", "source", "goal").distinct()
+    tree = stored(shortest.join(asked.select("graph", "source"), ["graph", "source"], "left_semi"), f"{folder}/tree")
+    ends = asked.join(tree.withColumnRenamed("node", "goal"), ["graph", "source", "goal"])
+    way = ["graph", "source", "goal", "cost", "hops"]
+    steps = stored(ends.select(*way, _C("goal").alias("node"), F.lit(0).alias("back")), f"{folder}/steps/level=0")
+    longest = steps.agg(F.max("hops")).first()[0] or 0
+    jumps = [tree.where("previous is not null").select(*_REACHED, _C("previous").alias("ahead"))]
+    while 2 ** len(jumps) <= longest:
+        on = jumps[-1].select("graph", "source", _C("node").alias("ahead"), _C("ahead").alias("_further"))
+        doubled = jumps[-1].join(on, ["graph", "source", "ahead"]).select(*_REACHED, _C("_further").alias("ahead"))
+        jumps.append(stored(doubled, f"{folder}/jumps{len(jumps)}"))
+    found = lambda: spark.read.schema(steps.schema).parquet(f"{folder}/steps").drop("level")
+    for k in reversed(range(len(jumps))):
+        between = found().where(_C("back") + 2**k <= _C("hops")).join(jumps[k], _REACHED)
+        stored(between.select(*way, _C("ahead").alias("node"), (_C("back") + 2**k).alias("back")), f"{folder}/steps/level={k + 1}")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct((-_C("back")).alias("at"), "node"))), lambda s: s["node"])
+    return found().groupBy(*way).agg(in_order.alias("nodes"))
 
 
 def via_waypoint(costs: DataFrame, waypoints: DataFrame) -> DataFrame:

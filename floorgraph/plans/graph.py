@@ -119,6 +119,43 @@ def route_payload(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "goal", F.round("cost", 4).alias("cost"), _C("hops").alias("edge_count"), F.size("nodes").alias("node_count"), F.array_join("nodes", ">").alias("nodes"))
 
 
+_EXPRESS = (1, 8, 64, 512, 4096)
+_WALKED = f"""
+ke as materialized (select c_custkey % 25 as g, c_custkey as f, c_custkey + 25 * s as t, (1 + (c_custkey * 31 + s) % 17 + s)::double as c from customer, (values {", ".join(f"({s})" for s in _EXPRESS)}) v(s)),
+kd as materialized (select g, f, t, c from ke semi join customer on t = c_custkey union all select g, t, f, c from ke semi join customer on t = c_custkey),
+k0 as materialized (select g, s, s as n, 0.0::double as c, 0 as h, null::bigint as p from (select distinct c_custkey % 25 as g, min(c_custkey) over (partition by c_custkey % 25, c_mktsegment) as s from customer))"""
+for _i in range(40):  # rounds of minimum relaxation; the longest way of 600 nodes has 18 edges
+    _WALKED += f""", k{_i + 1} as materialized (select g, s, n, m.c as c, m.h as h, m.p as p from (select g, s, n, min({{'c': c, 'h': h, 'p': p}}) as m from (
+       select * from k{_i} union all select k.g, s, e.t, k.c + e.c, h + 1, e.f from k{_i} k join kd e on k.n = e.f) group by all))"""
+
+
+def express_network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and sources of a network that grows with the customers: every 25th is a node of one graph, with links to the next and to far ones."""
+    k = read_table(spark, d, "customer").select(_C("c_custkey").cast("bigint").alias("k"), "c_mktsegment")
+    ends = k.select("k", F.explode(F.array(*[F.lit(s) for s in _EXPRESS])).alias("s")).select((_C("k") % 25).alias("graph"), _C("k").alias("from"), (_C("k") + 25 * _C("s")).alias("to"), (1 + (_C("k") * 31 + _C("s")) % 17 + _C("s")).cast("double").alias("cost"))
+    ends = ends.join(k.select(_C("k").alias("to")), "to", "left_semi").select("graph", "from", "to", "cost")
+    back = ends.select("graph", _C("to").alias("from"), _C("from").alias("to"), "cost")
+    sources = k.groupBy((_C("k") % 25).alias("graph"), "c_mktsegment").agg(F.min("k").alias("node")).select("graph", "node")
+    return ends.unionByName(back), sources
+
+
+@query(f"with {_WALKED} select g as graph, s as source, n as node, c as cost, h as hops, p as previous from k40")
+def express_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Cheapest routes from up to five nodes of each graph to all others, by fronts."""
+    return gr.shortest_paths(*express_network(spark, d))
+
+
+@query(f"""with recursive {_WALKED}, w as (select g, s, n, c, h, n as here, n::varchar as way from k40 union all
+  select w.g, w.s, w.n, w.c, w.h, k.p, k.p || '>' || way from w join k40 k on k.g = w.g and k.s = w.s and k.n = here where here <> w.s)
+select g as graph, s as source, n as goal, c as cost, h as hops, way as nodes from w where here = s""")
+def express_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of these routes, by doubling; bounds of 512 keep the far ones from being reached too dearly first."""
+    edges, sources = express_network(spark, d)
+    tree = gr.shortest_paths(edges, sources, delta=512.0)
+    found = gr.paths(tree, tree.select("graph", "source", _C("node").alias("goal")))
+    return found.select("graph", "source", "goal", "cost", "hops", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
+
+
 @query(f"""with {_NET} select f || '_' || t as edge_id, ee.type = 'gate_crossing' or a.type = 'gate' or b.type = 'gate' as by_ends, contains(lower(concat_ws(' ', f || '_' || t, ee.type, a.type, b.type)), 'gate') as by_text
 from ee join nn a on f = a.id join nn b on t = b.id where ee.type = 'gate_crossing' or a.type = 'gate' or b.type = 'gate' or contains(lower(concat_ws(' ', f || '_' || t, ee.type, a.type, b.type)), 'gate')""")
 def gate_edges(spark: SparkSession, d: str) -> DataFrame:

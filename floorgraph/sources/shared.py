@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: what was computed is kept in the shared folder, however it came about."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, not made yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written to ``folder`` and read again: unlike a checkpoint's, the size of files tells Spark which side of a join is small."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

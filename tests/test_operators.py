@@ -75,6 +75,40 @@ def test_shortest_paths_against_brute_force(spark):
     assert {(r.source, r.node): r.cost for r in got} == {k: v for k, v in dist.items() if v < math.inf}
 
 
+def test_rounds_write_only_what_improved(spark, monkeypatch):
+    """A chain with dear shortcuts: without a bound nodes are improved again and again, with one hardly ever; the results agree."""
+    written = []
+    real = gr.stored
+
+    def counted(df, folder):
+        out = real(df, folder)
+        if "/round=" in folder and "-offers" not in folder:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(gr, "stored", counted)
+    steps = [("g", i, i + 1, 1.0) for i in range(12)] + [("g", i, i + 4, 9.0) for i in range(0, 9, 4)] + [("g", 0, None, 1.0), ("g", 3, 0, None)]
+    edges = spark.createDataFrame(steps, "graph string, from int, to int, cost double")
+    sources = spark.createDataFrame([("g", 0), ("g", 0), ("g", 9), ("h", 5)], "graph string, node int")
+    told = lambda delta: sorted((r.graph, r.source, r.node, r.cost, r.hops, r.previous or -1) for r in gr.shortest_paths(edges, sources, delta=delta).collect())
+    plain, free = told(None), list(written)
+    written.clear()
+    assert told(2.0) == plain and sum(written) <= sum(free)
+    assert [r[3] for r in plain if r[:2] == ("g", 0)] == [float(i) for i in range(13)] and ("h", 5, 5, 0.0, 0, -1) in plain
+    assert free[0] == 3 and free[-1] == 0 and max(free[1:]) <= 6  # the edges of a front, never the whole state of 18 rows
+
+
+def test_ways_of_many_steps_by_doubling(spark):
+    edges = spark.range(37).select(F.lit("g").alias("graph"), F.col("id").alias("from"), (F.col("id") + 1).alias("to"), F.lit(1.0).alias("cost"))
+    tree = spark.createDataFrame([("g", 0, i, float(i), i, i - 1 if i else None) for i in range(38)], "graph string, source long, node long, cost double, hops int, previous long")
+    wanted = spark.createDataFrame([("g", 0, 37), ("g", 0, 37), ("g", 0, 0), ("g", 0, 8), ("g", 0, 99), ("h", 0, 1)], "graph string, source long, goal long")
+    got = {r.goal: r.nodes for r in gr.paths(tree, wanted).collect()}
+    assert got == {37: list(range(38)), 0: [0], 8: list(range(9))}
+    few = gr.shortest_paths(edges, spark.createDataFrame([("g", 0)], "graph string, node long"), max_rounds=3)
+    assert sorted(r.node for r in few.collect()) == [0, 1, 2, 3]
+    assert gr.paths(tree.limit(0), wanted).count() == gr.shortest_paths(edges.limit(0), wanted.limit(0).select("graph", F.col("goal").alias("node"))).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(60).select(F.col("id").alias("node"))
     edges = spark.range(48).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to")).where("from <> 20")
