@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from floorgraph.operators import bands as bd
 from floorgraph.operators import forest as fo
 from floorgraph.operators import graph as gr
+from floorgraph.operators import layers as la
 from floorgraph.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -208,6 +210,50 @@ def transform_bfs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("node", F.round("scale", 4).alias("scale"), F.round("offset", 4).alias("offset"), "depth")
 
 
+@query("""
+with recursive p as (select c_custkey as k, case when c_custkey % 3 = 0 then 'B' else 'F' end as f, x as n, x + w as t, w * 10 + x as o, (1 + x * 0.25)::double as u, ((c_custkey % 4) * 0.5)::double as v, (c_custkey % 7)::double as e, x::double as g
+    from customer, range(0, 5) r(x), (values (1), (2)) s(w) where (w = 1 and (c_custkey % 4 <> 0 or x < 3)) or (w = 2 and x % 2 = 0 and x < 4)),
+  d as (select k, f, n as this, t as next, o, u, v, e, g from p union all select k, f, t, n, o, u / (u * u + v * v), -v / (u * u + v * v), -(u * e + v * g) / (u * u + v * v), (v * e - u * g) / (u * u + v * v) from p),
+  r as (select k, f, case when f = 'B' then 1 when k % 3 = 2 and k % 5 <> 0 then 2 else 0 end as root from (select distinct k, f from p)),
+  w as (select k, f, root, root as here, [root] as seen, []::bigint[] as turns, 1.0::double as u, 0.0::double as v, 0.0::double as e, 0.0::double as g from r union all
+    select w.k, w.f, w.root, d.next, list_append(seen, d.next), list_append(turns, d.o::bigint), w.u * d.u - w.v * d.v, w.v * d.u + w.u * d.v, w.u * d.e - w.v * d.g + w.e, w.v * d.e + w.u * d.g + w.g
+    from w join d on d.k = w.k and d.this = w.here where not list_contains(seen, d.next)),
+  m as (select k, f, root, here, min({'n': len(turns), 'turns': turns, 'u': u, 'v': v, 'e': e, 'g': g}) as m from w group by all)
+select k as station, f || here as layer, f || root as root, m.n::int as depth, round(m.u, 6) as u, round(m.v, 6) + 0.0::double as v, round(m.e, 6) + 0.0::double as x, round(m.g, 6) + 0.0::double as y from m""")
+def layer_transforms(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer is a station of six layers in two kinds of pairs; some ask for a root, some of these for one that is not there."""
+    k, x, w = _C("c_custkey").cast("bigint"), _C("x"), _C("w")
+    n = lambda *v: F.array(*[F.lit(i) for i in v])
+    each = read_table(spark, d, "customer").select(k.alias("k"), F.explode(n(0, 1, 2, 3, 4)).alias("x")).select("k", "x", F.explode(n(1, 2)).alias("w"))
+    each = each.where(((w == 1) & ((_C("k") % 4 != 0) | (x < 3))) | ((w == 2) & (x % 2 == 0) & (x < 4)))
+    name = lambda at: F.concat(F.when(_C("k") % 3 == 0, "B").otherwise("F"), at.cast("string"))
+    u, v, none = 1 + x * 0.25, (_C("k") % 4) * 0.5, F.lit(0.0)
+    matrix = F.array(*[c.cast("double") for c in (u, -v, _C("k") % 7, v, u, x, none, none, F.lit(1.0))])
+    pairs = each.select(_C("k").alias("graph"), (w * 10 + x).cast("bigint").alias("ord"), name(x).alias("a"), name(x + w).alias("b"), matrix.alias("matrix"))
+    asked = read_table(spark, d, "customer").where("c_custkey % 3 = 2").select(k.alias("graph"), F.when(k % 5 == 0, "X9").otherwise("F2").alias("layer"))
+    at = lambda i, c: (F.round(_C("matrix")[i], 6) + F.lit(0.0)).alias(c)
+    out = la.align_layers(pairs, asked)
+    return out.select(_C("graph").alias("station"), "layer", "root", "depth", at(0, "u"), at(3, "v"), at(2, "x"), at(5, "y"))
+
+
+_LLOYD = "b0 as materialized (select g, i, min(k) + (max(k) - min(k)) * (i - 0.5) / 4 as c from bn, range(1, 5) r(i) group by g, i)"
+for _i in range(6):
+    _LLOYD += f", l{_i} as materialized (select bn.g, k, arg_min(i, {{'d': abs(k - c), 'i': i}}) as i from bn join b{_i} using (g) group by all), b{_i + 1} as materialized (select g, i, avg(k) as c from l{_i} group by all)"
+
+
+@query(f"""
+with bn as (select c_custkey % 25 as g, c_custkey as k from customer), {_LLOYD},
+  be as (select a.g, a.k as f, a.k + 25 as t, (1 + (a.k * 31 + 1) % 17)::double as score, x.i = y.i as inside, x.i as band from bn a join l5 x on x.g = a.g and x.k = a.k join l5 y on y.g = a.g and y.k = a.k + 25),
+  bs as (select *, row_number() over (partition by g order by score, f, t) as place, (select count(*) from bn where bn.g = be.g) as n from be)
+select g as graph, f as "from", t as "to", score, case when g % 2 = 1 then band end::int as band, case when g % 2 = 1 then 'bands' else 'strongest' end as selection from bs where case when g % 2 = 1 then inside else place <= n - 4 end""")
+def banded_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of customers in four groups: by bands of their keys, and, where the values are balances that scatter, by the strongest links."""
+    c = read_table(spark, d, "customer").select(_C("c_custkey").cast("bigint").alias("node"), "c_acctbal")
+    nodes = c.select((_C("node") % 25).alias("graph"), "node", F.when(_C("node") % 25 % 2 == 1, _C("node").cast("double")).otherwise(_C("c_acctbal")).alias("value"))
+    ends = c.select((_C("node") % 25).alias("graph"), _C("node").alias("from"), (_C("node") + 25).alias("to"), (1 + (_C("node") * 31 + 1) % 17).cast("double").alias("score"))
+    return bd.banded_edges(nodes, ends.join(c.select(_C("node").alias("to")), "to", "left_semi"), 4)
+
+
 @query("""
 select 'chain_' || f || '_' || event_id as edge_id, f as "from", event_id as "to" from (select event_id, lag(event_id) over (partition by user_id order by ts, event_id) as f from events) where f is not null
 union all select 'lift_' || a.n || '_' || b.n, a.n, b.n from (select l_orderkey, l_returnflag, l_orderkey * 10 + l_linenumber as n from lineitem) a join (select l_orderkey, l_returnflag, l_orderkey * 10 + l_linenumber as n from lineitem) b
