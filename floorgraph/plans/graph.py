@@ -247,9 +247,9 @@ with bn as (select c_custkey % 25 as g, c_custkey as k from customer), {_LLOYD},
   bs as (select *, row_number() over (partition by g order by score, f, t) as place, (select count(*) from bn where bn.g = be.g) as n from be)
 select g as graph, f as "from", t as "to", score, case when g % 2 = 1 then band end::int as band, case when g % 2 = 1 then 'bands' else 'strongest' end as selection from bs where case when g % 2 = 1 then inside else place <= n - 4 end""")
 def banded_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of customers in four groups: by bands of their keys, and, where the values are balances that scatter, by the strongest links."""
-    c = read_table(spark, d, "customer").select(_C("c_custkey").cast("bigint").alias("node"), "c_acctbal")
-    nodes = c.select((_C("node") % 25).alias("graph"), "node", F.when(_C("node") % 25 % 2 == 1, _C("node").cast("double")).otherwise(_C("c_acctbal")).alias("value"))
+    """Chains of customers in four groups: by bands of their keys, and, where values go round and no link stays in a band, by the strongest links."""
+    c = read_table(spark, d, "customer").select(_C("c_custkey").cast("bigint").alias("node"))
+    nodes = c.select((_C("node") % 25).alias("graph"), "node", F.when(_C("node") % 25 % 2 == 1, _C("node")).otherwise(F.floor(_C("node") / 25) % 4).cast("double").alias("value"))
     ends = c.select((_C("node") % 25).alias("graph"), _C("node").alias("from"), (_C("node") + 25).alias("to"), (1 + (_C("node") * 31 + 1) % 17).cast("double").alias("score"))
     return bd.banded_edges(nodes, ends.join(c.select(_C("node").alias("to")), "to", "left_semi"), 4)
 
