@@ -1,5 +1,6 @@
 """The registered queries over the driver's tables, and the pipeline stage by stage."""
 
+import os
 import re
 from collections import Counter
 
@@ -76,6 +77,22 @@ def test_op9(spark, sf_dir):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_op9_held_out_accuracy(spark):
+    """On labelled rows that nothing was learned from: the share of pairs of a toxic and a clean row in the right order, and of right decisions."""
+    sf = os.environ.get("TEST_LARGE_SF_DIR", "/root/testdata/sf0.1")
+    if not os.path.isdir(sf):
+        pytest.skip("the larger tables are not there")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
+    rows = queries.op9_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    assert set(rows["toxic"]) == {0, 1} and len(rows) > 500
+    rank, toxic = rows["score"].rank(), rows["toxic"] == 1  # ties count half
+    n = int(toxic.sum())
+    auc = (rank[toxic].sum() - n * (n + 1) / 2) / (n * (len(rows) - n))
+    right = (rows["predicted"] == rows["toxic"]).mean()
+    print(f"AUC {auc:.3f}, {right:.3f} right of {len(rows)}, {n} toxic")
+    assert auc >= 0.95 and right >= 0.97
+
+
 def test_stages_follow_the_order():
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "bpe"]
 
