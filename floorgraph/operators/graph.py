@@ -201,17 +201,23 @@ def via_waypoint(costs: DataFrame, waypoints: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable; nodes without edges are their own component."""
+    """(node, component): the smallest node reachable; nodes without edges are their own component.
+
+    In a round a node takes the least label next to it, the node that it is labelled with takes the
+    least that any of its own has met, and labels are followed one step: a chain needs rounds with
+    the logarithm of its length, in whatever order its nodes are.
+    """
     both = cut(edges.select(_C("from").alias("a"), _C("to").alias("b")).unionAll(edges.select(_C("to").alias("a"), _C("from").alias("b"))).distinct())
     labels = cut(nodes.select("node", _C("node").alias("component")).distinct())
     while True:
         near = both.join(labels, _C("b") == _C("node")).groupBy("a").agg(F.min("component").alias("_near"))
-        low = labels.join(near, _C("node") == _C("a"), "left").select("node", "component", F.least("component", F.coalesce("_near", "component")).alias("_low"))
+        met = cut(near.join(labels, _C("a") == _C("node")).where(_C("_near") < _C("component")).select("a", "component", "_near"))
+        offers = met.select("a", "_near").unionAll(met.select(_C("component").alias("a"), "_near")).groupBy("a").agg(F.min("_near").alias("_offer"))
+        low = labels.join(offers, _C("node") == _C("a"), "left").select("node", "component", F.least("component", F.coalesce("_offer", "component")).alias("_low"))
         far = labels.select(_C("node").alias("_n"), _C("component").alias("_far"))
-        stepped = low.join(far, _C("_low") == _C("_n")).select("node", _C("_far").alias("_new"), (_C("_far") != _C("component")).alias("_moved"))
-        stepped = cut(stepped)
+        stepped = cut(low.join(far, _C("_low") == _C("_n")).select("node", _C("_far").alias("_new"), (_C("_far") != _C("component")).alias("_moved")))
         labels = stepped.select("node", _C("_new").alias("component"))
-        if stepped.where("_moved").limit(1).count() == 0:
+        if stepped.where("_moved").isEmpty():
             return labels
 
 

@@ -17,6 +17,7 @@ from floorgraph.operators import lookup as lk
 from floorgraph.operators import raster as rs
 from floorgraph.operators import scene as sc
 from floorgraph.operators import spatial as sp
+from floorgraph.sources import shared
 
 NODES = "node_id string, type string, layer string, polygon_id string, position array<double>, zone_type string, zone_id string, zone_label string"
 EDGES = "edge_id string, `from` string, `to` string, type string, connector_type string, cost double, bidirectional boolean"
@@ -116,6 +117,17 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 if i <= 20 else 21 if i <= 48 else i for i in range(60)}
 
 
+def test_components_in_few_rounds_of_known_size(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(gr, "cut", lambda df: cuts.append(shared.cut(df)) or cuts[-1])
+    order = [i * 89 % 240 for i in range(240)]  # neighbours on the chain are far apart by number
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "from long, to long")
+    found = gr.components(spark.range(240).select(F.col("id").alias("node")), edges)
+    assert {r.component for r in found.collect()} == {0} and len(cuts) < 32
+    # the plan's estimate is that of the rows, not the product of all that was joined
+    assert all(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 30 for df in cuts)
+
+
 def test_kruskal_stops_at_the_target(spark):
     e = [("g", a, b, s) for a, b, s in (("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.5), ("d", "e", 4.0), ("c", "d", 3.0))]
     edges = spark.createDataFrame(e, "graph string, from string, to string, score double")
