@@ -125,7 +125,7 @@ def test_components_in_few_rounds_of_known_size(spark, monkeypatch):
     found = gr.components(spark.range(240).select(F.col("id").alias("node")), edges)
     assert {r.component for r in found.collect()} == {0} and len(cuts) < 32
     # the plan's estimate is that of the rows, not the product of all that was joined
-    assert all(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 30 for df in cuts)
+    assert all(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 30 for df in cuts)
 
 
 def test_kruskal_stops_at_the_target(spark):
