@@ -270,6 +270,14 @@ def test_snapping(spark):
     assert {r.p: (r.source, r.target) for r in out.collect()} == {1: ("vertex", 7), 2: ("edge", 9), 3: ("free", None)}
 
 
+def test_nearest_in_range_chooses_within_a_row(spark):
+    rows = spark.createDataFrame([(i, float(i % 9)) for i in range(60)], "k int, v double")
+    near = sp.nearest_in_range(rows, "k", "v", 2.0, 3)
+    by = {i: sorted((abs(i % 9 - j % 9), j) for j in range(60) if j != i and abs(i % 9 - j % 9) <= 2)[:3] for i in range(60)}
+    assert {(r.k, r["rank"]): (r.distance, r.other) for r in near.collect()} == {(i, n + 1): (float(d), j) for i, found in by.items() for n, (d, j) in enumerate(found)}
+    assert "windowspecdefinition(k#" not in near._jdf.queryExecution().optimizedPlan().toString()  # no exchange of all candidates
+
+
 def test_nearest_box_far_away_and_without_boxes(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 90000.0, -70000.0), (3, None, 1.0)], "p int, x double, y double")
     boxes = spark.createDataFrame([(5, 10.0, 10.0, 12.0, 12.0), (6, 89000.0, -70000.0, 89001.0, -69000.0)], "b int, x0 double, y0 double, x1 double, y1 double")
