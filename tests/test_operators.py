@@ -278,6 +278,17 @@ def test_nearest_in_range_chooses_within_a_row(spark):
     assert "windowspecdefinition(k#" not in near._jdf.queryExecution().optimizedPlan().toString()  # no exchange of all candidates
 
 
+def test_nearest_box_meets_few_of_many_around(spark, monkeypatch):
+    met, close = [], sp._close
+    monkeypatch.setattr(sp, "_close", lambda *args: met.append(close(*args)) or met[-1])
+    points = spark.range(400).select("id", (F.col("id") % 200 * 1.0).alias("x"), F.lit(0.0).alias("y"))
+    boxes = spark.range(8000).select(F.col("id").alias("b"), (-F.col("id") - 1.0).alias("x0"), F.lit(-1.0).alias("y0"), F.when(F.col("id") == 5, -0.5).otherwise(150.0 + F.col("id") % 7).alias("x1"), F.lit(1.0).alias("y1"))
+    got = {r.id: (r.b, r.distance) for r in sp.nearest_box(points, boxes, "id", (F.col("x"), F.col("y")), "b", ("x0", "y0", "x1", "y1")).collect()}
+    of = lambda x: (0, 0.0) if x <= 150 else (x - 150, 0.0) if x - 150 < 5 else (6, max(0.0, x - 156.0))  # noqa: E731  the fifth ends before all
+    assert got == {i: of(i % 200) for i in range(400)}
+    assert sum(df.count() for df in met) < 400000  # of 3,200,000 pairs
+
+
 def test_nearest_box_far_away_and_without_boxes(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 90000.0, -70000.0), (3, None, 1.0)], "p int, x double, y double")
     boxes = spark.createDataFrame([(5, 10.0, 10.0, 12.0, 12.0), (6, 89000.0, -70000.0, 89001.0, -69000.0)], "b int, x0 double, y0 double, x1 double, y1 double")
