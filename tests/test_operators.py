@@ -289,6 +289,18 @@ def test_nearest_box_meets_few_of_many_around(spark, monkeypatch):
     assert sum(df.count() for df in met) < 400000  # of 3,200,000 pairs
 
 
+def test_snapping_asks_edges_only_where_no_vertex_is(spark, monkeypatch):
+    met, reached = [], sp._reached
+    monkeypatch.setattr(sp, "_reached", lambda *args: met.append(reached(*args)) or met[-1])
+    points = spark.range(500).select("id", (F.col("id") * 2.0).alias("x"), F.when(F.col("id") < 400, F.col("id") * 2.0 + 1).otherwise(0.0).alias("y"))
+    vertices = spark.range(350).select(F.col("id").alias("v"), (F.col("id") * 2.0).alias("vx"), (F.col("id") * 2.0).alias("vy"))
+    edges = spark.createDataFrame([(k, 0.0, k / 4, 1000.0, 1000 + k / 4) for k in range(4)], "e int, ax double, ay double, bx double, by double")
+    c = F.col
+    out = sp.snap(points, vertices, edges, "id", (c("x"), c("y")), "v", (c("vx"), c("vy")), "e", (c("ax"), c("ay")), (c("bx"), c("by")), 1.2, 5.0)
+    assert {r.id: (r.source, r.target) for r in out.collect()} == {i: ("vertex", i) if i < 350 else ("edge", 3) if i < 400 else ("free", None) for i in range(500)}
+    assert sum(df.count() for df in met) < 150 * 4 * 3  # pieces about 50 places, not 500 times the boxes of all edges
+
+
 def test_nearest_box_far_away_and_without_boxes(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 90000.0, -70000.0), (3, None, 1.0)], "p int, x double, y double")
     boxes = spark.createDataFrame([(5, 10.0, 10.0, 12.0, 12.0), (6, 89000.0, -70000.0, 89001.0, -69000.0)], "b int, x0 double, y0 double, x1 double, y1 double")
