@@ -123,9 +123,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None
     or shorter in the round before, and appends what improved to a log in the
     shared folder; nothing else is written, and what is settled is only looked
     up by the keys of the offers.  With ``delta`` only rows below a bound are
-    relaxed, until none of them improves; then the bound moves to the next
-    multiple of ``delta`` above the cheapest row left: fewer rows are improved
-    again and again, at the price of more rounds.
+    relaxed, until none of them improves; then the bound moves above the cheapest
+    row left, to the next multiple of ``delta`` and after each time of twice as
+    much: fewer rows are improved again and again, at the price of more rounds,
+    but of no more bounds than the dearest route has bits.
     """
     spark, node = sources.sparkSession, sources.schema["node"].dataType
     log = new_folder(spark, "shortest")
@@ -149,6 +150,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None
             cheapest = rest.agg(F.min("best.cost")).first()[0]
             if cheapest is None:
                 break
+            delta *= 2
             bound = max(math.floor(cheapest / delta) * delta + delta, math.nextafter(cheapest, math.inf))
             near = rest.where(_C("best.cost") < bound)
         rounds += 1

@@ -110,6 +110,16 @@ def test_ways_of_many_steps_by_doubling(spark):
     assert gr.paths(tree.limit(0), wanted).count() == gr.shortest_paths(edges.limit(0), wanted.limit(0).select("graph", F.col("goal").alias("node"))).count() == 0
 
 
+def test_bounds_widen(spark, monkeypatch):
+    kept, stored = [], gr.stored
+    monkeypatch.setattr(gr, "stored", lambda df, folder: kept.append(folder) or stored(df, folder))
+    edges = spark.range(1, 41).select(F.lit("g").alias("graph"), F.lit(0).cast("long").alias("from"), F.col("id").alias("to"), (F.col("id") * 10.0).alias("cost"))
+    sources = spark.createDataFrame([("g", 0)], "graph string, node long")
+    got = {r.node: r.cost for r in gr.shortest_paths(edges, sources, delta=10.0).collect()}
+    assert got == {i: i * 10.0 for i in range(41)}
+    assert len(kept) < 20  # two a round, of which there were 40
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(60).select(F.col("id").alias("node"))
     edges = spark.range(48).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to")).where("from <> 20")
