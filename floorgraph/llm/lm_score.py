@@ -13,10 +13,10 @@ holds and no table has, occurs in this document only, so its count is one, and
 one in the target if the document is of the target.  The tables hold what occurs
 twice or more.
 
-Where the counts fit a task's cache they go into sharded indexes that the
-scoring pass probes, row by row.  Beyond that they are joined with the
-documents' bigrams and the losses summed by document, so that no task reads
-more than its share of the counts.
+The counts go into sharded indexes that the scoring pass probes.  Where they fit
+a task's cache it does so in small blocks of documents.  Beyond that the blocks
+are wide, and each reads the shards one after the other and keeps none, so that
+nothing is exchanged or written for a bigram however many there are.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from floorgraph.llm.shard_index import batches_of, build_index, fits_a_task, rel
 MIX = 0.7
 #: Bytes of text whose pairs are counted or looked up together.
 _BLOCK_BYTES = 1 << 20
+#: The same where each block reads the whole indexes.
+_WIDE_BYTES = 16 << 20
 #: Stands for the start of a document: the hash of what no word can be.
 _START = np.uint64(WordHashes()[b" start"])
 _TALLIES, _FIRSTS = ["n_target", "n_all"], ["first_target", "first_all"]
@@ -138,9 +140,7 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str
     model = _Model(total, started, size, mix)
     pairs = written(bigram_counts(marked), "bigrams")
     known = words.where("n_all > 1")
-    if fits_a_task((known, 4), (pairs, 2), narrow=True):
-        return _by_probes(marked, known, pairs, model)
-    return _by_joins(marked, known, pairs, model)
+    return _by_probes(marked, known, pairs, model, fits_a_task((known, 4), (pairs, 2), narrow=True))
 
 
 @dataclass
@@ -153,72 +153,44 @@ class _Model:
     mix: float
 
 
-def _by_probes(marked: DataFrame, words: DataFrame, pairs: DataFrame, model: _Model) -> DataFrame:
+def _by_probes(marked: DataFrame, words: DataFrame, pairs: DataFrame, model: _Model, cached: bool) -> DataFrame:
     known_words = build_index(words.withColumn("mark", F.col("key")), _TALLIES + _FIRSTS, narrow=True)
     known_pairs = build_index(pairs.withColumn("mark", F.col("key")), _TALLIES, narrow=True)
     schema = T.StructType([marked.schema["doc_id"], *T.StructType.fromDDL(_LOSSES)])
+    block_bytes = _BLOCK_BYTES if cached else _WIDE_BYTES
 
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
         known = WordHashes()
         for batch in batches:
+            for own, text, chosen in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                yield (own, chosen, _word_hashes(text, known)), len(text or "") + 64
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in batches_of(hashed(batches), block_bytes):
+            n = np.array([len(x) for _, _, x in block])
+            ends = np.cumsum(n)
+            h = np.concatenate([x for _, _, x in block])
+            v = _befores(h, ends)
+            keys, at, back = np.unique(_pair_hashes(v, h), return_index=True, return_inverse=True)
+            # counts of what occurs only here
+            once = np.column_stack([np.repeat(np.array([c for _, c, _ in block], np.int64), n)[at], np.ones(len(at), np.int64)])
+            distinct, place = np.unique(h, return_inverse=True)
+            counts = known_words.counts(distinct, distinct, cached)
+            seen = lambda rows, columns: np.where(rows[:, 1:2] > 0, rows[:, columns], once)  # noqa: B023, E731
+            loss = (1 - model.mix) * ((seen(counts[place[at]], slice(0, 2)) + 1) / (model.total + model.size))
+            first = seen(counts[place[np.maximum(at - 1, 0)]], slice(2, 4))
+            first[v[at] == _START] = model.started
+            loss += model.mix * seen(known_pairs.counts(keys, keys, cached), slice(0, 2)) / np.maximum(first, 1)
+            loss = -np.log(loss)[back]
+            # sums of each document by itself, so that neighbours in the block do not round them differently
             out: list[tuple] = []
-            rows = ((x, len(x[0] or "") + 64) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            for block in batches_of(rows, _BLOCK_BYTES):
-                texts = [_word_hashes(t, known) for t, _ in block]
-                n = np.array([len(x) for x in texts])
-                ends = np.cumsum(n)
-                h = np.concatenate(texts)
-                v = _befores(h, ends)
-                keys, at, back = np.unique(_pair_hashes(v, h), return_index=True, return_inverse=True)
-                # counts of what occurs only here
-                once = np.column_stack([np.repeat(np.array([c for _, c in block], np.int64), n)[at], np.ones(len(at), np.int64)])
-                distinct, place = np.unique(h, return_inverse=True)
-                counts = known_words.counts(distinct, distinct)
-                seen = lambda rows, columns: np.where(rows[:, 1:2] > 0, rows[:, columns], once)  # noqa: B023, E731
-                single = (seen(counts[place[at]], slice(0, 2)) + 1) / (model.total + model.size)
-                first = seen(counts[place[np.maximum(at - 1, 0)]], slice(2, 4))
-                first[v[at] == _START] = model.started
-                pair = seen(known_pairs.counts(keys, keys), slice(0, 2))
-                loss = -np.log((1 - model.mix) * single + model.mix * pair / np.maximum(first, 1))[back]
-                # sums of each document by itself, so that neighbours in the batch do not round them differently
-                for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
-                    if a == b:
-                        out.append((0, None, None, None))
-                    else:
-                        t, g = loss[a:b].sum(axis=0) / (b - a)
-                        out.append((b - a, float(t), float(g), float(t - g)))
+            for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+                if a == b:
+                    out.append((0, None, None, None))
+                else:
+                    t, g = loss[a:b].sum(axis=0) / (b - a)
+                    out.append((b - a, float(t), float(g), float(t - g)))
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([own for own, _, _ in block], block[0][0].type), *columns], names=schema.names)
 
     return marked.select("doc_id", "text", "target").mapInArrow(lambda batches: released(losses(batches)), schema)
-
-
-def _by_joins(marked: DataFrame, words: DataFrame, pairs: DataFrame, model: _Model) -> DataFrame:
-    own = [F.col(c) for c in ("doc_id", "text", "target")]
-    rows = marked.select("doc_id", "text", "target", F.xxhash64(*own).alias("row"), F.xxhash64(F.lit("row"), *own).alias("mark"))
-    schema = "row long, mark long, target long, before long, after long, pair long, n long"
-
-    def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for text, *own in zip(*batch.columns, strict=True):
-                h = _word_hashes(text.as_py(), hashes)
-                v = _befores(h, np.empty(0, np.int64))
-                keys, at, n = np.unique(_pair_hashes(v, h), return_index=True, return_counts=True)
-                yield _batch(schema, [*[np.full(len(keys), int(x.as_py())) for x in own], v[at], h[at], keys, n])
-
-    asked = rows.dropDuplicates(["row", "mark"]).select("text", "row", "mark", "target").mapInArrow(own_pairs, schema)
-    joined = asked.join(pairs.toDF("_pair", "p0", "p1"), F.col("pair") == F.col("_pair"), "left")
-    joined = joined.join(words.select(F.col("key").alias("_after"), *[F.col(c).alias(f"s{k}") for k, c in enumerate(_TALLIES)]), F.col("after") == F.col("_after"), "left")
-    joined = joined.join(words.select(F.col("key").alias("_before"), *[F.col(c).alias(f"f{k}") for k, c in enumerate(_FIRSTS)]), F.col("before") == F.col("_before"), "left")
-
-    def loss(k: int) -> Column:
-        once = F.lit(1) if k else F.col("target")  # of what occurs only here
-        first = F.when(F.col("before") == F.lit(int(_START.astype(np.int64))), F.lit(int(model.started[k]))).otherwise(F.coalesce(f"f{k}", once))
-        single = (F.coalesce(f"s{k}", once) + 1) / F.lit(int(model.total[k]) + model.size)
-        return -F.log((1 - model.mix) * single + model.mix * F.coalesce(f"p{k}", once) / F.greatest(first, F.lit(1)))
-
-    means = [(F.sum(F.col("n") * loss(k)) / F.sum("n")).alias(name) for k, name in enumerate(("target_loss", "background_loss"))]
-    summed = joined.groupBy(F.col("row").alias("_row"), F.col("mark").alias("_mark")).agg(F.sum("n").alias("_n"), *means)
-    found = rows.select("doc_id", "row", "mark").join(summed, (F.col("row") == F.col("_row")) & (F.col("mark") == F.col("_mark")), "left")
-    return found.select("doc_id", F.coalesce("_n", F.lit(0)).alias("n_tokens"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

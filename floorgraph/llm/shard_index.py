@@ -34,12 +34,14 @@ CACHE_BYTES = 160 << 20
 _cache: OrderedDict[str, CountShard] = OrderedDict()
 
 
-def _load(uri: str) -> CountShard:
+def _load(uri: str, keep: bool = True) -> CountShard:
     shard = _cache.pop(uri, None)
     if shard is None:
         fs, path = open_fs(uri)
         with fs.open_input_stream(path) as f:
             shard = CountShard.load(f.read())
+        if not keep:
+            return shard
         while _cache and sum(s.nbytes for s in _cache.values()) + shard.nbytes > CACHE_BYTES:
             _cache.popitem(last=False)
     _cache[uri] = shard
@@ -67,15 +69,15 @@ class ShardIndex:
     def __init__(self, files: list[str | None], width: int):
         self.files, self.width = files, width
 
-    def counts(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """A row of counts for each key, zeros for keys that the index lacks."""
+    def counts(self, keys: np.ndarray, marks: np.ndarray, keep: bool = True) -> np.ndarray:
+        """A row of counts for each key, zeros for keys that the index lacks; shards are held for the next call if ``keep``."""
         out = np.zeros((len(keys), self.width), np.int64)
         shard = (keys % np.uint64(len(self.files))).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for places in np.split(order, cuts):
             if len(places) and (uri := self.files[shard[places[0]]]):
-                out[places] = _load(uri).lookup(keys[places], marks[places])
+                out[places] = _load(uri, keep).lookup(keys[places], marks[places])
         return out
 
     def routed(self, probes: DataFrame, spread_by: str) -> DataFrame:

@@ -53,3 +53,18 @@ def test_score_prefers_the_target(make_docs):
     docs = make_docs(pairs)
     out = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") % 4 == 1).collect()}
     assert out[1] < 0 < out[2]
+
+
+def test_nothing_is_exchanged_for_scores_beyond_a_cache(make_docs, monkeypatch):
+    rng = random.Random(5)
+    docs = make_docs([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(300)])
+    target = F.col("source") == "src1"
+    want = sorted(map(tuple, lm_score.score(docs, target).collect()))
+    monkeypatch.setattr(shard_index, "CACHE_BYTES", 0)
+    monkeypatch.setattr(lm_score, "_WIDE_BYTES", 3000)  # several blocks of a few documents
+    out = lm_score.score(docs, target)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted(map(tuple, out.collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) for x, y in zip(got, want, strict=True) for a, b in zip(x[2:], y[2:], strict=True))
