@@ -70,7 +70,7 @@ def replace_path(ring: Column, start: Column, end: Column, path: Column, backwar
 
 
 def _edges(ring: Column) -> Column:
-    return F.zip_with(ring, rotated(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return bound(ring, lambda r: F.zip_with(r, rotated(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def split_by_line(ring: Column, p: Column, q: Column, holes: Column | None = None) -> Column:
@@ -113,32 +113,37 @@ def split_by_line(ring: Column, p: Column, q: Column, holes: Column | None = Non
     return bound(both, lambda b: F.when(b["a"].isNotNull() & b["b"].isNotNull(), b))
 
 
-def holds(ring: Column, p: Column) -> Column:
-    """Whether a point lies in a ring or on its boundary."""
+def _holds(edges: Column, p: Column) -> Column:
     at = (p["x"], p["y"])
     ends = lambda e: ((e["a"]["x"], e["a"]["y"]), (e["b"]["x"], e["b"]["y"]))
-    crossed = F.aggregate(_edges(ring), F.lit(0), lambda s, e: s + crosses_upward_ray(at, *ends(e)).cast("int")) % 2 == 1
-    return crossed | F.exists(_edges(ring), lambda e: point_segment_distance(at, *ends(e)) <= 1e-9)
+    crossed = F.aggregate(edges, F.lit(0), lambda s, e: s + crosses_upward_ray(at, *ends(e)).cast("int")) % 2 == 1
+    return crossed | F.exists(edges, lambda e: point_segment_distance(at, *ends(e)) <= 1e-9)
+
+
+def holds(ring: Column, p: Column) -> Column:
+    """Whether a point lies in a ring or on its boundary."""
+    return bound(_edges(ring), lambda edges: bound(p, lambda q: _holds(edges, q)))
 
 
 def polygon(outer: Column, holes: Column) -> Column:
     """A ring with holes as one value (outer, holes); null unless all rings are sound and every hole's points lie in the outer one."""
-    inside = lambda o: F.forall(holes, lambda h: (F.size(h) >= 3) & (ring_area(h) > 1) & F.forall(h, lambda p: holds(o, p)))
-    return bound(_valid(outer, F.lit(True)), lambda o: F.when(o.isNotNull() & inside(o), F.struct(o.alias("outer"), holes.alias("holes"))))
+    inside = lambda edges, held: F.forall(held, lambda h: (F.size(h) >= 3) & (ring_area(h) > 1) & F.forall(h, lambda p: _holds(edges, p)))
+    whole = lambda o, held: F.when(o.isNotNull() & bound(_edges(o), lambda edges: inside(edges, held)), F.struct(o.alias("outer"), held.alias("holes")))
+    return bound(holes, lambda held: bound(_valid(outer, F.lit(True)), lambda o: whole(o, held)))
 
 
 def cut_hole(shape: Column, hole: Column) -> Column:
     """The polygon with one hole more; null where that is not allowed."""
-    return polygon(shape["outer"], F.concat(shape["holes"], F.array(without_repeats(hole))))
+    return bound(shape, lambda s: polygon(s["outer"], F.concat(s["holes"], F.array(without_repeats(hole)))))
 
 
 def move_polygon_vertex(shape: Column, at: Column, to: Column, hole: Column | None = None) -> Column:
     """The polygon with a vertex of its outer ring, or of a hole by its position, moved; null where that is not allowed."""
     put = lambda ring: F.when((at >= 0) & (at < F.size(ring)), without_repeats(F.transform(ring, lambda p, i: F.when(i == at, to).otherwise(p))))
     if hole is None:
-        return polygon(put(shape["outer"]), shape["holes"])
-    known = (hole >= 0) & (hole < F.size(shape["holes"]))
-    return F.when(known, polygon(shape["outer"], F.transform(shape["holes"], lambda h, i: F.when(i == hole, put(h)).otherwise(h))))
+        return bound(shape, lambda s: polygon(bound(s["outer"], put), s["holes"]))
+    known = lambda s: (hole >= 0) & (hole < F.size(s["holes"]))
+    return bound(shape, lambda s: F.when(known(s), polygon(s["outer"], F.transform(s["holes"], lambda h, i: F.when(i == hole, put(h)).otherwise(h)))))
 
 
 def splice(a: Column, a_at: Column, b: Column, b_at: Column) -> Column:
@@ -150,8 +155,9 @@ def splice(a: Column, a_at: Column, b: Column, b_at: Column) -> Column:
 def without_repeats(ring: Column, tolerance: float = 1e-8) -> Column:
     """Points that differ from the last one kept; a closing repeat goes as well."""
     same = lambda p, q: (F.abs(p["x"] - q["x"]) <= tolerance + 1e-5 * F.abs(q["x"])) & (F.abs(p["y"] - q["y"]) <= tolerance + 1e-5 * F.abs(q["y"]))
-    kept = F.aggregate(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1), lambda s, p: F.when(same(F.element_at(s, -1), p), s).otherwise(F.concat(s, F.array(p))))
-    return F.when((F.size(kept) > 1) & same(F.element_at(kept, 1), F.element_at(kept, -1)), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    kept = lambda r: F.aggregate(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1), lambda s, p: F.when(same(F.element_at(s, -1), p), s).otherwise(F.concat(s, F.array(p))))
+    closed = lambda k: F.when((F.size(k) > 1) & same(F.element_at(k, 1), F.element_at(k, -1)), F.slice(k, F.lit(1), F.size(k) - 1)).otherwise(k)
+    return bound(bound(ring, kept), closed)
 
 
 def thinned(values: Column, eps: float) -> Column:

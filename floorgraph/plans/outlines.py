@@ -10,6 +10,7 @@ from floorgraph.functions import rings as rg
 from floorgraph.functions import tables
 from floorgraph.operators import forest as fo
 from floorgraph.operators import outlines as ol
+from floorgraph.sources.shared import dealt
 from floorgraph.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -119,7 +120,7 @@ def _notched(spark: SparkSession, d: str) -> DataFrame:
     k, s = _C("p_partkey"), _C("p_size").cast("double")
     corners = ((F.lit(0), F.lit(0)), (F.lit(4), F.lit(0)), (F.lit(4), F.lit(4)), (1 + k % 2, 1 + k % 3), (F.lit(0), F.lit(4)))
     ring = F.array(*[rg.point(x * s, y * s) for x, y in corners])
-    return read_table(spark, d, "part").select(k.alias("k"), s.alias("s"), (0.3137 + (k % 13) * 0.2911).alias("c"), ((k % 5 - 2) * 0.17).alias("m"), ring.alias("ring"))
+    return dealt(read_table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("k"), s.alias("s"), (0.3137 + (k % 13) * 0.2911).alias("c"), ((k % 5 - 2) * 0.17).alias("m"), ring.alias("ring"))
 
 
 # with the origin on the line, what runs along it adds nothing to the area: the clipped edges alone do

@@ -26,6 +26,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by columns to a few tasks a core: few bytes come as one task, whatever work each row makes.
+
+    A number of its own is not coalesced.
+    """
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def stored(df: DataFrame, folder: str) -> DataFrame:
     """``df`` written to ``folder`` and read again: unlike a checkpoint's, the size of files tells Spark which side of a join is small."""
     df.write.parquet(folder)

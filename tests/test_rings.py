@@ -76,3 +76,17 @@ def test_gates_by_a_table_function(spark):
     assert [g[1] for g in sorted(out[1])] == [0.5, 1.5, 2.5, 3.5, 6.5, 7.5, 8.5, 9.5]  # as on a straight path
     assert sorted(out[2]) == [(0, 0.5, 0.5, 0.0, 0.0), (1, 1.5, 1.5, 0.0, 0.0), (2, 5.5, 3.0, 2.5, 90.0), (3, 6.5, 3.0, 3.5, 90.0)]
     assert out[5] == [(0, 0.75, 0.0, 0.75, 90.0)] and out.keys() == {1, 2, 5}
+
+
+def test_edits_of_holes_work_a_step_out_once(spark):
+    none = F.array().cast(f"array<{POINTS}>")
+    df = spark.createDataFrame([(SQUARE, [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)])], f"r {POINTS}, hole {POINTS}")
+    held = rg.cut_hole(rg.polygon(F.col("r"), none), F.col("hole"))
+    plan = df.select(rg.move_polygon_vertex(held, F.lit(2), rg.point(F.lit(3.5), F.lit(3.5)), F.lit(0)).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") < 20  # hundreds where steps are written out again
+
+
+def test_edits_are_dealt_to_the_cores(spark, sf_dir):
+    from floorgraph import catalog
+
+    assert catalog.queries()["hole_edits"](spark, sf_dir).rdd.getNumPartitions() == 4
