@@ -99,3 +99,10 @@ def test_representatives_and_neighbours(spark):
     assert (r.node, r.source_count) == ("d1", 3)
     stops = spark.createDataFrame([("a", "1", "1"), ("b", "1", "2"), ("c", "1", "4"), ("x", "1", "n/a")], "station string, line string, seq string")
     assert {r.station: (r.before, r.after) for r in routing.line_neighbours(stops).collect()} == {"a": (None, "b"), "b": ("a", None), "c": (None, None)}
+
+
+def test_pairs_of_all_ends_are_made_by_many_tasks(spark, sf_dir):
+    from floorgraph import catalog
+
+    pairs = catalog.queries()["od_pairs"](spark, sf_dir).where("pair_type = 'platform_platform'")
+    assert len({r.p for r in pairs.select(F.spark_partition_id().alias("p")).collect()}) > 2
