@@ -36,6 +36,22 @@ def test_an_outlier_has_few_cells(spark):
     assert time.time() - began < 60
 
 
+def test_repeated_boxes_meet_once(spark, monkeypatch):
+    rng = random.Random(9)
+    shapes = [(x, y, x + rng.randrange(4), y + rng.randrange(4)) for x, y in ((float(rng.randrange(20)), float(rng.randrange(20))) for _ in range(15))]
+    rows = [(k, rng.choice("ab"), *shapes[rng.randrange(15)]) for k in range(150)] + [(3, "c", *shapes[0]), (None, "a", *shapes[1]), (500, None, float("nan"), 0.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "k int, colour string, x0 double, y0 double, x1 double, y1 double")
+    met, meeting = [], grid.meeting
+    monkeypatch.setattr(grid, "meeting", lambda left, right, *a, **k: met.append(left.count()) or meeting(left, right, *a, **k))
+    out = sp.box_pairs(boxes, "k", BOX, 2.0)
+    gap = lambda a, b: math.hypot(max(0.0, a[2] - b[4], b[2] - a[4]), max(0.0, a[3] - b[5], b[3] - a[5]))
+    whole = [r for r in rows if r[0] is not None and r[2] == r[2]]
+    want = sorted((*a, *b, gap(a, b)) for a in whole for b in whole if a[0] < b[0] and gap(a, b) <= 2.0)
+    assert out.columns == [*boxes.columns, *[f"{c}_b" for c in boxes.columns], "gap"]
+    assert sorted(map(tuple, out.collect())) == want
+    assert met == [len(set(shapes))]
+
+
 def test_box_pairs_of_every_size(spark):
     rng = random.Random(2)
     rows = []
