@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from floorgraph.functions import geometry as g
 from floorgraph.operators import grid
 from floorgraph.operators import spatial as sp
-from floorgraph.sources.shared import cut
+from floorgraph.sources.shared import cut, dealt
 
 _C = F.col
+#: Outlines whose pairs one task holds.
+_OUTLINES = 20_000
 
 
 def box_of(ring: Column) -> list[Column]:
@@ -65,6 +67,7 @@ def outline_distances(a: DataFrame, b: DataFrame, a_key: str, b_key: str, reach:
     finite take no part; a ring of one point is that point.  Rows of one key are
     one outline in several rings.
     """
+    a, b = dealt(a.select(a_key, a_ring), a_key, rows=_OUTLINES), dealt(b.select(b_key, b_ring), b_key, rows=_OUTLINES)
     left, right = _segments(a, a_key, a_ring, "a"), _segments(b, b_key, b_ring, "b")
     near = _apart(grid.meeting(left, right, _segment_box("a"), _segment_box("b"), reach))
     zero = F.lit(0.0).alias("_d")

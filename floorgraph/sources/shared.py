@@ -26,13 +26,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
+def dealt(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
     """``df`` dealt by columns to a few tasks a core: few bytes come as one task, whatever work each row makes.
 
-    A number of its own is not coalesced.
+    With ``rows``, to so many tasks that each has about as many at most, whose work a task must hold.  A number of its own is not coalesced.
     """
     spark = df.sparkSession
-    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(max(tasks, -(-df.count() // rows) if rows else 1), *by)
 
 
 def stored(df: DataFrame, folder: str) -> DataFrame:

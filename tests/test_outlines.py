@@ -249,3 +249,12 @@ def test_parts_and_contact_of_runs(spark):
     assert {tuple(r) for r in rs.contact_area(*frames, 3, 40, 25).collect()} == want
     few = rn.to_runs(spark.range(2000).selectExpr("'b' as image", "cast(id % 100 as int) as x", "cast(id / 100 as int) as y"))
     assert few.count() == 20 and rn.dilated(few, 8, 200, 200).count() == 28
+
+
+def test_outlines_are_dealt_to_tasks_of_few(spark, monkeypatch):
+    monkeypatch.setattr(ol, "_OUTLINES", 10)
+    rows = [(k, [(6.0 * k, 0.0), (6.0 * k + 5, 0.0), (6.0 * k, 5.0)]) for k in range(90)]
+    a = spark.createDataFrame(rows, f"k int, {RING}")
+    out = ol.outline_distances(a, a.withColumnRenamed("k", "l"), "k", "l", 1.0)
+    assert "RepartitionByExpression [k#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "], 9" in plan
+    assert {(r.a, r.b) for r in out.collect()} == {(k, m) for k in range(90) for m in (k - 1, k, k + 1) if 0 <= m < 90}
