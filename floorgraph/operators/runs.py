@@ -17,10 +17,16 @@ _C = F.col
 
 
 def to_runs(pixels: DataFrame) -> DataFrame:
-    """Runs of a pixel table (image, x, y); repeated pixels count once, those with nulls not at all."""
-    rows = pixels.select("image", "x", "y").dropna().distinct()
-    island = _C("x") - F.row_number().over(Window.partitionBy("image", "y").orderBy("x"))
-    return rows.withColumn("_i", island).groupBy("image", "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_i")
+    """Runs of a pixel table (image, x, y); repeated pixels count once, those with nulls not at all.
+
+    Pixels are exchanged and sorted once, by row; a run lies between a pixel without a left and one without a right neighbour.
+    """
+    rows = pixels.select("image", "x", "y").dropna()
+    row = Window.partitionBy("image", "y").orderBy("x")
+    first = F.coalesce(_C("x") - F.lag("x").over(row) > 1, F.lit(True))
+    last = F.coalesce(F.lead("x").over(row) - _C("x") > 1, F.lit(True))
+    ends = rows.select("image", "y", "x", first.alias("_first"), last.alias("_last")).where("_first or _last")
+    return ends.withColumn("x1", F.when(_C("_last"), _C("x")).otherwise(F.lead("x").over(row))).where("_first").select("image", "y", _C("x").alias("x0"), "x1")
 
 
 def to_pixels(runs: DataFrame) -> DataFrame:
@@ -28,11 +34,14 @@ def to_pixels(runs: DataFrame) -> DataFrame:
 
 
 def swept(intervals: DataFrame, need: Column) -> DataFrame:
-    """Runs of the places that ``need`` or more of the intervals (image, y, x0, x1) of a row cover; ``need`` may depend on the row."""
+    """Runs of the places that ``need`` or more of the intervals (image, y, x0, x1) of a row cover; ``need`` may depend on the row.
+
+    Intervals are exchanged once, and their ends sorted once where they are.
+    """
     ends = F.array(F.struct(_C("x0").alias("x"), F.lit(1).alias("d")), F.struct((_C("x1") + 1).alias("x"), F.lit(-1).alias("d")))
-    steps = intervals.select("image", "y", F.inline(ends)).groupBy("image", "y", "x").agg(F.sum("d").alias("d"))
+    steps = intervals.select("image", "y", "x0", "x1").repartition("image", "y").select("image", "y", F.inline(ends))
     row = Window.partitionBy("image", "y").orderBy("x")
-    held = steps.withColumn("_in", F.sum("d").over(row.rowsBetween(Window.unboundedPreceding, 0)) >= need)
+    held = steps.withColumn("_in", F.sum("d").over(row.rangeBetween(Window.unboundedPreceding, 0)) >= need)  # ends at one place count together
     turns = held.withColumn("_was", F.lag("_in", 1, False).over(row)).where(_C("_in") != _C("_was"))
     return turns.withColumn("x1", F.lead("x").over(row) - 1).where("_in").select("image", "y", _C("x").alias("x0"), "x1")
 

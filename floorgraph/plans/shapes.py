@@ -136,9 +136,9 @@ _AROUND = "(select i as dx, j as dy from range(-{r}, {s}) a(i), range(-{r}, {s})
 
 
 def _line_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as pixels of their supplier's image: quantity across, spans of eight weeks down."""
+    """Lines as pixels of their supplier's image, repeated ones too: quantity across, spans of eight weeks down."""
     y = F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / 56).cast("int")
-    return read_table(spark, d, "lineitem").select(_C("l_suppkey").alias("image"), _C("l_returnflag").alias("f"), _C("l_quantity").cast("int").alias("x"), y.alias("y")).distinct()
+    return read_table(spark, d, "lineitem").select(_C("l_suppkey").alias("image"), _C("l_returnflag").alias("f"), _C("l_quantity").cast("int").alias("x"), y.alias("y"))
 
 
 @query(f"""

@@ -14,6 +14,7 @@ from floorgraph.operators import outlines as ol
 from floorgraph.operators import raster as rs
 from floorgraph.operators import runs as rn
 from floorgraph.operators import spatial as sp
+from floorgraph.sources import shared
 
 RING = "ring array<struct<x: double, y: double>>"
 BOX = ["x0", "y0", "x1", "y1"]
@@ -258,3 +259,11 @@ def test_outlines_are_dealt_to_tasks_of_few(spark, monkeypatch):
     out = ol.outline_distances(a, a.withColumnRenamed("k", "l"), "k", "l", 1.0)
     assert "RepartitionByExpression [k#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "], 9" in plan
     assert {(r.a, r.b) for r in out.collect()} == {(k, m) for k in range(90) for m in (k - 1, k, k + 1) if 0 <= m < 90}
+
+
+def test_runs_take_one_exchange_each(spark):
+    pixels = spark.createDataFrame([(1, x, y) for x in (0, 1, 1, 2, 4, 4) for y in (0, 2)] + [(2, 7, 7), (2, None, 7)], "image int, x int, y int")
+    assert sorted(map(tuple, rn.to_runs(pixels).collect())) == [(1, 0, 0, 2), (1, 0, 4, 4), (1, 2, 0, 2), (1, 2, 4, 4), (2, 7, 7, 7)]
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(rn.to_runs(pixels)) == 1
+    assert exchanges(rn.dilated(shared.cut(rn.to_runs(pixels)), 1, 9, 9)) == 1
