@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorgraph.operators.graph import components
+from floorgraph.sources.shared import cut
 
 _C = F.col
 
@@ -98,5 +99,8 @@ def linked(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("image", "seam").orderBy("x0", "side").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda side: F.last(F.when(_C("side") == side, F.struct("x1", "node")), ignorenulls=True).over(w)
     other = seams.select("node", "x0", F.when(_C("side") == 0, last(1)).otherwise(last(0)).alias("o"))
-    edges = other.where(_C("o.x1") + 1 >= _C("x0")).select(_C("o.node").alias("from"), _C("node").alias("to"))
-    return named.join(components(named.select("node"), edges), "node").drop("node")
+    edges = cut(other.where(_C("o.x1") + 1 >= _C("x0")).select(_C("o.node").alias("from"), _C("node").alias("to")))
+    touched = edges.select(F.explode(F.array("from", "to")).alias("node"))
+    parts = components(touched, edges).select(_C("node").alias("_node"), "component")
+    # a run that touches none is a part by itself and takes no part in the rounds
+    return named.join(parts, _C("node") == _C("_node"), "left").select("image", "y", "x0", "x1", F.coalesce("component", "node").alias("component"))

@@ -267,3 +267,12 @@ def test_runs_take_one_exchange_each(spark):
     exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert exchanges(rn.to_runs(pixels)) == 1
     assert exchanges(rn.dilated(shared.cut(rn.to_runs(pixels)), 1, 9, 9)) == 1
+
+
+def test_runs_that_touch_none_take_no_part_in_rounds(spark, monkeypatch):
+    asked, components = [], rn.components
+    monkeypatch.setattr(rn, "components", lambda nodes, edges: asked.append(nodes.distinct().count()) or components(nodes, edges))
+    runs = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 3, 4), (1, 5, 0, 9), (2, 0, 0, 2)], "image int, y int, x0 int, x1 int")
+    out = sorted((r.image, r.y, r.component) for r in rn.linked(runs).collect())
+    assert out == [(1, 0, "1|000000|000000"), (1, 1, "1|000000|000000"), (1, 5, "1|000005|000000"), (2, 0, "2|000000|000000")]
+    assert asked == [2]
