@@ -25,19 +25,21 @@ NODE = ["graph", "node_id", "type", "layer", "polygon_id", "position", "source_i
 EDGE = ["graph", "edge_id", "from", "to", "type", "connector_type", "cost", "bidirectional"]
 
 
-def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "number") -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "number", ranged: bool = False) -> DataFrame:
     """``rows`` with dense numbers from 1 within each group, in the given order.
 
-    A range exchange puts them in order; a partition's rows are counted by group
-    and what lies before is added, so a group may span any number of partitions.
-    Rows equal in the order get neighbouring numbers.
+    A range exchange puts them in order, unless they are ``ranged`` by group and
+    order already; a partition's rows are counted by group and what lies before
+    is added, so a group may span any number of partitions.  Rows equal in the
+    order get neighbouring numbers.
     """
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    ordered = (rows if ranged else rows.repartitionByRange(group, *order)).sortWithinPartitions(group, *order)
     placed = cut(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
     parts = placed.groupBy(_C("_part").alias("_p"), _C(group).alias("_g")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row for each partition and group
+    # a row for each partition and group: written, as the size of files tells Spark that the rows need no exchange to meet them
+    parts = cut(parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
     joined = placed.join(parts, (_C("_part") == _C("_p")) & _C(group).eqNullSafe(_C("_g")))
     return joined.select(*rows.columns, (_C("_before") + _C("_at") - _C("_first") + 1).alias(name))
 
@@ -46,13 +48,18 @@ def _apart(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (F.coalesce(p, F.lit(0.0)) - F.coalesce(q, F.lit(0.0))) * (F.coalesce(p, F.lit(0.0)) - F.coalesce(q, F.lit(0.0)))), F.lit(0.0), lambda s, d: s + d))
 
 
+def _part(position: Column, k: int) -> Column:
+    """A coordinate, null where there is none: Spark may look at records that a condition beside it leaves out."""
+    return F.get(position, F.lit(k))
+
+
 def _moved(position: Column, dx: Column, dy: Column) -> Column:
-    return F.array(position[0] + dx, position[1] + dy, F.coalesce(F.get(position, F.lit(2)), F.lit(0.0)))
+    return F.array(_part(position, 0) + dx, _part(position, 1) + dy, F.coalesce(F.get(position, F.lit(2)), F.lit(0.0)))
 
 
 def faced(position: Column, angle: Column, target: Column, by: float) -> Column:
     """A position moved by so much along an angle in degrees, else towards a target, else along x."""
-    dx, dy = target[0] - position[0], target[1] - position[1]
+    dx, dy = (_part(target, k) - _part(position, k) for k in (0, 1))
     length = F.sqrt(dx * dx + dy * dy)
     along = lambda f, d, none: F.coalesce(f(F.radians(angle)), F.when(length > 1e-9, d / length), F.lit(none)) * by
     return _moved(position, along(F.cos, dx, 1.0), along(F.sin, dy, 0.0))
@@ -135,21 +142,32 @@ def elevator_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, pairs.select(*_edge(edge_id, _C("_id"), _C("_id_2"), F.lit("elevator"), _apart(_C("_at"), _C("_at_2"))))
 
 
+_PLACE = ["graph", "node_id", "layer", "_x", "_y"]
+
+
+def _beside(nodes: DataFrame, zones: DataFrame) -> DataFrame:
+    """``nodes``, and beside them a row of its place and first zone ``_z`` for each that lacks a zone and lies in one."""
+    at = nodes.withColumn("_x", _part(_C("position"), 0)).withColumn("_y", _part(_C("position"), 1))
+    rings = zones.select(_C("graph").alias("_g"), F.struct("ord", "zone_id", "zone_type").alias("_z"), _C("layer").alias("_l"), _C("ring").alias("_r"))
+    hits = sp.points_in_rings(at.where("zone_type is null").select(*_PLACE), rings, "node_id", "_x", "_y", "_z", "_r", keep=["_g", "_l"])
+    hits = hits.where((_C("graph") == _C("_g")) & F.coalesce(_C("_l") == _C("layer"), F.lit(True)))
+    best = hits.groupBy(*_PLACE).agg(F.min("_z").alias("_z"))
+    return at.withColumn("_node", F.lit(True)).unionByName(best.withColumn("_node", F.lit(False)), allowMissingColumns=True)
+
+
+def _with_zone(rows: DataFrame, columns: Sequence[str], default: str) -> DataFrame:
+    """The nodes among the rows of :func:`_beside`, each with the zone of its place."""
+    found = {"zone_type": F.coalesce("zone_type", "_z.zone_type", F.lit(default)), "zone_id": F.coalesce("zone_id", "_z.zone_id")}
+    rows = rows.withColumn("_z", F.min("_z").over(Window.partitionBy(*_PLACE))).where("_node")
+    return rows.select(*[found[c].alias(c) if c in found else _C(c) for c in columns])
+
+
 def zoned(nodes: DataFrame, zones: DataFrame, default: str = "public") -> DataFrame:
     """``nodes`` with the zone that they lack: the first (by ``ord``) of their graph and layer around them, else ``default``.
 
     ``zones``: graph, zone_id, zone_type, layer, ord, ring; one without a layer is in all, a node without one in any.
     """
-    points = nodes.where("zone_type is null").select("graph", "node_id", "layer", _C("position")[0].alias("_x"), _C("position")[1].alias("_y"))
-    rings = zones.select(_C("graph").alias("_g"), F.struct("ord", "zone_id", "zone_type").alias("_z"), _C("layer").alias("_l"), _C("ring").alias("_r"))
-    hits = sp.points_in_rings(points, rings, "node_id", "_x", "_y", "_z", "_r", keep=["_g", "_l"])
-    hits = hits.where((_C("graph") == _C("_g")) & F.coalesce(_C("_l") == _C("layer"), F.lit(True)))
-    place = ["graph", "node_id", "layer", "_x", "_y"]
-    best = hits.groupBy(*[_C(c).alias(f"{c}_b") for c in place]).agg(F.min("_z").alias("_z"))
-    at = nodes.withColumn("_x", _C("position")[0]).withColumn("_y", _C("position")[1])
-    joined = at.join(best, reduce(Column.__and__, [_C(c).eqNullSafe(_C(f"{c}_b")) for c in place]), "left")
-    found = {"zone_type": F.coalesce("zone_type", "_z.zone_type", F.lit(default)), "zone_id": F.coalesce("zone_id", "_z.zone_id")}
-    return joined.select(*[found[c].alias(c) if c in found else _C(c) for c in nodes.columns])
+    return _with_zone(_beside(nodes, zones), nodes.columns, default)
 
 
 def build_graph(connections: DataFrame, assets: DataFrame, platforms: DataFrame, elevators: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,5 +185,7 @@ def build_graph(connections: DataFrame, assets: DataFrame, platforms: DataFrame,
     """
     parts = [connection_parts(connections), asset_parts(assets), platform_parts(platforms), elevator_parts(elevators)]
     nodes, edges = (reduce(DataFrame.unionAll, side) for side in zip(*parts, strict=True))
-    keyed = numbered(zoned(cut(nodes), zones), "graph", ["node_id"], "node_key")
+    # one range exchange, by which nodes meet their zones and get their keys
+    ranged = _beside(nodes, zones).repartitionByRange("graph", "node_id")
+    keyed = numbered(_with_zone(ranged, nodes.columns, "public"), "graph", ["node_id"], "node_key", ranged=True)
     return keyed.withColumn("node_key_str", F.format_string("N%04d", "node_key")), edges

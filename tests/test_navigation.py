@@ -77,3 +77,22 @@ def test_dense_numbers(spark):
         values = sorted(v for h, v in rows if h == g)
         assert [n for n, _ in sorted(found)] == list(range(1, len(values) + 1)) and [v for _, v in sorted(found)] == values
     assert nv.numbered(df.where(F.lit(False)), "g", ["v"]).count() == 0
+
+
+def test_nodes_take_one_wide_exchange(spark, monkeypatch):
+    written, cut = [], nv.cut
+    square = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+    monkeypatch.setattr(nv, "cut", lambda df: written.append(df) or cut(df))
+    points = spark.range(40).select(F.lit("s").alias("graph"), F.lit("pl").alias("platform_id"), F.lit("B1").alias("layer"), F.lit("q").alias("polygon_id"), F.col("id").alias("ord"), F.format_string("d%02d", "id").alias("node_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("position"), F.lit("1").alias("car_door"))
+    zones = spark.createDataFrame([("s", f"z{k}", "paid", "B1", k, square(5.0, 1.0, float(k))) for k in (2, 3)] + [("t", "z9", "paid", "B1", 0, square(5.0, 1.0, 9.0))], ZONES)
+    nothing = [spark.createDataFrame([], schema) for schema in (CONNECTIONS, ASSETS, ELEVATORS)]
+    nodes, _ = nv.build_graph(nothing[0], nothing[1], points, nothing[2], zones)
+    got = {r.node_id: (r.zone_id, r.node_key) for r in nodes.collect()}
+    assert len(got) == 40 and all(got[f"d{k:02}"][1] == k + 1 for k in range(40))
+    assert got["d04"][0] == "z2" and got["d35"][0] is None and {z for z, _ in got.values()} <= {"z2", "z3", None}
+    # the nodes are written once, behind a range exchange, and again for nothing; their zones and numbers come without another exchange
+    wide = [df._jdf.queryExecution().executedPlan().toString() for df in written if "position" in df.columns]
+    assert len(wide) == 1 and wide[0].count("Exchange rangepartitioning") == 1
+    assert "Join" not in wide[0].split("Exchange rangepartitioning")[0]
+    joined = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined and "SortMergeJoin" not in joined
