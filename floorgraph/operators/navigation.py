@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorgraph.operators import spatial as sp
-from floorgraph.sources.shared import cut
+from floorgraph.sources.shared import cut, dealt
 
 _C = F.col
 # What the records' types are called.
@@ -135,7 +135,7 @@ def elevator_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = F.coalesce("exit", F.lit(False))
     nodes = rows.select(*_node(_C("_id"), F.when(out, "exit_elevator").otherwise("elevator"), _C("_at"), _C("elevator_id"), exit_number=F.when(out, _C("exit_number"))))
     stops = rows.where(~out & _C("elevator_id").isNotNull())
-    stops = stops.select("graph", "elevator_id", "_id", "_at", F.row_number().over(Window.partitionBy("graph", "elevator_id").orderBy("ord", "_id")).alias("_n"))
+    stops = dealt(stops, "graph", "elevator_id").select("graph", "elevator_id", "_id", "_at", F.row_number().over(Window.partitionBy("graph", "elevator_id").orderBy("ord", "_id")).alias("_n"))
     other = stops.select(*[_C(c).alias(f"{c}_2") for c in stops.columns])
     pairs = stops.join(other, (_C("graph") == _C("graph_2")) & (_C("elevator_id") == _C("elevator_id_2")) & (_C("_n") < _C("_n_2")))  # an elevator's stops
     edge_id = F.concat(_named(_C("elevator_id"), _C("_n")), F.lit("_to_"), _C("_n_2"))
@@ -170,6 +170,22 @@ def zoned(nodes: DataFrame, zones: DataFrame, default: str = "public") -> DataFr
     return _with_zone(_beside(nodes, zones), nodes.columns, default)
 
 
+def build_nodes(connections: DataFrame, assets: DataFrame, platforms: DataFrame, elevators: DataFrame, zones: DataFrame) -> DataFrame:
+    """The nodes of :func:`build_graph`."""
+    parts = (connection_parts(connections), asset_parts(assets), platform_parts(platforms), elevator_parts(elevators))
+    nodes = reduce(DataFrame.unionAll, [n for n, _ in parts])
+    # one range exchange, by which nodes meet their zones and get their keys
+    ranged = _beside(nodes, zones).repartitionByRange("graph", "node_id")
+    keyed = numbered(_with_zone(ranged, nodes.columns, "public"), "graph", ["node_id"], "node_key", ranged=True)
+    return keyed.withColumn("node_key_str", F.format_string("N%04d", "node_key"))
+
+
+def build_edges(connections: DataFrame, assets: DataFrame, platforms: DataFrame, elevators: DataFrame) -> DataFrame:
+    """The edges of :func:`build_graph`, which need no node."""
+    parts = (connection_parts(connections), asset_parts(assets), platform_parts(platforms), elevator_parts(elevators))
+    return reduce(DataFrame.unionAll, [e for _, e in parts])
+
+
 def build_graph(connections: DataFrame, assets: DataFrame, platforms: DataFrame, elevators: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes, with dense keys by id within each graph, and edges; all records have a ``graph``, the station.
 
@@ -183,9 +199,4 @@ def build_graph(connections: DataFrame, assets: DataFrame, platforms: DataFrame,
     array<double> of two or three numbers.  Records without an id or a position
     make nothing.
     """
-    parts = [connection_parts(connections), asset_parts(assets), platform_parts(platforms), elevator_parts(elevators)]
-    nodes, edges = (reduce(DataFrame.unionAll, side) for side in zip(*parts, strict=True))
-    # one range exchange, by which nodes meet their zones and get their keys
-    ranged = _beside(nodes, zones).repartitionByRange("graph", "node_id")
-    keyed = numbered(_with_zone(ranged, nodes.columns, "public"), "graph", ["node_id"], "node_key", ranged=True)
-    return keyed.withColumn("node_key_str", F.format_string("N%04d", "node_key")), edges
+    return build_nodes(connections, assets, platforms, elevators, zones), build_edges(connections, assets, platforms, elevators)

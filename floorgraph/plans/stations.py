@@ -35,8 +35,8 @@ def _text(prefix: str, *keys: str) -> Column:
     return F.concat_ws("_", F.lit(prefix), *[_C(k).cast("string") for k in keys])
 
 
-def station_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """25 stations: lines are connections, parts assets, suppliers doors of their nation's platform, customers stops of elevators, nations zones."""
+def station_records(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Records of connections, assets, platforms, elevators and zones of 25 stations: lines are connections, parts assets, suppliers doors of their nation's platform, customers stops of elevators, nations zones."""
     none = F.lit(None)
     line, n = read_table(spark, d, "lineitem"), _C("l_linenumber")
     connections = line.select(
@@ -68,7 +68,7 @@ def station_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         _station("n_nationkey").alias("graph"), _text("z", "n_nationkey").alias("zone_id"), F.lit("paid").alias("zone_type"), F.lit("B1").alias("layer"), _C("n_nationkey").alias("ord"),
         F.array(at(10.25, 1.25), at(30.25, 1.25), at(30.25, 9.75), at(10.25, 9.75)).alias("ring"),
     )
-    return nv.build_graph(connections, assets, platforms, elevators, zones)
+    return [connections, assets, platforms, elevators, zones]
 
 
 _RECORDS = """
@@ -98,7 +98,7 @@ select g as station, node_id, type, layer, round(x, 4) as x, round(y, 4) as y, c
   row_number() over (partition by g order by node_id) as node_key from z""")
 def station_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of all kinds with their zones and dense keys."""
-    nodes, _ = station_graph(spark, d)
+    nodes = nv.build_nodes(*station_records(spark, d))
     at = lambda k: F.round(_C("position")[k], 4)
     return nodes.select(_C("graph").alias("station"), "node_id", "type", "layer", at(0).alias("x"), at(1).alias("y"), "zone_type", "zone_id", "node_key")
 
@@ -113,5 +113,5 @@ union all select g, before || '_to_' || id, before, id, 'platform_walk', null, r
 union all select a.g, a.el || '_' || a.n || '_to_' || b.n, a.id, b.id, 'elevator', null, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)), 4), true from t a join t b on a.g = b.g and a.el = b.el and a.n < b.n""")
 def station_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges of all kinds."""
-    _, edges = station_graph(spark, d)
+    edges = nv.build_edges(*station_records(spark, d)[:4])
     return edges.select(_C("graph").alias("station"), "edge_id", "from", "to", "type", "connector_type", F.round("cost", 4).alias("cost"), "bidirectional")

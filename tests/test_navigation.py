@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorgraph.operators import navigation as nv
+from floorgraph.plans import stations
 
 RING = "array<struct<x: double, y: double>>"
 CONNECTIONS = "graph string, connection_id string, type string, asset_type string, exit_number string, bidirectional boolean, from_layer string, from_polygon string, from_position array<double>, to_layer string, to_polygon string, to_position array<double>"
@@ -96,3 +97,8 @@ def test_nodes_take_one_wide_exchange(spark, monkeypatch):
     assert "Join" not in wide[0].split("Exchange rangepartitioning")[0]
     joined = nodes._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in joined and "SortMergeJoin" not in joined
+
+
+def test_edges_write_no_nodes(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(nv, "cut", lambda df: pytest.fail("nodes were written for edges"))
+    assert stations.station_edges(spark, sf_dir).where("type = 'vertical'").limit(1).count() == 1
