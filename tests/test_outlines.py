@@ -276,3 +276,16 @@ def test_runs_that_touch_none_take_no_part_in_rounds(spark, monkeypatch):
     out = sorted((r.image, r.y, r.component) for r in rn.linked(runs).collect())
     assert out == [(1, 0, "1|000000|000000"), (1, 1, "1|000000|000000"), (1, 5, "1|000005|000000"), (2, 0, "2|000000|000000")]
     assert asked == [2]
+
+
+def test_closest_pairs_are_taken_in_the_order_of_their_groups(spark, monkeypatch):
+    plans, cut = [], sp.cut
+    monkeypatch.setattr(sp, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    points = spark.range(60).select((F.col("id") % 3).alias("g"), "id", (F.col("id") * 1.0).alias("x"), (F.col("id") % 5 * 1.0).alias("y"))
+    near = spark.createDataFrame([(0, 1), (0, 2), (0, 9)], "by_a long, by_b long")
+    got = sorted((r.by_a, r.by_b, r.a, r.b) for r in sp.closest_pairs(points, "g", "id", "x", "y", near).collect())
+    assert got == [(0, 1, 0, 1), (0, 2, 3, 2)]
+    met = [p for p in plans if "_cx" in p]
+    assert met and all("SortMergeJoin [by_a" in p for p in met)
+    # one sort of each side, one of what the tasks found, and none of the pairs
+    assert [p.count("Sort [") for p in met] == [3] * len(met)
