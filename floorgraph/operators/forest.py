@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorgraph.functions import geometry as g
@@ -121,8 +121,14 @@ def span_edges(points: DataFrame, outline: str, key: str, x: str, y: str, graph:
         mixed = around.groupBy(_C("graph").alias("_g"), _C("_cx").alias("_mx"), _C("_cy").alias("_my")).agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l <> _h").drop("_l", "_h")
         in_mixed = lambda df: df.join(mixed, (_C("graph") == _C("_g")) & (_C("_cx") == _C("_mx")) & (_C("_cy") == _C("_my")), "left_semi")  # noqa: B023, E731
         a, b = side(in_mixed(own.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))), "a"), side(in_mixed(around), "b")
-        met = a.join(b.withColumnsRenamed({"_cx": "_bx", "_cy": "_by"}), (_C("grapha") == _C("graphb")) & (_C("_cx") == _C("_bx")) & (_C("_cy") == _C("_by")) & (_C("oa") < _C("ob")) & (_C("ca") != _C("cb")))
-        links = met.withColumn("d", d).where(_C("d") < reach - 1e-9)  # what is no nearer may not be the nearest
+        # Spark would take nine rows for one and send them to all tasks
+        met = a.join(b.withColumnsRenamed({"_cx": "_bx", "_cy": "_by"}).hint("merge"), (_C("grapha") == _C("graphb")) & (_C("_cx") == _C("_bx")) & (_C("_cy") == _C("_by")) & (_C("oa") < _C("ob")) & (_C("ca") != _C("cb")))
+        pairs = met.withColumn("d", d).where(_C("d") < reach - 1e-9)  # what is no nearer may not be the nearest
+        # the least distance of two outlines is a number, which needs no sort of all pairs; the keys are chosen from the few pairs that have it
+        ends = ["grapha", "oa", "ob", "ca", "cb"]
+        least = cut(pairs.groupBy(*ends).agg(F.min("d").alias("_d")))
+        least = least.withColumnsRenamed({c: f"_{c}" for c in ends})
+        links = pairs.join(least, reduce(Column.__and__, [_C(c) == _C(f"_{c}") for c in ends]) & (_C("d") == _C("_d")))
         links = links.groupBy(_C("grapha").alias("graph"), "oa", "ob", _C("ca").alias("a"), _C("cb").alias("b")).agg(F.min(F.struct("d", "ka", "kb")).alias("m"))
         edge = F.struct(_C("m.d").alias("d"), "oa", "ob", _C("m.ka").alias("ka"), _C("m.kb").alias("kb"))
         taken, roots = _forest(links.select("graph", "a", "b", edge.alias("edge")))

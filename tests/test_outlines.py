@@ -289,3 +289,13 @@ def test_closest_pairs_are_taken_in_the_order_of_their_groups(spark, monkeypatch
     assert met and all("SortMergeJoin [by_a" in p for p in met)
     # one sort of each side, one of what the tasks found, and none of the pairs
     assert [p.count("Sort [") for p in met] == [3] * len(met)
+
+
+def test_least_links_need_no_sort_of_all_pairs(spark, monkeypatch):
+    plans, cut = [], fo.cut
+    monkeypatch.setattr(fo, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    points = spark.range(60).select(F.concat(F.lit("o"), F.col("id") % 3).alias("o"), F.col("id").alias("k"), (F.col("id") * 1.0).alias("x"), (F.col("id") % 5 * 1.0).alias("y"))
+    got = sorted((r.a, r.b, r.point_a, r.point_b) for r in fo.span_edges(points, "o", "k", "x", "y").collect())
+    assert got == [("o0", "o1", 0, 1), ("o0", "o2", 3, 2)]
+    met = [p for p in plans if "SortMergeJoin [grapha" in p]
+    assert any("HashAggregate(keys=[grapha" in p and "SortAggregate(key=[grapha" not in p for p in met)
