@@ -15,20 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorgraph.functions import geometry as g
-from floorgraph.sources.shared import cut
+from floorgraph.sources.shared import cut, unsent
 
 _C = F.col
 
 
-def _roots(offers: DataFrame) -> DataFrame:
-    """(graph, c, root) from (graph, c, to): what each component ends at, the smaller of two that took each other."""
+def _roots(offers: DataFrame, n: int) -> DataFrame:
+    """(graph, c, root) from ``n`` rows (graph, c, to): what each component ends at, the smaller of two that took each other."""
     back = offers.select(_C("graph").alias("_g"), _C("c").alias("_c"), _C("to").alias("_to"))
     same = (_C("graph") == _C("_g")) & (_C("root") == _C("_c"))
-    first = offers.withColumnRenamed("to", "root").join(back, same)
+    first = offers.withColumnRenamed("to", "root").join(unsent(back, n), same)
     roots = cut(first.select("graph", "c", F.when((_C("_to") == _C("c")) & (_C("c") < _C("root")), _C("c")).otherwise(_C("root")).alias("root")))
     while True:
         up = roots.select(_C("graph").alias("_g"), _C("c").alias("_c"), _C("root").alias("_to"))
-        stepped = cut(roots.join(up, same).select("graph", "c", _C("_to").alias("root"), (_C("_to") != _C("root")).alias("_moved")))
+        stepped = cut(roots.join(unsent(up, n), same).select("graph", "c", _C("_to").alias("root"), (_C("_to") != _C("root")).alias("_moved")))
         roots = stepped.select("graph", "c", "root")
         if not stepped.where("_moved").limit(1).count():
             return roots
@@ -45,15 +45,16 @@ def _forest(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
         sides = open_.select("graph", _C("a").alias("c"), "edge", _C("b").alias("to")).unionAll(open_.select("graph", _C("b").alias("c"), "edge", _C("a").alias("to")))
         best = cut(sides.groupBy("graph", "c").agg(F.min(F.struct("edge", "to")).alias("m")).select("graph", "c", "m.edge", "m.to"))
         taken.append(best.select("graph", "edge").distinct())
-        roots = _roots(best.select("graph", "c", "to"))
+        n = best.count()
+        roots = _roots(best.select("graph", "c", "to"), n)
         for end in ("a", "b"):
             up = roots.select(_C("graph").alias("_g"), _C("c").alias("_c"), "root")
-            open_ = open_.join(up, (_C("graph") == _C("_g")) & (_C(end) == _C("_c"))).select("graph", *[(_C("root") if c == end else _C(c)).alias(c) for c in ("a", "b")], "edge")
+            open_ = open_.join(unsent(up, n), (_C("graph") == _C("_g")) & (_C(end) == _C("_c"))).select("graph", *[(_C("root") if c == end else _C(c)).alias(c) for c in ("a", "b")], "edge")
         if labels is None:
             labels = roots
         else:
             up = roots.select(_C("graph").alias("_g"), _C("c").alias("_c"), _C("root").alias("_root"))
-            labels = cut(labels.join(up, (_C("graph") == _C("_g")) & (_C("root") == _C("_c")), "left").select("graph", "c", F.coalesce("_root", "root").alias("root")))
+            labels = cut(labels.join(unsent(up, n), (_C("graph") == _C("_g")) & (_C("root") == _C("_c")), "left").select("graph", "c", F.coalesce("_root", "root").alias("root")))
     if labels is None:
         return open_.select("graph", "edge"), open_.select("graph", _C("a").alias("c"), _C("a").alias("root"))
     return cut(reduce(DataFrame.unionAll, taken).distinct()), labels

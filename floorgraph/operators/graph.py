@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floorgraph.sources.shared import cut, new_folder, stored
+from floorgraph.sources.shared import cut, new_folder, stored, unsent
 
 PREFERENCES = ("none", "elevator")
 _C = F.col
@@ -210,17 +210,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the logarithm of its length, in whatever order its nodes are.
     """
     both = cut(edges.select(_C("from").alias("a"), _C("to").alias("b")).unionAll(edges.select(_C("to").alias("a"), _C("from").alias("b"))).distinct())
-    labels = cut(nodes.select("node", _C("node").alias("component")).distinct())
+    labels = cut(nodes.where("node is not null").select("node", _C("node").alias("component")).distinct())
+    n = labels.count()
     while True:
-        near = both.join(labels, _C("b") == _C("node")).groupBy("a").agg(F.min("component").alias("_near"))
-        met = cut(near.join(labels, _C("a") == _C("node")).where(_C("_near") < _C("component")).select("a", "component", "_near"))
+        near = both.join(unsent(labels, n), _C("b") == _C("node")).groupBy("a").agg(F.min("component").alias("_near"))
+        met = cut(near.join(unsent(labels, n), _C("a") == _C("node")).where(_C("_near") < _C("component")).select("a", "component", "_near"))
+        offered = met.count()
+        if not offered:  # all ends of edges have one label, so that each label has itself
+            return labels
         offers = met.select("a", "_near").unionAll(met.select(_C("component").alias("a"), "_near")).groupBy("a").agg(F.min("_near").alias("_offer"))
-        low = labels.join(offers, _C("node") == _C("a"), "left").select("node", "component", F.least("component", F.coalesce("_offer", "component")).alias("_low"))
+        low = labels.join(unsent(offers, 2 * offered), _C("node") == _C("a"), "left").select("node", "component", F.least("component", F.coalesce("_offer", "component")).alias("_low"))
         far = labels.select(_C("node").alias("_n"), _C("component").alias("_far"))
-        stepped = cut(low.join(far, _C("_low") == _C("_n")).select("node", _C("_far").alias("_new"), (_C("_far") != _C("component")).alias("_moved")))
-        labels = stepped.select("node", _C("_new").alias("component"))
-        if stepped.where("_moved").isEmpty():
-            return labels
+        labels = cut(low.join(unsent(far, n), _C("_low") == _C("_n")).select("node", _C("_far").alias("component")))
 
 
 def propagate(nodes: DataFrame, links: DataFrame, root: str) -> DataFrame:

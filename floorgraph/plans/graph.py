@@ -13,6 +13,7 @@ from floorgraph.operators import bands as bd
 from floorgraph.operators import forest as fo
 from floorgraph.operators import graph as gr
 from floorgraph.operators import layers as la
+from floorgraph.sources.shared import unsent
 from floorgraph.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -135,7 +136,7 @@ def express_network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Edges and sources of a network that grows with the customers: every 25th is a node of one graph, with links to the next and to far ones."""
     k = read_table(spark, d, "customer").select(_C("c_custkey").cast("bigint").alias("k"), "c_mktsegment")
     ends = k.select("k", F.explode(F.array(*[F.lit(s) for s in _EXPRESS])).alias("s")).select((_C("k") % 25).alias("graph"), _C("k").alias("from"), (_C("k") + 25 * _C("s")).alias("to"), (1 + (_C("k") * 31 + _C("s")) % 17 + _C("s")).cast("double").alias("cost"))
-    ends = ends.join(k.select(_C("k").alias("to")), "to", "left_semi").select("graph", "from", "to", "cost")
+    ends = ends.join(unsent(k.select(_C("k").alias("to"))), "to", "left_semi").select("graph", "from", "to", "cost")
     back = ends.select("graph", _C("to").alias("from"), _C("from").alias("to"), "cost")
     sources = k.groupBy((_C("k") % 25).alias("graph"), "c_mktsegment").agg(F.min("k").alias("node")).select("graph", "node")
     return ends.unionByName(back), sources
@@ -251,7 +252,7 @@ def banded_edges(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "customer").select(_C("c_custkey").cast("bigint").alias("node"))
     nodes = c.select((_C("node") % 25).alias("graph"), "node", F.when(_C("node") % 25 % 2 == 1, _C("node")).otherwise(F.floor(_C("node") / 25) % 4).cast("double").alias("value"))
     ends = c.select((_C("node") % 25).alias("graph"), _C("node").alias("from"), (_C("node") + 25).alias("to"), (1 + (_C("node") * 31 + 1) % 17).cast("double").alias("score"))
-    return bd.banded_edges(nodes, ends.join(c.select(_C("node").alias("to")), "to", "left_semi"), 4)
+    return bd.banded_edges(nodes, ends.join(unsent(c.select(_C("node").alias("to"))), "to", "left_semi"), 4)
 
 
 @query("""

@@ -7,6 +7,9 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows up to which a side of a join may be sent to all tasks, as keys and a label of two fields each a hash table of about 20 MB.
+_SENT = 50_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only a local session without one, as in tests, gets a folder of its own."""
@@ -36,6 +39,14 @@ def dealt(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
     return df.repartition(max(tasks, -(-df.count() // rows) if rows else 1), *by)
 
 
+def unsent(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as a side of a join that meets the other one by a merge if it has many rows: ``rows`` at most, or as counted.
+
+    Spark's rule goes by the bytes of files; ten MB of packed keys may be millions of rows, which would pass through the driver.
+    """
+    return df.hint("merge") if (df.count() if rows is None else rows) > _SENT else df
+
+
 def stored(df: DataFrame, folder: str) -> DataFrame:
     """``df`` written to ``folder`` and read again: unlike a checkpoint's, the size of files tells Spark which side of a join is small."""
     df.write.parquet(folder)

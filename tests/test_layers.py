@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floorgraph.operators import bands, layers
+from floorgraph.operators import bands, graph, layers
 
 PAIRS = "graph string, ord int, a string, b string, matrix array<double>"
 
@@ -49,3 +49,17 @@ def test_bands_and_what_is_taken_instead(spark):
     assert bands.banded_edges(nodes.limit(0), edges.limit(0), 3).count() == 0
     with pytest.raises(ValueError, match="one group"):
         bands.banded_edges(nodes, edges, 0)
+
+
+def test_many_rows_in_small_files_do_not_pass_through_the_driver(spark):
+    # 150,000 nodes are files of one MB, and hash tables of 40 MB, more than are allowed here
+    node = lambda c, name: F.struct(F.lit("g").alias("graph"), c.alias("node")).alias(name)
+    rows = spark.range(150_000)
+    edges = rows.where("id % 3 < 2").select(node(F.col("id"), "from"), node(F.col("id") + 1, "to"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "32m")
+    try:
+        found = graph.components(rows.select(node(F.col("id"), "node")), edges)
+        wrong = found.where("component.node <> node.node - node.node % 3")
+        assert (found.count(), wrong.count()) == (150_000, 0)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
