@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from floorgraph.functions import geometry as g
 from floorgraph.operators import grid
 from floorgraph.operators import spatial as sp
-from floorgraph.sources.shared import cut, dealt
+from floorgraph.sources.shared import cut, dealt, unsent
 
 _C = F.col
 #: Outlines whose pairs one task holds.
@@ -120,7 +120,7 @@ def near_bridges(polygons: DataFrame, bridges: DataFrame, polygon_id: str, bridg
     """
     centroid = lambda df, key, end: df.where(F.size(ring) > 0).select(_C(key).alias(f"_id{end}"), g.ring_centroid(_C(ring)).alias(f"_c{end}"))
     apart = outline_distances(polygons, bridges, polygon_id, bridge_id, search, ring, ring)
-    rows = apart.join(centroid(polygons, polygon_id, "a"), _C("a") == _C("_ida")).join(centroid(bridges, bridge_id, "b"), _C("b") == _C("_idb"))
+    rows = apart.join(unsent(centroid(polygons, polygon_id, "a")), _C("a") == _C("_ida")).join(unsent(centroid(bridges, bridge_id, "b")), _C("b") == _C("_idb"))
     centre = g.distance((_C("_ca.x"), _C("_ca.y")), (_C("_cb.x"), _C("_cb.y")))
     rows = rows.select(_C("b").alias("bridge"), _C("a").alias("polygon"), F.round("distance", 9).alias("distance"), F.round(centre, 9).alias("centre"))
     w = Window.partitionBy("bridge").orderBy("distance", "centre", "polygon")
@@ -133,7 +133,7 @@ def bridge_pairs(near: DataFrame, colours: DataFrame, search: float) -> DataFram
     The distance is the greater of both; confidence falls with it to zero at
     ``search``, and is a tenth higher, one at most, for different ``colours`` (polygon, colour).
     """
-    of = near.join(colours, "polygon").select("bridge", "rank", "polygon", "distance", "colour")
+    of = near.join(unsent(colours), "polygon").select("bridge", "rank", "polygon", "distance", "colour")
     pairs = of.join(of.select(_C("bridge").alias("_b"), *[_C(c).alias(f"{c}_2") for c in ("rank", "polygon", "distance", "colour")]), (_C("bridge") == _C("_b")) & (_C("rank") < _C("rank_2")))
     far = F.greatest("distance", "distance_2")
     bonus = F.when(_C("colour").eqNullSafe(_C("colour_2")), 0.0).otherwise(0.1)

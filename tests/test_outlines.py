@@ -299,3 +299,16 @@ def test_least_links_need_no_sort_of_all_pairs(spark, monkeypatch):
     assert got == [("o0", "o1", 0, 1), ("o0", "o2", 3, 2)]
     met = [p for p in plans if "SortMergeJoin [grapha" in p]
     assert any("HashAggregate(keys=[grapha" in p and "SortAggregate(key=[grapha" not in p for p in met)
+
+
+def test_shapes_of_many_rows_are_not_sent_to_all_tasks(spark):
+    box = lambda end: [F.col(f"{c}{end}") for c in ("x0", "y0", "x1", "y1")]
+    x = F.col("id") * 10.0
+    rows = lambda end: spark.range(150_000).select(F.col("id").alias(f"id{end}"), x.alias(f"x0{end}"), (x * 0).alias(f"y0{end}"), (x + 1).alias(f"x1{end}"), (x * 0 + 1).alias(f"y1{end}"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "16m")
+    try:
+        met = grid.meeting(rows("a"), rows("b"), box("a"), box("b"), 1.0)
+        near = met.where("x0a <= x1b + 1 and x0b <= x1a + 1")
+        assert (near.count(), near.where("ida <> idb").count()) == (150_000, 0)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
