@@ -152,9 +152,9 @@ def express_costs(spark: SparkSession, d: str) -> DataFrame:
   select w.g, w.s, w.n, w.c, w.h, k.p, k.p || '>' || way from w join k40 k on k.g = w.g and k.s = w.s and k.n = here where here <> w.s)
 select g as graph, s as source, n as goal, c as cost, h as hops, way as nodes from w where here = s""")
 def express_routes(spark: SparkSession, d: str) -> DataFrame:
-    """The nodes of these routes, by doubling; bounds of 512 keep the far ones from being reached too dearly first."""
+    """The nodes of these routes; in graphs too large for a task, bounds of 512 keep the far ones from being reached too dearly first."""
     edges, sources = express_network(spark, d)
-    tree = gr.shortest_paths(edges, sources, delta=512.0)
+    tree = gr.cheapest(edges, sources, delta=512.0)
     found = gr.paths(tree, tree.select("graph", "source", _C("node").alias("goal")))
     return found.select("graph", "source", "goal", "cost", "hops", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
 

@@ -3,9 +3,11 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from floorgraph import catalog
 from floorgraph.functions import geometry as g
 from floorgraph.functions import rings as rg
 from floorgraph.functions import text as tx
@@ -13,6 +15,7 @@ from floorgraph.operators import aggregates as ag
 from floorgraph.operators import cluster as cl
 from floorgraph.operators import forest as fo
 from floorgraph.operators import graph as gr
+from floorgraph.operators import held
 from floorgraph.operators import lookup as lk
 from floorgraph.operators import raster as rs
 from floorgraph.operators import scene as sc
@@ -120,6 +123,71 @@ def test_bounds_widen(spark, monkeypatch):
     assert len(kept) < 20  # two a round, of which there were 40
 
 
+def _told(tree):
+    return sorted((r.graph, r.source, r.node, r.cost, r.hops, r.previous) for r in tree.collect())
+
+
+def _ways(found):
+    return sorted((r.graph, r.source, r.goal, r.cost, r.hops, r.nodes) for r in found.collect())
+
+
+def test_graphs_that_a_task_holds(spark, monkeypatch):
+    """Solved in tasks or by rounds, followed in tasks or by doubling: the same routes of the same ties, by bytes of the ids."""
+    rng = random.Random(5)
+    names = [f"{c}{i}" for c in ("a", "Z", "\uffee", "\U0001f600") for i in range(10)]
+    costs = [0.0, 1.0, 1.0, 2.0, 0.1, 0.0000000005, 0.12345678951, None]
+    rows = [("gh"[rng.randrange(2)], rng.choice(names), rng.choice([*names, None]), rng.choice(costs)) for _ in range(260)]
+    edges = spark.createDataFrame([*rows, ("below", "a0", "a1", 3.0), ("below", "a1", "a2", -1.0), ("endless", "a0", "a1", math.inf), (None, "a0", "a1", 1.0)], "graph string, from string, to string, cost double")
+    asked = [("g", n) for n in names] + [("h", n) for n in names[:3]] * 2 + [("below", "a0"), ("endless", "a0"), ("alone", "a0")]
+    sources = spark.createDataFrame(asked, "graph string, node string")
+    plain = _told(gr.shortest_paths(edges, sources).fillna("", "previous"))
+    rounds, doubled = [], []
+    shortest_paths, by_doubling = gr.shortest_paths, gr._doubled
+    monkeypatch.setattr(gr, "shortest_paths", lambda e, s, **k: rounds.append(sorted(r.graph for r in s.select("graph").distinct().collect())) or shortest_paths(e, s, **k))
+    monkeypatch.setattr(gr, "_doubled", lambda *a: doubled.append(1) or by_doubling(*a))
+    tree = gr.cheapest(edges, sources)
+    assert _told(tree.fillna("", "previous")) == plain and rounds == [["below", "endless"]]  # 40 sources of "g" in three parts
+    wanted = tree.select("graph", "source", F.col("node").alias("goal")).unionByName(spark.createDataFrame([("g", "a0", "none"), ("g", None, "a0"), ("alone", "a0", "a0")], "graph string, source string, goal string"))
+    ways = _ways(gr.paths(tree, wanted))
+    assert len(ways) == len(plain) and not doubled and all(len(w[-1]) == w[-2] + 1 and w[-1][0] == w[1] and w[-1][-1] == w[2] for w in ways)
+    monkeypatch.setattr(gr, "HELD", 5)
+    assert _told(gr.cheapest(edges, sources).fillna("", "previous")) == plain and rounds[1] == ["below", "endless", "g", "h"]
+    assert _ways(gr.paths(tree, wanted)) == ways and doubled
+
+
+def test_sources_without_a_place(spark):
+    edges = spark.createDataFrame([("g", 1, 2, 1.0)], "graph string, from long, to long, cost double")
+    sources = spark.createDataFrame([("g", None), (None, 1), ("g", 7), ("g", 1)], "graph string, node long")
+    none = lambda tree: {tuple(r) for r in tree.collect()}
+    assert none(gr.cheapest(edges, sources)) == none(gr.shortest_paths(edges, sources))
+    assert gr.cheapest(edges.limit(0), sources.limit(0)).count() == 0
+
+
+def test_ways_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(held, "_NODES", 10)
+    names = ["graph", "source", "goal", "cost", "hops", "nodes"]
+    rows = pa.RecordBatch.from_pydict({"node": [*range(9), 8, 0, 3, 77], "cost": [float(i) for i in range(9)] + [None] * 4, "hops": pa.array([*range(9)] + [None] * 4, pa.int32()), "previous": [None, *range(8)] + [None] * 4})
+    out = list(held.walker(names)((pa.scalar("g"), pa.scalar(0)), iter([rows])))
+    assert [b.column(5).to_pylist() for b in out] == [[[0], [0, 1, 2, 3]], [list(range(9))]]
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = random.Random(2)
+    values = [0.0000000005, 0.1234567895, 2.0000000015, 1234567.1234567895, 0.1 + 0.2, 8388607.123456789, 1e300, math.inf, 5e-324] + [rng.random() * 10 ** rng.randrange(-9, 9) for _ in range(2000)]
+    values += [round(rng.random() * 10 ** rng.randrange(0, 7), 9) + 5e-10 for _ in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", 9).alias("r")).collect()
+    assert [r.v for r in rows if held.nine(r.v) != r.r] == []
+
+
+def test_express_routes_without_rounds(spark, sf_dir, monkeypatch):
+    """It wrote two tables a round, and 18 rounds at the least."""
+    kept, stored = [], gr.stored
+    monkeypatch.setattr(gr, "stored", lambda df, folder: kept.append(folder) or stored(df, folder))
+    found = catalog.queries()["express_routes"](spark, sf_dir)
+    assert found.count() == catalog.queries()["express_costs"](spark, sf_dir).count() > 0
+    assert not [f for f in kept if "/round=" in f]
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(60).select(F.col("id").alias("node"))
     edges = spark.range(48).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to")).where("from <> 20")
