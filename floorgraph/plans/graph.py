@@ -144,8 +144,8 @@ def express_network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"with {_WALKED} select g as graph, s as source, n as node, c as cost, h as hops, p as previous from k40")
 def express_costs(spark: SparkSession, d: str) -> DataFrame:
-    """Cheapest routes from up to five nodes of each graph to all others, by fronts."""
-    return gr.shortest_paths(*express_network(spark, d))
+    """Cheapest routes from up to five nodes of each graph to all others, a graph in a task."""
+    return gr.cheapest(*express_network(spark, d))
 
 
 @query(f"""with recursive {_WALKED}, w as (select g, s, n, c, h, n as here, n::varchar as way from k40 union all
