@@ -7,6 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from floorgraph import catalog
+from floorgraph.functions import geometry as g
 from floorgraph.operators import cluster as cl
 from floorgraph.operators import forest as fo
 from floorgraph.operators import grid
@@ -67,6 +69,45 @@ def test_box_pairs_of_every_size(spark):
     assert sp.box_pairs(boxes.limit(0), "k", BOX, 3.0).count() == 0
 
 
+def test_crowded_pairs_of_every_size(spark):
+    """All pairs once, also of repeated boxes and of very different sizes, on both sides of zero and far from it."""
+    rng = random.Random(3)
+    for reach, far in ((3.0, 0.0), (0.0, 0.0), (20.0, 1e7)):
+        rows = []
+        for k in range(150):
+            x, y, w = far + rng.uniform(-50, 50), rng.uniform(-50, 50), 2 ** rng.uniform(-8, 7)
+            rows.append((k, rng.choice("ab"), x, y, x + w, y + w * rng.uniform(0, 1)))
+        rows += [(200 + k, "c", *rows[k % 7][2:]) for k in range(30)] + [(300 + k, None, far + k % 5 * 20.0, 4.0 * (k // 5), far + k % 5 * 20.0 + 6, 4.0 * (k // 5) + 4) for k in range(40)]
+        odd = [(None, "a", 1.0, 1.0, 1.0, 1.0), (902, "a", None, 0.0, 1.0, 1.0), (903, "a", float("nan"), 0.0, 1.0, 1.0), (904, "a", 0.0, 0.0, float("inf"), 1.0)]
+        boxes = spark.createDataFrame(rows + odd, "k long, colour string, x0 double, y0 double, x1 double, y1 double")
+        out = sp.crowded_pairs(boxes, "k", BOX, reach)
+        assert out.columns == [*boxes.columns, *[f"{c}_b" for c in boxes.columns], "gap"]
+        got, ways = sorted((r.k, r.k_b) for r in out.collect()), {r[0]: r for r in rows}
+        assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and gap(a[2:], b[2:]) <= reach)
+        assert all((*r[:6],) == ways[r.k] and (*r[6:12],) == ways[r.k_b] and abs(r.gap - gap(r[2:6], r[8:12])) < 1e-9 for r in out.collect())
+    assert sp.crowded_pairs(boxes.limit(0), "k", BOX, 3.0).count() == 0
+
+
+def test_pairs_of_repeated_boxes_are_not_exchanged(spark, tmp_path):
+    """The pairs of 2,000 parts at ten places were exchanged before they were listed."""
+    rows = [(k, f"Brand#{k % 3}", k % 5 + 1, 900.0 + k % 2) for k in range(2_000)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    out = catalog.queries()["pair_adjacency"](spark, str(tmp_path))
+    each = 2_000 * 1_999 // 2
+    near = sum(abs(a - b) <= 1 for a in range(5) for b in range(5))
+    assert out.count() == (near * 400 * 400 - 2_000) // 2 < each
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == plan.count("Join") > 0 and plan.count("Exchange") <= 4
+
+
+def test_fast_rounding_is_that_of_spark(spark):
+    rng = random.Random(4)
+    values = [0.0, 0.00005, 0.00015, 1.00005, 2.5, 14.14215, 20.0, 999999.99995, 1e6, 1e300, -1.00005, -3.2, float("nan"), float("inf"), None]
+    values += [rng.random() * 10 ** rng.randrange(-5, 9) for _ in range(3_000)] + [rng.randrange(10**8) / 1e5 for _ in range(3_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.where(~F.round("v", 4).eqNullSafe(g.rounded(F.col("v"), 4))).collect() == []
+
+
 def test_rings_are_found_without_a_nested_loop(spark):
     rng = random.Random(3)
     square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
