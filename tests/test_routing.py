@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from floorgraph import catalog
 from floorgraph.operators import routing
 from floorgraph.sources import packages, schemas
 from tests.test_sources import write_package
@@ -106,3 +107,16 @@ def test_pairs_of_all_ends_are_made_by_many_tasks(spark, sf_dir):
 
     pairs = catalog.queries()["od_pairs"](spark, sf_dir).where("pair_type = 'platform_platform'")
     assert len({r.p for r in pairs.select(F.spark_partition_id().alias("p")).collect()}) > 2
+
+
+def test_pairs_take_little_disk(spark, sf_dir, tmp_path):
+    """Written as they came, a pair took as many bits as there are digits in the number of suppliers, and more."""
+    rows = spark.range(1_500).select((F.col("id") * 7_919).alias("s_suppkey"), (F.xxhash64("id") % 12 + 12).cast("int").alias("s_nationkey"))
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    catalog.queries()["od_pairs"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    per = [r["count"] for r in rows.groupBy("s_nationkey").count().collect()]
+    exits = spark.read.parquet(f"{tmp_path}/nation.parquet").where("n_regionkey = 1").count()
+    assert out.count() == out.distinct().count() == 1_500**2 - sum(n * n for n in per) + 2 * 1_500 * exits
+    assert sum(f.stat().st_size for f in (tmp_path / "out").iterdir()) < 0.8 * out.count()
